@@ -1,6 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
 from .decontaminate import OP3_SQL, op3
+from .packing import op4
+from .token_counts import op9
 
-QUERIES = {"op3_decontaminate": op3}
+QUERIES = {"op3_decontaminate": op3, "op4_pack": op4, "op9_token_counts": op9}
 ORACLES = {"op3_decontaminate": OP3_SQL}
