@@ -38,9 +38,15 @@ def _running(groups: DataFrame) -> DataFrame:
 
 
 def _reached(running: DataFrame, limits: list[int], floor: int) -> list[int]:
-    """For each limit the greatest top that does not exceed it, or the floor."""
-    row = running.where((F.col("top") > floor) & (F.col("top") <= max(limits))).agg(*(F.max(F.when(F.col("top") <= x, F.col("top"))).alias(f"c{i}") for i, x in enumerate(limits))).first()
-    return [floor if x is None else x for x in row]
+    """For each limit the greatest top that does not exceed it, or the floor; limits rise."""
+    below = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col("top")))  # the first limit that top does not exceed
+    inside = running.where((F.col("top") > floor) & (F.col("top") <= limits[-1]))
+    found = {r.i: r.most for r in inside.groupBy(below.alias("i")).agg(F.max("top").alias("most")).collect()}
+    out, most = [], floor
+    for i in range(len(limits)):
+        most = max(most, found.get(i, floor))
+        out.append(most)
+    return out
 
 
 def smallest_capacity(running: DataFrame, n: int, total: int, largest: int) -> int:
@@ -51,9 +57,9 @@ def smallest_capacity(running: DataFrame, n: int, total: int, largest: int) -> i
         tried = list(range(low, high, step))
         at = [0] * len(tried)
         for _ in range(n):
-            new = _reached(running, [a + c for a, c in zip(at, tried, strict=True)], min(at))
+            new = _reached(running, [a + c for a, c in zip(at, tried, strict=True)], at[0])
             at = [max(a, b) for a, b in zip(at, new, strict=True)]
-            if min(at) == total:
+            if at[0] == total:
                 break
         good = next((i for i, a in enumerate(at) if a == total), None)
         if good is None:
