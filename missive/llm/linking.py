@@ -25,36 +25,48 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def linked(posted: DataFrame, verified: Callable[[DataFrame], DataFrame], possible: Callable | None = None) -> DataFrame:
+#: Rounds against hubs before what is left is tested pair by pair.
+HUB_ROUNDS = 3
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots after the links have joined some of their components."""
+    if roots is None:
+        return components(links)
+    of_a, of_b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    over = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    if over.isEmpty():
+        return roots
+    merged = components(over).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    moved = roots.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    alone = merged.select(F.col("root").alias("id"), F.col("to").alias("root")).join(roots.select("id"), "id", "left_anti")
+    return stored(moved.unionByName(alone), "roots")
+
+
+def linked(posted: DataFrame, verified: Callable[[DataFrame], DataFrame], possible: Callable) -> DataFrame:
     """(id, root) of all ids that links join.
 
     posted: (signature, id, size), linked ids have a signature in common; verified: the linked ones of pairs (a, b);
-    possible: a condition on two sizes. Of each list the least id is the hub, and the ids of other components are tested
-    against it. Then all its pairs are settled and it leaves the list; the rest has its turn in the next round, until each
-    list lies in one component. Pairs are tested once each at most, and only between components, so no link that
-    joins two components is missed.
+    possible: a condition on two sizes. In a round the least id of each list is its hub, and the list's ids of other
+    components are tested against it; then all the hub's pairs are settled, and it leaves the list. Lists within one
+    component are done. That joins large groups of copies with a test or two a copy. What is left after some rounds, the
+    pairs between components that still share a list, is tested as it is, so no link that joins two components is missed.
     """
     shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
     lists = stored(posted.join(shared, "signature"), "postings")
     roots: DataFrame | None = None
-    while True:
+    for n in range(HUB_ROUNDS + 1):
         at = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         hubs = at.groupBy("signature").agg(F.min(F.struct("id", "size", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("signature", "hub")
+        if n == HUB_ROUNDS:
+            rest = stored(at.join(hubs.select("signature"), "signature", "left_semi"), "rest")
+            left, right = (rest.select("signature", *(F.col(c).alias(c + x) for c in ("id", "size", "root"))) for x in "ab")
+            pairs = left.join(right, "signature").where((F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & possible(F.col("sizea"), F.col("sizeb"))).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+            return _joined(roots, stored(verified(pairs.distinct()), "verified"))
         rest = stored(at.join(hubs, "signature").where(F.col("id") != F.col("hub.id")), "rest")
-        tried = rest.where(F.col("root") != F.col("hub.root"))
-        if possible:
-            tried = tried.where(possible(F.col("size"), F.col("hub.size")))
-        links = stored(verified(tried.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()), "verified")
-        if roots is None:
-            roots = components(links)
-        else:
-            of_a, of_b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-            over = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-            if not over.isEmpty():
-                merged = components(over).select(F.col("id").alias("root"), F.col("root").alias("to"))
-                moved = roots.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-                alone = merged.select(F.col("root").alias("id"), F.col("to").alias("root")).join(roots.select("id"), "id", "left_anti")
-                roots = stored(moved.unionByName(alone), "roots")
+        tried = rest.where((F.col("root") != F.col("hub.root")) & possible(F.col("size"), F.col("hub.size")))
+        roots = _joined(roots, stored(verified(tried.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()), "verified"))
         lists = rest.select("signature", "id", "size")
         if lists.isEmpty():
             return roots
+    return roots
