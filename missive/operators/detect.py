@@ -106,16 +106,20 @@ def found_by(detector: Detector, text: Column) -> Column:
     return spans
 
 
+def _described(d: Detector, prio: int):
+    _, risk, action = X.SENSITIVE_TYPES[d.type]
+
+    def made(x: Column, i: Column) -> Column:
+        fields = {"start": x["start"], "minus_length": x["start"] - x["end"], "prio": F.lit(prio), "seq": i, "end": x["end"], "type": F.lit(d.type), "value": x["value"], "mask": mask_of(d.type, x["value"]), "risk": F.lit(risk), "action": F.lit(action)}
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    return made
+
+
 def all_spans(text: Column) -> Column:
     """The values of all detectors, ordered by start, longer first, then detector."""
-    kinds = []
-    for prio, d in enumerate(DETECTORS):
-        _, risk, action = X.SENSITIVE_TYPES[d.type]
-        made = lambda x, i, d=d, prio=prio, risk=risk, action=action: F.struct(
-            x["start"].alias("start"), (x["start"] - x["end"]).alias("minus_length"), F.lit(prio).alias("prio"), i.alias("seq"), x["end"].alias("end"), F.lit(d.type).alias("type"),
-            x["value"].alias("value"), mask_of(d.type, x["value"]).alias("mask"), F.lit(risk).alias("risk"), F.lit(action).alias("action"))
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        kinds.append(F.transform(F.when(text.rlike(d.pattern), found_by(d, text)).otherwise(none), made))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    kinds = [F.transform(F.when(text.rlike(d.pattern), found_by(d, text)).otherwise(none), _described(d, prio)) for prio, d in enumerate(DETECTORS)]
     return F.array_sort(F.concat(*kinds))
 
 
@@ -130,9 +134,12 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(F.reverse(spans), text, lambda t, x: F.overlay(t, x["mask"], x["start"] + 1, x["end"] - x["start"]))
 
 
+SPANS = "array<struct<start:int,minus_length:int,prio:int,seq:int,end:int,type:string,value:string,mask:string,risk:string,action:string>>"
+
+
 def with_spans(messages: DataFrame, text: str = "message") -> DataFrame:
-    """messages with spans (null text: none)."""
-    return messages.withColumn("_all", F.when(~blank(F.col(text)), all_spans(F.col(text)))).withColumn("spans", F.coalesce(deduped(F.col("_all")), F.filter(all_spans(F.lit("")), lambda _: F.lit(False)))).drop("_all")
+    """messages with spans (null or blank text: none)."""
+    return messages.withColumn("_all", F.when(~blank(F.col(text)), all_spans(F.col(text))).otherwise(F.array().cast(SPANS))).withColumn("spans", deduped(F.col("_all"))).drop("_all")
 
 
 def with_safe_text(detected: DataFrame, text: str = "message") -> DataFrame:

@@ -21,13 +21,15 @@ def normalized_time(raw: Column) -> Column:
 
 def resolved_date(raw: Column, ref: Column) -> Column:
     """The date of an ISO or relative expression; null if it is none (three days in digits is none)."""
-    e = F.lower(squeeze(raw, " "))
-    day = F.regexp_extract(e, r"^(?:(?:next|this) )?([a-z]+)$", 1)
-    index = F.array_position(F.array(*map(F.lit, X.WEEKDAYS)), day).cast("int") - 1
-    ahead = F.pmod(index - F.weekday(ref), F.lit(7))
-    ahead = F.when((ahead == 0) & ~e.startswith("this "), 7).otherwise(ahead)
-    number = F.array_position(F.array(*map(F.lit, X.NUMBERS)), F.regexp_extract(e, r"^in ([a-z]+) days?$", 1)).cast("int")
-    n = F.when(e == "today", 0).when(e.isin("tomorrow", "in a day"), 1).when(e == "yesterday", -1).when(e.startswith("in "), F.when(number > 0, number)).when(index >= 0, ahead)
+
+    def days(e: Column) -> Column:
+        day = F.regexp_extract(e, r"^(?:(?:next|this) )?([a-z]+)$", 1)
+        index = F.array_position(F.array(*map(F.lit, X.WEEKDAYS)), day).cast("int") - 1
+        number = F.array_position(F.array(*map(F.lit, X.NUMBERS)), F.regexp_extract(e, r"^in ([a-z]+) days?$", 1)).cast("int")
+        ahead = bound(F.pmod(index - F.weekday(ref), F.lit(7)), lambda n: F.when((n == 0) & ~e.startswith("this "), 7).otherwise(n))
+        return F.when(e == "today", 0).when(e.isin("tomorrow", "in a day"), 1).when(e == "yesterday", -1).when(e.startswith("in "), F.nullif(number, F.lit(0))).when(index >= 0, ahead)
+
+    n = bound(F.lower(squeeze(raw, " ")), days)
     return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw.try_cast("date")).otherwise(F.date_add(ref, n.cast("int")))
 
 
@@ -64,9 +66,9 @@ RULES = (
 ITEM = "struct<item_id:string,type:string,title:string,description:string,date:date,deadline:date,time:string,person:string,priority:string,source_message_id:string>"
 
 
-def _item(id_: Column, type_: str, title: Column, prio: Column, *, n: Column | int = 1, description=None, date=None, deadline=None, time=None, person=None) -> Column:
+def _item(id_: Column, type_: Column | str, title: Column, prio: Column, *, n: Column | int = 1, description=None, date=None, deadline=None, time=None, person=None) -> Column:
     null = lambda x: F.lit(None) if x is None else x
-    fields = {"item_id": item_id(id_, type_, n), "type": F.lit(type_), "title": title, "description": null(description), "date": null(date), "deadline": null(deadline), "time": null(time), "person": null(person), "priority": prio, "source_message_id": id_}
+    fields = {"item_id": item_id(id_, type_, n), "type": F.lit(type_) if isinstance(type_, str) else type_, "title": title, "description": null(description), "date": null(date), "deadline": null(deadline), "time": null(time), "person": null(person), "priority": prio, "source_message_id": id_}
     return F.struct(*(v.alias(k) for k, v in fields.items())).cast(ITEM)
 
 
@@ -97,27 +99,36 @@ def call_item(text: Column, id_: Column) -> Column:
 
 
 def with_extraction(safe: DataFrame, text: str = "safe_message", id_col: str = "message_id", ts: str = "ts") -> DataFrame:
-    """The struct extraction (items, method, reason, error): error where a rule matched an impossible date or time, which stays null."""
-    t, id_, ref = utrim(F.coalesce(F.col(text), F.lit(""))), F.col(id_col), F.to_date(F.col(ts))
-    t0 = safe.withColumn("_t", t)
-    t = F.col("_t")
-    n = F.regexp_count(t, F.lit(any_case(X.DEADLINE)))
-    method = F.lit("rule_based")
-    rule = F.lit(None).cast("string")
+    """The struct extraction (items, method, reason, error): error where a rule matched an impossible date or time, which stays null.
+
+    In steps: the rule that matches first, the raw parts it captures, then one item of these parts whatever the rule.
+    """
+    t, r, id_, ref = F.col("_t"), F.col("_rule"), F.col(id_col), F.to_date(F.col(ts))
+    rule = F.when(t.rlike(any_case(X.DEADLINE)), "deadline").when(t.rlike(exact_case(X.CALL_NAME)), "call").otherwise("none")
     for name, pattern, *_ in reversed(RULES):
         rule = F.when(t.rlike(any_case(pattern)), F.lit(name)).otherwise(rule)
-    t0 = t0.withColumn("_rule", F.coalesce(rule, F.when(t.rlike(any_case(X.DEADLINE)), "deadline"), F.when(t.rlike(exact_case(X.CALL_NAME)), "call"), F.lit("none")))
-    r = F.col("_rule")
-    items, reason = F.array().cast(f"array<{ITEM}>"), F.lit(X.NO_ITEMS_REASON)
-    for spec in RULES:
-        items = F.when(r == spec[0], F.array(event_item(spec, t, id_, ref))).otherwise(items)
-        reason = F.when(r == spec[0], F.lit(f"Matched a {spec[3]} with an explicit date{' and time' if spec[4][2] else ''}.")).otherwise(reason)
-    items = F.when(r == "deadline", deadline_items(t, id_, ref)).when(r == "call", F.array(call_item(t, id_))).otherwise(items)
-    person = F.regexp_extract(t, exact_case(X.CALL_NAME), 1)
+
+    def part(which: int) -> Column:
+        """What the matching rule captures as title, date, time or place."""
+        out = F.lit("")
+        for name, pattern, _, _, groups in RULES:
+            if groups[which]:
+                out = F.when(r == name, F.regexp_extract(t, any_case(pattern), groups[which])).otherwise(out)
+        return out
+
+    type_, reason = F.lit("task"), F.lit(X.NO_ITEMS_REASON)
+    for name, _, kind, label, groups in RULES:
+        type_ = F.when(r == name, F.lit(kind)).otherwise(type_)
+        reason = F.when(r == name, F.lit(f"Matched a {label} with an explicit date{' and time' if groups[2] else ''}.")).otherwise(reason)
+    n = F.size(F.col("_items"))
+    person = F.get(F.col("_items"), F.lit(0))["person"]
     many = F.concat(F.lit("Matched "), n.cast("string"), F.lit(" distinct tasks with explicit deadlines."))
     reason = F.when(r == "deadline", F.when(n > 1, many).otherwise("Matched a task with an explicit deadline.")).when(r == "call", F.concat(F.lit("Matched a call request naming "), person, F.lit("."))).otherwise(reason)
-    made = t0.withColumns({"_items": items, "_reason": reason})
-    timed = r.isin([s[0] for s in RULES if s[4][2]])
-    wrong = lambda x: (~r.isin("call", "none", "deadline") & x["date"].isNull()) | ((r == "deadline") & x["deadline"].isNull()) | (timed & x["time"].isNull())
-    out = F.struct(F.col("_items").alias("items"), F.when(r == "none", "none").otherwise(method).alias("method"), F.col("_reason").alias("reason"), F.exists("_items", wrong).alias("error"))
-    return made.withColumn("extraction", out).drop("_t", "_rule", "_items", "_reason")
+    scheduled, timed = ~r.isin("deadline", "call", "none"), r.isin([x[0] for x in RULES if x[4][2]])
+    wrong = lambda x: (scheduled & x["date"].isNull()) | ((r == "deadline") & x["deadline"].isNull()) | (timed & x["time"].isNull())
+    steps = safe.withColumn("_t", utrim(F.coalesce(F.col(text), F.lit("")))).withColumn("_rule", rule)
+    steps = steps.withColumns({"_type": type_, **{f"_{k}": part(i) for i, k in enumerate(("title", "date", "time", "place"))}})
+    event = _item(id_, F.col("_type"), squeeze(F.col("_title"), X.VALUE_MARKS), priority(t), description=_empty_to_null(squeeze(F.col("_place"), X.VALUE_MARKS)), date=resolved_date(F.col("_date"), ref), time=normalized_time(F.col("_time")))
+    items = F.when(scheduled, F.array(event)).when(r == "deadline", deadline_items(t, id_, ref)).when(r == "call", F.array(call_item(t, id_))).otherwise(F.array().cast(f"array<{ITEM}>"))
+    out = F.struct(F.col("_items").alias("items"), F.when(r == "none", "none").otherwise("rule_based").alias("method"), reason.alias("reason"), F.exists("_items", wrong).alias("error"))
+    return steps.withColumn("_items", items).withColumn("extraction", out).drop("_t", "_rule", "_items", "_type", "_title", "_date", "_time", "_place")

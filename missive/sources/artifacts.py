@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,23 @@ def security(spans: Column) -> Column:
     return F.struct((F.size(spans) > 0).alias("has_detection"), public(spans).alias("detections"))
 
 
+def materialized(table: DataFrame, name: str = "table") -> DataFrame:
+    """The table written to the shared folder and read again.
+
+    Views filter and explode analyzed columns. Over the lazy plan the optimizer would copy those long expressions into
+    every pushed filter; over a written table the filters reach the scan, and the analysis runs once.
+    """
+    spark = table.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/missive-{spark.sparkContext.applicationId}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 ARTIFACTS = {"classifications": classifications, "tasks_events": extractions, "sensitive_detections": securities, "final_results": final_results}
 
 
