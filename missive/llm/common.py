@@ -73,7 +73,7 @@ def text_or_empty(name: str = "text") -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
