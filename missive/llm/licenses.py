@@ -71,11 +71,12 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
     """The template's words that the block lacks where it matches best, and the words that stand between others there."""
-    places: dict[tuple, list[int]] = {}
-    n = min(3, len(template))
-    for i in range(len(template) - n + 1):
-        places.setdefault(tuple(template[i : i + n]), []).append(i)
-    votes = Counter(j - i for j in range(len(block) - n + 1) for i in places.get(tuple(block[j : j + n]), ()))
+    votes: Counter = Counter()
+    for n in (3, 1):  # single words where no triple is left
+        places: dict[tuple, list[int]] = {}
+        for i in range(len(template) - n + 1):
+            places.setdefault(tuple(template[i : i + n]), []).append(i)
+        votes = votes or Counter(j - i for j in range(len(block) - n + 1) for i in places.get(tuple(block[j : j + n]), ()))
     if not votes:
         return template, []
     start = min(votes, key=lambda s: (-votes[s], s))
