@@ -46,27 +46,34 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 def linked(posted: DataFrame, verified: Callable[[DataFrame], DataFrame], possible: Callable) -> DataFrame:
     """(id, root) of all ids that links join.
 
-    posted: (signature, id, size), linked ids have a signature in common; verified: the linked ones of pairs (a, b);
-    possible: a condition on two sizes. In a round the least id of each list is its hub, and the list's ids of other
-    components are tested against it; then all the hub's pairs are settled, and it leaves the list. Lists within one
-    component are done. That joins large groups of copies with a test or two a copy. What is left after some rounds, the
-    pairs between components that still share a list, is tested as it is, so no link that joins two components is missed.
+    posted: (signature, id, size, own), linked ids have a signature in common; own is the part of size that no other id
+    has; verified: the linked ones of pairs (a, b); possible: a condition on (size, own) of both, met by all links, and
+    the easier the smaller size and own are. In a round the id that has least of its own is a list's hub, the middle of
+    its near copies, and the list's ids of other components are tested against it; then all the hub's pairs are settled,
+    and it leaves the list. Lists within one component are done, and so are ids that not even a partner of the list's
+    least size, with nothing of its own, could link with. That joins large groups of copies with a test or two a copy.
+    What is left after some rounds, the possible pairs between components that still share a list, is tested as it
+    is, so no link that joins two components is missed.
     """
     shared = posted.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature")
     lists = stored(posted.join(shared, "signature"), "postings")
+    own = ("id", "size", "own", "root")
     roots: DataFrame | None = None
     for n in range(HUB_ROUNDS + 1):
         at = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        hubs = at.groupBy("signature").agg(F.min(F.struct("id", "size", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("signature", "hub")
+        sizes = at.groupBy("signature").agg(F.min("size").alias("least_size"))
+        at = at.join(sizes, "signature").where(possible(F.col("size"), F.col("own"), F.col("least_size"), F.lit(0)))
+        hubs = at.groupBy("signature").agg(F.min(F.struct("own", "id", "size", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("signature", "hub")
         if n == HUB_ROUNDS:
             rest = stored(at.join(hubs.select("signature"), "signature", "left_semi"), "rest")
-            left, right = (rest.select("signature", *(F.col(c).alias(c + x) for c in ("id", "size", "root"))) for x in "ab")
-            pairs = left.join(right, "signature").where((F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & possible(F.col("sizea"), F.col("sizeb"))).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+            left, right = (rest.select("signature", *(F.col(c).alias(c + x) for c in own)) for x in "ab")
+            could = possible(F.col("sizea"), F.col("owna"), F.col("sizeb"), F.col("ownb"))
+            pairs = left.join(right, "signature").where((F.col("ida") < F.col("idb")) & (F.col("roota") != F.col("rootb")) & could).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
             return _joined(roots, stored(verified(pairs.distinct()), "verified"))
         rest = stored(at.join(hubs, "signature").where(F.col("id") != F.col("hub.id")), "rest")
-        tried = rest.where((F.col("root") != F.col("hub.root")) & possible(F.col("size"), F.col("hub.size")))
+        tried = rest.where((F.col("root") != F.col("hub.root")) & possible(F.col("size"), F.col("own"), F.col("hub.size"), F.col("hub.own")))
         roots = _joined(roots, stored(verified(tried.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()), "verified"))
-        lists = rest.select("signature", "id", "size")
+        lists = rest.select("signature", "id", "size", "own")
         if lists.isEmpty():
             return roots
     return roots

@@ -120,9 +120,9 @@ def test_components_and_linking(spark):
     want = roots_of(pairs, {x for p in pairs for x in p if p[0] != p[1]})
     assert all(got.get(i, i) == r for i, r in want.items())
     # links that only a test late in the lists finds
-    posted = spark.createDataFrame([("x", i, 1) for i in range(12)] + [("y", 11, 1), ("y", 20, 1)], "signature string, id long, size int")
+    posted = spark.createDataFrame([("x", i, 1, 0) for i in range(12)] + [("y", 11, 1, 0), ("y", 20, 1, 0)], "signature string, id long, size int, own int")
     close = lambda p: p.where("abs(a - b) = 6 or b = 20")
-    got = {r.id: r.root for r in linked(posted, close, lambda x, y: F.lit(True)).collect()}
+    got = {r.id: r.root for r in linked(posted, close, lambda *_: F.lit(True)).collect()}
     assert {i: got.get(i, i) for i in range(12)} == {i: i % 6 for i in range(12)} and got[20] == 5
 
 
