@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent:
     totals = stored(tally(ask(held.select("batch", "blob"), counted, n_ranges, bits)), "totals")
     profiles = stored(_profiles(held, totals, classes.select("batch", "place", "copies"), n, percent, frequent, bits), "profiles")
     sets = profiles.select("id", "shingles")
-    posted = profiles.select(F.explode("signatures").alias("signature"), "id", "size", "own")
+    some = 100 * (F.col("size") - F.col("own")) >= percent * F.col("size")  # else not even a subset without own shingles is similar
+    posted = profiles.where(some).select(F.explode("signatures").alias("signature"), "id", "size", "own")
 
     def possible(x, own_x, y, own_y):  # a shingle that only one class has is in no overlap
         return (100 + percent) * F.least(x - own_x, y - own_y) >= percent * (x + y)

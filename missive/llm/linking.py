@@ -47,11 +47,10 @@ def linked(posted: DataFrame, verified: Callable[[DataFrame], DataFrame], possib
     """(id, root) of all ids that links join.
 
     posted: (signature, id, size, own), linked ids have a signature in common; own is the part of size that no other id
-    has; verified: the linked ones of pairs (a, b); possible: a condition on (size, own) of both, met by all links, and
-    the easier the smaller size and own are. In a round the id that has least of its own is a list's hub, the middle of
-    its near copies, and the list's ids of other components are tested against it; then all the hub's pairs are settled,
-    and it leaves the list. Lists within one component are done, and so are ids that not even a partner of the list's
-    least size, with nothing of its own, could link with. That joins large groups of copies with a test or two a copy.
+    has; verified: the linked ones of pairs (a, b); possible: a condition on (size, own) of both, met by all links. In a
+    round the id that has least of its own is a list's hub, the middle of its near copies, and the list's ids of other
+    components are tested against it; then all the hub's pairs are settled, and it leaves the list. Lists within one
+    component are done. That joins large groups of copies with a test or two a copy.
     What is left after some rounds, the possible pairs between components that still share a list, is tested as it
     is, so no link that joins two components is missed.
     """
@@ -61,8 +60,6 @@ def linked(posted: DataFrame, verified: Callable[[DataFrame], DataFrame], possib
     roots: DataFrame | None = None
     for n in range(HUB_ROUNDS + 1):
         at = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        sizes = at.groupBy("signature").agg(F.min("size").alias("least_size"))
-        at = at.join(sizes, "signature").where(possible(F.col("size"), F.col("own"), F.col("least_size"), F.lit(0)))
         hubs = at.groupBy("signature").agg(F.min(F.struct("own", "id", "size", "root")).alias("hub"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("signature", "hub")
         if n == HUB_ROUNDS:
             rest = stored(at.join(hubs.select("signature"), "signature", "left_semi"), "rest")

@@ -153,6 +153,24 @@ def test_near_duplicates_as_by_brute_force(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_copies_beside_excerpts(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(4):
+        base = words(rng, 120).split()
+        for at in (30, 90):
+            x = list(base)
+            x[at] = "zzz"
+            texts.append((len(texts), " ".join(x)))
+        texts += [(len(texts) + k, " ".join(base[k * 2 : k * 2 + 14])) for k in range(54)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = roots_of(pairs, sets)
+    assert len(pairs) >= 4
+    for frequent in (2, 1000):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs(spark, texts), frequent=frequent).collect()} == want
+
+
 def test_similar_sets_share_a_signature():
     import numpy as np
 
