@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-Lines with a licensing word seed candidate blocks (seeds at most three lines apart join). A block is compressed plainly and with
-each license template as a raw zstandard dictionary; templates are ranked by how much smaller that makes the block. The
-best ranked are then held against the block word by word: the template is aligned where most of its word triples
-lie, and a license is confirmed if enough of its words are there and none of its distinguishing words differs. The
-words missing and added are reported.
-
-Defined cases: a null or empty text has no blocks; a block that no template fits is reported with a null license; equal
-reductions go to the template of the smaller name; repeated rows are scanned each; an empty table gives no rows;
+Lines with a licensing word seed candidate blocks (seeds at most three lines apart join). A block that is not wholly
+made of complete notices is taken again with the lines of its paragraph around it, as far as the longest template
+reaches. It is compressed plainly and with each license template as a raw zstandard dictionary; the templates that make
+it smaller are held against it word by word: the template is aligned where most of its word triples lie, and a license is
+confirmed if enough of its words are there and none of its distinguishing words differs (list markers at line starts are
+not counted as added). The one with most words there is taken, and what is left before and after it is searched again.
+The words missing and added are reported.
+
+Defined cases: a null or empty text has no blocks; a block that no template fits is reported with a null license, and a
+confirmed license with the lines of its words; equal ones go to the template of the smaller name; repeated rows are scanned each; an empty table gives no rows;
 other columns are not needed.
 """
 
@@ -27,9 +29,11 @@ from .common import read, ship
 
 #: Well-known notices and the openings of license texts.
 TEMPLATES = {
+    "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -45,6 +49,8 @@ TEMPLATES = {
 }
 SEED = re.compile(r"licen[sc]e|copyright|\(c\)|©|all rights reserved|permission|redistribut|creative commons|\bCC[ -]BY\b|\bGPL|warrant", re.I)
 _WORDS = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+_PLACED = re.compile(r"[a-zA-Z]+|\d+(?:\.\d+)*")
+_MARKER = re.compile(r"^[^\w\n(]*\(?(\d{1,2}|[a-zA-Z]|[ivx]{1,4})[.)](?=\s)", re.M)
 GAP = 3
 #: Words whose absence or presence changes the license.
 TELLING = frozenset("no not non nc nd sa by lesser affero mit apache bsd gnu gpl lgpl mpl mozilla cc without prior".split())
@@ -69,8 +75,30 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """The template's words that the block lacks where it matches best, and the words that stand between others there."""
+def extended(text: str, spans: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """The blocks with the lines of their paragraphs before and after, as far as reach words, but not into other blocks."""
+    out = []
+    for k, (a, b) in enumerate(spans):
+        least, most = spans[k - 1][1] + 1 if k else 0, spans[k + 1][0] - 1 if k + 1 < len(spans) else len(text)
+        left = reach
+        while a > least and left > 0:
+            start = max(least, text.rfind("\n", 0, a - 1) + 1)
+            if not (line := text[start : a - 1]).strip():
+                break
+            a, left = start, left - len(_PLACED.findall(line))
+        left = reach
+        while b < most and left > 0:
+            end = text.find("\n", b + 1, most)
+            end = most if end < 0 else end
+            if not (line := text[b + 1 : end]).strip():
+                break
+            b, left = end, left - len(_PLACED.findall(line))
+        out.append((a, b))
+    return out
+
+
+def aligned(template: list[str], block: list[str], loose: int = 0) -> tuple[list[str], list[int], int, int]:
+    """The template's words that the block lacks where it matches best, the places of words between others there, and where the match begins and ends."""
     votes: Counter = Counter()
     for n in (3, 1):  # single words where no triple is left
         places: dict[tuple, list[int]] = {}
@@ -78,9 +106,10 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
             places.setdefault(tuple(template[i : i + n]), []).append(i)
         votes = votes or Counter(j - i for j in range(len(block) - n + 1) for i in places.get(tuple(block[j : j + n]), ()))
     if not votes:
-        return template, []
+        return template, [], 0, 0
     start = min(votes, key=lambda s: (-votes[s], s))
-    part = block[max(0, start - 5) : max(0, start) + len(template) + 5]
+    low = max(0, start - 5 - loose)
+    part = block[low : max(0, start) + len(template) + 5 + loose]
     missing, added = [], []
     ops = SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
     inside = [k for k, op in enumerate(ops) if op[0] == "equal"]
@@ -88,59 +117,113 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
         if kind != "equal":
             missing += template[a:b]
             if inside and inside[0] < k < inside[-1]:
-                added += part[c:d]
-    return missing, added
+                added += range(low + c, low + d)
+    return missing, added, low + ops[inside[0]][3] if inside else 0, low + ops[inside[-1]][4] if inside else 0
+
+
+def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
+    """The template's words that the block lacks where it matches best, and the words that stand between others there."""
+    missing, added, _, _ = aligned(template, block)
+    return missing, [block[i] for i in added]
+
+
+#: start and end in the block, license, reduction, missing and added words.
+Found = tuple[int, int, str | None, float, list[str], list[str]]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], level: int, ranked: int, least: float):
+    def __init__(self, templates: dict[str, str], level: int, least: float):
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.least, self.ranked = least, ranked
+        self.least = least
         self.by = {}
         for name, text in sorted(templates.items()):
             with_it = zstandard.ZstdCompressor(level=level, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             self.by[name] = (with_it, words_of(text))
+        self.reach = max((len(t) for _, t in self.by.values()), default=0)
 
-    def scan(self, block: str) -> tuple[str | None, float, list[str], list[str]]:
+    def scan(self, block: str) -> list[Found]:
+        """The confirmed licenses, in their order; one with a null license if there is none."""
         data = block.encode("utf-8", "surrogatepass")
         size = len(self.plain.compress(data))
         rank = sorted((-(size - len(c.compress(data))) / size, name) for name, (c, _) in self.by.items())
-        words = words_of(block)
-        best = None
-        for minus, name in rank[: self.ranked]:
-            template = self.by[name][1]
-            missing, added = differences(template, words)
-            share = 1 - len(missing) / max(1, len(template))
-            changed = [w for w in missing + added if w in TELLING or w[0].isdigit()]
-            if share >= self.least and not changed and (best is None or (share, len(template)) > best[0]):
-                best = ((share, len(template)), (name, -minus, missing, added))
-        return best[1] if best else (None, -rank[0][0], [], [])
-
-
-def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, level: int = 3, ranked: int = 5, least: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start and length of each candidate block, license (null: none confirmed), reduction, missing and added words."""
+        likely = [(name, -minus) for minus, name in rank if minus < 0]
+        placed = list(_PLACED.finditer(block))
+        words = [m[0].lower() for m in placed]
+        at = {m.start(1) for m in _MARKER.finditer(block)}
+        markers = {i for i, m in enumerate(placed) if m.start() in at}
+        out: list[Found] = []
+
+        def search(low: int, high: int) -> None:
+            part, best = words[low:high], None
+            there = Counter(part)
+            loose = sum(low <= i < high for i in markers)
+            for name, reduction in likely:
+                template = self.by[name][1]
+                if sum((Counter(template) - there).values()) > (1 - self.least) * len(template) + 1e-9:
+                    continue
+                missing, added, a, b = aligned(template, part, loose)
+                added = [part[i] for i in added if low + i not in markers]
+                share = 1 - len(missing) / max(1, len(template))
+                changed = [w for w in missing + added if w in TELLING or w[0].isdigit()]
+                key = (len(template) - len(missing), share)
+                if share >= self.least and not changed and a < b and (best is None or key > best[0]):
+                    best = (key, low + a, low + b, name, reduction, missing, added)
+            if best:
+                _, a, b, *found = best
+                search(low, a)
+                start = block.rfind("\n", 0, placed[a].start()) + 1
+                end = block.find("\n", placed[b - 1].end())
+                out.append((start, len(block) if end < 0 else end, *found))
+                search(b, high)
+
+        search(0, len(words))
+        return out or [(0, len(block), None, -rank[0][0] if rank else 0.0, [], [])]
+
+
+def _whole(block: str, found: list[Found]) -> bool:
+    """Whether all lines with a seed belong to licenses without missing words."""
+    if any(x[2] is None or x[4] for x in found):
+        return False
+    at = 0
+    for line in block.split("\n"):
+        if SEED.search(line) and not any(a <= at < b for a, b, *_ in found):
+            return False
+        at += len(line) + 1
+    return True
+
+
+def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, level: int = 3, least: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start and length of each confirmed license, or of a candidate block without one (license is null), reduction, missing and added words."""
     ship(docs.sparkSession)
     forms = dict(TEMPLATES if templates is None else templates)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("(?i)" + SEED.pattern))
     names = ["doc_id", "start", "length", "license", "reduction", "missing", "added"]
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, known = Scanner(forms, level, ranked, least), {}
+        scanner, known = Scanner(forms, level, least), {}
         for record in records:
             cols: list[list] = [[] for _ in names[1:]]
             of = []
             for k, value in enumerate(record.column(1)):
                 text = value.as_py()
-                for a, b in blocks_of(text):
+                spans = blocks_of(text)
+                for (a, b), (wide_a, wide_b) in zip(spans, extended(text, spans, scanner.reach), strict=True):
                     block = text[a:b]
                     found = known.get(block)
                     if found is None:
                         found = scanner.scan(block)
+                        found = (found, _whole(block, found))
                         if len(block) < 500 and len(known) < 100_000:
                             known[block] = found
-                    of.append(k)
-                    for c, x in zip(cols, (a, b - a, found[0], found[1], " ".join(found[2]), " ".join(found[3])), strict=True):
-                        c.append(x)
+                    found, whole = found
+                    if not whole and (wide_a, wide_b) != (a, b):
+                        wide = scanner.scan(text[wide_a:wide_b])
+                        if wide[0][2] is not None:
+                            found, a = wide, wide_a
+                    for start, end, *x in found:
+                        of.append(k)
+                        for c, y in zip(cols, (a + start, end - start, x[0], x[1], " ".join(x[2]), " ".join(x[3])), strict=True):
+                            c.append(y)
             types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([record.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 

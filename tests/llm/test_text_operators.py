@@ -198,3 +198,18 @@ def test_licenses(spark):
     assert differences(words_of("a b c d e"), words_of("x a b d e y")) == (["c"], [])
     assert scan_licenses(docs(spark, [])).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_licenses_wrapped_numbered_and_side_by_side(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    start = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    one = "1. Redistributions of source code must retain the above copyright notice,\n   this list of conditions and the following disclaimer.\n"
+    two = "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    three = "3. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n"
+    texts = [(1, f"code\n\n{gpl}\n\ncode"), (2, mpl), (3, start + one + two), (4, start + one + two + three), (5, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (6, "A book. All rights reserved."), (7, "Licensed under the Apache License, Version\n2. More"), (8, "Released under the MIT License.\nx\nReleased under the MIT License.")]
+    got = {}
+    for r in scan_licenses(docs(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.license))
+    got = {i: [x for _, x in sorted(rows)] for i, rows in got.items()}
+    assert got == {1: ["GPL-3.0-header"], 2: ["MPL-2.0"], 3: ["BSD-2-Clause"], 4: ["BSD-3-Clause"], 5: ["MIT", "Apache-2.0"], 6: ["All-rights-reserved"], 7: [None], 8: ["MIT", "MIT"]}
