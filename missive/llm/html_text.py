@@ -4,7 +4,8 @@ A page becomes text nodes with root-to-leaf tag paths (inline tags but links fol
 punctuation marks are divided by the number of nodes (text and punctuation to tag-path ratios); both are fused, weighted
 by what the path says (an article or main element, a link), smoothed over the page's blocks with a Gaussian, and blocks
 above a share of the page's best are content. Elements that are never article text (menus, forms, asides, scripts,
-comments and the like, by tag or by class, id and role) take no part. Within the article element that holds the best block,
+comments and the like, by tag or by class, id and role) take no part; what a class, id or role says does not hold for an
+article or main element inside. Within the article element that holds the best block,
 blocks stay unless they consist of links.
 
 Defined cases: a null or empty page has the empty text; unclosed and misplaced tags, cut character references and
@@ -31,6 +32,8 @@ from .common import own_name, read, ship
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|xmp|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: A name that begins so tells what the page has or has not, not what the element is.
+_ABOUT = re.compile(r"(?:has|have|with|without|no|not|is|show|hide)[-_]")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no article text; header only outside of an article.
@@ -59,7 +62,7 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
         return False
-    words = {w for m in _HINT.finditer(attrs) for w in _WORD.findall(m[1].lower())}
+    words = {w for m in _HINT.finditer(attrs) for name in m[1].strip("\"'").lower().split() if not _ABOUT.match(name) for w in _WORD.findall(name)}
     return bool(words & HINTS) or "header" in words and not in_article
 
 
@@ -122,7 +125,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in ("article", "main") and not inside:
             articles += 1
             inside = articles
-        stack.append((tag, above[1] or _unwanted(tag, m["attrs"] or "", bool(above[2])), inside))
+        never = any(t in NEVER or t == "header" and not n for t, _, n in stack)
+        handed_down = above[1] and (never or tag not in ("article", "main") or bool(above[2]))
+        stack.append((tag, handed_down or _unwanted(tag, m["attrs"] or "", bool(above[2])), inside))
     text(page[at:])
     flush()
     return done

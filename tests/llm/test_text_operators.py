@@ -213,3 +213,14 @@ def test_licenses_wrapped_numbered_and_side_by_side(spark):
         got.setdefault(r.doc_id, []).append((r.start, r.license))
     got = {i: [x for _, x in sorted(rows)] for i, rows in got.items()}
     assert got == {1: ["GPL-3.0-header"], 2: ["MPL-2.0"], 3: ["BSD-2-Clause"], 4: ["BSD-3-Clause"], 5: ["MIT", "Apache-2.0"], 6: ["All-rights-reserved"], 7: [None], 8: ["MIT", "MIT"]}
+
+
+def test_page_text_inside_of_hinted_elements():
+    body = "<p>First long paragraph, with commas, and more. Yes, it is.</p>"
+    want = "First long paragraph, with commas, and more. Yes, it is."
+    side = '<div class="main-sidebar"><p>Side, text. More, of it.</p></div><div class="ad"><p>Buy, now.</p></div>'
+    assert main_text(f'<div class="layout has-sidebar">{body}{side}</div>') == want
+    assert main_text(f'<div id="page" class="with-ads"><article>{body}</article>{side}</div>') == want
+    assert main_text(f'<div class="sidebar-layout"><main>{body}<div class="share">Share, it.</div></main>{side}</div>') == want
+    assert main_text(f'<article>{body}<section class="comments"><article><p>I like it, really.</p></article></section></article>') == want
+    assert main_text("<nav><article><p>No, text.</p></article></nav>") == ""
