@@ -51,38 +51,114 @@ def row_issues(results: DataFrame) -> DataFrame:
     return results.select("message_id", F.explode(found).alias("code"))
 
 
-def leaks(detected: DataFrame, artifact: DataFrame, name: str, *, line: str = "line", by_row: bool = True) -> DataFrame:
-    """(message_id, type, artifact) of raw values that occur in an artifact's text.
+def artifact_issues(artifact: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """(code, artifact, message_id, detail): ids that are missing, unknown or repeated in an artifact, a row each."""
+    row = lambda df, code, detail: df.select(F.lit(code).alias("code"), F.lit(name).alias("artifact"), "message_id", detail.alias("detail"))
+    again = artifact.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return (
+        row(missing_ids(expected, artifact), "missing_message_id", F.lit(f"{name}: no row of the message"))
+        .unionByName(row(unknown_ids(expected, artifact), "unknown_message_id", F.lit(f"{name}: not in the dataset")))
+        .unionByName(row(again, "duplicate_message_id", F.concat(F.lit(f"{name}: "), F.col("n").cast("string"), F.lit(" rows"))))
+    )
 
-    By row, a value is looked for in its own message's line (an equi-join, fit for any size). Otherwise in every line: short
-    values also hit elsewhere then, and each value is compared with the lines of its own blocks in turn.
+
+def issue_line(issues: DataFrame) -> DataFrame:
+    """Issues as lines of text."""
+    return issues.select(F.concat(F.lit("["), F.col("code"), F.lit("] "), F.coalesce("message_id", F.lit("")), F.lit(": "), F.coalesce("detail", F.lit(""))).alias("line"))
+
+
+def output_issues(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """All issues of the rows and the ids of results (they have row_pos)."""
+    rows = row_issues(results).select("code", F.lit("final_results").alias("artifact"), "message_id", F.lit("the row breaks the rule").alias("detail"))
+    items = results.select("message_id", "row_pos", F.posexplode("extraction.items").alias("pos", "x")).select("message_id", "row_pos", "pos", "x.item_id")
+    twice = repeated_items(items).select(F.lit("duplicate_item_id").alias("code"), F.lit("tasks_events").alias("artifact"), "message_id", F.concat(F.lit("item "), "item_id").alias("detail"))
+    return rows.unionByName(twice).unionByName(artifact_issues(results, expected, "final_results"))
+
+
+def artifact_counts(artifacts: dict[str, DataFrame]) -> DataFrame:
+    """(artifact, n): rows of each artifact."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("artifact"), "n") for name, df in sorted(artifacts.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Characters of the pieces by which leaks are searched: of long values, and of values from 3 characters on.
+LONG_PIECE, SHORT_PIECE = 6, 3
+
+
+def _pieces(text: Column, size: int) -> Column:
+    n = F.char_length(text) - (size - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def leaks(detected: DataFrame, artifacts: dict[str, DataFrame], *, line: str = "line") -> DataFrame:
+    """(message_id, type, start, artifact) of raw values that occur anywhere in an artifact's lines, once for each artifact.
+
+    Each distinct value is searched by its rarest piece of 6 characters (3 if it is shorter, or all of it) among all pieces of
+    all lines: an equi-join, and then the text test. Lines have a row for each piece, values one, so rows grow with the text; a
+    value one of whose pieces no line has is done before that.
+    """
+    values = detected.select("message_id", F.explode("spans").alias("x")).select("message_id", "x.type", "x.value", "x.start").where("value <> ''")
+    size = F.when(F.char_length("value") >= LONG_PIECE, LONG_PIECE).otherwise(F.least(F.char_length("value"), F.lit(SHORT_PIECE)))
+    distinct = values.select("value").distinct().withColumn("size", size)
+    sizes = sorted(r.size for r in distinct.select("size").distinct().collect())  # 4 at most
+    pieces = F.array_distinct(F.concat(*(F.when(F.col("size") == k, _pieces(F.col("value"), k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1])))
+    of_values = distinct.select("value", F.explode(pieces).alias("piece"))
+    lines = None
+    for name, df in artifacts.items():
+        part = df.select(F.lit(name).alias("artifact"), F.col(line).alias("_line")).where("_line is not null")
+        lines = part if lines is None else lines.unionByName(part)
+    of_lines = lines.select("artifact", "_line", F.explode(F.array_distinct(F.concat(*(_pieces(F.col("_line"), k) for k in sizes or [1])))).alias("piece"))
+    times = of_lines.select("piece").join(of_values.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = of_values.join(times, "piece", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("x"))
+    searched = rarest.where("x.n > 0").select("value", "x.piece")
+    hits = of_lines.join(searched, "piece").where(F.contains("_line", "value")).select("value", "artifact").distinct()
+    return values.join(hits, "value").select("message_id", "type", "start", "artifact")
+
+
+def leak_texts(found: DataFrame) -> DataFrame:
+    """Findings as maps of texts, without values and places."""
+    return found.select(F.create_map(F.lit("message_id"), "message_id", F.lit("artifact"), "artifact", F.lit("sensitivity_type"), "type").alias("finding"))
+
+
+def mandatory_check(ids: DataFrame, dataset: DataFrame, processed: DataFrame, classified: DataFrame) -> DataFrame:
+    """One row: how many mandatory ids are given, differ, repeat, lack in the dataset, lack in the results, or have no category; and ok."""
+    once = ids.groupBy("message_id").agg(F.count(F.lit(1)).alias("times"))
+    marks = {"in_dataset": dataset, "is_processed": processed, "is_classified": classified}
+    for name, df in marks.items():
+        once = once.join(df.select("message_id").distinct().withColumn(name, F.lit(True)), "message_id", "left")
+    no = lambda c: F.col(c).isNull()
+    out = once.agg(
+        F.coalesce(F.sum("times"), F.lit(0)).alias("provided"), F.count(F.lit(1)).alias("unique_ids"), F.count_if(F.col("times") > 1).alias("duplicates"), F.count_if(no("in_dataset")).alias("missing_from_dataset"),
+        F.count_if(no("is_processed")).alias("not_processed"), F.count_if(~no("is_processed") & no("is_classified")).alias("not_classified"),
+    )
+    return out.withColumn("ok", F.expr("duplicates = 0 and missing_from_dataset = 0 and not_processed = 0 and not_classified = 0"))
+
+
+def quality_report(results: DataFrame, expected: DataFrame, mandatory: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """One row of counts over the results, the check of mandatory ids (none by default) and of leaks (``found``), and the status.
+
+    PASS: nothing missing, repeated, out of its domain or leaked, no issue at all, and all mandatory ids have results.
     """
-    values = detected.select("message_id", F.explode("spans").alias("x")).select("message_id", "x.type", "x.value", "x.start")
-    if by_row:
-        hit = values.join(artifact.select("message_id", line), "message_id").where(F.contains(F.col(line), F.col("value")))
-    else:
-        # a value of letters and digits can only lie in lines that hold its first token: an equi-join before the text test
-        token = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-        keyed = values.withColumn("t", F.get(token(F.col("value")), F.lit(0))).where("t is not null")
-        parts = artifact.select(F.col(line), F.explode(F.array_distinct(token(F.col(line)))).alias("t"))
-        hit = keyed.join(parts, "t").where(F.contains(F.col(line), F.col("value")))
-    return hit.select("message_id", "type", "start", F.lit(name).alias("artifact")).distinct()
-
-
-def quality_report(results: DataFrame, expected: DataFrame, n_leaks: DataFrame | None = None, mandatory: DataFrame | None = None) -> DataFrame:
-    """One row: counts, and the status PASS if all is complete and in its domain."""
-    counts = results.agg(F.count(F.lit(1)).alias("processed"), (F.count(F.lit(1)) - F.countDistinct("message_id")).alias("duplicates"))
+    items = F.size("extraction.items").cast("long")
+    counts = results.agg(
+        F.count(F.lit(1)).alias("classified_messages"), (F.count(F.lit(1)) - F.countDistinct("message_id")).alias("duplicate_message_ids"),
+        F.coalesce(F.sum(F.when(items > 0, items)), F.lit(0)).alias("task_event_count"), F.count_if("security.has_detection").alias("sensitive_message_count"),
+    )
     n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
-    codes = row_issues(results).agg(
-        F.count_if(F.col("code") == "invalid_category").alias("invalid_categories"), F.count_if(F.col("code") == "invalid_confidence").alias("invalid_confidences"), F.count(F.lit(1)).alias("issues"))
-    parts = [counts, n(expected.select("message_id").distinct(), "expected"), n(missing_ids(expected, results), "missing"), n(unknown_ids(expected, results), "unknown"), codes,
-             n(n_leaks, "leaks") if n_leaks is not None else None, n(missing_ids(mandatory, results), "mandatory_missing") if mandatory is not None else None]
-    out = None
+    codes = output_issues(results, expected).agg(
+        F.count_if(F.col("code") == "missing_message_id").alias("missing_message_ids"), F.count_if(F.col("code") == "invalid_category").alias("invalid_categories"),
+        F.count_if(F.col("code") == "invalid_confidence").alias("invalid_confidence_scores"), F.count(F.lit(1)).alias("issues"),
+    )
+    wanted = (expected.select("message_id").where(F.lit(False)) if mandatory is None else mandatory.select("message_id")).distinct()
+    leaked = (expected.select("message_id").where(F.lit(False)) if found is None else found)
+    parts = [counts, codes, n(wanted.join(expected, "message_id", "left_semi"), "mandatory_messages_found"), n(wanted.join(results, "message_id", "left_semi"), "mandatory_messages_processed"),
+             n(wanted.join(results, "message_id", "left_anti"), "mandatory_messages_missing"), n(leaked, "leaks")]
+    out = n(expected.select("message_id"), "total_input_messages")
     for p in parts:
-        if p is not None:
-            out = p if out is None else out.crossJoin(p)  # one row each
-    zero = [c for c in ("duplicates", "missing", "unknown", "issues", "leaks", "mandatory_missing") if c in out.columns]
-    good = F.lit(True)
-    for c in zero:
-        good = good & (F.col(c) == 0)
-    return out.withColumn("status", F.when(good, "PASS").otherwise("FAIL"))
+        out = out.crossJoin(p)  # one row each
+    good = F.expr("missing_message_ids = 0 and duplicate_message_ids = 0 and invalid_categories = 0 and invalid_confidence_scores = 0 and issues = 0 and leaks = 0 and mandatory_messages_missing = 0")
+    status = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
+    return out.withColumn("sensitive_value_leak_check", status(F.col("leaks") == 0)).withColumn("validation_status", status(good)).drop("leaks")

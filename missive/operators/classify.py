@@ -38,8 +38,9 @@ SCORES = {"meeting_or_event": meeting_score, "action_required": action_score, "p
 
 
 def with_scores(safe: DataFrame, text: str = "safe_message") -> DataFrame:
-    low = F.lower(utrim(F.coalesce(F.col(text), F.lit(""))))
-    return safe.withColumns({f"score_{k}": f(low) for k, f in SCORES.items()})
+    """The scores of the lowered text, which is a column of its own: each score refers to it many times."""
+    lowered = safe.withColumn("_low", F.lower(utrim(F.coalesce(F.col(text), F.lit("")))))
+    return lowered.withColumns({f"score_{k}": f(F.col("_low")) for k, f in SCORES.items()}).drop("_low")
 
 
 def with_classification(safe: DataFrame) -> DataFrame:

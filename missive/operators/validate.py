@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +25,12 @@ def first_inversion(messages: DataFrame, buckets: int = 1024) -> DataFrame:
     """The first row (row_pos) whose ts is before the greatest ts of an earlier row.
 
     A row before its direct predecessor exists exactly if one is before the running maximum, and the first of both is
-    the same. Rows are cut into ranges of row_pos; only the ranges' maxima (buckets rows at most) are put in one order.
+    the same. Rows are cut into ranges of row_pos of about equal numbers of rows (by its quantiles, since row numbers may have
+    wide gaps); only the ranges' maxima (buckets rows at most) are put in one order.
     """
-    low, high = messages.agg(F.min("row_pos"), F.max("row_pos")).first()
-    if low is None:
-        return messages.select("row_pos", "message_id").limit(0)
-    width = (high - low) // buckets + 1
-    cut = messages.select("row_pos", "message_id", "ts", F.floor((F.col("row_pos") - low) / width).alias("b"))
+    inner = sorted(set(messages.approxQuantile("row_pos", [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
+    rows = messages.select("row_pos", "message_id", "ts", F.col("row_pos").cast("double").alias("_at"))
+    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_at", outputCol="b").transform(rows) if inner else rows.withColumn("b", F.lit(0.0))
     tops = cut.groupBy("b").agg(F.max("ts").alias("top"))
     before = tops.select("b", F.max("top").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
     inside = F.max("ts").over(W.partitionBy("b").orderBy("row_pos").rowsBetween(W.unboundedPreceding, -1))
@@ -39,7 +39,7 @@ def first_inversion(messages: DataFrame, buckets: int = 1024) -> DataFrame:
 
 
 def issues(raw: DataFrame, expected: int | None = None) -> DataFrame:
-    """(code, row_pos, message_id, detail) of all issues; a missing column is reported alone."""
+    """(code, row_pos, message_id, detail) of all issues; a missing column is reported alone, each repeated id once."""
     spark = raw.sparkSession
     missing = [c for c in COLUMNS if c not in raw.columns]
     if missing:
@@ -47,12 +47,12 @@ def issues(raw: DataFrame, expected: int | None = None) -> DataFrame:
     rows = raw.withColumn("ts", parsed_timestamp(F.col("timestamp")))
     n_blank = rows.where(blank(F.col("message_id")))
     again = rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = again.agg(F.array_join(F.sort_array(F.collect_set("message_id")), ", ").alias("ids")).where("ids <> ''").crossJoin(F.broadcast(n_blank.agg(F.count(F.lit(1)).alias("blanks")))).where("blanks = 0")
+    repeated = again.crossJoin(F.broadcast(n_blank.agg(F.count(F.lit(1)).alias("blanks")))).where("blanks = 0")
     bad = rows.where(F.col("ts").isNull())
     inverted = first_inversion(rows).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad")))).where("bad = 0")
     found = [
         _issue(n_blank, "empty_message_id", "row without message_id"),
-        repeated.select(F.lit("duplicate_message_id").alias("code"), F.lit(None).cast("long").alias("row_pos"), F.lit(None).cast("string").alias("message_id"), F.col("ids").alias("detail")),
+        repeated.select(F.lit("duplicate_message_id").alias("code"), F.lit(None).cast("long").alias("row_pos"), "message_id", F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail")),
         _issue(bad, "malformed_timestamp", F.concat(F.lit("not a timestamp: "), F.coalesce("timestamp", F.lit("")))),
         _issue(inverted, "not_chronological", "earlier than the row before"),
         _issue(rows.where(blank(F.col("message"))), "missing_message_content", "blank message"),

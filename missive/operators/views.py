@@ -44,6 +44,15 @@ def messages(results: DataFrame, *, limit: int = LIMIT, offset: int = 0, **filte
     return _page(message_list(filtered_messages(results, **filters)), ["row_pos"], limit, offset, MOST_MESSAGES)
 
 
+def counted(results: DataFrame, *, limit: int = LIMIT, offset: int = 0, **filters) -> DataFrame:
+    """One row: how many messages pass the filters, the page's offset and limit, and its items in order (limit bounds them)."""
+    rows = filtered_messages(results, **filters)
+    page = _page(message_list(rows), ["row_pos"], limit, offset, MOST_MESSAGES)
+    items = page.agg(F.array_sort(F.collect_list(F.struct("row_pos", *(c for c in page.columns if c != "row_pos")))).alias("items"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return total.crossJoin(items).select("total", F.lit(offset).alias("page_offset"), F.lit(limit).alias("page_limit"), "items")  # one row each
+
+
 def message(results: DataFrame, message_id: str) -> DataFrame:
     """One message in full; NotFound if there is none."""
     row = results.where(F.col("message_id") == message_id).orderBy("row_pos").limit(1)

@@ -11,9 +11,18 @@ from ..operators.extract import with_extraction
 from ..sources.artifacts import security
 
 
+def spread(messages: DataFrame) -> DataFrame:
+    """messages in as many partitions as there are cores, if the scan has fewer: rows are narrow before the analysis.
+
+    A large table has more partitions than that, and is not shuffled.
+    """
+    cores = messages.sparkSession.sparkContext.defaultParallelism
+    return messages if messages.isStreaming or messages.rdd.getNumPartitions() >= cores else messages.repartition(cores)
+
+
 def analyzed(messages: DataFrame) -> DataFrame:
     """message_id, ts, sender, row_pos, safe_message, spans (private), security, classification, extraction."""
-    safe = with_safe_text(with_spans(messages))
+    safe = with_safe_text(with_spans(spread(messages)))
     out = with_extraction(with_classification(safe))
     return out.withColumn("security", security(F.col("spans")))
 

@@ -14,7 +14,8 @@ from .operators import audit, extract, validate, views
 from .operators.classify import SCORES
 from .operators.detect import DETECTORS, found_by, with_spans
 from .operators.fallback import with_model_category, with_model_items
-from .plans.analysis import analyzed, items_by_type, published, summary
+from .plans.analysis import analyzed, items_by_type, published, spread, summary
+from .plans.run import stats, summary_statistics, validation_report
 from .sources.artifacts import final_results, lines, materialized
 from .sources.messages import template_messages
 
@@ -37,8 +38,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def results(spark, d) -> DataFrame:
-    return materialized(published(template_messages(spark, d)), "results")
+def results(spark, d, *columns: str) -> DataFrame:
+    """The published columns named (all by default), written once: filters on computed columns then don't compute them again."""
+    made = published(template_messages(spark, d))
+    return materialized(made.select(*columns) if columns else made, "results")
+
+
+def computed(spark, d, *columns: str) -> DataFrame:
+    """The same as a lazy plan, for queries that take the columns as they are: nothing is written, what is not named is not computed."""
+    return published(template_messages(spark, d)).select(*columns)
+
+
+LISTED = ("message_id", "ts", "sender", "classification", "security", "row_pos")
 
 
 # input: statistics and issues. Raw rows with defects by key, the same SQL in both engines.
@@ -94,12 +105,18 @@ def _detect(rows: DataFrame, det, id_: str, text: str) -> DataFrame:
     return rows.where(F.col(text).rlike(det.pattern)).select(id_, F.explode(found_by(det, F.col(text))).alias("x")).select(id_, F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), "x.value")
 
 
+def planted(source: str, id_: str, text: str) -> str:
+    """SQL of a table's whole texts; some get a token or a payment name at the end, since few have one."""
+    return f"SELECT {id_}, {text} || CASE {id_} % 7 WHEN 0 THEN ' tok_demo_' || CAST({id_} AS STRING) || 'A8K29Q' WHEN 1 THEN ' pay shop' || CAST({id_} AS STRING) || '@okbank now' ELSE '' END AS {text} FROM {source}"
+
+
 for _det in DETECTORS:
     query(f"detect_{_det.name}", O.detect_sql(_det))(lambda spark, d, det=_det: _detect(template_messages(spark, d), det, "message_id", "message"))
 for _det in DETECTORS:
     if _det.name in ("token", "token_prefix", "card_bare", "upi_bare"):
-        query(f"documents_{_det.name}", O.detect_sql(_det, "documents", "doc_id", "text"))(lambda spark, d, det=_det: _detect(table(spark, d, "documents"), det, "doc_id", "text"))
-        query(f"pages_{_det.name}", O.detect_sql(_det, "pages", "page_id", "html"))(lambda spark, d, det=_det: _detect(table(spark, d, "pages"), det, "page_id", "html"))
+        for _t, _id, _text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+            query(f"{_t}_{_det.name}", O.detect_sql(_det, f"({planted('{' + _t + '}', _id, _text).replace('{' + _t + '}', _t)})", _id, _text))(
+                lambda spark, d, det=_det, t=_t, id_=_id, text=_text: _detect(spark.sql(planted("{t}", id_, text), t=table(spark, d, t)), det, id_, text))
 
 
 def spans(spark, d) -> DataFrame:
@@ -113,7 +130,7 @@ def _(spark, d):
 
 @query("masked_text", f"WITH RECURSIVE {O.MASKED} SELECT id AS message_id, safe_message FROM safe")
 def _(spark, d):
-    return results(spark, d).select("message_id", "safe_message")
+    return computed(spark, d, "message_id", "safe_message")
 
 
 @query("risk_by_type", f"WITH {O.SPANS} SELECT type, risk, count(*) AS n FROM spans GROUP BY type, risk")
@@ -122,23 +139,27 @@ def _(spark, d):
 
 
 # categories
+def lowered(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("low", F.lower(utrim(F.col(text))))
+
+
 for _name in SCORES:
-    query(f"score_{_name}", O.one_score_sql(_name))(lambda spark, d, name=_name: template_messages(spark, d).select("message_id", SCORES[name](F.lower(utrim(F.col("message")))).alias("score")))
+    query(f"score_{_name}", O.one_score_sql(_name))(lambda spark, d, name=_name: lowered(template_messages(spark, d), "message").select("message_id", SCORES[name](F.col("low")).alias("score")))
 
 
 @query("documents_promo_score", f"SELECT doc_id, {O.score_sql('low')['promotional']} AS score FROM (SELECT doc_id, lower(trim(text)) AS low FROM documents)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", SCORES["promotional"](F.lower(utrim(F.col("text")))).alias("score"))
+    return spread(lowered(table(spark, d, "documents").select("doc_id", "text"), "text")).select("doc_id", SCORES["promotional"](F.col("low")).alias("score"))
 
 
 @query("classify", f"WITH RECURSIVE {O.CLASSIFIED} SELECT * FROM classified")
 def _(spark, d):
-    return results(spark, d).select("message_id", "classification.*")
+    return computed(spark, d, "message_id", "classification.*")
 
 
 @query("category_counts", f"WITH RECURSIVE {O.CLASSIFIED} SELECT category, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM classified GROUP BY category")
 def _(spark, d):
-    return results(spark, d).groupBy("classification.category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("classification.confidence"), 6).alias("mean_confidence"))
+    return computed(spark, d, "classification").groupBy("classification.category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("classification.confidence"), 6).alias("mean_confidence"))
 
 
 # items
@@ -146,7 +167,7 @@ ITEM_COLUMNS = "item_id, type, title, description, CAST(date AS STRING) AS date,
 
 
 def items(spark, d) -> DataFrame:
-    return views.tasks(results(spark, d))
+    return views.tasks(results(spark, d, "row_pos", "extraction"))
 
 
 @query("extract_items", f"WITH RECURSIVE {O.ITEMS} SELECT {ITEM_COLUMNS}, message_id AS source_message_id FROM items")
@@ -179,7 +200,7 @@ def _(spark, d):
     return views.tasks(rows.where(F.col("extraction.reason").rlike("deadline"))).selectExpr("item_id", "title", "CAST(deadline AS STRING) AS deadline", "priority")
 
 
-@query("extract_multi_deadlines", f"WITH {O.RAW_ITEMS} SELECT item_id, title, CAST(deadline AS STRING) AS deadline, priority FROM items WHERE message_id IN (SELECT message_id FROM items WHERE item_id LIKE 'TASK%-2')")
+@query("extract_multi_deadlines", f"WITH {O.RAW_ITEMS} SELECT item_id, title, CAST(deadline AS STRING) AS deadline, priority FROM (SELECT *, max(i) OVER (PARTITION BY message_id) AS most FROM items) WHERE most > 1")
 def _(spark, d):
     m = template_messages(spark, d).withColumn("safe_message", F.col("message"))
     rows = materialized(extract.with_extraction(m))
@@ -213,7 +234,7 @@ def _(spark, d):
 
 @query("items_by_type", f"WITH RECURSIVE {O.ITEMS} SELECT type, count(*) AS n FROM items GROUP BY type")
 def _(spark, d):
-    return items_by_type(results(spark, d))
+    return items_by_type(results(spark, d, "extraction"))
 
 
 @query("run_summary", f"""WITH RECURSIVE {O.ITEMS} SELECT (SELECT count(*) FROM m) AS total_messages, (SELECT count(DISTINCT id) FROM spans) AS messages_with_sensitive,
@@ -221,13 +242,13 @@ def _(spark, d):
   (SELECT string_agg(type || '=' || CAST(n AS VARCHAR), ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM items GROUP BY type)) AS items_by_type FROM items""")
 def _(spark, d):
     by_type = F.array_join(F.transform(F.map_entries("items_by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return summary(results(spark, d)).withColumn("items_by_type", by_type)
+    return summary(results(spark, d, "classification", "security", "extraction")).withColumn("items_by_type", by_type)
 
 
 @query("item_lines", f"""WITH RECURSIVE {O.ITEMS} SELECT m.message_id, coalesce(string_agg(type || ': ' || title, ' · ' ORDER BY i), 'No extracted items') AS items
 FROM m LEFT JOIN items USING (message_id) GROUP BY m.message_id""")
 def _(spark, d):
-    return views.item_line(results(spark, d))
+    return views.item_line(computed(spark, d, "message_id", "extraction"))
 
 
 # views
@@ -237,35 +258,35 @@ LIST = "message_id, ts, sender, category, confidence, method, has_sensitive, row
 
 @query("messages_filtered", f"WITH RECURSIVE {RESULT} SELECT {LIST} FROM result WHERE category = 'meeting_or_event' AND NOT has_sensitive")
 def _(spark, d):
-    return views.message_list(views.filtered_messages(results(spark, d), category="meeting_or_event", sensitive=False))
+    return views.message_list(views.filtered_messages(results(spark, d, *LISTED), category="meeting_or_event", sensitive=False))
 
 
 @query("messages_search", f"WITH RECURSIVE {RESULT} SELECT {LIST} FROM result WHERE contains(lower(message_id || ' ' || sender || ' ' || safe_message || ' ' || category), 'location: the main office. meeting')")
 def _(spark, d):
-    return views.message_list(views.filtered_messages(results(spark, d), search="  Location: the main office. MEETING"))
+    return views.message_list(views.filtered_messages(results(spark, d, *LISTED, "safe_message"), search="  Location: the main office. MEETING"))
 
 
 @query("messages_page", f"WITH RECURSIVE {RESULT} SELECT {LIST} FROM result WHERE has_sensitive ORDER BY row_pos LIMIT 50 OFFSET 100")
 def _(spark, d):
-    return views.messages(results(spark, d), sensitive=True, limit=50, offset=100)
+    return views.messages(results(spark, d, *LISTED), sensitive=True, limit=50, offset=100)
 
 
 @query("message_by_id", f"WITH RECURSIVE {RESULT} SELECT message_id, sender, safe_message, category FROM result WHERE message_id = 'MSG_22'")
 def _(spark, d):
-    return views.message(results(spark, d), "MSG_22").select("message_id", "sender", "safe_message", "classification.category")
+    return views.message(published(template_messages(spark, d).where("message_id = 'MSG_22'")), "MSG_22").select("message_id", "sender", "safe_message", "classification.category")
 
 
 @query("tasks_filtered", f"WITH RECURSIVE {O.ITEMS} SELECT item_id, type, title, priority, CAST(date AS STRING) AS date, CAST(deadline AS STRING) AS deadline FROM items WHERE type = 'task' AND coalesce(date, deadline) BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'")
 def _(spark, d):
-    return views.filtered_tasks(results(spark, d), type="task", date_from="1995-01-01", date_to="1997-12-31").selectExpr("item_id", "type", "title", "priority", "CAST(date AS STRING) AS date", "CAST(deadline AS STRING) AS deadline")
+    return views.filtered_tasks(results(spark, d, "row_pos", "extraction"), type="task", date_from="1995-01-01", date_to="1997-12-31").selectExpr("item_id", "type", "title", "priority", "CAST(date AS STRING) AS date", "CAST(deadline AS STRING) AS deadline")
 
 
 @query("sensitive_list", f"WITH RECURSIVE {O.MASKED} SELECT m.message_id, m.sender, safe_message, m.row_pos FROM safe JOIN m ON m.message_id = safe.id WHERE id IN (SELECT id FROM spans) ORDER BY row_pos LIMIT 900")
 def _(spark, d):
-    return views.sensitive(results(spark, d), limit=900).drop("detections")
+    return views.sensitive(results(spark, d, "message_id", "sender", "safe_message", "security", "row_pos"), limit=900).drop("detections")
 
 
-MANDATORY = "SELECT 'MSG_' || CAST(c_custkey AS STRING) AS message_id FROM {customer} WHERE c_custkey % 7 = 0"
+MANDATORY = "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'LOST_' ELSE 'MSG_' END || CAST(c_custkey AS STRING) AS message_id FROM {customer} WHERE c_custkey % 7 = 0"
 
 
 def wanted(spark, d) -> DataFrame:
@@ -277,7 +298,7 @@ W_ = f"w AS ({MANDATORY.replace('{customer}', 'customer')})"
 
 @query("mandatory_semi", f"WITH RECURSIVE {RESULT}, {W_} SELECT message_id, category, row_pos FROM result WHERE message_id IN (SELECT message_id FROM w)")
 def _(spark, d):
-    return views.mandatory(results(spark, d), wanted(spark, d)).select("message_id", "classification.category", "row_pos")
+    return published(views.mandatory(template_messages(spark, d), wanted(spark, d))).select("message_id", "classification.category", "row_pos")
 
 
 @query("mandatory_missing", f"WITH {O.M}, {W_} SELECT message_id FROM w WHERE message_id NOT IN (SELECT message_id FROM m)")
@@ -308,21 +329,114 @@ def _(spark, d):
     return audit.repeated_items(twice).select("item_id", "row_pos", "pos")
 
 
-@query("leak_scan", f"WITH RECURSIVE {O.MASKED} SELECT spans.id AS message_id, spans.type, CAST(spans.s AS INT) AS start_pos FROM spans JOIN safe ON safe.id = spans.id WHERE contains(safe_message, value)")
+#: A line of a message; some get the code of another message inside a longer token.
+LEAKY = "safe_message || CASE WHEN row_pos % 53 = 0 THEN ' ref x' || CAST(100000 + (row_pos * 48 * 7919) % 900000 AS STRING) || 'y' ELSE '' END"
+
+
+@query("leak_scan", f"""WITH RECURSIVE {O.MASKED}, lines AS MATERIALIZED (SELECT {LEAKY} AS line FROM safe JOIN m ON m.message_id = safe.id),
+found AS MATERIALIZED (SELECT id, type, s, value FROM spans),
+leaked AS MATERIALIZED (SELECT value FROM (SELECT DISTINCT value FROM found) v WHERE EXISTS (SELECT 1 FROM lines WHERE contains(lines.line, v.value)))
+SELECT id AS message_id, type, CAST(s AS INT) AS start_pos, 'final' AS artifact FROM found WHERE value IN (SELECT value FROM leaked)""")
 def _(spark, d):
-    detected = materialized(analyzed(template_messages(spark, d)))
-    return audit.leaks(detected, detected.select("message_id", "safe_message"), "safe_message", line="safe_message").select("message_id", "type", F.col("start").alias("start_pos"))
+    detected = materialized(analyzed(template_messages(spark, d)).select("message_id", "row_pos", "spans", "safe_message"))
+    return audit.leaks(detected, {"final": detected.selectExpr(f"{LEAKY} AS line")}).select("message_id", "type", F.col("start").alias("start_pos"), "artifact")
 
 
 @query("leak_scan_unmasked", f"WITH {O.SPANS} SELECT spans.id AS message_id, spans.type, CAST(spans.s AS INT) AS start_pos FROM spans")
 def _(spark, d):
     m = template_messages(spark, d)
-    return audit.leaks(materialized(with_spans(m)), m.select("message_id", "message"), "message", line="message").select("message_id", "type", F.col("start").alias("start_pos"))
+    found = materialized(with_spans(m).select("message_id", "spans"))
+    return audit.leaks(found, {"messages": m.select(F.col("message").alias("line"))}).select("message_id", "type", F.col("start").alias("start_pos"))
+
+
+@query("leak_texts", f"WITH {O.SPANS} SELECT id AS message_id, type AS sensitivity_type, 'messages' AS artifact FROM spans")
+def _(spark, d):
+    m = template_messages(spark, d)
+    found = audit.leaks(materialized(with_spans(m).select("message_id", "spans")), {"messages": m.select(F.col("message").alias("line"))})
+    return audit.leak_texts(found).select("finding.message_id", "finding.sensitivity_type", "finding.artifact")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Results with planted faults by row_pos: lost, repeated and invented messages, wrong categories and confidences."""
+    c = F.col("classification")
+    at = lambda n: F.col("row_pos") % n == 0
+    faulty = c.withField("category", F.when(at(301), "nonsense").otherwise(c["category"])).withField("confidence", F.when(at(307), 1.5).otherwise(c["confidence"]))
+    lost = rows.where(~at(501)).withColumn("classification", faulty)
+    again, invented = lost.where(at(401)), lost.where(at(601)).withColumn("message_id", F.concat(F.lit("NEW_"), "message_id"))
+    return lost.unionByName(again).unionByName(invented)
+
+
+DAMAGED = """k AS (SELECT message_id, row_pos FROM m), d1 AS (SELECT * FROM k WHERE row_pos % 501 <> 0),
+dam AS (SELECT * FROM d1 UNION ALL SELECT * FROM d1 WHERE row_pos % 401 = 0 UNION ALL SELECT 'NEW_' || message_id, row_pos FROM d1 WHERE row_pos % 601 = 0)"""
+GOOD = ("message_id", "row_pos", "classification", "security", "extraction")
+
+
+@query("quality_report", f"""WITH RECURSIVE {O.ITEMS}, {DAMAGED}, {W_}, c AS (SELECT row_pos, count(*) AS n FROM dam GROUP BY row_pos),
+it AS MATERIALIZED (SELECT row_pos, count(*) AS n FROM items GROUP BY row_pos), se AS MATERIALIZED (SELECT DISTINCT id FROM spans)
+SELECT (SELECT count(*) FROM m) AS total_input_messages, (SELECT count(*) FROM dam) AS classified_messages, (SELECT count(*) FROM m WHERE row_pos % 501 = 0) AS missing_message_ids,
+  (SELECT count(*) - count(DISTINCT message_id) FROM dam) AS duplicate_message_ids, (SELECT count(*) FROM dam WHERE row_pos % 301 = 0) AS invalid_categories, (SELECT count(*) FROM dam WHERE row_pos % 307 = 0) AS invalid_confidence_scores,
+  (SELECT CAST(sum(c.n * it.n) AS BIGINT) FROM c JOIN it USING (row_pos)) AS task_event_count, (SELECT count(*) FROM dam JOIN m USING (row_pos) WHERE m.message_id IN (SELECT id FROM se)) AS sensitive_message_count,
+  (SELECT count(*) FROM w WHERE message_id IN (SELECT message_id FROM m)) AS mandatory_messages_found, (SELECT count(*) FROM w WHERE message_id IN (SELECT message_id FROM dam)) AS mandatory_messages_processed,
+  (SELECT count(*) FROM w WHERE message_id NOT IN (SELECT message_id FROM dam)) AS mandatory_messages_missing, 'FAIL' AS sensitive_value_leak_check, 'FAIL' AS validation_status""")
+def _(spark, d):
+    m = template_messages(spark, d)
+    return audit.quality_report(damaged(results(spark, d, *GOOD)), m, wanted(spark, d), m.select("message_id")).drop("issues")
+
+
+@query("quality_report_clean", f"WITH {O.M} SELECT count(*) AS total_input_messages, count(*) AS classified_messages, CAST(0 AS BIGINT) AS missing_message_ids, CAST(0 AS BIGINT) AS duplicate_message_ids, CAST(0 AS BIGINT) AS issues, 'PASS' AS sensitive_value_leak_check, 'PASS' AS validation_status FROM m")
+def _(spark, d):
+    found = audit.quality_report(results(spark, d, *GOOD), template_messages(spark, d))
+    return found.select("total_input_messages", "classified_messages", "missing_message_ids", "duplicate_message_ids", "issues", "sensitive_value_leak_check", "validation_status")
+
+
+@query("artifact_issues", f"""WITH {O.M}, {DAMAGED} SELECT 'missing_message_id' AS code, message_id FROM m WHERE row_pos % 501 = 0
+UNION ALL SELECT 'unknown_message_id', message_id FROM dam WHERE message_id LIKE 'NEW%' UNION ALL SELECT 'duplicate_message_id', message_id FROM dam GROUP BY message_id HAVING count(*) > 1""")
+def _(spark, d):
+    m = template_messages(spark, d)
+    keyed = m.withColumn("classification", F.struct(F.lit("a").alias("category"), F.lit(1.0).alias("confidence")))
+    return audit.artifact_issues(damaged(keyed), m, "classifications").select("code", "message_id")
+
+
+@query("artifact_counts", f"""WITH {O.M}, {DAMAGED} SELECT 'classifications' AS artifact, count(*) AS n FROM dam UNION ALL SELECT 'sensitive_detections', count(*) FROM m UNION ALL SELECT 'tasks_events', count(*) FROM m""")
+def _(spark, d):
+    m = template_messages(spark, d)
+    keyed = m.withColumn("classification", F.struct(F.lit("a").alias("category"), F.lit(1.0).alias("confidence")))
+    return audit.artifact_counts({"classifications": damaged(keyed), "sensitive_detections": m, "tasks_events": m})
+
+
+@query("mandatory_check", f"""WITH {O.M}, {W_}, g AS (SELECT message_id FROM w UNION ALL SELECT message_id FROM w WHERE message_id LIKE '%4')
+SELECT (SELECT count(*) FROM g) AS provided, (SELECT count(*) FROM w) AS unique_ids, (SELECT count(*) FROM w WHERE message_id LIKE '%4') AS duplicates, count(*) FILTER (m.message_id IS NULL) AS missing_from_dataset,
+  count(*) FILTER (m.message_id IS NULL OR m.row_pos % 5 = 0) AS not_processed, count(*) FILTER (m.row_pos % 5 <> 0 AND m.row_pos % 11 = 0) AS not_classified, false AS ok
+FROM w LEFT JOIN m USING (message_id)""")
+def _(spark, d):
+    w, m = wanted(spark, d), template_messages(spark, d)
+    return audit.mandatory_check(w.unionByName(w.where("message_id LIKE '%4'")), m, m.where("row_pos % 5 <> 0"), m.where("row_pos % 11 <> 0"))
+
+
+@query("mandatory_not_classified", f"WITH {O.M}, {W_} SELECT message_id FROM w WHERE message_id IN (SELECT message_id FROM m WHERE row_pos % 5 <> 0) AND message_id NOT IN (SELECT message_id FROM m WHERE row_pos % 11 <> 0)")
+def _(spark, d):
+    m = template_messages(spark, d)
+    return views.mandatory_missing(m.where("row_pos % 11 <> 0"), wanted(spark, d).join(m.where("row_pos % 5 <> 0"), "message_id", "left_semi"))
+
+
+@query("messages_total", f"WITH RECURSIVE {RESULT} SELECT count(*) AS total, 100 AS page_offset, 50 AS page_limit, least(greatest(count(*) - 100, 0), 50) AS n_items FROM result WHERE has_sensitive")
+def _(spark, d):
+    return views.counted(results(spark, d, *LISTED), sensitive=True, limit=50, offset=100).select("total", "page_offset", "page_limit", F.size("items").cast("long").alias("n_items"))
+
+
+@query("summary_statistics", f"""WITH RECURSIVE {O.ITEMS} SELECT (SELECT count(*) FROM m) AS total_messages, (SELECT count(*) FROM m) AS classified_messages, (SELECT count(DISTINCT id) FROM spans) AS sensitive_messages,
+  count(*) AS task_event_count, (SELECT count(*) FROM m) AS rule_based_classifications, CAST(0 AS BIGINT) AS failures, 'PASS' AS validation_status, 'PASS' AS leak_check FROM items""")
+def _(spark, d):
+    r = results(spark, d, *GOOD)
+    made = summary_statistics(audit.quality_report(r, template_messages(spark, d)), summary(r), None, "", 0.0)
+    return made.select("total_messages", "classified_messages", "sensitive_messages", "task_event_count", "rule_based_classifications", "failures", "validation_status", "leak_check")
 
 
-@query("quality_report", f"WITH {O.M} SELECT count(*) AS processed, CAST(0 AS BIGINT) AS duplicates, count(*) AS expected, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unknown, CAST(0 AS BIGINT) AS invalid_categories, CAST(0 AS BIGINT) AS invalid_confidences, CAST(0 AS BIGINT) AS issues, 'PASS' AS status FROM m")
+@query("stats_view", f"""WITH RECURSIVE {O.ITEMS} SELECT (SELECT count(*) FROM m) AS total_messages, (SELECT count(*) FROM m) AS classified_messages, (SELECT count(DISTINCT id) FROM spans) AS sensitive_messages,
+  count(*) AS task_event_count, (SELECT count(*) FROM m) AS rule_based_count, CAST(0 AS BIGINT) AS llm_fallback_count, 'PASS' AS validation_status FROM items""")
 def _(spark, d):
-    return audit.quality_report(results(spark, d), template_messages(spark, d))
+    r, none = results(spark, d, *GOOD), spark.createDataFrame([], "message_id string, type string, artifact string, start int")
+    return stats(validation_report(audit.quality_report(r, template_messages(spark, d)), summary(r), none, ""))
 
 
 @query("artifact_lines")

@@ -59,9 +59,83 @@ def write(results: DataFrame, folder: str, kind: str = "parquet") -> None:
         (out.option("ignoreNullFields", False).json if kind == "json" else out.parquet)(f"{folder}/{name}")
 
 
+class ArtifactError(Exception):
+    """An artifact is missing or cannot be read."""
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place))
+
+
+def has_outputs(spark: SparkSession, folder: str) -> bool:
+    """Whether the main artifacts are there: the final results and the report."""
+    return all(exists(spark, f"{folder}/{name}") for name in ("final_results", "validation_report"))
+
+
 def load(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
-    """An artifact again; with a schema from JSON lines, else from Parquet."""
-    return spark.read.schema(schema).json(f"{folder}/{name}") if schema is not None else spark.read.parquet(f"{folder}/{name}")
+    """An artifact again; with a schema (a DDL text or a type) from JSON lines, else from Parquet. Rows that are no objects are left out.
+
+    ArtifactError: there is no such artifact, or a line of it does not fit the schema (found when the rows are read).
+    """
+    path = f"{folder}/{name}"
+    if not exists(spark, path):
+        raise ArtifactError(f"no artifact {path}")
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_document(rows: DataFrame, path: str, generated_at: str) -> None:
+    """Rows as one JSON text {generated_at, count, messages}: its rows come to one task, so it is for reports, not for large tables."""
+    kept = rows.drop("row_pos")
+    every = F.collect_list(F.struct("row_pos", F.struct(*kept.columns).alias("row"))) if "row_pos" in rows.columns else F.collect_list(F.struct(F.lit(0).alias("row_pos"), F.struct(*kept.columns).alias("row")))
+    one = rows.agg(F.transform(F.array_sort(every), lambda x: x["row"]).alias("messages"))
+    made = F.struct(F.lit(generated_at).alias("generated_at"), F.size("messages").alias("count"), "messages")
+    one.select(F.to_json(made, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
+    """The rows of a document again; ArtifactError if it is missing, no JSON object, or has no list of messages."""
+    if not exists(spark, path):
+        raise ArtifactError(f"no artifact {path}")
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"messages array<struct<{row_schema}>>").alias("x"))
+    if not parsed.where("x.messages is null").isEmpty() or parsed.isEmpty():
+        raise ArtifactError(f"{path} is no document with a list of messages")
+    return parsed.select(F.inline("x.messages"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A one-row report as a JSON object."""
+    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The row of a report again; ArtifactError if it is missing or no JSON object."""
+    if not exists(spark, path):
+        raise ArtifactError(f"no artifact {path}")
+    parsed = spark.read.text(path, wholetext=True).where(F.trim("value").startswith("{")).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x")).where("x is not null")
+    if parsed.isEmpty():
+        raise ArtifactError(f"{path} is no JSON object")
+    return parsed.select("x.*")
+
+
+class Repository:
+    """The artifacts below a folder; the last one read is kept in memory until another is read or ``clear``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._last = spark, folder, None
+
+    def table(self, name: str) -> DataFrame:
+        if self._last is None or self._last[0] != name:
+            self.clear()
+            self._last = (name, load(self.spark, self.folder, name).cache())
+        return self._last[1]
+
+    def clear(self) -> None:
+        if self._last is not None:
+            self._last[1].unpersist()
+        self._last = None
 
 
 def lines(table: DataFrame) -> DataFrame:

@@ -103,6 +103,8 @@ TEMPLATES = (
     "'My shoe size is 9 and i love the flash sale discount.'",
     "'Contact Ravi and reach out to Meera immediately'",
     "'Personal email: write to me at user' || k || '@example.com or user' || k || '@okaxis'",
+    "'Session eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiI' || n || 'In0.c2lnbmF0dXJl' || k || ' has ended'",
+    "'Password: #*%# for now, ticket ' || k",
     "'login details admin' || k || ' / pass' || k || 'word; my place: 12 Hill Road'",
 )
 

@@ -8,7 +8,9 @@ from missive.functions import fixed as X
 from missive.operators import audit, extract, validate, views
 from missive.operators.detect import DETECTORS, with_safe_text, with_spans
 from missive.operators.fallback import parsed_category, parsed_items, with_model_category
+from missive.plans import run as runs
 from missive.plans.analysis import published, summary
+from missive.sources import artifacts
 from missive.sources.artifacts import materialized
 from missive.sources.messages import read_csv, typed
 from pyspark.sql import functions as F
@@ -158,8 +160,14 @@ def test_views(results):
 
 def test_report_and_summary(results):
     expected = results.select("message_id")
-    assert audit.quality_report(results, expected).first().status == "PASS"
-    assert audit.quality_report(results.where("row_pos > 0"), expected).first().status == "FAIL"
+    assert audit.quality_report(results, expected).first().validation_status == "PASS"
+    lost = audit.quality_report(results.where("row_pos > 0"), expected, mandatory=results.where("row_pos = 0")).first()
+    assert (lost.validation_status, lost.missing_message_ids, lost.mandatory_messages_missing, lost.sensitive_value_leak_check) == ("FAIL", 1, 1, "PASS")
+    assert audit.quality_report(results, expected, found=expected.limit(1)).first().sensitive_value_leak_check == "FAIL"
+    twice = results.unionByName(results.where("row_pos = 1"))
+    assert audit.quality_report(twice, expected).first().duplicate_message_ids == 1
+    lines = [r.line for r in audit.issue_line(audit.output_issues(twice, expected)).collect()]
+    assert "[duplicate_message_id] T001: final_results: 2 rows" in lines
     s = summary(results).select("total_messages", F.map_keys("items_by_type").alias("types")).first()
     assert s.total_messages == results.count() and s.types == sorted(s.types)
 
@@ -181,3 +189,64 @@ def test_model_sees_masked_text_only(spark, results):
     assert rows and {(r.category, r.confidence) for r in rows} == {("promotional", 1.0)}
     assert parsed_category("a", '```json\n{"category": "Action-Required"}\n```')[0] == "action_required"
     assert parsed_items("a", 'x [{"type": "task", "title": " t "}] y')[0]["item_id"] == "TASK_a"
+
+
+def test_leaks_anywhere_in_any_line(spark):
+    values = [("A", "482913"), ("B", "#*!#"), ("C", "77"), ("D", "secret word"), ("E", "absent9"), ("F", "482913"), ("G", ""), ("H", "abcdeX")]
+    detected = spark.createDataFrame([(k, [(0, v, "password")]) for k, v in values], "message_id string, spans array<struct<start:int,value:string,type:string>>")
+    texts = {"one": ["ref x482913y and #*!# here", "abcdef abcde", None, ""], "two": ["a secret wordy", "177", "abcdeX"] * 3}
+    found = audit.leaks(detected, {k: spark.createDataFrame([(x,) for x in v], "line string") for k, v in texts.items()})
+    want = {(m, a) for m, v in values for a, lines in texts.items() if v and any(v in (x or "") for x in lines)}
+    rows = [(r.message_id, r.artifact) for r in found.collect()]
+    assert sorted(rows) == sorted(want) and want == {("A", "one"), ("B", "one"), ("C", "two"), ("D", "two"), ("F", "one"), ("H", "two")}
+    assert audit.leaks(detected.limit(0), {"one": spark.createDataFrame([("x",)], "line string")}).isEmpty()
+    assert {"message_id": "A", "artifact": "one", "sensitivity_type": "password"} in [r.finding for r in audit.leak_texts(found).collect()]
+
+
+def test_first_inversion_in_rows_with_gaps(spark):
+    rows = spark.range(4000, numPartitions=4).selectExpr("(id div 1000) * 8589934592 + id % 1000 AS row_pos", "CAST(id AS STRING) AS message_id", "timestamp_seconds(IF(id IN (1703, 3100), 5, id)) AS ts")
+    assert validate.first_inversion(rows).first().message_id == "1703"
+    assert validate.first_inversion(rows.where("row_pos < 500")).isEmpty() and validate.first_inversion(rows.limit(0)).isEmpty()
+
+
+def test_documents_and_reports(spark, results, tmp_path):
+    folder = str(tmp_path)
+    kept = artifacts.classifications(results).withColumn("row_pos", F.substring("message_id", 2, 9).cast("long"))
+    artifacts.write_document(kept, f"{folder}/doc", "2026-09-01T00:00:00+00:00")
+    schema = "message_id string, category string, confidence double, reason string, method string"
+    assert artifacts.read_document(spark, f"{folder}/doc", schema).collect() == kept.orderBy("row_pos").drop("row_pos").collect()
+    for text in ("[1, 2]", "{\"count\": 1}", "no JSON"):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/bad")
+        with pytest.raises(artifacts.ArtifactError):
+            artifacts.read_document(spark, f"{folder}/bad", schema)
+    for read in (lambda: artifacts.load(spark, folder, "none"), lambda: artifacts.read_report(spark, f"{folder}/none", "a int"), lambda: artifacts.read_document(spark, f"{folder}/none", schema)):
+        with pytest.raises(artifacts.ArtifactError):
+            read()
+    assert not artifacts.has_outputs(spark, folder)
+
+
+def test_a_run_from_file_to_report(spark, tmp_path, capsys):
+    rows = "".join(f"M{i},2026-09-01 08:{i:02}:00,Meera,{t}\n" for i, t in enumerate(["Your OTP is 482913", "The training material is on the portal.", "Please submit the report by 2026-09-04."]))
+    (tmp_path / "m.csv").write_text("message_id,timestamp,sender,message\n" + rows)
+    (tmp_path / "ids.csv").write_text("message_id\nM1\nM2\n")
+    env = {"X_MESSAGES": f"{tmp_path}/m.csv", "X_MANDATORY": f"{tmp_path}/ids.csv", "X_OUTPUTS": f"{tmp_path}/out", "X_EXPECTED": "3", "X_EXPECTED_MANDATORY": "2", "X_MODEL_ENABLED": "yes"}
+    s = runs.settings("X_", env)
+    assert runs.provider_of(s) is None and runs.run(spark, s) == 0
+    assert "validation_status: PASS" in capsys.readouterr().out and artifacts.has_outputs(spark, f"{tmp_path}/out")
+    report = artifacts.read_report(spark, f"{tmp_path}/out/validation_report", "summary struct<total_messages:long,messages_with_sensitive:long,total_items:long,rule_based:long,llm_based:long>, report struct<classified_messages:long,validation_status:string>, leak_scan struct<ok:boolean>")
+    assert report.first().leak_scan.ok and runs.stats(report).first().asDict()["sensitive_messages"] == 1
+    counts = artifacts.read_report(spark, f"{tmp_path}/out/summary_statistics", "mandatory_processed long, processing_duration_seconds double, validation_status string").first()
+    assert counts.mandatory_processed == 2 and counts.processing_duration_seconds > 0 and counts.validation_status == "PASS"
+    repository = artifacts.Repository(spark, f"{tmp_path}/out")
+    assert repository.table("classifications").count() == 3 and repository.table("classifications") is repository.table("classifications")
+    repository.clear()
+    with pytest.raises(ValueError):
+        runs.settings("X_", {"X_EXPECTED": "many"})
+    assert runs.provider_of(runs.settings("", {"MODEL_ENABLED": "1", "MODEL_KEY": "k", "MODEL_NAME": "m", "MODEL_URL": "http://localhost"})) is not None
+
+
+def test_mandatory_check(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "message_id string")
+    row = audit.mandatory_check(ids("a", "b", "b", "c", "d"), ids("a", "b", "c"), ids("a", "b"), ids("a")).first().asDict()
+    assert row == {"provided": 5, "unique_ids": 4, "duplicates": 1, "missing_from_dataset": 1, "not_processed": 2, "not_classified": 1, "ok": False}
+    assert audit.mandatory_check(ids("a"), ids("a"), ids("a"), ids("a")).first().ok
