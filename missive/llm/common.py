@@ -33,12 +33,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{found}"
 
 
+#: Folders of stored tables that are not deleted yet, by the frames that read them and in the order of writing.
+_folders: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _folders[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        if (spark := _folders.pop(path, None)) is not None:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables; nothing that is still to be computed may read them."""
+    _delete([t._stored_at for t in tables if getattr(t, "_stored_at", None)])
+
+
+def keeping(table: DataFrame, before: set[str]) -> DataFrame:
+    """table, a stored one; all that was stored since ``before`` but for it is deleted."""
+    _delete([p for p in _folders if p not in before and p != table._stored_at])
+    return table
+
+
+def folders() -> set[str]:
+    """The stored tables there are, for ``keeping``."""
+    return set(_folders)
 
 
 _shipped: set[str] = set()

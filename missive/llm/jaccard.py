@@ -7,12 +7,9 @@
    as 2-combinations inside m small hash classes. With a rare ones and b_c of class c in the prefix, two similar sets
    share a signature once a + sum(max(b_c - 1, 0)) > e; the prefix is extended until that holds. m follows from
    the band of n; similar sets lie in the same band or in neighbouring ones, so each set signs for its band and the one below.
-4. Shingles that only one class has are in no overlap, which bounds the overlap of two sets before any test. Of the sets
-   under one signature, each is verified against a hub, the set with the fewest such shingles, rather than against all:
-   a link to it joins their components, and pairs within a component need no test. The hub's pairs are then all settled,
-   it leaves the list, and the next round takes another. Pairs that the bound allows between components that share a
-   list after some rounds are verified one by one. Thus groups of thousands of copies cost a few tests a copy, and no
-   link between components is lost.
+4. A set of which less than the similarity is in other classes has no partner. The others that signatures join make
+   families; each is settled as a whole (``linking``), its sets compared with one hub after the other until the ones not
+   yet compared lie in one component. Groups of thousands of copies cost a few tests a copy, and no link is lost.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing (its component is its own id); a text with
 fewer words than a shingle is one shingle; rows with one id count as one document; a null id gets no component; an
@@ -32,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, read, ship, stored, window_hashes
+from .common import WordHashes, drop, mixed, own_name, read, ship, stored, window_hashes
 from .exchange import PART, answered, ask, batches, integer_ids, squeezed, tally, unsqueezed
 from .linking import linked
 
@@ -168,23 +165,41 @@ def _profiles(held: DataFrame, totals: DataFrame, reps: DataFrame, n: int, perce
     return held.select("batch", "blob", "ids").groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, "id long, size long, own long, signatures array<long>, shingles binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of similar sets."""
+def overlaps(owners_of: np.ndarray, sizes: np.ndarray):
+    """f(x, ys): how many values the sets x and ys have in common; the sets' values stand end to end."""
+    n, at = len(sizes), np.append(0, np.cumsum(sizes))
+    keys, where = np.unique(owners_of, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)[np.argsort(where, kind="stable")]
+    times = np.bincount(where, minlength=len(keys))
+    start = np.cumsum(times) - times
 
-    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in records:
-            good = []
-            for x, y in zip(record.column(2).to_pylist(), record.column(3).to_pylist(), strict=True):
-                x, y = unsqueezed(x, np.uint64), unsqueezed(y, np.uint64)
-                same = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield record.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def count(x: int, ys: np.ndarray) -> np.ndarray:
+        values = where[at[x] : at[x + 1]]
+        many = times[values]
+        every = np.repeat(start[values] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(owner[every], minlength=n)[ys]
+
+    return count
+
+
+def similar(percent: int):
+    """The test of a block of sets (linking): which sets have the similarity or more."""
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def prepared(rows: dict[str, np.ndarray]):
+        sets = [unsqueezed(x, np.uint64) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        common = overlaps(np.concatenate(sets), sizes)
 
+        def test(x: int, ys: np.ndarray) -> np.ndarray:
+            same = common(x, ys)
+            return ys[100 * same >= percent * (sizes[x] + sizes[ys] - same)]
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return test
+
+    return prepared
+
+
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent: int = FREQUENT, most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least id that links reach) of each row."""
     ship(docs.sparkSession)
     rows = integer_ids(docs, id_col, text_col, NO_ID)
@@ -201,14 +216,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent:
 
     totals = stored(tally(ask(held.select("batch", "blob"), counted, n_ranges, bits)), "totals")
     profiles = stored(_profiles(held, totals, classes.select("batch", "place", "copies"), n, percent, frequent, bits), "profiles")
-    sets = profiles.select("id", "shingles")
     some = 100 * (F.col("size") - F.col("own")) >= percent * F.col("size")  # else not even a subset without own shingles is similar
-    posted = profiles.where(some).select(F.explode("signatures").alias("signature"), "id", "size", "own")
-
-    def possible(x, own_x, y, own_y):  # a shingle that only one class has is in no overlap
-        return (100 + percent) * F.least(x - own_x, y - own_y) >= percent * (x + y)
-
-    roots = linked(posted, lambda pairs: _verified(pairs, sets, percent), possible)
+    roots = linked(profiles.where(some).withColumn("bytes", F.octet_length("shingles")), ["shingles"], similar(percent), **({"most": most} if most else {}))
+    drop(totals, held)
     known = classes.select("class", "id").join(roots, "id", "left").select("class", F.coalesce("root", "id").alias("root"))
     out = members.join(known, "class", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("root")).alias("component_id"))
@@ -216,9 +226,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with the row of the smallest id of each group of near-duplicates."""
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_gone"), "left_anti")
+    id_col, gone = options.get("id_col", "doc_id"), own_name(docs, "_gone")
+    found = near_duplicates(docs, **options).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
