@@ -1,14 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes text nodes with root-to-leaf tag paths (inline tags but links fold into their block). Per path, characters and
-punctuation marks are divided by the number of nodes (text and punctuation to tag-path ratios); both are fused, weighted
-by what the path says (an article or main element, a link), smoothed over the page's blocks with a Gaussian, and blocks
-above a share of the page's best are content. Elements that are never article text (menus, forms, asides, scripts,
-comments and the like, by tag or by class, id and role) take no part; what a class, id or role says does not hold for an
-article or main element inside. Within the article element that holds the best block,
-blocks stay unless they consist of links.
-
-Defined cases: a null or empty page has the empty text; unclosed and misplaced tags, cut character references and
+punctuation marks are divided by the number of its nodes; the two ratios are fused (the root of text ratio times
+punctuation ratio). Blocks take the fused ratios of their nodes' paths, smoothed with a Gaussian over the page's order, where a
+neighbour counts the less the further up the element is that holds both. What a path says by its tags, classes, ids and roles is a
+factor of that score (an article or main element, a menu or footer, a sidebar, a link), never more. Paths whose
+blocks reach a share of the page's best score are content. The smallest element that holds nearly all of that content (if it is below the
+body) is the article: its other blocks are content too unless they score next to nothing, since headings and
+list items are short. Nothing in elements such as nav and footer is content.
+
+Only markup, scripts, styles, form controls and the like are no text at all. Defined cases: a null or empty page has the empty text; unclosed and misplaced tags, cut character references and
 unended comments or scripts are read as browsers do, as far as blocks are concerned; repeated rows are extracted each;
 an empty table gives no rows; other columns pass through.
 """
@@ -29,64 +30,94 @@ from pyspark.sql import types as T
 
 from .common import own_name, read, ship
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|xmp|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
-_HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_WORD = re.compile(r"[a-z]+")
-#: A name that begins so tells what the page has or has not, not what the element is.
-_ABOUT = re.compile(r"(?:has|have|with|without|no|not|is|show|hide)[-_]")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+_HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow ms mtext q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is no article text; header only outside of an article.
-NEVER = frozenset("head nav footer aside form button dialog menu option object canvas audio video".split())
-#: Words of class, id or role that say the same.
-HINTS = frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond reply related recommended share sharing social login search toolbar widget pagination pager copyright complementary contentinfo".split())
 #: A start tag of the left closes an open tag of the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table article main section div body html nav aside footer header".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Spread of the smoothing in blocks, and the share of the best block that content reaches.
-SIGMA, SHARE = 1.0, 0.12
+
+#: Factors of what an element says of its text: of article and main, of tags that hold no article text, of names that say the same, and of links.
+ARTICLE, ASIDE, NAMED, LINK = 12.0, 0.02, 0.1, 0.1
+ASIDE_TAGS = frozenset("head nav footer aside form button dialog menu option object canvas audio video".split())
+COMMENT_NAMES = frozenset("comment comments comment-list commentlist disqus-thread respond replies".split())
+NAMES = COMMENT_NAMES | frozenset("ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer related related-posts related-articles related-links recommended share sharing social login search search-form toolbar widget pagination pager copyright complementary contentinfo alert header".split())
+NAME_STARTS = ("ad-", "ads-", "advert-", "cookie-", "sidebar-", "comment-", "comments-", "newsletter-", "footer-", "nav-", "menu-", "social-", "share-", "promo-", "sponsor-")
+NAME_ENDS = ("-ad", "-ads", "-sidebar", "-comments", "-nav", "-menu", "-footer", "-banner", "-notice", "-newsletter", "-promo", "-breadcrumbs")
+#: Spread of the smoothing in blocks, the factor for each level between neighbours, the share of the best score that content reaches, the same
+#: inside of the article, and the part of the content that the article holds.
+SIGMA, APART, SHARE, LEAST, HELD = 1.0, 0.3, 0.3, 0.03, 0.9
+
+
+@dataclass
+class Element:
+    tag: str
+    number: int
+    factor: float = 1.0  # of the aside tags and names around its text
+    article: bool = False  # within an article or main element, and no aside between
+    comment: bool = False
+    above: tuple[int, ...] = ()  # numbers of the elements around it and its own, but for inline ones, html and body
 
 
 @dataclass
 class Block:
-    nodes: list[tuple[str, str]] = field(default_factory=list)  # (path, text)
-    article: int = 0  # number of the article or main element around it, from 1
+    nodes: list[tuple[str, str, float]] = field(default_factory=list)  # path, text, factor
+    within: tuple[int, ...] = ()  # elements around it and its own
 
     def text(self) -> str:
-        return " ".join("".join(t for _, t in self.nodes).split())
+        return " ".join("".join(t for _, t, _ in self.nodes).split())
+
+
+def named_aside(names: set[str], in_article: bool) -> bool:
+    return any((n in NAMES or n.startswith(NAME_STARTS) or n.endswith(NAME_ENDS)) and not (n == "header" and in_article) for n in names)
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NEVER or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
-    words = {w for m in _HINT.finditer(attrs) for name in m[1].strip("\"'").lower().split() if not _ABOUT.match(name) for w in _WORD.findall(name)}
-    return bool(words & HINTS) or "header" in words and not in_article
+def element(tag: str, attrs: str, above: Element | None, number: int) -> Element:
+    e = Element(tag, number)
+    if above:
+        e.factor, e.article, e.comment, e.above = above.factor, above.article, above.comment, above.above
+    if tag not in INLINE and tag not in ("html", "body"):
+        e.above += (number,)
+    names = {n.replace("_", "-") for m in _HINT.finditer(attrs) for n in m[1].strip("\"'").lower().split()} if attrs else set()
+    if tag in ASIDE_TAGS or tag == "header" and not e.article:
+        e.factor, e.article = e.factor * ASIDE, False
+    elif names and tag not in ("html", "body") and named_aside(names, e.article) and (tag not in ("article", "main") or names & COMMENT_NAMES):
+        e.factor, e.article, e.comment = e.factor * NAMED, False, e.comment or bool(names & COMMENT_NAMES)
+    elif tag in ("article", "main") and not e.comment and e.factor > ASIDE:
+        e.article, e.factor = True, 1.0
+    return e
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks that have text and may be content, in page order."""
-    done, block, stack, at, articles = [], Block(), [], 0, 0  # stack: (tag, unwanted, article)
+    """The blocks that have text, in page order."""
+    done: list[Block] = []
+    stack: list[Element] = []
+    block, at, number = Block(), 0, 0
 
     def flush() -> None:
         nonlocal block
-        if any(not t.isspace() for _, t in block.nodes):
+        if any(not t.isspace() for _, t, _ in block.nodes):
             done.append(block)
         block = Block()
 
     def pop_to(k: int) -> None:
-        if any(t not in INLINE for t, _, _ in stack[k:]):
+        if any(e.tag not in INLINE for e in stack[k:]):
             flush()
         del stack[k:]
 
     def text(raw: str) -> None:
-        if raw and not (stack and stack[-1][1]):
-            path = "/".join(t for t, _, _ in stack if t == "a" or t not in INLINE)
-            block.nodes.append((path, unescape(raw)))
-            if not block.article and stack:
-                block.article = stack[-1][2]
+        if not raw:
+            return
+        factor, path = 1.0, ""
+        if stack:
+            link = any(e.tag == "a" for e in stack)
+            path = "/".join(e.tag for e in stack if e.tag == "a" or e.tag not in INLINE)
+            factor = stack[-1].factor * (ARTICLE if stack[-1].article else 1.0) * (LINK if link else 1.0)
+        if not block.nodes:
+            block.within = stack[-1].above if stack else ()
+        block.nodes.append((path, unescape(raw), factor))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -95,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if k is not None:
                 pop_to(k)
             elif tag not in INLINE:
@@ -104,58 +135,63 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
+                if stack[k].tag == "p":
                     pop_to(k)
                     break
-                if stack[k][0] in SCOPES:
+                if stack[k].tag in SCOPES:
                     break
         if tag in CLOSES:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
+                if stack[k].tag in CLOSES[tag]:
                     pop_to(k)
                     break
-                if stack[k][0] in SCOPES and tag != "body":
+                if stack[k].tag in SCOPES and tag != "body":
                     break
         if tag in VOID:
             if tag == "br":
                 text(" ")
             continue
-        above = stack[-1] if stack else ("", False, 0)
-        inside = above[2]
-        if tag in ("article", "main") and not inside:
-            articles += 1
-            inside = articles
-        never = any(t in NEVER or t == "header" and not n for t, _, n in stack)
-        handed_down = above[1] and (never or tag not in ("article", "main") or bool(above[2]))
-        stack.append((tag, handed_down or _unwanted(tag, m["attrs"] or "", bool(above[2])), inside))
+        number += 1
+        stack.append(element(tag, m["attrs"] or "", stack[-1] if stack else None, number))
     text(page[at:])
     flush()
     return done
 
 
-def scores_of(blocks: list[Block]) -> np.ndarray:
-    """Fused, smoothed tag-path ratios of the blocks."""
+def ratios_of(blocks: list[Block]) -> dict[str, tuple[float, float]]:
+    """Text and punctuation ratio of each tag path: characters and marks by node with text."""
     chars: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
     nodes: dict[str, int] = defaultdict(int)
     for b in blocks:
-        for path, t in b.nodes:
+        for path, t, _ in b.nodes:
             if t and not t.isspace():
                 chars[path] += len(t.strip())
                 marks[path] += len(PUNCTUATION.findall(t))
                 nodes[path] += 1
-    # text ratio times punctuation ratio; links count little
-    fused = {p: chars[p] / n * (0.5 + marks[p] / n) * (0.1 if p.endswith("/a") else 1.0) for p, n in nodes.items()}
-    own = []
-    for b in blocks:
-        weights = [(len(t.strip()), fused.get(p, 0.0)) for p, t in b.nodes]
-        own.append(sum(n * s for n, s in weights) / max(1, sum(n for n, _ in weights)) * (2.0 if b.article else 1.0))
-    x = np.sqrt(np.array(own))
-    reach = np.arange(-3, 4)
-    kernel = np.exp(-0.5 * (reach / SIGMA) ** 2)
-    padded = np.pad(x, 3)
-    weight = np.convolve(np.pad(np.ones(len(x)), 3), kernel, "valid")
-    return np.convolve(padded, kernel, "valid") / weight
+    return {p: (chars[p] / n, marks[p] / n) for p, n in nodes.items()}
+
+
+def scores_of(blocks: list[Block]) -> np.ndarray:
+    """Fused and smoothed ratios of the blocks' paths, times what the paths say."""
+    fused = {p: (c * (0.5 + m)) ** 0.5 for p, (c, m) in ratios_of(blocks).items()}
+    own, factors = np.zeros(len(blocks)), np.ones(len(blocks))
+    for k, b in enumerate(blocks):
+        weights = np.array([len(t.strip()) for _, t, _ in b.nodes], float)
+        own[k] = weights @ np.array([fused.get(p, 0.0) for p, _, _ in b.nodes]) / weights.sum()
+        factors[k] = weights @ np.array([f for _, _, f in b.nodes]) / weights.sum()
+    sums, total = own.copy(), np.ones(len(blocks))
+    for gap in (1, 2, 3):
+        near = np.exp(-0.5 * (gap / SIGMA) ** 2)
+        for k in range(len(blocks) - gap):
+            x, y = blocks[k].within[:-1], blocks[k + gap].within[:-1]
+            common = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            w = near * APART ** (max(len(x), len(y)) - common)
+            sums[k] += w * own[k + gap]
+            sums[k + gap] += w * own[k]
+            total[k] += w
+            total[k + gap] += w
+    return sums / total * factors
 
 
 def main_text(page: str | None) -> str:
@@ -164,16 +200,21 @@ def main_text(page: str | None) -> str:
         return ""
     score = scores_of(blocks)
     content = score >= SHARE * score.max()
-    sizes: dict[int, int] = defaultdict(int)
-    for b in blocks:
-        sizes[b.article] += len(b.text())
-    best = blocks[int(score.argmax())].article
-    linked = np.array([all(p.endswith("/a") or t.isspace() for p, t in b.nodes) for b in blocks])
-    if best:  # the article that holds the best block, and others of its size
-        chosen = {a for a, n in sizes.items() if a and n >= 0.3 * sizes[best]}
-        content = np.array([b.article in chosen for b in blocks]) & (content | ~linked)
-    elif not linked.all():
-        content &= ~linked
+    sizes = np.array([len(b.text()) for b in blocks])
+    held: dict[int, int] = defaultdict(int)
+    depth: dict[int, int] = {}
+    for k in np.flatnonzero(content):
+        for d, e in enumerate(blocks[k].within):
+            held[e] += int(sizes[k])
+            depth[e] = d
+    factors = np.array([max(f for _, t, f in b.nodes if not t.isspace()) for b in blocks])
+    enough = [e for e, n in held.items() if n >= HELD * sizes[content].sum()]
+    if enough:
+        article = max(enough, key=lambda e: (depth[e], e))
+        inside = np.array([article in b.within for b in blocks])
+        best = factors[content].max()
+        content |= inside & ((score >= LEAST * score.max()) & (factors >= LINK * best) | (factors >= best))
+    content &= factors > ASIDE
     return "\n".join(t for b, keep in zip(blocks, content.tolist(), strict=True) if keep and (t := b.text()))
 
 
