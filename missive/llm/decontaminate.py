@@ -1,20 +1,24 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over every document.
 
-Benchmark items are cut into windows of ``window`` words (an item of fewer words is one window). The windows' hashes are
-broadcast, sorted by length; each document's token windows are looked up, hits are verified word by word, and hit
-words are marked. A set of windows beyond ``block_bytes`` of text is broadcast and scanned block by block.
+Benchmark items are cut into windows of ``window`` words (an item of fewer words is one window). Their words are numbered,
+and the windows' hashes are broadcast, sorted by length, each with its place among the items' words. A document's words become
+the same numbers, its windows' hashes are looked up, hits are verified word by word, and hit words are marked.
+
+One broadcast holds the items of ``block_bytes`` bytes of text at most (about 12 times that in a worker: 16 bytes a window, the numbers, and
+the items' vocabulary). A larger benchmark is dealt into such blocks; they are broadcast one after the other, and what a block
+has hit is stored before the next one, so that no worker and not the driver ever holds two. Nothing is left out.
 
 Defined cases: a null text has no words, so nothing is hit; an item without words has no window; repeated items count once
-by id; repeated documents are treated row by row; an empty benchmark leaves everything clean; other columns pass through.
+by id; repeated documents are treated row by row; an empty benchmark leaves everything clean; other columns pass through; a single
+item larger than a block is a block of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, own_name, ship, window_hashes
+from .common import drop, mixed, own_name, ship, stored, window_hashes
 
 #: Lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: The same words with their places in the text.
 _PLACES = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Text of benchmark items that one broadcast holds; windows take about window times that.
+#: Text of benchmark items that one broadcast holds.
 BLOCK_BYTES = 4_000_000
 
 
@@ -37,99 +41,166 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: for each length sorted hashes, and what verifies and names a hit."""
+    """The windows of some items: for each length sorted hashes with their places among the items' word numbers."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
-        found: dict[tuple[bytes, ...], set] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                found[tuple(words[i : i + n])].add(item)
-        hashes, self.named = WordHashes(), dict(found)
-        by: dict[int, list[np.ndarray]] = defaultdict(list)
-        for words in found:
-            by[len(words)].append(window_hashes(hashes.of(list(words)), len(words)))
-        self.sorted = {n: np.unique(np.concatenate(h)) for n, h in sorted(by.items())}
-
-    def scan(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set]:
+        self.number: dict[bytes, int] = {}
+        self.items = [str(i) for i, _ in items]
+        coded = [np.array([self.number.setdefault(w, len(self.number)) for w in words_of(t)], np.int32) for _, t in items]
+        sizes = np.array([len(x) for x in coded], np.int64)
+        self.flat = np.concatenate([*coded, np.empty(0, np.int32)])
+        self.ends = np.cumsum(sizes)
+        by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for x, end in zip(coded, self.ends.tolist(), strict=True):
+            if n := min(window, len(x)):
+                h = window_hashes(_spread(x), n)
+                by.setdefault(n, []).append((h, np.arange(end - len(x), end - len(x) + len(h), dtype=np.int64)))
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, parts in sorted(by.items()):
+            h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.sorted[n] = h[order], at[order]
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the ids of the items."""
         hit, items = np.zeros(len(words), bool), set()
-        for n, there in self.sorted.items():
-            h = window_hashes(hashes, n)
+        coded = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        spread = _spread(coded)
+        for n, (hashes, places) in self.sorted.items():
+            h = window_hashes(spread, n)
             if not len(h):
                 continue
-            at = np.searchsorted(there, h)
-            at[at == len(there)] = 0
-            for p in np.flatnonzero(there[at] == h).tolist():
-                if (names := self.named.get(tuple(words[p : p + n]))) is not None:
-                    hit[p : p + n] = True
-                    items |= names
+            low = np.searchsorted(hashes, h)
+            low[low == len(hashes)] = 0
+            for p in np.flatnonzero(hashes[low] == h).tolist():
+                k = low[p]
+                while k < len(hashes) and hashes[k] == h[p]:
+                    at = places[k]
+                    if (self.flat[at : at + n] == coded[p : p + n]).all():
+                        hit[p : p + n] = True
+                        items.add(self.items[int(np.searchsorted(self.ends, at, "right"))])
+                    k += 1
         return hit, items
 
 
-def without_hits(text: str, windows: list[Windows], hashes: WordHashes) -> str:
-    """text without its hit spans; again until no window occurs, since a removal can bring words together."""
-    while True:
-        words = words_of(text)
-        h = hashes.of(words)
-        hit = np.zeros(len(words), bool)
-        for w in windows:
-            hit |= w.scan(words, h)[0]
-        if not hit.any():
-            return text
-        places = [m.span() for m in _PLACES.finditer(text)]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-        kept, at = [], 0
-        for a, b in edges.reshape(-1, 2).tolist():
-            kept.append(text[at : places[a][0]])
-            at = places[b - 1][1]
-        text = "".join([*kept, text[at:]])
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcasts of the items' windows, each from a bounded part of the items."""
+def _spread(coded: np.ndarray) -> np.ndarray:
+    return mixed(coded.astype(np.uint64) + np.uint64(1))
+
+
+def spans_of(hit: np.ndarray) -> list[int]:
+    """Begin and end of each run of hit words, one after the other."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+
+
+def without_spans(text: str, spans: list[int]) -> str:
+    """text without the words of spans (begins and ends) and what stands between them."""
+    places = [m.span() for m in _PLACES.finditer(text)]
+    kept, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        kept.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*kept, text[at:]])
+
+
+def _scanned(docs: DataFrame, windows, at: int, names: list[str]) -> DataFrame:
+    """docs with the columns names (number of words, spans, items), or those columns with the hits of more windows."""
+    kinds = [T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
+    more = names[0] in docs.columns
+    schema = docs.schema if more else T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = windows.value
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            before = zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist(), strict=True) if more else repeat(([], []))
+            for value, (spans, items) in zip(batch.column(at), before, strict=False):
+                words = words_of(value.as_py())
+                hit, named = w.scan(words)
+                for a, b in zip(spans[::2], spans[1::2], strict=True):
+                    hit[a:b] = True
+                for c, x in zip(cols, (len(words), spans_of(hit), sorted({*named, *items})), strict=True):
+                    c.append(x)
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)]
+            kept = batch.columns[: len(batch.columns) - 3] if more else batch.columns
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator:
+    """Broadcasts of the items' windows, one after the other, each of a bounded part of the items."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    out = []
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        out.append(spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in part.collect()], window)))
-    return out
+        yield spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in part.collect()], window)), k == n - 1
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, names: list[str], at: int, window: int, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, object]:
+    """docs with the columns names, after all blocks; and the windows if there is one block only."""
+    found, windows = docs, None
+    for windows, last in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        before, found = found, _scanned(found, windows, at, names)
+        if not last:
+            found = stored(found, "scanned")
+        if before is not docs and not last:
+            drop(before)
+        if not last:
+            windows.unpersist()
+    return found, windows if found is not docs and before is docs else None
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items (ids as sorted strings) and, if clean, cleaned (the text without hits)."""
+    """docs with n_words, n_hit, items (ids as sorted strings) and, if clean, cleaned: the text without hit spans, removed again until no window occurs."""
     ship(docs.sparkSession)
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    names = [own_name(docs, x) for x in ("n_words", "n_hit", "items")] + [own_name(docs, "cleaned")] * clean
-    kinds = [T.LongType(), T.LongType(), T.ArrayType(T.StringType())] + [T.StringType()] * clean
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     at = docs.columns.index(text_col)
+    names = [own_name(docs, x) for x in ("n_words", "n_hit", "items")]
+    spans = names[1]
+    how = (window, item_col, item_text_col, block_bytes)
+    found, windows = _hits(docs, benchmark, names, at, *how)
+    n_hit = F.aggregate(F.transform(F.col(spans), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, b: a + b)
+    counts = [*(F.col(f"`{c}`") for c in docs.columns), F.col(names[0]), n_hit.alias(spans), F.col(names[2])]
+    if not clean:
+        return found.select(*counts)
+    cleaned = own_name(docs, "cleaned")
+    if windows is not None:
+        return _cut(found, spans, at, cleaned, windows).select(*counts, cleaned)
+    clean_text = _cut(found, spans, at, cleaned, None)  # many blocks: what was cut is scanned again by all of them
+    done = stored(clean_text.select(*counts, cleaned), "cut")
+    again = own_name(done, "_again")
+    open_ = done.withColumn(again, F.col(spans) > 0)
+    while not open_.where(F.col(again)).isEmpty():
+        rest = [own_name(open_, f"_{x}") for x in ("words", "spans", "items")]
+        left = stored(open_.where(F.col(again)), "again")
+        hits, _ = _hits(left, benchmark, rest, left.columns.index(cleaned), *how)
+        text = own_name(hits, "_text")
+        cut = _cut(hits, rest[1], hits.columns.index(cleaned), text, None)
+        cut = cut.select(*(F.col(text).alias(c) if c == cleaned else (F.size(rest[1]) > 0).alias(c) if c == again else F.col(f"`{c}`") for c in open_.columns))
+        new = stored(open_.where(~F.col(again)).unionByName(cut), "cut")
+        drop(left, open_)
+        open_ = new
+    return open_.drop(again)
+
+
+def _cut(rows: DataFrame, spans: str, at: int, name: str, windows) -> DataFrame:
+    """rows with the text without its spans; with windows, scanned and cut again until they occur no more."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, windows = WordHashes(), [b.value for b in blocks]
+        w = windows.value if windows is not None else None
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for value in batch.column(at):
+            out = []
+            for value, found in zip(batch.column(at), batch.column(spans).to_pylist(), strict=True):
                 text = value.as_py()
-                words = words_of(text)
-                h, hit, items = hashes.of(words), np.zeros(len(words), bool), set()
-                for w in windows:
-                    more, named = w.scan(words, h)
-                    hit |= more
-                    items |= named
-                row = [len(words), int(hit.sum()), sorted(map(str, items))]
-                if clean:
-                    row.append(without_hits(text, windows, hashes) if row[1] else text)
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, types[: len(cols)], strict=True))], names=[*batch.schema.names, *names])
+                while found:
+                    text = without_spans(text, found)
+                    found = spans_of(w.scan(words_of(text))[0]) if w is not None else None
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, drop_share: float = 0.5, **options) -> DataFrame:
@@ -149,10 +220,6 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def items_digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

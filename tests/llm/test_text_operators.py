@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from missive.llm import packing, tokens
 from missive.llm.decontaminate import decontaminated, scan
-from missive.llm.html_text import extract, main_text
+from missive.llm import html_text
+from missive.llm.html_text import blocks_of, extract, main_text, ratios_of
 from missive.llm.licenses import differences, scan_licenses, words_of
 from missive.llm.perplexity import discounts_of, judged, passing, scores
 from missive.llm.token_counts import count_tokens
@@ -50,6 +51,9 @@ def test_decontamination_as_by_brute_force(spark):
                             hit |= set(range(q, q + n))
                             ids.add(item)
             assert (r.n_words_, r.n_hit, set(r["items"])) == (len(w), len(hit), set(map(str, ids)))
+    texts.append((50, "x1 x2 " + " ".join(["ONE two", "one two three", "three"] * 3) + " x3"))  # a removal brings a window together
+    many = sorted(map(repr, decontaminated(docs(spark, texts), bench, block_bytes=60).collect()))
+    assert many == sorted(map(repr, decontaminated(docs(spark, texts), bench).collect()))
     kept = decontaminated(docs(spark, texts), bench)
     assert kept.columns == docs(spark, texts).columns
     assert all(r.n_hit == 0 for r in scan(kept, bench).collect())
@@ -57,6 +61,20 @@ def test_decontamination_as_by_brute_force(spark):
     assert decontaminated(docs(spark, texts), spark.createDataFrame([], bench.schema)).count() == len(texts)
 
 
+def test_decontamination_of_a_very_long_text_and_memory_of_a_block():
+    import pickle
+
+    from missive.llm.decontaminate import Windows
+
+    rng = random.Random(2)
+    items = [(i, words(rng, 2000, "abcdefghijkl")) for i in range(50)]
+    block = Windows(items, 10)
+    assert len(pickle.dumps(block, 5)) < 8 * sum(len(t) for _, t in items)  # so a worker's part of a block stays bounded
+    long = " ".join(["filler"] * 300_000 + items[7][1].split()[100:120] + ["filler"] * 5)
+    hit, named = block.scan(long.encode().split())
+    assert named == {"7"} and hit.sum() >= 20 and not hit[:299_990].any()
+
+
 def test_ids_equal_the_tokenizers():
     ids, rng = tokens.loaded(tokens.default_path()), random.Random(2)
     parts = ["a", "b'll", " ", "  ", "\n", "\t", "\x1c", " ", "1", "é", "!", "<|endoftext|>", "漢", "😀", "word"]
@@ -224,3 +242,60 @@ def test_page_text_inside_of_hinted_elements():
     assert main_text(f'<div class="sidebar-layout"><main>{body}<div class="share">Share, it.</div></main>{side}</div>') == want
     assert main_text(f'<article>{body}<section class="comments"><article><p>I like it, really.</p></article></section></article>') == want
     assert main_text("<nav><article><p>No, text.</p></article></nav>") == ""
+
+
+PARTS = ["The first paragraph of the article, which is long enough, says a number of things. It goes on, too.", "A second one follows; it has commas, stops, and words. Nothing else.", "Short."]
+
+
+def test_page_text_comes_through_the_ratios(monkeypatch):
+    ps = "".join(f"<p>{x}</p>" for x in PARTS)
+    aside = '<div class="sidebar"><h3>Popular</h3><p>Read this other story, it is good. Really.</p></div><div class="cookie-notice">We use cookies, to make it better. Accept?</div>'
+    menu = '<div class="menu"><a href=1>Home</a> <a href=2>News</a></div>'
+    page = f'<body><div id="wrap">{menu}<article><h1>Title here</h1>{ps}<ul><li>one</li><li>two</li></ul></article>{aside}</div></body>'
+    want = "\n".join(["Title here", *PARTS, "one", "two"])
+    assert main_text(page) == main_text(page.replace("article>", "div>")) == want
+    assert main_text(re.sub(r' class="[^"]*"', "", page)) == want  # the names are not needed beside an article
+    assert main_text(f"<body>{menu}<h1>T</h1>{ps}<footer>x, y. z</footer></body>") == "\n".join(["T", *PARTS])
+    assert main_text('<div class="search-engine-history related-work"><p>x <math><mi>y</mi></math> z, and so on.</p></div>') == "x y z, and so on."
+    assert main_text(f'<article><h1>T</h1><p>Sh is.</p><section id="comments">{ps}</section></article>') == "T\nSh is."
+    assert main_text(f'<main><h1>T</h1><p>Sh is.</p></main><div class="comments"><article>{ps}</article></div>') == "T\nSh is."
+    monkeypatch.setattr(html_text, "scores_of", lambda blocks: html_text.np.ones(len(blocks)))
+    assert main_text(page) != want
+
+
+def test_path_ratios_as_by_another_parser():
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choices("ab, .c!", k=rng.randint(0, 20)))
+    tree = lambda d: text() + "".join(f"<{t}>{tree(d - 1)}</{t}>" for t in rng.choices(["div", "section", "a", "ul", "blockquote"], k=rng.randint(0, 3))) if d else text()
+
+    class Sums(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.chars, self.marks, self.n = [], Counter(), Counter(), Counter()
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                p = "/".join(self.stack)
+                self.chars[p] += len(data.strip())
+                self.marks[p] += sum(data.count(c) for c in ".,!")
+                self.n[p] += 1
+
+    for _ in range(60):
+        page = f"<div>{tree(4)}</div>"
+        twin = Sums()
+        twin.feed(page)
+        assert ratios_of(blocks_of(page)) == {p: (twin.chars[p] / n, twin.marks[p] / n) for p, n in twin.n.items()}
+
+
+def test_page_text_of_a_very_long_page():
+    long = "<p>Some words, and more. " * 20_000
+    assert main_text(f"<nav>{'<a href=x>y</a>' * 5000}</nav><article>{long}</article>") == "\n".join(["Some words, and more."] * 20_000)
