@@ -48,6 +48,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """df written to the shared folder in n buckets by key: tasks that group it by key need no exchange. To be given to ``drop``, too."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    _folders[path] = spark
+    out = spark.table(name)
+    out._stored_at, out._table = path, name
+    return out
+
+
 def _delete(paths: list[str]) -> None:
     for path in paths:
         if (spark := _folders.pop(path, None)) is not None:
@@ -58,6 +69,9 @@ def _delete(paths: list[str]) -> None:
 
 def drop(*tables: DataFrame) -> None:
     """Deletes stored tables; nothing that is still to be computed may read them."""
+    for t in tables:
+        if getattr(t, "_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._table}")
     _delete([t._stored_at for t in tables if getattr(t, "_stored_at", None)])
 
 

@@ -1,73 +1,57 @@
-"""Quality rules: base counts, and bands of perplexity under an interpolated modified Kneser-Ney bigram model.
+"""Quality rules: base counts, and bands of perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is counted over every document. Words are lower-cased (A-Z); the ``vocabulary`` most frequent ones that occur ``least_count`` times have ids, all
-others are unknown, and an unknown word's probability is shared evenly by the distinct unknown words. Documents are
-encoded in batches of 16-bit ids. Each batch sends its distinct bigrams, hashed by an invertible multiplication, to
-ranges of the hash space (``exchange``); a range merges them into sorted hash arrays (the stored model) and answers every
-batch with the totals of its own bigrams. Discounts come from counts of counts; what a word's contexts need (bounded by
-the vocabulary) is summed by Spark and broadcast. A document's perplexity then needs only its batch's answers.
+The model is counted over every document; all words (A-Z lower-cased) belong to it. Counts are Kneser-Ney continuation counts at every order:
+a trigram counts as often as different words stand before it, a bigram as often as different trigrams end in it, a word
+as often as different bigrams do. So a text's copies, exact or near, count once, and don't make each other likely. When a
+document is scored, what the model has from that document alone is taken out of every count, context and discount class first.
+
+Documents are encoded in batches, a table in buckets by batch. For each order, batches send the sorted distinct hashes of their n-grams to
+ranges of the hash space; a range merges them into sorted hash arrays (the stored model), looks every batch's
+hashes up there, and answers with the counts. The answer also says which batch is the first to have an n-gram: only that one adds it to
+the sums of its context and its suffix, which are the question of the order below. Nothing but the counts of counts reaches the driver.
+
+The words before a trigram are told apart by ``SKETCH`` bits of their hash and their number is corrected for collisions, which makes
+counts beyond about ten times 2**SKETCH level off.
 
 Each language has a band of log perplexity around its median, in spreads (interquartile range / 1.349), over the
-documents that pass the base rules; languages of fewer than ``least_documents`` take the band of all. The lower limit is
-wide by default: a clean text that has many copies in the corpus predicts itself, and that is for the dedup operators.
+documents that pass the base rules. A document above the upper limit of order 3 is rejected, and so is one below the lower limits of all
+three orders: of words, pairs and triples that are all too likely. (One of a large family of near copies is likely under the
+higher orders only; that is for the dedup operators.) A language's median and spread are averaged with those of all documents, as if these were ``prior``
+documents of the language, so that small languages have a band too.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null language is a language of its own;
-rows with one id get a row each; an empty table gives no rows; other columns are not needed.
+rows with one id get a row each; an empty table gives no rows; other columns are not needed; a document of words that no other text has is scored
+by the words' number alone.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, own_name, read, ship, stored, window_hashes
-from .exchange import PART, answered, ask, batch_number, merged, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
+from .common import _STEP, WordHashes, bucketed, drop, mixed, own_name, read, ship, stored, window_hashes
+from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
-#: Ids 1 to VOCABULARY are words, 0 is the unknown word, START stands before the first word.
-VOCABULARY = 2**16 - 1
-START = VOCABULARY + 1
-#: Bigrams are START * first + second, times an odd number modulo 2**BITS: invertible, and evenly spread.
-BITS, SPREAD = 34, 0x9E3779B1
-UNSPREAD = pow(SPREAD, -1, 1 << BITS)
-#: Bits of a word's hash in the count of words.
-WORD_BITS = 44
-BATCH_CHARS, RANGE_KEYS = 10_000_000, 4_000_000
+#: Bits of the hash of a word before a trigram.
+SKETCH = 14
+#: Stands before the first word of a document.
+START = np.uint64(0x5851F42D4C957F2D)
+BATCH_CHARS, RANGE_KEYS, BUCKETS = 4_000_000, 1_000_000, 64
 #: What n_symbols counts.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
-
-
-class LowHashes(WordHashes):
-    """Hashes of words without regard to A-Z or a-z."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.lower()) >> (64 - WORD_BITS)
-        return h
-
-
-class WordIds(WordHashes):
-    """Ids in a vocabulary of hashes."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.known = {int(h): i + 1 for i, h in enumerate(vocabulary)}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = self.known.get(xxhash.xxh64_intdigest(word.lower()) >> (64 - WORD_BITS), 0)
-        return h
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Log perplexity under the orders 1, 2 and 3.
+LOSSES = ("loss_1", "loss_2", "loss")
 
 
 def base_counts(text: str, words: list[bytes], hashes: WordHashes) -> tuple[int, int, int, int]:
@@ -82,69 +66,41 @@ def base_counts(text: str, words: list[bytes], hashes: WordHashes) -> tuple[int,
     return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again, repeated
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """(batch, range, keys, counts) of words; many batches to a task, many tasks to a range."""
-    n_ranges = 32
-
-    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = LowHashes(), [], 0
-
-        def rows() -> pa.RecordBatch:
-            keys, _, _ = totals = merged([k for k, _ in held], [c for _, c in held])
-            cut = np.searchsorted(keys, np.arange(1, n_ranges, dtype=np.uint64) << np.uint64(WORD_BITS - 5))
-            return pa.RecordBatch.from_pydict({"range": pa.array(range(n_ranges), pa.int32()), "keys": [squeezed_sorted(x) for x in np.split(keys, cut)], "counts": [squeezed(x) for x in np.split(totals[1], cut)]})
-
-        for record in records:
-            for value in record.column(0):
-                words = (value.as_py() or "").encode("utf-8", "surrogatepass").split()
-                if words:
-                    held.append(np.unique(hashes.of(words), return_counts=True))
-                    size += len(held[-1][0])
-                if size > 3_000_000:
-                    yield rows()
-                    held, size = [], 0
-        if held:
-            yield rows()
-
-    return texts.mapInArrow(run, "range int, keys binary, counts binary")
-
-
-def vocabulary_of(texts: DataFrame, most: int, least: int) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the most frequent words with least occurrences (ties by hash), and the number of distinct words beyond them."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, _ = merged([unsqueezed_sorted(x) for x in group["keys"]], [unsqueezed(x, np.int64) for x in group["counts"]])
-        top = np.lexsort((keys, -counts))[:most]
-        return pd.DataFrame({"key": keys[top].astype(np.int64), "n": counts[top], "distinct": [len(keys), *[0] * (len(top) - 1)][: len(top)]})
-
-    words = stored(_word_counts(texts).groupBy("range").applyInPandas(run, "key long, n long, distinct long"), "words")
-    distinct = words.agg(F.sum("distinct")).first()[0] or 0
-    top = [r.key for r in words.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(most).select("key").collect()]
-    return np.sort(np.array(top, np.uint64)), max(0, distinct - len(top))
+def packed(*arrays: np.ndarray) -> bytes:
+    parts = [squeezed(a) for a in arrays]
+    return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
+    sizes = np.frombuffer(data[: 4 * len(dtypes)], "<u4").tolist()
+    at, out = 4 * len(dtypes), []
+    for n, dtype in zip(sizes, dtypes, strict=True):
+        out.append(unsqueezed(data[at : at + n], dtype))
+        at += n
+    return out
 
 
-def _encoded(rows: DataFrame, vocabulary) -> DataFrame:
-    """Batches: ids, languages and base counts of their documents, and all their words as 16-bit ids."""
+def _encoded(rows: DataFrame) -> DataFrame:
+    """Batches: ids, languages and base counts of their documents, the hashes of their different words, and all words as numbers of those."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, word_ids = WordHashes(), WordIds(vocabulary.value)
+        hashes = WordHashes()
         ids, langs, counts, words, held, seq = [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            blobs = (squeezed(np.array(ids, np.int64)), PART.join(langs), squeezed(np.array(counts, np.int64)), squeezed(np.concatenate(words), 3))
-            return pa.RecordBatch.from_pydict({"batch": [batch_number(seq)]} | dict(zip(("ids", "langs", "counts", "words"), ([b] for b in blobs), strict=True)))
+            known, tokens = np.unique(np.concatenate(words), return_inverse=True)
+            blobs = (squeezed(np.array(ids, np.int64)), PART.join(langs), squeezed(np.array(counts, np.int64)), squeezed_sorted(known), squeezed(tokens.astype(np.int32), 3))
+            return pa.RecordBatch.from_pydict({"batch": [batch_number(seq)]} | dict(zip(("ids", "langs", "counts", "words", "tokens"), ([b] for b in blobs), strict=True)))
 
         for record in records:
             for doc, lang, value in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), strict=True):
                 text = value.as_py()
-                split = text.encode("utf-8", "surrogatepass").split()
+                split = text.encode("utf-8", "surrogatepass").lower().split()
+                exact = text.encode("utf-8", "surrogatepass").split()
                 ids.append(doc)
                 langs.append(lang.encode("utf-8", "surrogatepass"))
-                counts.extend((len(split), *base_counts(text, split, hashes)))
-                words.append(np.fromiter(map(word_ids.__getitem__, split), np.uint16, len(split)))
+                counts.extend((len(split), *base_counts(text, exact, hashes)))
+                words.append(hashes.of(split))
                 held += len(text)
                 if held >= BATCH_CHARS:
                     yield row()
@@ -152,37 +108,145 @@ def _encoded(rows: DataFrame, vocabulary) -> DataFrame:
         if ids:
             yield row()
 
-    return rows.mapInArrow(run, "batch long, ids binary, langs binary, counts binary, words binary")
+    return rows.mapInArrow(run, "batch long, ids binary, langs binary, counts binary, words binary, tokens binary")
 
 
-def _bigrams(words: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """The spread bigram of each word, with START before the first of each document."""
-    first = np.cumsum(n_words) - n_words
-    before = np.empty(len(words), np.uint64)
-    before[1:] = words[:-1]
-    before[first[n_words > 0]] = START
-    return (before * np.uint64(START) + words) * np.uint64(SPREAD) & np.uint64((1 << BITS) - 1)
+class Grams:
+    """The n-grams of a batch as hashes: for each order those of the words, of their contexts, and the different ones."""
 
+    def __init__(self, row, bits: int):
+        self.n_words = unsqueezed(row["counts"], np.int64)[:: len(COUNTS)]
+        self.first = (np.cumsum(self.n_words) - self.n_words)[self.n_words > 0]
+        shift = np.uint64(64 - bits)
+        h = unsqueezed_sorted(row["words"])[unsqueezed(row["tokens"], np.int32)]
+        v = self.before(h, START)
+        u = self.before(v, START)
+        self.sketch = (mixed(self.before(u, START)) >> np.uint64(64 - SKETCH)).astype(np.int64)
+        start = np.array([START])
+        start1, start2 = mixed(start) >> shift, mixed(start * _STEP + start) >> shift
+        self.of = {1: mixed(h) >> shift, 2: mixed(v * _STEP + h) >> shift, 3: mixed((u * _STEP + v) * _STEP + h) >> shift}
+        self.context = {2: self.before(self.of[1], start1[0]), 3: self.before(self.of[2], start2[0])}
+        self.start = {1: start1, 2: start2, 3: np.empty(0, np.uint64)}
 
-def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
-    return unsqueezed(row["words"], np.uint16), unsqueezed(row["counts"], np.int64)[:: len(COUNTS)]
+    def before(self, x: np.ndarray, start) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
 
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted different n-grams and contexts of the next order, and a word that ends each (their number: none)."""
+        return np.unique(np.concatenate([self.of[order], self.start[order]]), return_index=True)
 
-@dataclass
-class Model:
-    """What scoring needs beside the totals of bigrams: by context and by word, all bounded by the vocabulary."""
 
-    discounts: np.ndarray  # of counts 0, 1, 2, 3 and more
-    total: np.ndarray  # by context: its bigrams
-    backoff: np.ndarray  # by context: the weight of the lower order
-    word: np.ndarray  # by word: its probability in the lower order
+def _rows(batch: int, keys: np.ndarray, payload: Callable[[int, int], bytes], n_ranges: int, bits: int) -> list[tuple]:
+    return [(batch, r, squeezed_sorted(keys[a:b]), payload(a, b)) for r, a, b in slices(keys, n_ranges, bits)]
+
 
-    def log_probability(self, bigrams: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        plain = bigrams * np.uint64(UNSPREAD) & np.uint64((1 << BITS) - 1)
-        context, word = plain // np.uint64(START), plain % np.uint64(START)
-        context, word = context.astype(np.int64), word.astype(np.int64)
-        seen = np.maximum(totals - self.discounts[np.minimum(totals, 3)], 0) / self.total[context]
-        return np.log(seen + self.backoff[context] * self.word[word])
+ASKED = "batch long, range int, keys binary, payload binary"
+ANSWERED = ASKED + ", stats array<long>"
+#: Of an n-gram: its count; of it as a context: the sum of the counts that follow, and how many of them are 1, 2, and 3 or more.
+SUMS = 5
+
+
+def _ask_trigrams(held: DataFrame, n_ranges: int, bits: int) -> DataFrame:
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            for row in record.to_pylist():
+                g = Grams(row, bits)
+                keys, where = np.unique(g.of[3], return_inverse=True)
+                pairs = np.unique(where << SKETCH | g.sketch)
+                many = np.bincount(pairs >> SKETCH, minlength=len(keys)).astype(np.int32)
+                ends, sketch = np.append(0, np.cumsum(many)), (pairs & ((1 << SKETCH) - 1)).astype(np.uint16)
+                out = _rows(row["batch"], keys, lambda a, b, m=many, e=ends, s=sketch: packed(m[a:b], s[e[a] : e[b]]), n_ranges, bits)
+                cols = zip(*out, strict=True) if out else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "range", "keys", "payload"])
+
+    return held.select("batch", "counts", "words", "tokens").mapInArrow(run, ASKED)
+
+
+def estimated(seen: np.ndarray) -> np.ndarray:
+    """How many different things were hashed to so many different values of SKETCH bits."""
+    size = float(1 << SKETCH)
+    return np.maximum(seen, np.rint(-size * np.log1p(-np.minimum(seen, size - 0.5) / size))).astype(np.int64)
+
+
+def _stats(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3 and 4, their sum, and how many there are at all."""
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int(counts.sum()), int((counts > 0).sum())]
+
+
+def _answers(group: pd.DataFrame, keys: list[np.ndarray], every: np.ndarray, values: list[np.ndarray]) -> pd.DataFrame:
+    """The stored part of the model (batch -1, only counts over 1: the others are known by that), the counts of counts, and each batch's
+    answer, looked up in the sorted array: the values, and whether it is the first to ask."""
+    r, asked = group["range"].iloc[0], np.concatenate(keys)
+    at = np.searchsorted(every, asked)
+    first = np.zeros(len(asked), np.int64)
+    first[np.unique(asked, return_index=True)[1]] = 1
+    answers, a = [], 0
+    for k in keys:
+        b = a + len(k)
+        answers.append(packed(*(v[at[a:b]] for v in values), first[a:b]))
+        a = b
+    some = values[0] > 1
+    out = group[["batch", "range"]].assign(keys=None, payload=answers, stats=None)
+    model = pd.DataFrame({"batch": [-1], "range": [r], "keys": [squeezed_sorted(every[some])], "payload": [packed(*(v[some] for v in values))], "stats": [_stats(values[0])]})
+    return pd.concat([out, model])
+
+
+def _merge_trigrams(asked: DataFrame) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("batch", ignore_index=True)
+        keys = [unsqueezed_sorted(x) for x in group["keys"]]
+        parts = [unpacked(x, np.int32, np.uint16) for x in group["payload"]]
+        pairs = np.concatenate([np.repeat(k, m) << np.uint64(SKETCH) | s for k, (m, s) in zip(keys, parts, strict=True)])
+        every, seen = np.unique(np.unique(pairs) >> np.uint64(SKETCH), return_counts=True)
+        return _answers(group, keys, every, [estimated(seen)])
+
+    return asked.groupBy("range").applyInPandas(run, ANSWERED)
+
+
+def _merge_sums(asked: DataFrame) -> DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("batch", ignore_index=True)
+        keys = [unsqueezed_sorted(x) for x in group["keys"]]
+        parts = [unpacked(x, *[np.int64] * SUMS) for x in group["payload"]]
+        every, where = np.unique(np.concatenate(keys), return_inverse=True)
+        values = [_sum(where, np.concatenate([p[i] for p in parts]), len(every)) for i in range(SUMS)]
+        return _answers(group, keys, every, values)
+
+    return asked.groupBy("range").applyInPandas(run, ANSWERED)
+
+
+def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.rint(np.bincount(at, values, n)).astype(np.int64)
+
+
+def _told(answers: pd.DataFrame, n_values: int) -> list[np.ndarray]:
+    """A batch's answers in the order of its keys."""
+    parts = [unpacked(x, *[np.int64] * (n_values + 1)) for x in answers.sort_values("range")["payload"]]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(n_values + 1)]
+
+
+def _ask_sums(held: DataFrame, answers: DataFrame, order: int, n_ranges: int, bits: int) -> DataFrame:
+    """What the n-grams of the order above add to their suffixes and contexts, from the first batch that has them."""
+
+    def run(rows: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for row in rows.to_dict("records"):
+            g = Grams(row, bits)
+            _, word = g.distinct(order + 1)
+            counts, *_, first = _told(answered, 1 if order == 2 else SUMS)
+            mine = (first == 1) & (counts > 0)
+            word, counts = word[mine], counts[mine]
+            keys, _ = g.distinct(order)
+            suffix, context = (np.searchsorted(keys, x[word]) for x in (g.of[order], g.context[order + 1]))
+            kind = np.minimum(counts, 3)
+            sums = [np.bincount(suffix, minlength=len(keys)), _sum(context, counts, len(keys)), *(np.bincount(context[kind == k], minlength=len(keys)) for k in (1, 2, 3))]
+            out += _rows(row["batch"], keys, lambda a, b, s=sums: packed(*(x[a:b].astype(np.int64) for x in s)), n_ranges, bits)
+        return pd.DataFrame(out, columns=["batch", "range", "keys", "payload"])
+
+    return held.select("batch", "counts", "words", "tokens").groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, ASKED)
 
 
 def discounts_of(counts: list[int]) -> np.ndarray:
@@ -193,113 +257,122 @@ def discounts_of(counts: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))])
 
 
-def _merge(asked: DataFrame) -> DataFrame:
-    """Answers to batches, the model's sorted hash arrays (batch -1), and sums by context and word (batch -2)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [unsqueezed_sorted(x) for x in group["keys"]]
-        every, totals, where = merged(keys, [unsqueezed(x, np.uint32) for x in group["counts"]])
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        answers = np.minimum(totals, 2**32 - 1).astype(np.uint32)[where]
-        r = group["range"].iloc[0]
-        plain = every * np.uint64(UNSPREAD) & np.uint64((1 << BITS) - 1)
-        context, word = (plain // np.uint64(START)).astype(np.int64), (plain % np.uint64(START)).astype(np.int64)
-        kinds = [totals, totals == 1, totals == 2, totals > 2]
-        sums = np.stack([*(np.bincount(context, k, START + 1) for k in kinds), np.bincount(word, minlength=START + 1)]).astype(np.int64)
-        of_counts = np.array([(totals == k).sum() for k in (1, 2, 3, 4)], np.int64)
-        own = pd.DataFrame({"batch": [-1, -2], "range": r, "totals": [squeezed(totals), squeezed(np.concatenate([of_counts, sums.reshape(-1)]))], "keys": [squeezed_sorted(every), b""]})
-        return pd.concat([group[["batch", "range"]].assign(totals=[squeezed(x) for x in np.split(answers, cut)], keys=None), own])
-
-    return asked.groupBy("range").applyInPandas(run, "batch long, range int, totals binary, keys binary")
-
-
-def _model(merged_: DataFrame) -> Model:
-    """Sums over ranges: rows by vocabulary id, added by Spark, at most START + 1 of them reach the driver."""
-    width = START + 1
-
-    def unpack(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in records:
-            for data in record.column(0).to_pylist():
-                flat = unsqueezed(data, np.int64)
-                sums = flat[4:].reshape(5, width)
-                some = np.flatnonzero(sums.any(axis=0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2, -3, -4])), *(pa.array(np.append(s[some], flat[:4] if k == 0 else np.zeros(4, np.int64))) for k, s in enumerate(sums))], names=list("iabcde"))
-
-    rows = merged_.where("batch = -2").select("totals").mapInArrow(unpack, "i long, a long, b long, c long, d long, e long")
-    found = rows.groupBy("i").agg(*(F.sum(x).alias(x) for x in "abcde")).toPandas().set_index("i")
-    of_counts = [int(found["a"].get(-k, 0)) for k in (1, 2, 3, 4)]
-    found = found[found.index >= 0].reindex(range(width), fill_value=0).to_numpy().astype(np.int64)
-    total, once, twice, more, continued = found.T
-    d = discounts_of(of_counts)
-    low = discounts_of([int((continued == k).sum()) for k in (1, 2, 3, 4)])
-    kinds = max(1, continued.sum())
-    taken = low[np.minimum(continued, 3)]
-    word = (continued - taken) / kinds + taken.sum() / kinds / START
-    with np.errstate(invalid="ignore", divide="ignore"):
-        backoff = np.where(total > 0, (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1), 1.0)
-    return Model(d, np.maximum(total, 1).astype(float), backoff, word)
-
-
-def _scored(held: DataFrame, answers: DataFrame, model, n_unknown: int) -> DataFrame:
+@dataclass
+class Model:
+    """The numbers that all documents share."""
+
+    discounts: dict[int, np.ndarray]  # by order: of counts 0, 1, 2, 3 and more
+    total: int  # sum of the words' counts
+    rest: float  # what the discounts leave of it, for each different word
+
+
+def _model(answers: dict[int, DataFrame]) -> Model:
+    stats = {}
+    for order, df in answers.items():
+        row = df.where("batch = -1").agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(6))).first()
+        stats[order] = [int(x or 0) for x in row]
+    d = {order: discounts_of(x[:4]) for order, x in stats.items()}
+    n1, n2, _, _, total, distinct = stats[1]
+    left = d[1][1] * n1 + d[1][2] * n2 + d[1][3] * max(0, distinct - n1 - n2)
+    return Model(d, max(1, total), left / max(1, total) / max(1, distinct))
+
+
+def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np.ndarray]:
+    """Mean negative log probability of each document's words under the orders 1, 2 and 3, without what the model has from the document alone."""
+    doc = np.repeat(np.arange(len(g.n_words)), g.n_words)
+    alone: np.ndarray | None = None  # n-grams of the order above that only the document has, by the word that ends them
+    seen, unseen, weights = {}, {}, {}
+    for order in (3, 2, 1):
+        keys, _ = g.distinct(order)
+        where = np.searchsorted(keys, g.of[order])
+        _, word, pair = np.unique(doc * len(keys) + where, return_index=True, return_inverse=True)  # of each document and n-gram
+        own = np.bincount(np.unique(pair << SKETCH | g.sketch) >> SKETCH, minlength=len(word)) if order == 3 else np.bincount(pair[alone], minlength=len(word))
+        count = told[order][0][where[word]]
+        rest = np.maximum(count - own, 0)
+        alone = word[rest == 0]
+        seen[order] = np.maximum(rest - model.discounts[order][np.minimum(rest, 3)], 0)[pair]
+        if order == 1:
+            break
+        contexts, _ = g.distinct(order - 1)
+        at = np.searchsorted(contexts, g.context[order])
+        _, some, context = np.unique(doc * len(contexts) + at, return_index=True, return_inverse=True)
+        of = context[word]
+        _, total, *kinds = (x[at[some]] for x in told[order - 1][:SUMS])
+        total = total - np.bincount(of, count - rest, len(some))
+        left = np.zeros(len(some))
+        for k, n in zip((1, 2, 3), kinds, strict=True):
+            left += model.discounts[order][k] * (n - np.bincount(of[np.minimum(count, 3) == k], minlength=len(some)) + np.bincount(of[np.minimum(rest, 3) == k], minlength=len(some)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unseen[order] = np.where(total > 0, left / np.maximum(total, 1), 1.0)[context]
+            weights[order] = np.where(total > 0, 1 / np.maximum(total, 1), 0.0)[context]
+    ends, out = np.cumsum(g.n_words), []
+    for order in (1, 2, 3):
+        p = seen[order] * weights[order] + np.clip(unseen[order], 0, 1) * p if order > 1 else seen[1] / model.total + model.rest
+        sums = np.append(0.0, np.cumsum(np.log(p)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out.append(np.where(g.n_words > 0, -(sums[ends] - sums[ends - g.n_words]) / g.n_words, np.nan))
+    return out
+
+
+def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits: int) -> DataFrame:
     """A row for each document: base counts and mean negative log probability of its words (null without words)."""
 
-    def run(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.to_dict("records"):
-            words, n_words = _words_of(r)
-            grams = _bigrams(words, n_words)
-            keys, where = np.unique(grams, return_inverse=True)
-            logs = model.value.log_probability(keys, answered(totals))[where] if len(keys) else np.empty(0)
-            logs = logs - np.where(words == 0, math.log(max(1, n_unknown)), 0.0)  # each unknown word has its share only
-            sums = np.append(0.0, np.cumsum(logs))
-            ends = np.cumsum(n_words)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                loss = np.where(n_words > 0, -(sums[ends] - sums[ends - n_words]) / n_words, np.nan)
+            g = Grams(r, bits)
+            told = {order: _told(answered[answered["order"] == order], 1 if order == 3 else SUMS) for order in (1, 2, 3)}
             counts = unsqueezed(r["counts"], np.int64).reshape(-1, len(COUNTS))
             langs = [x.decode("utf-8", "surrogatepass") for x in r["langs"].split(PART)]
-            out.append(pd.DataFrame({"id": unsqueezed(r["ids"], np.int64), "lang": langs} | {c: counts[:, i] for i, c in enumerate(COUNTS)} | {"loss": loss}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["id", "lang", *COUNTS, "loss"])
+            out.append(pd.DataFrame({"id": unsqueezed(r["ids"], np.int64), "lang": langs} | {c: counts[:, i] for i, c in enumerate(COUNTS)} | dict(zip(LOSSES, losses(g, told, model), strict=True))))
+        return pd.concat(out) if out else pd.DataFrame(columns=["id", "lang", *COUNTS, *LOSSES])
 
-    return held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, "id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", loss double")
+    every = None
+    for order, df in answers.items():
+        part = df.where("batch >= 0").select("batch", "range", "payload", F.lit(order).alias("order"))
+        every = part if every is None else every.unionByName(part)
+    return held.groupBy("batch").cogroup(every.groupBy("batch")).applyInPandas(run, "id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {x} double" for x in LOSSES))
 
 
-def scores(docs: DataFrame, *, vocabulary: int = VOCABULARY, least_count: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Base counts and loss (log perplexity) of each document, and the model's table (range, keys, counts)."""
-    if not 0 < vocabulary <= VOCABULARY:
-        raise ValueError(f"the vocabulary has 1 to {VOCABULARY} words")
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Base counts and loss (log perplexity) of each document, and the model (order, range, sorted keys, their values)."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words, n_unknown = vocabulary_of(rows.select("text"), vocabulary, least_count)
-    known = spark.sparkContext.broadcast(words)
-    held = stored(_encoded(rows, known), "encoded")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-    def distinct(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(_bigrams(*_words_of(row)), return_counts=True)
-
-    n_ranges = max(1, math.ceil(total / 12 / RANGE_KEYS))  # a distinct bigram of a batch takes 12 bytes of text or more
-    asked = ask(held.select("batch", "counts", "words"), distinct, n_ranges, BITS)
-    merged_ = stored(_merge(asked), "model")
-    model = spark.sparkContext.broadcast(_model(merged_))
-    table = merged_.where("batch = -1").select("range", "keys", F.col("totals").alias("counts"))
-    return _scored(held, merged_.where("batch >= 0").select("batch", "range", "totals"), model, n_unknown), table
-
-
-def judged(docs: DataFrame, *, below: float = 15.0, above: float = 4.0, least_words: int = 50, repeat_percent: int = 50, least_documents: int = 50, **options) -> DataFrame:
-    """doc_id, the base counts, base_failed, lang, loss, the band's low and high, and kept, for each row."""
+    held = bucketed(_encoded(rows), "encoded", "batch", max(BUCKETS, math.ceil(total / BATCH_CHARS / 4)))
+    most = max(1, total // 6)  # distinct n-grams, about: a word and a blank are 6 bytes or more
+    n_ranges, bits = math.ceil(most / RANGE_KEYS), min(64 - SKETCH, max(36, math.ceil(math.log2(most)) + 8))
+    answers = {3: stored(_merge_trigrams(_ask_trigrams(held, n_ranges, bits)), "model-3")}
+    for order in (2, 1):
+        asked = _ask_sums(held, answers[order + 1].where("batch >= 0").select("batch", "range", "payload"), order, n_ranges, bits)
+        answers[order] = stored(_merge_sums(asked), f"model-{order}")
+    found = stored(_scored(held, answers, _model(answers), bits), "losses")
+    table = None
+    for order, df in answers.items():
+        part = df.where("batch = -1").select(F.lit(order).alias("order"), "range", "keys", "payload")
+        table = part if table is None else table.unionByName(part)
+    model = stored(table, "model")
+    drop(held, *answers.values())
+    return found, model
+
+
+def judged(docs: DataFrame, *, below: float = 4.0, above: float = 4.0, least_words: int = 50, repeat_percent: int = 50, prior: int = 50, **options) -> DataFrame:
+    """doc_id, the base counts, base_failed, lang, the losses, the limits of their bands, and kept, for each row."""
     found, _ = scores(docs, **options)
-    found = stored(found.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))), "scores")
+    found = found.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     fair = found.where(~F.col("base_failed"))
-    quarters = F.percentile_approx("loss", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
-    of_all = fair.agg(quarters.alias("q_all"))
-    of_lang = fair.groupBy("lang").agg(quarters.alias("q"), F.count(F.lit(1)).alias("n_fair"))
-    known = found.join(of_lang, "lang", "left").crossJoin(F.broadcast(of_all))  # of_all is one row
-    q = F.when(F.col("n_fair") >= least_documents, F.col("q")).otherwise(F.col("q_all"))
-    known = known.withColumn("q", q).withColumn("spread", (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349)
-    known = known.withColumn("low", F.get("q", F.lit(1)) - below * F.col("spread")).withColumn("high", F.get("q", F.lit(1)) + above * F.col("spread"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("loss").between(F.col("low"), F.col("high")), F.lit(False))
-    return known.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *COUNTS, "base_failed", F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), F.when(~F.isnan("loss"), F.col("loss")).alias("loss"), "low", "high", kept.alias("kept"))
+    quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000) for x in LOSSES]
+    of_all = fair.agg(*(q.alias(f"all_{x}") for q, x in zip(quarters, LOSSES, strict=True)))
+    of_lang = fair.groupBy("lang").agg(*(q.alias(f"q_{x}") for q, x in zip(quarters, LOSSES, strict=True)), F.count(F.lit(1)).alias("n_fair")).crossJoin(F.broadcast(of_all))  # of_all is one row
+    at = lambda x, i: (F.col("n_fair") * F.get(f"q_{x}", F.lit(i)) + prior * F.get(f"all_{x}", F.lit(i))) / (F.col("n_fair") + prior)
+    limit = lambda x, k: at(x, 1) + k * (at(x, 2) - at(x, 0)) / 1.349
+    bands = stored(of_lang.select("lang", limit("loss", above).alias("high"), *(limit(x, -below).alias(f"low_{x}") for x in LOSSES)), "bands")
+    known = found.join(bands, "lang", "left")
+    likely = F.greatest(*((F.col(x) - F.col(f"low_{x}")) for x in LOSSES)) < 0
+    kept = ~F.col("base_failed") & F.coalesce((F.col("loss") <= F.col("high")) & ~likely, F.lit(False))
+    null = lambda x: F.when(~F.isnan(x), F.col(x)).alias(x)
+    return known.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *COUNTS, "base_failed", F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), *map(null, LOSSES), "high", *(f"low_{x}" for x in LOSSES), kept.alias("kept"))
 
 
 def passing(docs: DataFrame, **options) -> DataFrame:

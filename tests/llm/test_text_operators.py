@@ -147,47 +147,86 @@ def test_token_counts_as_by_brute_force(spark):
                     assert got[(i, k)] == (n, round(float(count), 6), cross), (i, k, rule, data)
 
 
-def test_perplexity_against_a_plain_model(spark):
+def plain_losses(texts):
+    """Losses by sets of n-grams: what only the document has is taken out by counting without it."""
+    padded = {i: ["<s>"] * 3 + (t or "").lower().split() for i, t in texts}
+    grams = lambda s, n: {tuple(s[k - n + 1 : k + 1]) for k in range(3, len(s))}
+    four = {i: grams(s, 4) for i, s in padded.items()}
+    every = set().union(*four.values())
+    levels = {4: every}
+    for n in (3, 2, 1):
+        levels[n] = {g[1:] for g in levels[n + 1]}
+    count = {n: Counter(g[1:] for g in levels[n + 1]) for n in (3, 2, 1)}
+    d = {n: discounts_of([sum(c == k for c in count[n].values()) for k in (1, 2, 3, 4)]) for n in (1, 2, 3)}
+    total = sum(count[1].values())
+    rest = sum(d[1][min(c, 3)] for c in count[1].values()) / total / len(count[1])
+    out = {}
+    for i, s in padded.items():
+        if len(s) == 3:
+            continue
+        there, gone = {}, four[i]
+        for n in (3, 2, 1):  # what is left of each order without the document's own
+            own = Counter(g[1:] for g in gone)
+            there[n] = {g: c - own[g] for g, c in count[n].items()}
+            gone = {g for g in own if there[n][g] <= 0 and g in {tuple(s[k - n + 1 : k + 1]) for k in range(3, len(s))}}
+        sums = [0.0, 0.0, 0.0]
+        for k in range(3, len(s)):
+            p = 0.0
+            for n in (1, 2, 3):
+                g = tuple(s[k - n + 1 : k + 1])
+                c = max(0, there[n].get(g, 0))
+                if n == 1:
+                    p = max(c - d[1][min(c, 3)], 0) / total + rest
+                else:
+                    follow = [x for h, x in there[n].items() if h[:-1] == g[:-1] and x > 0]
+                    if sum(follow):
+                        p = max(c - d[n][min(c, 3)], 0) / sum(follow) + min(1, sum(d[n][min(x, 3)] for x in follow) / sum(follow)) * p
+                sums[n - 1] -= math.log(p)
+        out[i] = [x / (len(s) - 3) for x in sums]
+    return out
+
+
+def test_perplexity_against_a_plain_model(spark, monkeypatch):
     rng = random.Random(6)
-    texts = [(i, words(rng, rng.randint(30, 80), "abc")) for i in range(60)] + [(70, None), (71, ""), ("null", "a b c")]
-    got = {r.id: r for r in scores(docs(spark, texts), vocabulary=40, least_count=2)[0].collect()}
-    split = [(i, (t or "").lower().split()) for i, t in texts]
-    freq = Counter(w for _, s in split for w in s)
-    import xxhash
-
-    h = lambda w: xxhash.xxh64_intdigest(w.encode()) >> 20
-    known = set(sorted((w for w in freq if freq[w] >= 2), key=lambda w: (-freq[w], h(w)))[:40])
-    unknown = max(1, len(freq) - len(known))
-    grams = Counter()
-    for _, s in split:
-        s = [w if w in known else None for w in s]
-        grams.update(zip(["<s>", *s], s, strict=False))
-    d = discounts_of([sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)])
-    cont = Counter(w for _, w in grams)
-    low = discounts_of([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
-    taken = sum(low[min(c, 3)] for c in cont.values())
-    context = {}
-    for (v, _), c in grams.items():
-        t, g = context.get(v, (0, 0.0))
-        context[v] = (t + c, g + d[min(c, 3)])
-    for i, s in split:
+    texts = [(i, words(rng, rng.randint(20, 50), "abc")) for i in range(40)] + [(70, None), (71, ""), (72, "One two. " * 9), (73, "unheard of")]
+    texts += [(74, texts[3][1]), (75, texts[3][1].replace(" a ", " b ")), ("null", texts[5][1])]
+    monkeypatch.setattr("missive.llm.perplexity.BATCH_CHARS", 1500)
+    monkeypatch.setattr("missive.llm.perplexity.RANGE_KEYS", 300)
+    found, model = scores(docs(spark, texts))
+    got = {r.id: r for r in found.collect()}
+    want = plain_losses(texts)
+    for i, _ in texts:
         r = got[-(2**63) if i == "null" else i]
-        if not s:
+        if i in want:
+            assert [r.loss_1, r.loss_2, r.loss] == pytest.approx(want[i], rel=1e-9), i
+        else:
             assert r.loss is None or math.isnan(r.loss)
-            continue
-        total, before = 0.0, "<s>"
-        for w in (w if w in known else None for w in s):
-            lower = (cont[w] - low[min(cont[w], 3)]) / len(grams) + taken / len(grams) / (2**16)
-            p = (grams[(before, w)] - d[min(grams[(before, w)], 3)]) / context[before][0] + context[before][1] / context[before][0] * lower
-            total -= math.log(p / (unknown if w is None else 1))
-            before = w
-        assert r.loss == pytest.approx(total / len(s), rel=1e-6)
+    assert {r.order for r in model.collect()} == {1, 2, 3}
+
+
+def test_likely_texts_are_rejected_and_copies_kept(spark):
+    rng = random.Random(8)
+    rare = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    often = "the of and to in a is it that was for on are as with his they at be this".split()
+    make = lambda n: " ".join(w for _ in range(n // 2) for w in (rng.choice(often), rng.choice(rare)))
+    clean = [(i, make(rng.randint(80, 160))) for i in range(300)]
+    copies = [(1000 + i, clean[0][1]) for i in range(60)] + [(1100 + i, " ".join(w if rng.random() > 0.03 else rng.choice(rare) for w in clean[1][1].split())) for i in range(12)]
+    likely = [(2000 + i, " ".join(rng.choices(often, k=120))) for i in range(3)]
+    odd = [(3000 + i, " ".join("".join(rng.choices("uvwxyz#%", k=6)) for _ in range(100))) for i in range(3)]
+    got = {r.doc_id: r for r in judged(docs(spark, clean + copies + likely + odd)).collect()}
+    kept = {i for i, r in got.items() if r.kept}
+    lost = [got[i] for i, _ in clean + copies if i not in kept]
+    assert not lost, [(r.doc_id, r.loss_1, r.low_loss_1, r.loss, r.low_loss, r.high) for r in lost]
+    assert not kept & {i for i, _ in likely + odd} and not any(got[i].base_failed for i, _ in likely + odd)
+    assert all(got[i].loss < got[i].low_loss for i, _ in likely) and all(got[i].loss > got[i].high for i, _ in odd)
 
 
 def test_base_rules_and_bands(spark):
     rng = random.Random(7)
     clean = [(i, words(rng, 70, "abcdef")) for i in range(80)]
     junk = [(200 + i, " ".join("".join(rng.choices("uvwxyz#%", k=6)) for _ in range(70))) for i in range(4)]
+    long = [(400, " ".join(words(rng, 70, "abcdef") for _ in range(400)))]
+    assert judged(docs(spark, clean + long)).where("doc_id = 400").first().n_words == 28_000
     odd = [(300, None), (301, ""), (302, "a b\na b\n\n \n \na b"), (303, "x y z " * 30), ("null", clean[0][1])]
     got = {r.doc_id: r for r in judged(docs(spark, clean + junk + odd, {205: None})).collect()}
     assert len(got) == len(clean + junk + odd)
