@@ -338,3 +338,30 @@ def test_path_ratios_as_by_another_parser():
 def test_page_text_of_a_very_long_page():
     long = "<p>Some words, and more. " * 20_000
     assert main_text(f"<nav>{'<a href=x>y</a>' * 5000}</nav><article>{long}</article>") == "\n".join(["Some words, and more."] * 20_000)
+
+
+def test_licenses_whole_and_reworded_texts_are_found(spark):
+    import textwrap
+
+    from missive.llm.licenses import IDENTIFIERS, TEMPLATES, TELLING
+
+    rng = random.Random(4)
+    texts, want = [], {}
+    for name, template in sorted(TEMPLATES.items()):
+        for k, width in enumerate((58, 76, 10**6)):
+            form = template.split()
+            if len(form) > 40:  # reworded: one word in forty differs
+                for i in range(7, len(form), 40):
+                    form[i] = "whatever" if form[i].lower().strip(".,") not in TELLING else form[i]
+            prose = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(30)]
+            body = textwrap.fill(" ".join(form), width)
+            texts.append((len(texts), f"{' '.join(prose[:15])}\n\n{body}\n\n{' '.join(prose[15:])}"))
+            want[len(texts) - 1] = name
+    texts += [(9000, "The licence of the driver was checked, and it is all right. You may have the copy that was made for you."), (9001, "plain words " * 60_000 + "\nReleased under the MIT License.\n" + "and more " * 30_000)]
+    rows = docs(spark, texts).withColumn("license", F.lit("own")).withColumn("start", F.lit(1))
+    got = {}
+    for r in scan_licenses(rows).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert sum(got.get(i) == [name] for i, name in want.items()) >= 0.97 * len(want)
+    assert got.get(9000, [None]) == [None] and got[9001] == ["MIT"]
+    assert len(IDENTIFIERS) == 18 and all(f"SPDX-{x}" in TEMPLATES for x in IDENTIFIERS)
