@@ -146,6 +146,32 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort (np.unique goes by a hash table, which is many times slower on such arrays)."""
+    a = np.sort(a)
+    return a[_new(a)]
+
+
+def _new(a: np.ndarray) -> np.ndarray:
+    new = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    return new
+
+
+def grouped(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys (uint64 below 2**bits), the first place of each, and the number of each key's: by a sort of keys with their places."""
+    b = max(1, (len(keys) - 1).bit_length())
+    if bits + b > 64 or not len(keys):
+        return np.unique(keys, return_index=True, return_inverse=True)
+    code = np.sort(keys << np.uint64(b) | np.arange(len(keys), dtype=np.uint64))
+    places = (code & np.uint64((1 << b) - 1)).astype(np.int64)
+    code >>= np.uint64(b)
+    new = _new(code)
+    number = np.empty(len(keys), np.int64)
+    number[places] = np.cumsum(new) - 1
+    return code[new], places[new], number
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit values evenly."""
     x = x ^ (x >> np.uint64(33))

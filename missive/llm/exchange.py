@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import grouped
+
 #: Parts documents inside a blob; UTF-8 has no such byte.
 PART = b"\xff"
 
@@ -83,7 +85,7 @@ def ask(stored: DataFrame, features: Callable[[dict], tuple[np.ndarray, np.ndarr
             for row in record.to_pylist():
                 keys, counts = features(row)
                 out: list[tuple] = [
-                    (row["batch"], r, squeezed_sorted(keys[a:b]), b"" if counts is None else squeezed(np.minimum(counts[a:b], 2**31).astype(np.uint32)))
+                    (row["batch"], r, squeezed_sorted(keys[a:b]), b"" if counts is None else squeezed(counts[a:b].astype(np.int64)))
                     for r, a, b in slices(keys, n_ranges, bits)
                 ]
                 cols = zip(*out, strict=True) if out else ([], [], [], [])
@@ -102,18 +104,21 @@ def slices(keys: np.ndarray, n_ranges: int, bits: int) -> list[tuple[int, int, i
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All distinct keys, their summed counts, and where each given key went."""
-    every, where = np.unique(np.concatenate(keys), return_inverse=True)
+    flat = np.concatenate(keys)
+    low = flat.min() if len(flat) else np.uint64(0)
+    every, _, where = grouped(flat - low, int(flat.max() - low).bit_length() if len(flat) else 1)
+    every += low
     return every, np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64), where
 
 
 def tally(asked: DataFrame) -> DataFrame:
-    """(batch, range, totals): each batch's keys' counts over all batches, in their order (uint32, compressed)."""
+    """(batch, range, totals): each batch's keys' counts over all batches, in their order (compressed)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys = [unsqueezed_sorted(x) for x in group["keys"]]
-        counts = [unsqueezed(x, np.uint32) if x else np.ones(len(k), np.uint32) for x, k in zip(group["counts"], keys, strict=True)]
+        counts = [unsqueezed(x, np.int64) if x else np.ones(len(k), np.int64) for x, k in zip(group["counts"], keys, strict=True)]
         _, totals, where = merged(keys, counts)
-        answers = np.minimum(totals, 2**32 - 1).astype(np.uint32)[where]
+        answers = totals[where]
         cut = np.cumsum([len(k) for k in keys])[:-1]
         return group[["batch", "range"]].assign(totals=[squeezed(x) for x in np.split(answers, cut)])
 
@@ -122,8 +127,8 @@ def tally(asked: DataFrame) -> DataFrame:
 
 def answered(rows: pd.DataFrame) -> np.ndarray:
     """A batch's totals in the order of its keys."""
-    parts = [unsqueezed(x, np.uint32) for x in rows.sort_values("range")["totals"]]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    parts = [unsqueezed(x, np.int64) for x in rows.sort_values("range")["totals"]]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def integer_ids(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:

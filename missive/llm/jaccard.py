@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop, mixed, own_name, read, ship, stored, window_hashes
+from .common import WordHashes, distinct, drop, grouped, mixed, own_name, read, ship, stored, window_hashes
 from .exchange import PART, answered, ask, batches, integer_ids, squeezed, tally, unsqueezed
 from .linking import linked
 
@@ -56,7 +56,7 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int) -> tuple[np.nda
     for text in texts:
         h = hashes.of(text.split())
         if len(h) >= n:
-            s = np.unique(window_hashes(h, n))
+            s = distinct(window_hashes(h, n))
         elif len(h):
             s = window_hashes(h, len(h)) ^ np.uint64(len(h))
         else:
@@ -128,7 +128,7 @@ def signatures(tokens: np.ndarray, df: np.ndarray, percent: int, frequent: int,
             for gap in range(1, int(np.bincount(group).max(initial=0))):
                 same = np.flatnonzero(group[gap:] == group[:-gap])
                 out.append(mixed(mixed(part[same] + np.uint64(b + 2)) ^ part[same + gap]))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def _profiles(held: DataFrame, totals: DataFrame, reps: DataFrame, n: int, percent: int, frequent: int, bits: int) -> DataFrame:
@@ -138,10 +138,10 @@ def _profiles(held: DataFrame, totals: DataFrame, reps: DataFrame, n: int, perce
     def run(row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for r in row.to_dict("records"):
-            copies = unsqueezed(b"".join(answers.loc[answers["range"] < 0, "totals"]), np.uint32)  # by place, 0 for all but representatives
+            copies = unsqueezed(b"".join(answers.loc[answers["range"] < 0, "totals"]), np.int64)  # by place, 0 for all but representatives
             every, at = shingle_sets(_texts(r), _hashes, n)
-            keys, where = np.unique(every >> shift, return_inverse=True)
-            df = answered(answers[answers["range"] >= 0])[where] if len(keys) else np.empty(0, np.uint32)
+            keys, _, where = grouped(every >> shift, bits)
+            df = answered(answers[answers["range"] >= 0])[where] if len(keys) else np.empty(0, np.int64)
             ids = np.frombuffer(r["ids"], np.int64)
             for i in np.flatnonzero(copies).tolist():
                 a, b = int(at[i]), int(at[i + 1])
@@ -156,8 +156,8 @@ def _profiles(held: DataFrame, totals: DataFrame, reps: DataFrame, n: int, perce
         for record in records:
             flags_of = []
             for places, copies in zip(record.column(1).to_pylist(), record.column(2).to_pylist(), strict=True):
-                flag = np.zeros(max(places) + 1, np.uint32)
-                flag[places] = np.minimum(copies, 2**32 - 1)
+                flag = np.zeros(max(places) + 1, np.int64)
+                flag[places] = copies
                 flags_of.append(squeezed(flag))
             yield pa.RecordBatch.from_arrays([record.column(0), pa.array([-1] * len(flags_of), pa.int32()), pa.array(flags_of, pa.binary())], names=["batch", "range", "totals"])
 
@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent:
     shift = np.uint64(64 - bits)
 
     def counted(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(shingle_sets(_texts(row), _hashes, n)[0] >> shift, return_counts=True)
+        keys, _, number = grouped(shingle_sets(_texts(row), _hashes, n)[0] >> shift, bits)
+        return keys, np.bincount(number, minlength=len(keys))
 
     totals = stored(tally(ask(held.select("batch", "blob"), counted, n_ranges, bits)), "totals")
     profiles = stored(_profiles(held, totals, classes.select("batch", "place", "copies"), n, percent, frequent, bits), "profiles")

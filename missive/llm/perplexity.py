@@ -1,8 +1,7 @@
 """Quality rules: base counts, and bands of perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is counted over every document; all words (A-Z lower-cased) belong to it. Counts are Kneser-Ney continuation counts at every order:
-a trigram counts as often as different words stand before it, a bigram as often as different trigrams end in it, a word
-as often as different bigrams do. So a text's copies, exact or near, count once, and don't make each other likely. When a
+The model is counted over every document; all words (A-Z lower-cased) belong to it. Trigrams count as often as they occur, a bigram
+as often as different trigrams end in it, a word as often as different bigrams do. So a text's copies don't make its words and bigrams more likely. When a
 document is scored, what the model has from that document alone is taken out of every count, context and discount class first.
 
 Documents are encoded in batches, a table in buckets by batch. For each order, batches send the sorted distinct hashes of their n-grams to
@@ -10,12 +9,9 @@ ranges of the hash space; a range merges them into sorted hash arrays (the store
 hashes up there, and answers with the counts. The answer also says which batch is the first to have an n-gram: only that one adds it to
 the sums of its context and its suffix, which are the question of the order below. Nothing but the counts of counts reaches the driver.
 
-The words before a trigram are told apart by ``SKETCH`` bits of their hash and their number is corrected for collisions, which makes
-counts beyond about ten times 2**SKETCH level off.
-
 Each language has a band of log perplexity around its median, in spreads (interquartile range / 1.349), over the
-documents that pass the base rules. A document above the upper limit of order 3 is rejected, and so is one below the lower limits of all
-three orders: of words, pairs and triples that are all too likely. (One of a large family of near copies is likely under the
+documents that pass the base rules. A document above the upper limit of the highest order is rejected, and so is one below the lower limits of all
+orders: of words, pairs and triples that are all too likely. (One with copies is likely under the
 higher orders only; that is for the dedup operators.) A language's median and spread are averaged with those of all documents, as if these were ``prior``
 documents of the language, so that small languages have a band too.
 
@@ -34,36 +30,57 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHashes, bucketed, drop, mixed, own_name, read, ship, stored, window_hashes
+from .common import _STEP, WordHashes, bucketed, drop, grouped, mixed, own_name, read, ship, stored, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
-#: Bits of the hash of a word before a trigram.
-SKETCH = 14
 #: Stands before the first word of a document.
 START = np.uint64(0x5851F42D4C957F2D)
-BATCH_CHARS, RANGE_KEYS, BUCKETS = 4_000_000, 1_000_000, 64
+BATCH_CHARS, RANGE_KEYS, BUCKETS = 6_000_000, 1_500_000, 64
+#: Bits of a word's hash.
+WORD_BITS = 44
 #: What n_symbols counts.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Log perplexity under the orders 1, 2 and 3.
+ORDER = 3
+#: Log perplexity under the orders from 1 on.
 LOSSES = ("loss_1", "loss_2", "loss")
 
 
-def base_counts(text: str, words: list[bytes], hashes: WordHashes) -> tuple[int, int, int, int]:
-    """word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+class LowHashes(WordHashes):
+    """Hashes of words without regard to A-Z or a-z."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.lower()) >> (64 - WORD_BITS)
+        return h
+
+
+def text_counts(text: str) -> tuple[int, int, int]:
+    """word_chars, n_symbols, n_dup_lines."""
     lines = Counter(text.split("\n"))
     again = sum(c - 1 for line, c in lines.items() if c > 1 and line.strip(BLANKS))
-    repeated = 0
-    if len(words) > 3:
-        _, where, counts = np.unique(window_hashes(hashes.of(words), 3), return_inverse=True, return_counts=True)
-        twice = np.concatenate((counts[where] > 1, [False, False]))
-        repeated = int((twice | np.roll(twice, 1) | np.roll(twice, 2)).sum())
-    return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again, repeated
+    return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again
+
+
+def repeated_words(hashes: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Of each document the words in windows of three that occur twice or more in it; hashes: of all words, one document after the other."""
+    doc = np.repeat(np.arange(len(n_words), dtype=np.uint64), n_words)
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) > 3:
+        windows = window_hashes(hashes, 3) ^ mixed(doc[:-2] + np.uint64(1))
+        inside = np.flatnonzero(doc[2:] == doc[:-2])
+        _, where, counts = np.unique(windows[inside], return_inverse=True, return_counts=True)
+        twice = inside[counts[where] > 1]
+        for k in range(3):
+            out[twice + k] = True
+    return np.bincount(doc[out].astype(np.int64), minlength=len(n_words))
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -84,27 +101,29 @@ def _encoded(rows: DataFrame) -> DataFrame:
     """Batches: ids, languages and base counts of their documents, the hashes of their different words, and all words as numbers of those."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        ids, langs, counts, words, held, seq = [], [], [], [], 0, 0
+        exact, low = WordHashes(), LowHashes()
+        ids, langs, counts, words, seen, held, seq = [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            known, tokens = np.unique(np.concatenate(words), return_inverse=True)
-            blobs = (squeezed(np.array(ids, np.int64)), PART.join(langs), squeezed(np.array(counts, np.int64)), squeezed_sorted(known), squeezed(tokens.astype(np.int32), 3))
+            n_words = np.array([len(w) for w in words], np.int64)
+            table = np.column_stack([n_words, np.array(counts, np.int64).reshape(-1, 3), repeated_words(np.concatenate(seen), n_words)])
+            known, _, tokens = grouped(np.concatenate(words), WORD_BITS)
+            blobs = (squeezed(np.array(ids, np.int64)), PART.join(langs), squeezed(table.reshape(-1)), squeezed_sorted(known), squeezed(tokens.astype(np.int32), 3))
             return pa.RecordBatch.from_pydict({"batch": [batch_number(seq)]} | dict(zip(("ids", "langs", "counts", "words", "tokens"), ([b] for b in blobs), strict=True)))
 
         for record in records:
             for doc, lang, value in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), strict=True):
                 text = value.as_py()
-                split = text.encode("utf-8", "surrogatepass").lower().split()
-                exact = text.encode("utf-8", "surrogatepass").split()
+                split = text.encode("utf-8", "surrogatepass").split()
                 ids.append(doc)
                 langs.append(lang.encode("utf-8", "surrogatepass"))
-                counts.extend((len(split), *base_counts(text, exact, hashes)))
-                words.append(hashes.of(split))
+                counts.append(text_counts(text))
+                words.append(low.of(split))
+                seen.append(exact.of(split))
                 held += len(text)
                 if held >= BATCH_CHARS:
                     yield row()
-                    ids, langs, counts, words, held, seq = [], [], [], [], 0, seq + 1
+                    ids, langs, counts, words, seen, held, seq = [], [], [], [], [], 0, seq + 1
         if ids:
             yield row()
 
@@ -112,21 +131,15 @@ def _encoded(rows: DataFrame) -> DataFrame:
 
 
 class Grams:
-    """The n-grams of a batch as hashes: for each order those of the words, of their contexts, and the different ones."""
+    """The n-grams of a batch as hashes of ``bits`` bits: of each word the one of an order that it ends, and that one's context."""
 
     def __init__(self, row, bits: int):
+        self.bits, self.shift = bits, np.uint64(64 - bits)
         self.n_words = unsqueezed(row["counts"], np.int64)[:: len(COUNTS)]
         self.first = (np.cumsum(self.n_words) - self.n_words)[self.n_words > 0]
-        shift = np.uint64(64 - bits)
-        h = unsqueezed_sorted(row["words"])[unsqueezed(row["tokens"], np.int32)]
-        v = self.before(h, START)
-        u = self.before(v, START)
-        self.sketch = (mixed(self.before(u, START)) >> np.uint64(64 - SKETCH)).astype(np.int64)
-        start = np.array([START])
-        start1, start2 = mixed(start) >> shift, mixed(start * _STEP + start) >> shift
-        self.of = {1: mixed(h) >> shift, 2: mixed(v * _STEP + h) >> shift, 3: mixed((u * _STEP + v) * _STEP + h) >> shift}
-        self.context = {2: self.before(self.of[1], start1[0]), 3: self.before(self.of[2], start2[0])}
-        self.start = {1: start1, 2: start2, 3: np.empty(0, np.uint64)}
+        self.words = unsqueezed_sorted(row["words"])[unsqueezed(row["tokens"], np.int32)]
+        self._of: dict[int, np.ndarray] = {}
+        self._distinct: dict[int, tuple] = {}
 
     def before(self, x: np.ndarray, start) -> np.ndarray:
         out = np.empty_like(x)
@@ -134,9 +147,38 @@ class Grams:
         out[self.first] = start
         return out
 
-    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted different n-grams and contexts of the next order, and a word that ends each (their number: none)."""
-        return np.unique(np.concatenate([self.of[order], self.start[order]]), return_index=True)
+    def start(self, order: int) -> np.ndarray:
+        """The n-gram before a document's first word."""
+        h = np.array([START])
+        for _ in range(order - 1):
+            h = h * _STEP + START
+        return mixed(h) >> self.shift
+
+    def of(self, order: int) -> np.ndarray:
+        if order not in self._of:
+            h, x = self.words.copy(), self.words
+            step = _STEP
+            for _ in range(order - 1):
+                x = self.before(x, START)
+                h += x * step
+                step = step * _STEP
+            self._of[order] = mixed(h) >> self.shift
+        return self._of[order]
+
+    def context(self, order: int) -> np.ndarray:
+        return self.before(self.of(order - 1), self.start(order - 1)[0])
+
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted different n-grams and contexts of the order above, the first word that ends each, and the number of each word's n-gram."""
+        if order not in self._distinct:
+            extra = self.start(order) if order < ORDER else np.empty(0, np.uint64)
+            self._distinct[order] = grouped(np.concatenate([self.of(order), extra]), self.bits)
+        return self._distinct[order]
+
+    def contexts(self, order: int) -> np.ndarray:
+        """The number of each word's context among the distinct ones of the order below."""
+        _, _, number = self.distinct(order - 1)
+        return self.before(number[: len(self.words)], number[-1])
 
 
 def _rows(batch: int, keys: np.ndarray, payload: Callable[[int, int], bytes], n_ranges: int, bits: int) -> list[tuple]:
@@ -149,71 +191,45 @@ ANSWERED = ASKED + ", stats array<long>"
 SUMS = 5
 
 
-def _ask_trigrams(held: DataFrame, n_ranges: int, bits: int) -> DataFrame:
+def _ask_counts(held: DataFrame, n_ranges: int, bits: int) -> DataFrame:
+    """Of each batch the n-grams of the highest order and how often they occur."""
+
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for row in record.to_pylist():
-                g = Grams(row, bits)
-                keys, where = np.unique(g.of[3], return_inverse=True)
-                pairs = np.unique(where << SKETCH | g.sketch)
-                many = np.bincount(pairs >> SKETCH, minlength=len(keys)).astype(np.int32)
-                ends, sketch = np.append(0, np.cumsum(many)), (pairs & ((1 << SKETCH) - 1)).astype(np.uint16)
-                out = _rows(row["batch"], keys, lambda a, b, m=many, e=ends, s=sketch: packed(m[a:b], s[e[a] : e[b]]), n_ranges, bits)
+                keys, _, number = Grams(row, bits).distinct(ORDER)
+                times = np.bincount(number, minlength=len(keys))
+                out = _rows(row["batch"], keys, lambda a, b, n=times: packed(n[a:b]), n_ranges, bits)
                 cols = zip(*out, strict=True) if out else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "range", "keys", "payload"])
 
     return held.select("batch", "counts", "words", "tokens").mapInArrow(run, ASKED)
 
 
-def estimated(seen: np.ndarray) -> np.ndarray:
-    """How many different things were hashed to so many different values of SKETCH bits."""
-    size = float(1 << SKETCH)
-    return np.maximum(seen, np.rint(-size * np.log1p(-np.minimum(seen, size - 0.5) / size))).astype(np.int64)
-
-
 def _stats(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3 and 4, their sum, and how many there are at all."""
     return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int(counts.sum()), int((counts > 0).sum())]
 
 
-def _answers(group: pd.DataFrame, keys: list[np.ndarray], every: np.ndarray, values: list[np.ndarray]) -> pd.DataFrame:
-    """The stored part of the model (batch -1, only counts over 1: the others are known by that), the counts of counts, and each batch's
-    answer, looked up in the sorted array: the values, and whether it is the first to ask."""
-    r, asked = group["range"].iloc[0], np.concatenate(keys)
-    at = np.searchsorted(every, asked)
-    first = np.zeros(len(asked), np.int64)
-    first[np.unique(asked, return_index=True)[1]] = 1
-    answers, a = [], 0
-    for k in keys:
-        b = a + len(k)
-        answers.append(packed(*(v[at[a:b]] for v in values), first[a:b]))
-        a = b
-    some = values[0] > 1
-    out = group[["batch", "range"]].assign(keys=None, payload=answers, stats=None)
-    model = pd.DataFrame({"batch": [-1], "range": [r], "keys": [squeezed_sorted(every[some])], "payload": [packed(*(v[some] for v in values))], "stats": [_stats(values[0])]})
-    return pd.concat([out, model])
-
-
-def _merge_trigrams(asked: DataFrame) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("batch", ignore_index=True)
-        keys = [unsqueezed_sorted(x) for x in group["keys"]]
-        parts = [unpacked(x, np.int32, np.uint16) for x in group["payload"]]
-        pairs = np.concatenate([np.repeat(k, m) << np.uint64(SKETCH) | s for k, (m, s) in zip(keys, parts, strict=True)])
-        every, seen = np.unique(np.unique(pairs) >> np.uint64(SKETCH), return_counts=True)
-        return _answers(group, keys, every, [estimated(seen)])
-
-    return asked.groupBy("range").applyInPandas(run, ANSWERED)
-
+def _merge(asked: DataFrame, n_values: int) -> DataFrame:
+    """The stored part of the model (batch -1; only counts over 1, the others are known by that) with the counts of counts, and each
+    batch's answer, looked up in the sorted array: the sums, and whether the batch is the first to ask."""
 
-def _merge_sums(asked: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("batch", ignore_index=True)
         keys = [unsqueezed_sorted(x) for x in group["keys"]]
-        parts = [unpacked(x, *[np.int64] * SUMS) for x in group["payload"]]
-        every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        values = [_sum(where, np.concatenate([p[i] for p in parts]), len(every)) for i in range(SUMS)]
-        return _answers(group, keys, every, values)
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        asked_keys = np.concatenate(keys)
+        low = asked_keys.min()
+        every, firsts, at = grouped(asked_keys - low, int(asked_keys.max() - low).bit_length())
+        parts = [unpacked(x, *[np.int64] * n_values) for x in group["payload"]]
+        values = [_sum(at, np.concatenate([p[i] for p in parts]), len(every)) for i in range(n_values)]
+        first = np.zeros(len(asked_keys), np.int8)
+        first[firsts] = 1
+        answers = [packed(*(v[at[a:b]] for v in values), first[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        some = values[0] > 1
+        model = pd.DataFrame({"batch": [-1], "range": [group["range"].iloc[0]], "keys": [squeezed_sorted(every[some] + low)], "payload": [packed(*(v[some] for v in values))], "stats": [_stats(values[0])]})
+        return pd.concat([group[["batch", "range"]].assign(keys=None, payload=answers, stats=None), model])
 
     return asked.groupBy("range").applyInPandas(run, ANSWERED)
 
@@ -223,8 +239,8 @@ def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _told(answers: pd.DataFrame, n_values: int) -> list[np.ndarray]:
-    """A batch's answers in the order of its keys."""
-    parts = [unpacked(x, *[np.int64] * (n_values + 1)) for x in answers.sort_values("range")["payload"]]
+    """A batch's answers in the order of its keys: the sums, and whether it is the first."""
+    parts = [unpacked(x, *[np.int64] * n_values, np.int8) for x in answers.sort_values("range")["payload"]]
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(n_values + 1)]
 
 
@@ -235,12 +251,12 @@ def _ask_sums(held: DataFrame, answers: DataFrame, order: int, n_ranges: int, bi
         out: list[tuple] = []
         for row in rows.to_dict("records"):
             g = Grams(row, bits)
-            _, word = g.distinct(order + 1)
-            counts, *_, first = _told(answered, 1 if order == 2 else SUMS)
+            _, word, _ = g.distinct(order + 1)
+            counts, *_, first = _told(answered, 1 if order == ORDER - 1 else SUMS)
             mine = (first == 1) & (counts > 0)
             word, counts = word[mine], counts[mine]
-            keys, _ = g.distinct(order)
-            suffix, context = (np.searchsorted(keys, x[word]) for x in (g.of[order], g.context[order + 1]))
+            keys, _, number = g.distinct(order)
+            suffix, context = number[word], g.contexts(order + 1)[word]
             kind = np.minimum(counts, 3)
             sums = [np.bincount(suffix, minlength=len(keys)), _sum(context, counts, len(keys)), *(np.bincount(context[kind == k], minlength=len(keys)) for k in (1, 2, 3))]
             out += _rows(row["batch"], keys, lambda a, b, s=sums: packed(*(x[a:b].astype(np.int64) for x in s)), n_ranges, bits)
@@ -278,36 +294,42 @@ def _model(answers: dict[int, DataFrame]) -> Model:
 
 
 def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np.ndarray]:
-    """Mean negative log probability of each document's words under the orders 1, 2 and 3, without what the model has from the document alone."""
-    doc = np.repeat(np.arange(len(g.n_words)), g.n_words)
+    """Mean negative log probability of each document's words under the orders from 1 on, without what the model has from the document alone."""
+    n, doc = len(g.words), np.repeat(np.arange(len(g.n_words), dtype=np.uint64), g.n_words)
+
+    def of_doc(number: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each document and thing the first word that has it, and the number of each word's."""
+        _, word, pair = grouped(doc * np.uint64(most) + number.astype(np.uint64), (len(g.n_words) * most).bit_length())
+        return word, pair
+
     alone: np.ndarray | None = None  # n-grams of the order above that only the document has, by the word that ends them
     seen, unseen, weights = {}, {}, {}
-    for order in (3, 2, 1):
-        keys, _ = g.distinct(order)
-        where = np.searchsorted(keys, g.of[order])
-        _, word, pair = np.unique(doc * len(keys) + where, return_index=True, return_inverse=True)  # of each document and n-gram
-        own = np.bincount(np.unique(pair << SKETCH | g.sketch) >> SKETCH, minlength=len(word)) if order == 3 else np.bincount(pair[alone], minlength=len(word))
-        count = told[order][0][where[word]]
+    for order in range(ORDER, 0, -1):
+        keys, _, number = g.distinct(order)
+        word, pair = of_doc(number[:n], len(keys))
+        own = np.bincount(pair if order == ORDER else pair[alone], minlength=len(word))
+        count = told[order][0][number[word]]
         rest = np.maximum(count - own, 0)
         alone = word[rest == 0]
         seen[order] = np.maximum(rest - model.discounts[order][np.minimum(rest, 3)], 0)[pair]
         if order == 1:
             break
-        contexts, _ = g.distinct(order - 1)
-        at = np.searchsorted(contexts, g.context[order])
-        _, some, context = np.unique(doc * len(contexts) + at, return_index=True, return_inverse=True)
+        at = g.contexts(order)
+        some, context = of_doc(at, len(g.distinct(order - 1)[0]))
         of = context[word]
         _, total, *kinds = (x[at[some]] for x in told[order - 1][:SUMS])
         total = total - np.bincount(of, count - rest, len(some))
         left = np.zeros(len(some))
-        for k, n in zip((1, 2, 3), kinds, strict=True):
-            left += model.discounts[order][k] * (n - np.bincount(of[np.minimum(count, 3) == k], minlength=len(some)) + np.bincount(of[np.minimum(rest, 3) == k], minlength=len(some)))
+        for k, many in zip((1, 2, 3), kinds, strict=True):
+            left += model.discounts[order][k] * (many - np.bincount(of[np.minimum(count, 3) == k], minlength=len(some)) + np.bincount(of[np.minimum(rest, 3) == k], minlength=len(some)))
         with np.errstate(invalid="ignore", divide="ignore"):
-            unseen[order] = np.where(total > 0, left / np.maximum(total, 1), 1.0)[context]
+            unseen[order] = np.where(total > 0, np.clip(left / np.maximum(total, 1), 0, 1), 1.0)[context]
             weights[order] = np.where(total > 0, 1 / np.maximum(total, 1), 0.0)[context]
     ends, out = np.cumsum(g.n_words), []
-    for order in (1, 2, 3):
-        p = seen[order] * weights[order] + np.clip(unseen[order], 0, 1) * p if order > 1 else seen[1] / model.total + model.rest
+    p = seen[1] / model.total + model.rest
+    for order in range(1, ORDER + 1):
+        if order > 1:
+            p = seen[order] * weights[order] + unseen[order] * p
         sums = np.append(0.0, np.cumsum(np.log(p)))
         with np.errstate(invalid="ignore", divide="ignore"):
             out.append(np.where(g.n_words > 0, -(sums[ends] - sums[ends - g.n_words]) / g.n_words, np.nan))
@@ -321,7 +343,7 @@ def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits:
         out = []
         for r in rows.to_dict("records"):
             g = Grams(r, bits)
-            told = {order: _told(answered[answered["order"] == order], 1 if order == 3 else SUMS) for order in (1, 2, 3)}
+            told = {order: _told(answered[answered["order"] == order], 1 if order == ORDER else SUMS) for order in range(1, ORDER + 1)}
             counts = unsqueezed(r["counts"], np.int64).reshape(-1, len(COUNTS))
             langs = [x.decode("utf-8", "surrogatepass") for x in r["langs"].split(PART)]
             out.append(pd.DataFrame({"id": unsqueezed(r["ids"], np.int64), "lang": langs} | {c: counts[:, i] for i, c in enumerate(COUNTS)} | dict(zip(LOSSES, losses(g, told, model), strict=True))))
@@ -342,11 +364,11 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = bucketed(_encoded(rows), "encoded", "batch", max(BUCKETS, math.ceil(total / BATCH_CHARS / 4)))
     most = max(1, total // 6)  # distinct n-grams, about: a word and a blank are 6 bytes or more
-    n_ranges, bits = math.ceil(most / RANGE_KEYS), min(64 - SKETCH, max(36, math.ceil(math.log2(most)) + 8))
-    answers = {3: stored(_merge_trigrams(_ask_trigrams(held, n_ranges, bits)), "model-3")}
-    for order in (2, 1):
+    n_ranges, bits = math.ceil(most / RANGE_KEYS), min(60, max(36, math.ceil(math.log2(most)) + 8))
+    answers = {ORDER: stored(_merge(_ask_counts(held, n_ranges, bits), 1), f"model-{ORDER}")}
+    for order in range(ORDER - 1, 0, -1):
         asked = _ask_sums(held, answers[order + 1].where("batch >= 0").select("batch", "range", "payload"), order, n_ranges, bits)
-        answers[order] = stored(_merge_sums(asked), f"model-{order}")
+        answers[order] = stored(_merge(asked, SUMS), f"model-{order}")
     found = stored(_scored(held, answers, _model(answers), bits), "losses")
     table = None
     for order, df in answers.items():

@@ -19,8 +19,8 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", 1, "own") for i, t in texts], DOC)
 
 
-def words(rng, n):
-    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 5))) for _ in range(n))
+def words(rng, n, of="abcdefghij"):
+    return " ".join("".join(rng.choices(of, k=rng.randint(2, 5))) for _ in range(n))
 
 
 def roots_of(pairs, ids):
@@ -119,11 +119,90 @@ def test_components_and_linking(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = roots_of(pairs, {x for p in pairs for x in p if p[0] != p[1]})
     assert all(got.get(i, i) == r for i, r in want.items())
-    # links that only a test late in the lists finds
-    posted = spark.createDataFrame([("x", i, 1, 0) for i in range(12)] + [("y", 11, 1, 0), ("y", 20, 1, 0)], "signature string, id long, size int, own int")
-    close = lambda p: p.where("abs(a - b) = 6 or b = 20")
-    got = {r.id: r.root for r in linked(posted, close, lambda *_: F.lit(True)).collect()}
-    assert {i: got.get(i, i) for i in range(12)} == {i: i % 6 for i in range(12)} and got[20] == 5
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+    # families larger than a block, and links that only the comparison of blocks finds
+    import numpy as np
+
+    links = {(i, i + 7) for i in range(0, 60, 3)} | {(rng.randrange(80), rng.randrange(80)) for _ in range(25)}
+    links = {(min(p), max(p)) for p in links if p[0] != p[1]}
+
+    def prepared(rows):
+        ids = rows["id"]
+        return lambda x, ys: ys[[(min(ids[x], ids[y]), max(ids[x], ids[y])) in links for y in ys.tolist()]] if len(ys) else np.array([], int)
+
+    lists = {i: ["all"] if i < 70 else ["all", "more"] for i in range(80)} | {200: ["other"], 201: ["other"], 300: ["alone"], 301: None}
+    items = spark.createDataFrame([(i, i % 5, 10, s) for i, s in lists.items()], "id long, own int, bytes long, signatures array<string>")
+    want = roots_of(links, range(80))
+    for most, most_bytes in ((1000, 10**6), (16, 10**6), (3, 10**6), (1000, 90)):
+        got = {r.id: r.root for r in linked(items, [], prepared, most=most, most_bytes=most_bytes).collect()}
+        assert {i: got.get(i, i) for i in range(80)} == want and not {300, 301} & set(got), most
+    assert linked(items.limit(0), [], prepared).isEmpty()
+
+
+def near_copies(rng, n):
+    """Texts of one family: some are copies of copies, so that only chains join them."""
+    base = [words(rng, 1, "abcdefghijkl") for _ in range(60)]
+    out = [base]
+    for _ in range(n - 1):
+        x = list(rng.choice(out[-40:]))
+        for _ in range(rng.randint(1, 2)):
+            x[rng.randrange(len(x))] = words(rng, 1, "abcdefghijkl")
+        out.append(x)
+    return [" ".join(x) for x in out]
+
+
+def test_one_large_family_of_near_copies(spark):
+    rng = random.Random(11)
+    texts = list(enumerate(near_copies(rng, 2000)))
+    rows = docs(spark, texts).withColumn("_gone", F.lit(1))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in texts for w in [t.split()]]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    having = {}
+    for i, s in enumerate(sets):
+        common = Counter(j for g in s for j in having.get(g, ()))
+        for j, n in common.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            having.setdefault(g, []).append(i)
+    want = {i: find(i) for i in range(len(sets))}
+    assert len(set(want.values())) < 1500
+    for options in ({}, {"most": 300}):
+        assert {r.doc_id: r.component_id for r in near_duplicates(rows, **options).collect()} == want
+    assert {r.doc_id for r in one_of_each(rows).collect()} == set(want.values())
+
+
+def test_lines_of_one_large_family(spark):
+    rng = random.Random(12)
+    base = words(rng, 12, "abcdefghijkl")[:44]
+    lines = [base]
+    for _ in range(700):
+        x = list(rng.choice(lines[-30:]))
+        for _ in range(rng.randint(1, 2)):
+            x[rng.randrange(len(x))] = rng.choice("xyzé")
+        lines.append("".join(x))
+    texts = [(i, x) for i, x in enumerate(lines)]
+    long = "\n".join(words(rng, 8) for _ in range(20_000))
+    near = [(a, b) for a in set(lines) for b in set(lines) if a < b and sum(x != y for x, y in zip(a, b, strict=True)) <= 2]
+    root = roots_of(near, set(lines))
+    # of lines of one length, two substitutions at most or an insertion and a deletion
+    more = [(a, b) for a in set(lines) for b in set(lines) if a < b and root[a] != root[b] and edits(a, b) <= 2]
+    root = roots_of(near + more, set(lines))
+    seen, want = set(), {}
+    for i, x in texts:
+        want[i] = int(root[x] in seen)
+        seen.add(root[x])
+    for options in ({}, {"most": 100}):
+        got = {r.doc_id: r for r in marked(docs(spark, [*texts, (9999, long)]), **options).collect()}
+        assert {i: got[i].n_removed for i in want} == want and got[9999].n_lines == 20_000
 
 
 def test_near_duplicates_as_by_brute_force(spark):

@@ -151,12 +151,10 @@ def plain_losses(texts):
     """Losses by sets of n-grams: what only the document has is taken out by counting without it."""
     padded = {i: ["<s>"] * 3 + (t or "").lower().split() for i, t in texts}
     grams = lambda s, n: {tuple(s[k - n + 1 : k + 1]) for k in range(3, len(s))}
-    four = {i: grams(s, 4) for i, s in padded.items()}
-    every = set().union(*four.values())
-    levels = {4: every}
-    for n in (3, 2, 1):
-        levels[n] = {g[1:] for g in levels[n + 1]}
-    count = {n: Counter(g[1:] for g in levels[n + 1]) for n in (3, 2, 1)}
+    own = {i: Counter(tuple(s[k - 2 : k + 1]) for k in range(3, len(s))) for i, s in padded.items()}
+    count = {3: sum(own.values(), Counter())}
+    for n in (2, 1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
     d = {n: discounts_of([sum(c == k for c in count[n].values()) for k in (1, 2, 3, 4)]) for n in (1, 2, 3)}
     total = sum(count[1].values())
     rest = sum(d[1][min(c, 3)] for c in count[1].values()) / total / len(count[1])
@@ -164,11 +162,10 @@ def plain_losses(texts):
     for i, s in padded.items():
         if len(s) == 3:
             continue
-        there, gone = {}, four[i]
+        there, less = {}, own[i]
         for n in (3, 2, 1):  # what is left of each order without the document's own
-            own = Counter(g[1:] for g in gone)
-            there[n] = {g: c - own[g] for g, c in count[n].items()}
-            gone = {g for g in own if there[n][g] <= 0 and g in {tuple(s[k - n + 1 : k + 1]) for k in range(3, len(s))}}
+            there[n] = {g: c - less[g] for g, c in count[n].items()}
+            less = Counter(g[1:] for g in grams(s, n) if there[n][g] <= 0)
         sums = [0.0, 0.0, 0.0]
         for k in range(3, len(s)):
             p = 0.0
