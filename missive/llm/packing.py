@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences, with three capacities at once.
 
 A document is its ids and the end id; only documents longer than a sequence are cut, into full pieces with the shorter
-one first. Pieces are dealt by a hash into groups of about ``group_size``; in each group, vector best-fit-decreasing
+one first. Pieces are dealt by a hash into groups of about ``group_size`` (a long document's pieces to many); in each group, vector best-fit-decreasing
 opens bins: a piece is the vector (tokens, 1 document, tokens squared for attention), a bin has a residual of each, and
 among the bins with room in every respect the piece goes to that with the least weighted residual norm afterwards
 (``rule="norm"``) or the greatest weighted dot product of piece and residual (``rule="dot"``). The groups bound memory
@@ -114,7 +114,8 @@ def packed(parts: DataFrame, n_groups: int, *, size: int = SEQUENCE, max_docs: i
 
 def pack(docs: DataFrame, *, size: int = SEQUENCE, group_size: int = 8192, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **limits) -> DataFrame:
     """pieces() of docs, packed(): a row for each piece with its place in a sequence."""
-    n_groups = max(1, math.ceil(docs.count() / group_size))
+    n, n_bytes = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
+    n_groups = max(1, math.ceil((n + (n_bytes or 0) / (4 * size)) / group_size))  # pieces, about: a token has four bytes or so
     return packed(pieces(docs, size=size, end_id=end_id, tokenizer=tokenizer, id_col=id_col, text_col=text_col, with_ids=with_ids), n_groups, size=size, **limits)
 
 

@@ -102,18 +102,19 @@ def _encoded(rows: DataFrame) -> DataFrame:
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, low = WordHashes(), LowHashes()
-        ids, langs, counts, words, seen, held, seq = [], [], [], [], [], 0, 0
+        ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             n_words = np.array([len(w) for w in words], np.int64)
             table = np.column_stack([n_words, np.array(counts, np.int64).reshape(-1, 3), repeated_words(np.concatenate(seen), n_words)])
             known, _, tokens = grouped(np.concatenate(words), WORD_BITS)
-            blobs = (squeezed(np.array(ids, np.int64)), PART.join(langs), squeezed(table.reshape(-1)), squeezed_sorted(known), squeezed(tokens.astype(np.int32), 3))
+            blobs = (squeezed(np.array([ids, text_keys], np.int64).reshape(-1)), PART.join(langs), squeezed(table.reshape(-1)), squeezed_sorted(known), squeezed(tokens.astype(np.int32), 3))
             return pa.RecordBatch.from_pydict({"batch": [batch_number(seq)]} | dict(zip(("ids", "langs", "counts", "words", "tokens"), ([b] for b in blobs), strict=True)))
 
         for record in records:
-            for doc, lang, value in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), strict=True):
+            for doc, lang, value, key in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), record.column(3).to_pylist(), strict=True):
                 text = value.as_py()
+                text_keys.append(key)
                 split = text.encode("utf-8", "surrogatepass").split()
                 ids.append(doc)
                 langs.append(lang.encode("utf-8", "surrogatepass"))
@@ -123,7 +124,7 @@ def _encoded(rows: DataFrame) -> DataFrame:
                 held += len(text)
                 if held >= BATCH_CHARS:
                     yield row()
-                    ids, langs, counts, words, seen, held, seq = [], [], [], [], [], 0, seq + 1
+                    ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, seq + 1
         if ids:
             yield row()
 
@@ -346,14 +347,15 @@ def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits:
             told = {order: _told(answered[answered["order"] == order], 1 if order == ORDER else SUMS) for order in range(1, ORDER + 1)}
             counts = unsqueezed(r["counts"], np.int64).reshape(-1, len(COUNTS))
             langs = [x.decode("utf-8", "surrogatepass") for x in r["langs"].split(PART)]
-            out.append(pd.DataFrame({"id": unsqueezed(r["ids"], np.int64), "lang": langs} | {c: counts[:, i] for i, c in enumerate(COUNTS)} | dict(zip(LOSSES, losses(g, told, model), strict=True))))
-        return pd.concat(out) if out else pd.DataFrame(columns=["id", "lang", *COUNTS, *LOSSES])
+            ids, text_keys = unsqueezed(r["ids"], np.int64).reshape(2, -1)
+            out.append(pd.DataFrame({"id": ids, "text_key": text_keys, "lang": langs} | {c: counts[:, i] for i, c in enumerate(COUNTS)} | dict(zip(LOSSES, losses(g, told, model), strict=True))))
+        return pd.concat(out) if out else pd.DataFrame(columns=["id", "text_key", "lang", *COUNTS, *LOSSES])
 
     every = None
     for order, df in answers.items():
         part = df.where("batch >= 0").select("batch", "range", "payload", F.lit(order).alias("order"))
         every = part if every is None else every.unionByName(part)
-    return held.groupBy("batch").cogroup(every.groupBy("batch")).applyInPandas(run, "id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {x} double" for x in LOSSES))
+    return held.groupBy("batch").cogroup(every.groupBy("batch")).applyInPandas(run, "id long, text_key long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {x} double" for x in LOSSES))
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -361,6 +363,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = bucketed(_encoded(rows), "encoded", "batch", max(BUCKETS, math.ceil(total / BATCH_CHARS / 4)))
     most = max(1, total // 6)  # distinct n-grams, about: a word and a blank are 6 bytes or more
@@ -379,8 +382,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     return found, model
 
 
-def judged(docs: DataFrame, *, below: float = 4.0, above: float = 4.0, least_words: int = 50, repeat_percent: int = 50, prior: int = 50, **options) -> DataFrame:
-    """doc_id, the base counts, base_failed, lang, the losses, the limits of their bands, and kept, for each row."""
+def _judged(docs: DataFrame, *, below: float = 4.0, above: float = 4.0, least_words: int = 50, repeat_percent: int = 50, prior: int = 50, **options) -> DataFrame:
     found, _ = scores(docs, **options)
     found = found.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     fair = found.where(~F.col("base_failed"))
@@ -394,15 +396,21 @@ def judged(docs: DataFrame, *, below: float = 4.0, above: float = 4.0, least_wor
     likely = F.greatest(*((F.col(x) - F.col(f"low_{x}")) for x in LOSSES)) < 0
     kept = ~F.col("base_failed") & F.coalesce((F.col("loss") <= F.col("high")) & ~likely, F.lit(False))
     null = lambda x: F.when(~F.isnan(x), F.col(x)).alias(x)
-    return known.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *COUNTS, "base_failed", F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), *map(null, LOSSES), "high", *(f"low_{x}" for x in LOSSES), kept.alias("kept"))
+    return known.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text_key", *COUNTS, "base_failed", F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), *map(null, LOSSES), "high", *(f"low_{x}" for x in LOSSES), kept.alias("kept"))
+
+
+def judged(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, the base counts, base_failed, lang, the losses, the limits of their bands, and kept, for each row; options as of ``scores``, and of the bands."""
+    return _judged(docs, **options).drop("text_key")
 
 
 def passing(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose id has a rejected row; rows without an id share one verdict."""
-    id_col = options.get("id_col", "doc_id")
-    key = own_name(docs, "_rejected")
-    gone = judged(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    """docs without the rejected rows. Rows are told apart by id, language and text, which decide the verdict."""
+    id_col, text_col, lang_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang")))
+    names = [own_name(docs, f"_{x}") for x in ("rejected", "key", "of")]
+    gone = _judged(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), F.col("lang").alias(names[2])).distinct()
+    same = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(names[1])) & F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & F.col(lang_col).cast("string").eqNullSafe(F.col(names[2]))
+    return docs.join(gone, same, "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

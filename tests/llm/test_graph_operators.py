@@ -334,3 +334,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(i in seen[3] for i, _ in clean) and passage not in seen[3][101].text and seen[3][101].n_chars == len(seen[3][101].text)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(seen[3])
+
+
+def test_rows_without_ids_keep_their_own_lines(spark):
+    rows = docs(spark, [(None, "one line of words\nshared by two"), (None, "other words here\nshared by two"), (3, "shared by two"), (3, "shared by two\nlast")])
+    got = Counter(r.cleaned for r in marked(rows).collect())
+    lines = [x for t in got.elements() for x in t.split("\n") if x]
+    assert sorted(lines) == sorted(["one line of words", "other words here", "shared by two", "last"])
