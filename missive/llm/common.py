@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,12 @@ def drop(*tables: DataFrame) -> None:
     _delete([t._stored_at for t in tables if getattr(t, "_stored_at", None)])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referred to: it does so when the driver's JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keeping(table: DataFrame, before: set[str]) -> DataFrame:
     """table, a stored one; all that was stored since ``before`` but for it is deleted."""
     _delete([p for p in _folders if p not in before and p != table._stored_at])

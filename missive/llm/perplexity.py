@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHashes, bucketed, drop, grouped, mixed, own_name, read, ship, stored, window_hashes
+from .common import _STEP, WordHashes, bucketed, drop, grouped, mixed, own_name, read, release, ship, stored, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
@@ -186,6 +186,19 @@ def _rows(batch: int, keys: np.ndarray, payload: Callable[[int, int], bytes], n_
     return [(batch, r, squeezed_sorted(keys[a:b]), payload(a, b)) for r, a, b in slices(keys, n_ranges, bits)]
 
 
+def packed_sums(values: list[np.ndarray]) -> bytes:
+    """The five sums of n-grams; the second one follows from the others unless there are counts of 3 and more."""
+    s, t, n1, n2, n3 = values
+    return packed(s, n1, n2, n3, t[n3 > 0])
+
+
+def unpacked_sums(data: bytes) -> list[np.ndarray]:
+    s, n1, n2, n3, some = unpacked(data, *[np.int64] * SUMS)
+    t = n1 + 2 * n2
+    t[n3 > 0] = some
+    return [s, t, n1, n2, n3]
+
+
 ASKED = "batch long, range int, keys binary, payload binary"
 ANSWERED = ASKED + ", stats array<long>"
 #: Of an n-gram: its count; of it as a context: the sum of the counts that follow, and how many of them are 1, 2, and 3 or more.
@@ -223,13 +236,14 @@ def _merge(asked: DataFrame, n_values: int) -> DataFrame:
         asked_keys = np.concatenate(keys)
         low = asked_keys.min()
         every, firsts, at = grouped(asked_keys - low, int(asked_keys.max() - low).bit_length())
-        parts = [unpacked(x, *[np.int64] * n_values) for x in group["payload"]]
+        parts = [[unpacked(x, np.int64)[0]] if n_values == 1 else unpacked_sums(x) for x in group["payload"]]
         values = [_sum(at, np.concatenate([p[i] for p in parts]), len(every)) for i in range(n_values)]
         first = np.zeros(len(asked_keys), np.int8)
         first[firsts] = 1
-        answers = [packed(*(v[at[a:b]] for v in values), first[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        made = (lambda v: packed(*v)) if n_values == 1 else packed_sums
+        answers = [np.array([len(x := made([v[at[a:b]] for v in values]))], "<u4").tobytes() + x + squeezed(first[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         some = values[0] > 1
-        model = pd.DataFrame({"batch": [-1], "range": [group["range"].iloc[0]], "keys": [squeezed_sorted(every[some] + low)], "payload": [packed(*(v[some] for v in values))], "stats": [_stats(values[0])]})
+        model = pd.DataFrame({"batch": [-1], "range": [group["range"].iloc[0]], "keys": [squeezed_sorted(every[some] + low)], "payload": [made([v[some] for v in values])], "stats": [_stats(values[0])]})
         return pd.concat([group[["batch", "range"]].assign(keys=None, payload=answers, stats=None), model])
 
     return asked.groupBy("range").applyInPandas(run, ANSWERED)
@@ -241,7 +255,10 @@ def _sum(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def _told(answers: pd.DataFrame, n_values: int) -> list[np.ndarray]:
     """A batch's answers in the order of its keys: the sums, and whether it is the first."""
-    parts = [unpacked(x, *[np.int64] * n_values, np.int8) for x in answers.sort_values("range")["payload"]]
+    parts = []
+    for x in answers.sort_values("range")["payload"]:
+        n = 4 + int.from_bytes(x[:4], "little")
+        parts.append([*([unpacked(x[4:n], np.int64)[0]] if n_values == 1 else unpacked_sums(x[4:n])), unsqueezed(x[n:], np.int8)])
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(n_values + 1)]
 
 
@@ -260,7 +277,7 @@ def _ask_sums(held: DataFrame, answers: DataFrame, order: int, n_ranges: int, bi
             suffix, context = number[word], g.contexts(order + 1)[word]
             kind = np.minimum(counts, 3)
             sums = [np.bincount(suffix, minlength=len(keys)), _sum(context, counts, len(keys)), *(np.bincount(context[kind == k], minlength=len(keys)) for k in (1, 2, 3))]
-            out += _rows(row["batch"], keys, lambda a, b, s=sums: packed(*(x[a:b].astype(np.int64) for x in s)), n_ranges, bits)
+            out += _rows(row["batch"], keys, lambda a, b, s=sums: packed_sums([x[a:b].astype(np.int64) for x in s]), n_ranges, bits)
         return pd.DataFrame(out, columns=["batch", "range", "keys", "payload"])
 
     return held.select("batch", "counts", "words", "tokens").groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, ASKED)
@@ -367,11 +384,13 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     held = bucketed(_encoded(rows), "encoded", "batch", max(BUCKETS, math.ceil(total / BATCH_CHARS / 4)))
     most = max(1, total // 6)  # distinct n-grams, about: a word and a blank are 6 bytes or more
-    n_ranges, bits = math.ceil(most / RANGE_KEYS), min(60, max(36, math.ceil(math.log2(most)) + 8))
+    n_ranges, bits = math.ceil(most / RANGE_KEYS), min(60, max(34, math.ceil(math.log2(most)) + 7))
     answers = {ORDER: stored(_merge(_ask_counts(held, n_ranges, bits), 1), f"model-{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
-        asked = _ask_sums(held, answers[order + 1].where("batch >= 0").select("batch", "range", "payload"), order, n_ranges, bits)
-        answers[order] = stored(_merge(asked, SUMS), f"model-{order}")
+        release(spark)
+        told = answers[order + 1].where("batch >= 0").select("batch", "range", "payload")
+        answers[order] = stored(_merge(_ask_sums(held, told, order, n_ranges, bits), SUMS), f"model-{order}")
+    release(spark)
     found = stored(_scored(held, answers, _model(answers), bits), "losses")
     table = None
     for order, df in answers.items():
