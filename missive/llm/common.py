@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -137,6 +138,17 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_remembered: dict[str, object] = {}
+
+
+def remembered(what: str, make: Callable[[], object]):
+    """What make() made in this Python worker, kept from task to task. What another operator kept is forgotten first, so that a worker holds one such memory."""
+    if what not in _remembered:
+        _remembered.clear()
+        _remembered[what] = make()
+    return _remembered[what]
+
+
 #: Multiplier of the polynomial window hash (odd, so that no bits are lost).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -1,13 +1,16 @@
 """Quality rules: base counts, and bands of perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is counted over every document; all words (A-Z lower-cased) belong to it. Trigrams count as often as they occur, a bigram
-as often as different trigrams end in it, a word as often as different bigrams do. So a text's copies don't make its words and bigrams more likely. When a
+The model is counted over every document; all words (A-Z lower-cased) belong to it. Counts are Kneser-Ney continuation counts at every order:
+a trigram counts as often as different words stand before it, a bigram as often as different trigrams end in it, a word
+as often as different bigrams do. So a text's copies count once, and near copies little more. When a
 document is scored, what the model has from that document alone is taken out of every count, context and discount class first.
 
 Documents are encoded in batches, a table in buckets by batch. For each order, batches send the sorted distinct hashes of their n-grams to
 ranges of the hash space; a range merges them into sorted hash arrays (the stored model), looks every batch's
 hashes up there, and answers with the counts. The answer also says which batch is the first to have an n-gram: only that one adds it to
 the sums of its context and its suffix, which are the question of the order below. Nothing but the counts of counts reaches the driver.
+The words before a trigram are told apart by ``SKETCH`` bits of their hash, and their number is corrected for the collisions to expect;
+numbers beyond some ten thousand level off.
 
 Each language has a band of log perplexity around its median, in spreads (interquartile range / 1.349), over the
 documents that pass the base rules. A document above the upper limit of the highest order is rejected, and so is one below the lower limits of all
@@ -34,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHashes, bucketed, drop, grouped, mixed, own_name, read, release, ship, stored, window_hashes
+from .common import _STEP, WordHashes, bucketed, distinct, drop, grouped, mixed, own_name, read, release, remembered, ship, stored, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
+#: Bits of the hash of a word before a trigram.
+SKETCH = 12
 #: Stands before the first word of a document.
 START = np.uint64(0x5851F42D4C957F2D)
-BATCH_CHARS, RANGE_KEYS, BUCKETS = 6_000_000, 1_500_000, 64
+BATCH_CHARS, RANGE_KEYS, BUCKETS = 10_000_000, 1_500_000, 64
 #: Bits of a word's hash.
 WORD_BITS = 44
 #: What n_symbols counts.
@@ -55,6 +60,8 @@ LOSSES = ("loss_1", "loss_2", "loss")
 class LowHashes(WordHashes):
     """Hashes of words without regard to A-Z or a-z."""
 
+    MOST = 100_000
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
@@ -97,11 +104,11 @@ def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-def _encoded(rows: DataFrame) -> DataFrame:
+def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
     """Batches: ids, languages and base counts of their documents, the hashes of their different words, and all words as numbers of those."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, low = WordHashes(), LowHashes()
+        exact, low = remembered("word hashes", lambda: (WordHashes(), LowHashes()))
         ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
@@ -122,7 +129,7 @@ def _encoded(rows: DataFrame) -> DataFrame:
                 words.append(low.of(split))
                 seen.append(exact.of(split))
                 held += len(text)
-                if held >= BATCH_CHARS:
+                if held >= batch_chars:
                     yield row()
                     ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, seq + 1
         if ids:
@@ -157,8 +164,7 @@ class Grams:
 
     def of(self, order: int) -> np.ndarray:
         if order not in self._of:
-            h, x = self.words.copy(), self.words
-            step = _STEP
+            h, x, step = self.words.copy(), self.words, np.array([_STEP])
             for _ in range(order - 1):
                 x = self.before(x, START)
                 h += x * step
@@ -166,6 +172,13 @@ class Grams:
             self._of[order] = mixed(h) >> self.shift
         return self._of[order]
 
+    def sketch(self) -> np.ndarray:
+        """The word before each trigram of the highest order."""
+        x = self.words
+        for _ in range(ORDER):
+            x = self.before(x, START)
+        return mixed(x) >> np.uint64(64 - SKETCH)
+
     def context(self, order: int) -> np.ndarray:
         return self.before(self.of(order - 1), self.start(order - 1)[0])
 
@@ -173,9 +186,14 @@ class Grams:
         """The sorted different n-grams and contexts of the order above, the first word that ends each, and the number of each word's n-gram."""
         if order not in self._distinct:
             extra = self.start(order) if order < ORDER else np.empty(0, np.uint64)
-            self._distinct[order] = grouped(np.concatenate([self.of(order), extra]), self.bits)
+            keys, first, number = grouped(np.concatenate([self.of(order), extra]), self.bits)
+            self._distinct[order] = keys, first.astype(np.int32), number.astype(np.int32)
         return self._distinct[order]
 
+    def forget(self, order: int) -> None:
+        self._of.pop(order, None)
+        self._distinct.pop(order, None)
+
     def contexts(self, order: int) -> np.ndarray:
         """The number of each word's context among the distinct ones of the order below."""
         _, _, number = self.distinct(order - 1)
@@ -206,20 +224,30 @@ SUMS = 5
 
 
 def _ask_counts(held: DataFrame, n_ranges: int, bits: int) -> DataFrame:
-    """Of each batch the n-grams of the highest order and how often they occur."""
+    """Of each batch the n-grams of the highest order, and the different words before each."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for row in record.to_pylist():
-                keys, _, number = Grams(row, bits).distinct(ORDER)
-                times = np.bincount(number, minlength=len(keys))
-                out = _rows(row["batch"], keys, lambda a, b, n=times: packed(n[a:b]), n_ranges, bits)
+                g = Grams(row, bits)
+                pairs = distinct(g.of(ORDER) << np.uint64(SKETCH) | g.sketch())
+                every = pairs >> np.uint64(SKETCH)
+                at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+                keys, ends = every[at], np.append(at, len(every))
+                before = (pairs & np.uint64((1 << SKETCH) - 1)).astype(np.uint16)
+                out = _rows(row["batch"], keys, lambda a, b, e=ends, x=before: packed(np.diff(e[a : b + 1]).astype(np.int32), x[e[a] : e[b]]), n_ranges, bits)
                 cols = zip(*out, strict=True) if out else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "range", "keys", "payload"])
 
     return held.select("batch", "counts", "words", "tokens").mapInArrow(run, ASKED)
 
 
+def estimated(seen: np.ndarray) -> np.ndarray:
+    """How many different things were hashed to so many different values of SKETCH bits."""
+    size = float(1 << SKETCH)
+    return np.maximum(seen, np.rint(-size * np.log1p(-np.minimum(seen, size - 0.5) / size))).astype(np.int64)
+
+
 def _stats(counts: np.ndarray) -> list[int]:
     """How many counts are 1, 2, 3 and 4, their sum, and how many there are at all."""
     return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int(counts.sum()), int((counts > 0).sum())]
@@ -236,8 +264,13 @@ def _merge(asked: DataFrame, n_values: int) -> DataFrame:
         asked_keys = np.concatenate(keys)
         low = asked_keys.min()
         every, firsts, at = grouped(asked_keys - low, int(asked_keys.max() - low).bit_length())
-        parts = [[unpacked(x, np.int64)[0]] if n_values == 1 else unpacked_sums(x) for x in group["payload"]]
-        values = [_sum(at, np.concatenate([p[i] for p in parts]), len(every)) for i in range(n_values)]
+        if n_values == 1:
+            many, before = (np.concatenate(x) for x in zip(*(unpacked(x, np.int32, np.uint16) for x in group["payload"]), strict=True))
+            pairs = distinct(np.repeat(at, many).astype(np.uint64) << np.uint64(SKETCH) | before)
+            values = [estimated(np.bincount((pairs >> np.uint64(SKETCH)).astype(np.int64), minlength=len(every)))]
+        else:
+            parts = [unpacked_sums(x) for x in group["payload"]]
+            values = [_sum(at, np.concatenate([p[i] for p in parts]), len(every)) for i in range(n_values)]
         first = np.zeros(len(asked_keys), np.int8)
         first[firsts] = 1
         made = (lambda v: packed(*v)) if n_values == 1 else packed_sums
@@ -325,7 +358,10 @@ def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np
     for order in range(ORDER, 0, -1):
         keys, _, number = g.distinct(order)
         word, pair = of_doc(number[:n], len(keys))
-        own = np.bincount(pair if order == ORDER else pair[alone], minlength=len(word))
+        if order == ORDER:
+            own = np.bincount((distinct(pair.astype(np.uint64) << np.uint64(SKETCH) | g.sketch()) >> np.uint64(SKETCH)).astype(np.int64), minlength=len(word))
+        else:
+            own = np.bincount(pair[alone], minlength=len(word))
         count = told[order][0][number[word]]
         rest = np.maximum(count - own, 0)
         alone = word[rest == 0]
@@ -343,6 +379,8 @@ def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np
         with np.errstate(invalid="ignore", divide="ignore"):
             unseen[order] = np.where(total > 0, np.clip(left / np.maximum(total, 1), 0, 1), 1.0)[context]
             weights[order] = np.where(total > 0, 1 / np.maximum(total, 1), 0.0)[context]
+        g.forget(order)
+        told[order] = []
     ends, out = np.cumsum(g.n_words), []
     p = seen[1] / model.total + model.rest
     for order in range(1, ORDER + 1):
@@ -375,14 +413,17 @@ def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits:
     return held.groupBy("batch").cogroup(every.groupBy("batch")).applyInPandas(run, "id long, text_key long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {x} double" for x in LOSSES))
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Base counts and loss (log perplexity) of each document, and the model (order, range, sorted keys, their values)."""
+def scores(docs: DataFrame, *, batch_chars: int = BATCH_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Base counts and loss (log perplexity) of each document, and the model (order, range, sorted keys, their values).
+
+    A task holds batch_chars characters of documents at a time, in about 40 bytes each; fewer make the exchange's rows smaller and its files larger.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    held = bucketed(_encoded(rows), "encoded", "batch", max(BUCKETS, math.ceil(total / BATCH_CHARS / 4)))
+    held = bucketed(_encoded(rows, batch_chars), "encoded", "batch", max(BUCKETS, math.ceil(total / batch_chars / 4)))
     most = max(1, total // 6)  # distinct n-grams, about: a word and a blank are 6 bytes or more
     n_ranges, bits = math.ceil(most / RANGE_KEYS), min(60, max(34, math.ceil(math.log2(most)) + 7))
     answers = {ORDER: stored(_merge(_ask_counts(held, n_ranges, bits), 1), f"model-{ORDER}")}

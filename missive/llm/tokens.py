@@ -13,11 +13,12 @@ from pathlib import Path
 
 import numpy as np
 
+from .common import remembered
+
 #: A word with the space before it, or white space.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space for Python's re but not for the tokenizer: such texts, and those with a special token, are encoded in one piece.
 _ODD = re.compile("[\x1c-\x1f]")
-_loaded: dict[str, "Ids"] = {}
 
 
 class _Pieces(dict):
@@ -91,9 +92,7 @@ class Ids:
 
 
 def loaded(path: str) -> Ids:
-    if path not in _loaded:
-        _loaded[path] = Ids(path)
-    return _loaded[path]
+    return remembered(f"ids of {path}", lambda: Ids(path))
 
 
 def default_path() -> str:

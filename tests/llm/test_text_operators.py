@@ -151,8 +151,8 @@ def plain_losses(texts):
     """Losses by sets of n-grams: what only the document has is taken out by counting without it."""
     padded = {i: ["<s>"] * 3 + (t or "").lower().split() for i, t in texts}
     grams = lambda s, n: {tuple(s[k - n + 1 : k + 1]) for k in range(3, len(s))}
-    own = {i: Counter(tuple(s[k - 2 : k + 1]) for k in range(3, len(s))) for i, s in padded.items()}
-    count = {3: sum(own.values(), Counter())}
+    own = {i: Counter(g[1:] for g in grams(s, 4)) for i, s in padded.items()}
+    count = {3: Counter(g[1:] for g in set().union(*(grams(s, 4) for s in padded.values())))}
     for n in (2, 1):
         count[n] = Counter(g[1:] for g in count[n + 1])
     d = {n: discounts_of([sum(c == k for c in count[n].values()) for k in (1, 2, 3, 4)]) for n in (1, 2, 3)}
@@ -187,9 +187,8 @@ def test_perplexity_against_a_plain_model(spark, monkeypatch):
     rng = random.Random(6)
     texts = [(i, words(rng, rng.randint(20, 50), "abc")) for i in range(40)] + [(70, None), (71, ""), (72, "One two. " * 9), (73, "unheard of")]
     texts += [(74, texts[3][1]), (75, texts[3][1].replace(" a ", " b ")), ("null", texts[5][1])]
-    monkeypatch.setattr("missive.llm.perplexity.BATCH_CHARS", 1500)
     monkeypatch.setattr("missive.llm.perplexity.RANGE_KEYS", 300)
-    found, model = scores(docs(spark, texts))
+    found, model = scores(docs(spark, texts), batch_chars=1500)
     got = {r.id: r for r in found.collect()}
     want = plain_losses(texts)
     for i, _ in texts:
