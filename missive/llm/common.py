@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -78,9 +79,14 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referred to: it does so when the driver's JVM collects them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that are no longer referred to: it does so when the driver's JVM collects them.
+
+    First Python lets go of them, then the gateway between both, then the JVM itself.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def keeping(table: DataFrame, before: set[str]) -> DataFrame:

@@ -10,7 +10,7 @@ ranges of the hash space; a range merges them into sorted hash arrays (the store
 hashes up there, and answers with the counts. The answer also says which batch is the first to have an n-gram: only that one adds it to
 the sums of its context and its suffix, which are the question of the order below. Nothing but the counts of counts reaches the driver.
 The words before a trigram are told apart by ``SKETCH`` bits of their hash, and their number is corrected for the collisions to expect;
-numbers beyond some ten thousand level off.
+numbers beyond some thousands level off.
 
 Each language has a band of log perplexity around its median, in spreads (interquartile range / 1.349), over the
 documents that pass the base rules. A document above the upper limit of the highest order is rejected, and so is one below the lower limits of all
@@ -42,10 +42,10 @@ from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, uns
 
 NO_ID = -(2**63)
 #: Bits of the hash of a word before a trigram.
-SKETCH = 12
+SKETCH = 10
 #: Stands before the first word of a document.
 START = np.uint64(0x5851F42D4C957F2D)
-BATCH_CHARS, RANGE_KEYS, BUCKETS = 10_000_000, 1_500_000, 64
+BATCH_CHARS, RANGE_KEYS, BUCKETS = 10_000_000, 1_000_000, 64
 #: Bits of a word's hash.
 WORD_BITS = 44
 #: What n_symbols counts.
@@ -344,22 +344,43 @@ def _model(answers: dict[int, DataFrame]) -> Model:
     return Model(d, max(1, total), left / max(1, total) / max(1, distinct))
 
 
+#: Words of the documents that are scored at a time.
+CHUNK = 150_000
+
+
 def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np.ndarray]:
     """Mean negative log probability of each document's words under the orders from 1 on, without what the model has from the document alone."""
-    n, doc = len(g.words), np.repeat(np.arange(len(g.n_words), dtype=np.uint64), g.n_words)
+    orders, n = range(ORDER, 0, -1), len(g.words)
+    sketch = g.sketch().astype(np.uint16)
+    contexts = {order: (g.contexts(order), len(g.distinct(order - 1)[0])) for order in orders if order > 1}
+    numbers = {order: (g.distinct(order)[2][:n], len(g.distinct(order)[0])) for order in orders}
+    for order in orders:
+        g.forget(order)
+    ends = np.cumsum(g.n_words)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(ends)]
+    parts = []
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        a, b = int(ends[i - 1]) if i else 0, int(ends[j - 1]) if j else 0
+        parts.append(_losses(g.n_words[i:j], {o: (x[a:b], m) for o, (x, m) in numbers.items()}, {o: (x[a:b], m) for o, (x, m) in contexts.items()}, sketch[a:b], told, model))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarray, told: dict[int, list[np.ndarray]], model: Model) -> list[np.ndarray]:
+    """losses of some documents; numbers and contexts: of each word by order, and how many there are."""
+    doc = np.repeat(np.arange(len(n_words), dtype=np.uint64), n_words)
 
     def of_doc(number: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each document and thing the first word that has it, and the number of each word's."""
-        _, word, pair = grouped(doc * np.uint64(most) + number.astype(np.uint64), (len(g.n_words) * most).bit_length())
+        _, word, pair = grouped(doc * np.uint64(most) + number.astype(np.uint64), (len(n_words) * most).bit_length())
         return word, pair
 
     alone: np.ndarray | None = None  # n-grams of the order above that only the document has, by the word that ends them
     seen, unseen, weights = {}, {}, {}
     for order in range(ORDER, 0, -1):
-        keys, _, number = g.distinct(order)
-        word, pair = of_doc(number[:n], len(keys))
+        number, most = numbers[order]
+        word, pair = of_doc(number, most)
         if order == ORDER:
-            own = np.bincount((distinct(pair.astype(np.uint64) << np.uint64(SKETCH) | g.sketch()) >> np.uint64(SKETCH)).astype(np.int64), minlength=len(word))
+            own = np.bincount((distinct(pair.astype(np.uint64) << np.uint64(SKETCH) | sketch) >> np.uint64(SKETCH)).astype(np.int64), minlength=len(word))
         else:
             own = np.bincount(pair[alone], minlength=len(word))
         count = told[order][0][number[word]]
@@ -368,8 +389,8 @@ def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np
         seen[order] = np.maximum(rest - model.discounts[order][np.minimum(rest, 3)], 0)[pair]
         if order == 1:
             break
-        at = g.contexts(order)
-        some, context = of_doc(at, len(g.distinct(order - 1)[0]))
+        at, most = contexts[order]
+        some, context = of_doc(at, most)
         of = context[word]
         _, total, *kinds = (x[at[some]] for x in told[order - 1][:SUMS])
         total = total - np.bincount(of, count - rest, len(some))
@@ -379,16 +400,14 @@ def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np
         with np.errstate(invalid="ignore", divide="ignore"):
             unseen[order] = np.where(total > 0, np.clip(left / np.maximum(total, 1), 0, 1), 1.0)[context]
             weights[order] = np.where(total > 0, 1 / np.maximum(total, 1), 0.0)[context]
-        g.forget(order)
-        told[order] = []
-    ends, out = np.cumsum(g.n_words), []
+    ends, out = np.cumsum(n_words), []
     p = seen[1] / model.total + model.rest
     for order in range(1, ORDER + 1):
         if order > 1:
             p = seen[order] * weights[order] + unseen[order] * p
         sums = np.append(0.0, np.cumsum(np.log(p)))
         with np.errstate(invalid="ignore", divide="ignore"):
-            out.append(np.where(g.n_words > 0, -(sums[ends] - sums[ends - g.n_words]) / g.n_words, np.nan))
+            out.append(np.where(n_words > 0, -(sums[ends] - sums[ends - n_words]) / n_words, np.nan))
     return out
 
 

@@ -188,6 +188,7 @@ def test_perplexity_against_a_plain_model(spark, monkeypatch):
     texts = [(i, words(rng, rng.randint(20, 50), "abc")) for i in range(40)] + [(70, None), (71, ""), (72, "One two. " * 9), (73, "unheard of")]
     texts += [(74, texts[3][1]), (75, texts[3][1].replace(" a ", " b ")), ("null", texts[5][1])]
     monkeypatch.setattr("missive.llm.perplexity.RANGE_KEYS", 300)
+    monkeypatch.setattr("missive.llm.perplexity.CHUNK", 120)
     found, model = scores(docs(spark, texts), batch_chars=1500)
     got = {r.id: r for r in found.collect()}
     want = plain_losses(texts)
