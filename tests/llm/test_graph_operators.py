@@ -341,3 +341,18 @@ def test_rows_without_ids_keep_their_own_lines(spark):
     got = Counter(r.cleaned for r in marked(rows).collect())
     lines = [x for t in got.elements() for x in t.split("\n") if x]
     assert sorted(lines) == sorted(["one line of words", "other words here", "shared by two", "last"])
+
+
+def test_very_long_texts(spark):
+    from missive.llm.packing import pack
+
+    rng = random.Random(13)
+    long = words(rng, 60_000)
+    near = long.split()
+    near[30_000] += "z"
+    rows = docs(spark, [(1, long), (2, " ".join(near)), (3, "x"), (4, "\n" * 50_000)])
+    assert {r.doc_id: r.component_id for r in near_duplicates(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_removed for r in marked(rows).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    pieces = [r for r in pack(rows).collect() if r.doc_id == 1]
+    assert len(pieces) > 20 and sorted(p.start for p in pieces)[1:] == [sum(q.length for q in sorted(pieces, key=lambda q: q.start)[: k + 1]) for k in range(len(pieces) - 1)]
+    assert all(p.offset == 0 for p in pieces if p.length == 2048)
