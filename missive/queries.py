@@ -38,6 +38,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def messages(spark, d) -> DataFrame:
+    """Template messages, spread over the cores, for queries that compute much on each."""
+    return spread(template_messages(spark, d))
+
+
 def results(spark, d, *columns: str) -> DataFrame:
     """The published columns named (all by default), written once: filters on computed columns then don't compute them again."""
     made = published(template_messages(spark, d))
@@ -120,7 +125,7 @@ for _det in DETECTORS:
 
 
 def spans(spark, d) -> DataFrame:
-    return materialized(with_spans(template_messages(spark, d)).select("message_id", "spans")).select("message_id", F.explode("spans").alias("x"))
+    return materialized(with_spans(messages(spark, d)).select("message_id", "spans")).select("message_id", F.explode("spans").alias("x"))
 
 
 @query("spans_deduped", f"WITH {O.SPANS} SELECT id AS message_id, CAST(s AS INT) AS start_pos, CAST(e AS INT) AS end_pos, type, risk, mask FROM spans")
@@ -195,21 +200,21 @@ FROM (SELECT message_id, trim(message) AS t, CAST(ts AS DATE) AS ref FROM m) WHE
 
 @query("extract_deadlines", f"WITH {O.RAW_ITEMS} SELECT item_id, title, CAST(deadline AS STRING) AS deadline, priority FROM items WHERE message_id IN (SELECT message_id FROM ruled WHERE rule = 'deadline')")
 def _(spark, d):
-    m = template_messages(spark, d).withColumn("safe_message", F.col("message"))
+    m = messages(spark, d).withColumn("safe_message", F.col("message"))
     rows = materialized(extract.with_extraction(m))
     return views.tasks(rows.where(F.col("extraction.reason").rlike("deadline"))).selectExpr("item_id", "title", "CAST(deadline AS STRING) AS deadline", "priority")
 
 
 @query("extract_multi_deadlines", f"WITH {O.RAW_ITEMS} SELECT item_id, title, CAST(deadline AS STRING) AS deadline, priority FROM (SELECT *, max(i) OVER (PARTITION BY message_id) AS most FROM items) WHERE most > 1")
 def _(spark, d):
-    m = template_messages(spark, d).withColumn("safe_message", F.col("message"))
+    m = messages(spark, d).withColumn("safe_message", F.col("message"))
     rows = materialized(extract.with_extraction(m))
     return views.tasks(rows.where(F.col("extraction.reason").rlike("distinct tasks"))).selectExpr("item_id", "title", "CAST(deadline AS STRING) AS deadline", "priority")
 
 
 @query("extract_call", f"WITH {O.RAW_ITEMS} SELECT item_id, title, person, priority FROM items WHERE person IS NOT NULL")
 def _(spark, d):
-    m = template_messages(spark, d).withColumn("safe_message", F.col("message"))
+    m = messages(spark, d).withColumn("safe_message", F.col("message"))
     return views.tasks(materialized(extract.with_extraction(m))).where("person is not null").select("item_id", "title", "person", "priority")
 
 
@@ -344,14 +349,14 @@ def _(spark, d):
 
 @query("leak_scan_unmasked", f"WITH {O.SPANS} SELECT spans.id AS message_id, spans.type, CAST(spans.s AS INT) AS start_pos FROM spans")
 def _(spark, d):
-    m = template_messages(spark, d)
+    m = messages(spark, d)
     found = materialized(with_spans(m).select("message_id", "spans"))
     return audit.leaks(found, {"messages": m.select(F.col("message").alias("line"))}).select("message_id", "type", F.col("start").alias("start_pos"))
 
 
 @query("leak_texts", f"WITH {O.SPANS} SELECT id AS message_id, type AS sensitivity_type, 'messages' AS artifact FROM spans")
 def _(spark, d):
-    m = template_messages(spark, d)
+    m = messages(spark, d)
     found = audit.leaks(materialized(with_spans(m).select("message_id", "spans")), {"messages": m.select(F.col("message").alias("line"))})
     return audit.leak_texts(found).select("finding.message_id", "finding.sensitivity_type", "finding.artifact")
 
