@@ -29,20 +29,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, distinct, drop, grouped, mixed, own_name, read, ship, stored, window_hashes
+from .common import WordHashes, distinct, drop, grouped, mixed, own_name, read, remembered, ship, stored, window_hashes
 from .exchange import PART, answered, ask, batches, integer_ids, squeezed, tally, unsqueezed
 from .linking import linked
 
 #: Stands for a null id inside batches.
 NO_ID = -(2**63)
 #: Characters of a batch, and shingles of a range of the hash space, about.
-BATCH_CHARS, RANGE_KEYS = 2_000_000, 1_000_000
+BATCH_CHARS, RANGE_KEYS = 1_500_000, 750_000
 #: A shingle of so many documents is of the frequent class.
 FREQUENT = 24
 
 
-#: One to a worker, so that common words are hashed once.
-_hashes = WordHashes()
+def _hashes() -> WordHashes:
+    """One to a worker, so that common words are hashed once."""
+    return remembered("shingle words", WordHashes)
 
 
 def needed(n: int, percent: int) -> int:
@@ -73,7 +74,7 @@ def _texts(row) -> list[bytes]:
 def _batches(docs: DataFrame, n: int) -> DataFrame:
     def encode(ids: list[int], texts: list[str]) -> dict[str, object]:
         low = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-        every, at = shingle_sets(low, _hashes, n)
+        every, at = shingle_sets(low, _hashes(), n)
         classes = b"".join(xxhash.xxh3_128_digest(every[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True))
         blob = zstandard.ZstdCompressor(level=3).compress(PART.join(low))
         return {"blob": blob, "ids": np.array(ids, np.int64).tobytes(), "sizes": np.diff(at).astype(np.int64).tobytes(), "classes": classes}
@@ -139,7 +140,7 @@ def _profiles(held: DataFrame, totals: DataFrame, reps: DataFrame, n: int, perce
         out: list[tuple] = []
         for r in row.to_dict("records"):
             copies = unsqueezed(b"".join(answers.loc[answers["range"] < 0, "totals"]), np.int64)  # by place, 0 for all but representatives
-            every, at = shingle_sets(_texts(r), _hashes, n)
+            every, at = shingle_sets(_texts(r), _hashes(), n)
             keys, _, where = grouped(every >> shift, bits)
             df = answered(answers[answers["range"] >= 0])[where] if len(keys) else np.empty(0, np.int64)
             ids = np.frombuffer(r["ids"], np.int64)
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, frequent:
     shift = np.uint64(64 - bits)
 
     def counted(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        keys, _, number = grouped(shingle_sets(_texts(row), _hashes, n)[0] >> shift, bits)
+        keys, _, number = grouped(shingle_sets(_texts(row), _hashes(), n)[0] >> shift, bits)
         return keys, np.bincount(number, minlength=len(keys))
 
     totals = stored(tally(ask(held.select("batch", "blob"), counted, n_ranges, bits)), "totals")
