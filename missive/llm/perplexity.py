@@ -204,16 +204,27 @@ def _rows(batch: int, keys: np.ndarray, payload: Callable[[int, int], bytes], n_
     return [(batch, r, squeezed_sorted(keys[a:b]), payload(a, b)) for r, a, b in slices(keys, n_ranges, bits)]
 
 
+#: Stands for sums that do not fit the byte.
+LARGE = 255
+
+
 def packed_sums(values: list[np.ndarray]) -> bytes:
-    """The five sums of n-grams; the second one follows from the others unless there are counts of 3 and more."""
+    """The five sums of n-grams: small ones in one byte. The second one follows from the others unless there are counts of 3 and more."""
     s, t, n1, n2, n3 = values
-    return packed(s, n1, n2, n3, t[n3 > 0])
+    code = np.where((s < 16) & (n1 < 8) & (n2 < 2) & (n3 == 0), 16 * s + 2 * n1 + n2, LARGE).astype(np.uint8)
+    large = code == LARGE
+    return packed(code, s[large], n1[large], n2[large], n3[large], t[n3 > 0])
 
 
 def unpacked_sums(data: bytes) -> list[np.ndarray]:
-    s, n1, n2, n3, some = unpacked(data, *[np.int64] * SUMS)
+    code, *some, totals = unpacked(data, np.uint8, *[np.int64] * SUMS)
+    large = code == LARGE
+    out = [x.astype(np.int64) for x in (code >> 4, code >> 1 & 7, code & 1, np.zeros(len(code), np.int64))]
+    for x, y in zip(out, some, strict=True):
+        x[large] = y
+    s, n1, n2, n3 = out
     t = n1 + 2 * n2
-    t[n3 > 0] = some
+    t[n3 > 0] = totals
     return [s, t, n1, n2, n3]
 
 
