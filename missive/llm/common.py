@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -150,7 +152,11 @@ _remembered: dict[str, object] = {}
 def remembered(what: str, make: Callable[[], object]):
     """What make() made in this Python worker, kept from task to task. What another operator kept is forgotten first, so that a worker holds one such memory."""
     if what not in _remembered:
-        _remembered.clear()
+        if _remembered:
+            _remembered.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can give memory back
+                ctypes.CDLL(None).malloc_trim(0)
         _remembered[what] = make()
     return _remembered[what]
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, mixed, own_name, ship, stored, window_hashes
+from .common import drop, mixed, own_name, remembered, ship, stored, window_hashes
 
 #: Lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,6 +109,7 @@ def _scanned(docs: DataFrame, windows, at: int, names: list[str]) -> DataFrame:
     schema = docs.schema if more else T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("windows", dict)
         w = windows.value
         for batch in batches:
             cols: list[list] = [[], [], []]
