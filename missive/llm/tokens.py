@@ -24,7 +24,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 class _Pieces(dict):
     """Piece -> its ids as bytes; two generations, so that memory is bounded and common pieces stay."""
 
-    MOST = 160_000
+    MOST = 250_000
     #: Longer pieces are encoded but not remembered.
     LONGEST = 64
 
