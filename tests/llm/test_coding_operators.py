@@ -3,12 +3,16 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
 import tiktoken
 from missive.llm import bpe, fill_middle
+from missive.llm.common import read
 from missive.llm.fill_middle import GRAMMARS, fill_in_middle, restored, units
+from missive.llm.runs import find_runs, op12, runs_of
 from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
@@ -154,3 +158,84 @@ def test_fill_in_middle_by_hand(spark):
     other = fill_in_middle(docs(spark, [(7, "a b c")]), grammar="words", marks=marks, spm_rate=0)
     r = other.withColumn("back", restored(F.col("output"), F.col("form_"), marks)).first()
     assert (r.n_units, r.form_, r.back) == (3, "psm", "a b c") and r.output.startswith("[p]")
+
+
+def plain_runs(words, exponent=4, least=6):
+    out, n = [], len(words)
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            start, length = i, j - i + q
+            piece = words[start : start + length]
+            if length >= max(least, exponent * q) and not any(piece[p:] == piece[:-p] for p in range(1, q)):
+                out.append((start, length, q))
+            i = j
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_runs_as_by_brute_force():
+    rng = random.Random(6)
+    for k in range(400):
+        texts = []
+        for _ in range(rng.randint(0, 5)):
+            words = rng.choices("abc"[: rng.randint(1, 3)], k=rng.randint(0, 60))
+            if rng.random() < 0.6:
+                block = rng.choices("ab", k=rng.randint(1, 9))
+                words[rng.randint(0, len(words)) :] = block * rng.randint(2, 7) + block[: rng.randint(0, 3)] + rng.choices("ab", k=rng.randint(0, 5))
+            texts.append(words)
+        flat = np.array([ord(w) - 97 for t in texts for w in t], np.int64)
+        starts = np.cumsum([0, *map(len, texts)])
+        for exponent, least in ((4, 6), (2, 0), (3, 4)):
+            assert runs_of(flat, starts, least_exponent=exponent, least_length=least) == [plain_runs(t, exponent, least) for t in texts], (k, texts)
+
+
+def test_runs_of_very_long_texts():
+    rng = random.Random(7)
+    part = [rng.randint(0, 500) for _ in range(30_000)]
+    for words, expected in (([0] * 200_000, [(0, 200_000, 1)]), (part * 6, [(0, 180_000, 30_000)]), ([0, 1] * 100_000 + [2] + [0] * 7, [(0, 200_000, 2), (200_001, 7, 1)])):
+        began = time.perf_counter()
+        assert runs_of(np.array(words), np.array([0, len(words)])) == [expected]
+        assert time.perf_counter() - began < 20
+
+
+def plain_op12(i, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h, n = zlib.crc32(str(i).encode()), len(words)
+    g = h // 10
+    if i is not None and h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (j - a) % p] for j in range(a, n)]
+    runs = plain_runs(words)
+    gone = {j for s, length, q in runs for j in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (i, len(runs), *(best[:1] + best[1:] + (1000 * best[1] // best[2],) if best else (None,) * 4), sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)), sha(" ".join(w for j, w in enumerate(words) if j not in gone)))
+
+
+def test_runs_query_by_brute_force(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    want = [plain_op12(r.doc_id, r.text) for r in read(spark, sf, "documents").collect() if len(r.text or "") < 12_000]
+    got = {r.doc_id: tuple(r) for r in op12(spark, sf).collect()}
+    assert len(want) > 150 and all(got[w[0]] == w for w in want) and sum(w[1] > 0 for w in want) > 10
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("ab", k=rng.randint(0, 60)))) for i in range(150)] + [(150, None), (151, " \n\t"), (None, "a " * 9), (3, "x"), (3, "x"), (152, "b\x0bb\x0cb\rb b\tb\u00a0c")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(repr, map(tuple, op12(spark, str(tmp_path)).collect()))) == sorted(repr(plain_op12(i, t)) for i, t in rows)
+
+
+def test_find_runs_keeps_columns(spark):
+    df = docs(spark, [(1, "x a b a b a b a b a b y"), (2, None), (None, "")]).withColumnRenamed("ids", "runs")
+    out = find_runs(df, batch_words=1)
+    assert out.columns == ["doc_id", "text", "runs", "form", "word_count", "runs_", "collapsed"]
+    a, *others = sorted(out.collect(), key=lambda r: r.text or "", reverse=True)
+    assert ([tuple(r) for r in a.runs_], a.collapsed, a.word_count, a.runs) == ([(1, 10, 2)], "x a b y", 12, "own")
+    assert all((r.word_count, r.runs_, r.collapsed) == (0, [], "") for r in others)
+    assert find_runs(docs(spark, [])).count() == 0
+    assert "collapsed" not in find_runs(df, collapse=False).columns
