@@ -80,7 +80,7 @@ class _Follows(dict):
 
 class Transducer:
     #: States, and pairs of tokens, that are remembered at most.
-    MOST_STATES, MOST_PAIRS = 150_000, 500_000
+    MOST_STATES, MOST_PAIRS = 100_000, 250_000
 
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -193,7 +193,7 @@ class Transducer:
 
     def encode(self, piece: bytes) -> array:
         """The ids of a piece that is not empty."""
-        if len(self._live) >= self.MOST_STATES or len(self._ends) >= 4 * self.MOST_STATES:
+        if len(self._live) >= self.MOST_STATES or len(self._ends) >= 2 * self.MOST_STATES:
             self._anew()
         ids, state, ways = array("i"), 0, self._ways.get
         for byte in piece[:-1]:
@@ -212,12 +212,25 @@ class Encoder:
     """Whole texts. A match of the pattern is white space, or has none but for a space in front; so a text is cut there first, and what was
     encoded is remembered by these words (two generations of a bounded number). A new word's matches each go through the transducer."""
 
-    MOST, LONGEST = 500_000, 48
+    MOST, LONGEST = 220_000, 40
     #: Characters that are split at a time; a part ends between a character and white space, where a match always ends.
     PART = 500_000
     _END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
     _WORD = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
+    #: White space that is no single space or newline between other characters.
+    _UNEVEN = re.compile(f"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|^[ \n]|[ \n]$")
+
+    @staticmethod
+    def _even(text: str) -> list[str]:
+        """What _WORD finds in a text without such white space."""
+        words: list[str] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            words += ["\n", first] if words else [first]
+            words += [" " + x for x in rest]
+        return words
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.by, self._pattern = Transducer(ranks), regex.compile(pattern)
         self._new, self._old = {}, {}
@@ -225,7 +238,7 @@ class Encoder:
     def _ids(self, word: str) -> bytes:
         found = self._old.get(word)
         if found is None:
-            matches = self._pattern.findall(word)
+            matches = () if word.lstrip(" ").isalpha() else self._pattern.findall(word)
             found = b"".join(map(self._known, matches)) if len(matches) > 1 else self._piece(word)
         return self._kept(word, found)
 
@@ -252,7 +265,9 @@ class Encoder:
         while at < len(text):
             end = self._END.search(text, at + self.PART) if len(text) - at > self.PART else None
             end = end.start() if end else len(text)
-            out.append(b"".join([known(x) or self._ids(x) for x in self._WORD.findall(text, at, end)]))
+            part = text[at:end]
+            words = self._WORD.findall(part) if self._UNEVEN.search(part) else self._even(part)
+            out.append(b"".join([known(x) or self._ids(x) for x in words]))
             at = end
         return b"".join(out)
 
@@ -289,10 +304,15 @@ class _Half(dict):
 class Decoder:
     """ids -> text, in order; ``feed`` gives what is complete, ``end`` what is left."""
 
-    MOST = 500_000
+    #: Ways that are remembered at most, and ids that are looked up together.
+    MOST, STRETCH = 200_000, 500
 
     def __init__(self, tokens: dict[int, bytes]):
         self._tokens, self._states, self._ways = tokens, {}, 0
+        self._whole = {}  # the ways from the start back to it
+        for i, token in tokens.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self._whole[i] = token.decode()
         self.start = self.state = self._state(b"")
 
     def _state(self, begun: bytes) -> _Half:
@@ -329,10 +349,19 @@ class Decoder:
         return "".join(out), self._state(begun)
 
     def feed(self, ids: Iterable[int | None]) -> str:
-        out, state = [], self.state
-        for i in ids:
-            text, state = state[i]
-            out.append(text)
+        out, state, start, n = [], self.state, self.start, self.STRETCH
+        ids = ids if isinstance(ids, list) else list(ids)
+        for a in range(0, len(ids), n):
+            stretch = ids[a : a + n]
+            if state is start:
+                try:  # ways from the start back to it need no state between them
+                    out.append("".join(map(self._whole.__getitem__, stretch)))
+                    continue
+                except KeyError:
+                    pass
+            for i in stretch:
+                text, state = state[i]
+                out.append(text)
         self.state = state
         return "".join(out)
 
@@ -354,6 +383,13 @@ def _no_cycles() -> Iterator[None]:
             gc.enable()
 
 
+def parted(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that less is held at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _vocabulary(path: str | None, pattern: str | None) -> tuple[bytes, str]:
     import public_tokenizers
 
@@ -372,7 +408,7 @@ def encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, splits = sent.value
         encoder = remembered(f"bpe encoder {zlib.crc32(lines)} {splits}", lambda: Encoder(ranks_of(lines), splits))
-        for batch in batches:
+        for batch in parted(batches):
             with _no_cycles():
                 found = [encoder.of(x.as_py() or "") for x in batch.column(len(here))]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)])
@@ -393,7 +429,7 @@ def decode(df: DataFrame, *, ranks: str | None = None, ids_col: str = "ids", dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder({rank: token for token, rank in ranks_of(sent.value[0]).items()})
-        for batch in batches:
+        for batch in parted(batches):
             texts = []
             for row in batch.column(len(here)):
                 ids = row.values
