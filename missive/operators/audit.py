@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..sources.artifacts import materialized
 
 
 def missing_ids(expected: DataFrame, artifact: DataFrame) -> DataFrame:
@@ -89,32 +90,35 @@ LONG_PIECE, SHORT_PIECE = 6, 3
 
 
 def _pieces(text: Column, size: int) -> Column:
-    n = F.char_length(text) - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """All stretches of so many characters of a text, by one pass of a regex of zero width."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def leaks(detected: DataFrame, artifacts: dict[str, DataFrame], *, line: str = "line") -> DataFrame:
     """(message_id, type, start, artifact) of raw values that occur anywhere in an artifact's lines, once for each artifact.
 
-    Each distinct value is searched by its rarest piece of 6 characters (3 if it is shorter, or all of it) among all pieces of
-    all lines: an equi-join, and then the text test. Lines have a row for each piece, values one, so rows grow with the text; a
-    value one of whose pieces no line has is done before that.
+    Lines are posted under their pieces of 6 characters (3, 2 or 1 if there are values as short), by a hash of the line in place of the
+    line: a row for each different piece of a different line, kept only if a value has the piece. Each distinct value then takes the
+    rarest of its pieces; a value one of whose pieces is posted nowhere is done. The lines of the other values' pieces are
+    joined back by their hash, and the text is tested; lines of equal hash are all tested, so no collision does harm.
     """
     values = detected.select("message_id", F.explode("spans").alias("x")).select("message_id", "x.type", "x.value", "x.start").where("value <> ''")
     size = F.when(F.char_length("value") >= LONG_PIECE, LONG_PIECE).otherwise(F.least(F.char_length("value"), F.lit(SHORT_PIECE)))
     distinct = values.select("value").distinct().withColumn("size", size)
     sizes = sorted(r.size for r in distinct.select("size").distinct().collect())  # 4 at most
-    pieces = F.array_distinct(F.concat(*(F.when(F.col("size") == k, _pieces(F.col("value"), k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1])))
-    of_values = distinct.select("value", F.explode(pieces).alias("piece"))
+    pieces = lambda text, of: F.array_distinct(F.concat(*(F.when(of(k), _pieces(text, k)).otherwise(F.array().cast("array<string>")) for k in sizes or [1])))
+    of_values = distinct.select("value", F.explode(pieces(F.col("value"), lambda k: F.col("size") == k)).alias("piece"))
     lines = None
     for name, df in artifacts.items():
         part = df.select(F.lit(name).alias("artifact"), F.col(line).alias("_line")).where("_line is not null")
         lines = part if lines is None else lines.unionByName(part)
-    of_lines = lines.select("artifact", "_line", F.explode(F.array_distinct(F.concat(*(_pieces(F.col("_line"), k) for k in sizes or [1])))).alias("piece"))
-    times = of_lines.select("piece").join(of_values.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    lines = lines.withColumn("_key", F.xxhash64("_line"))
+    posted = lines.select("artifact", "_key", F.explode(pieces(F.col("_line"), lambda k: F.lit(True))).alias("piece"))
+    posted = materialized(posted.join(of_values.select("piece").distinct(), "piece", "left_semi").distinct(), "leak-postings")
+    times = posted.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     rarest = of_values.join(times, "piece", "left").groupBy("value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("x"))
     searched = rarest.where("x.n > 0").select("value", "x.piece")
-    hits = of_lines.join(searched, "piece").where(F.contains("_line", "value")).select("value", "artifact").distinct()
+    hits = posted.join(searched, "piece").select("artifact", "_key", "value").join(lines, ["artifact", "_key"]).where(F.contains("_line", "value")).select("value", "artifact").distinct()
     return values.join(hits, "value").select("message_id", "type", "start", "artifact")
 
 
