@@ -115,6 +115,8 @@ VALUE_MARKS = " \t.,;:!?”“\"'()[]"
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 NO_ITEMS_REASON = "No actionable or schedulable signal detected."
+#: Around the number of items.
+MODEL_ITEMS_REASON = ("LLM fallback extracted ", " item(s).")
 ITEM_TYPES = ("task", "meeting", "event", "reminder")
 PRIORITIES = ("high", "medium", "low", "unknown")
 #: Text values that the input counts as missing.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.classify import with_classification
 from ..operators.detect import with_safe_text, with_spans
 from ..operators.extract import with_extraction
+from ..operators.fallback import failed
 from ..sources.artifacts import security
 
 
@@ -37,8 +38,8 @@ def summary(results: DataFrame) -> DataFrame:
     totals = results.agg(
         F.count(F.lit(1)).alias("total_messages"), F.count_if("security.has_detection").alias("messages_with_sensitive"),
         F.count_if(F.size("extraction.items") > 0).alias("messages_with_items"), F.sum(F.size("extraction.items").cast("long")).alias("total_items"),
-        F.count_if(F.col("classification.method") == "rule_based").alias("rule_based"), F.count_if(F.col("classification.method") == "llm").alias("llm_based"),
-        F.count_if(F.col("classification.method") == "llm_failed").alias("llm_failures"),
+        F.count_if(F.col("classification.method").isin("rule_based", "llm_failed")).alias("rule_based"), F.count_if(F.col("classification.method") == "llm").alias("llm_based"),
+        F.coalesce(F.sum(failed(results)), F.lit(0)).alias("llm_failures"),
     )
     by_type = items_by_type(results).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("items_by_type"))
     return totals.crossJoin(by_type)  # one row each

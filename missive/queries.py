@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from .functions import fixed as X
 from .functions.text import any_case, blank, utrim
 from .operators import audit, extract, validate, views
 from .operators.classify import SCORES
 from .operators.detect import DETECTORS, found_by, with_spans
-from .operators.fallback import with_model_category, with_model_items
+from .operators.fallback import parsed_category, parsed_items, with_model_category, with_model_items
 from .plans.analysis import analyzed, items_by_type, published, spread, summary
 from .plans.run import stats, summary_statistics, validation_report
 from .sources.artifacts import final_results, lines, materialized
@@ -460,12 +461,105 @@ def _stub():
     return ask
 
 
-@query("llm_fallback_stub")
+@query("llm_fallback_stub", f"""WITH RECURSIVE {O.CLASSIFIED}{O.ITEMS.removeprefix(O.MASKED)}
+SELECT CASE WHEN confidence >= 0.75 THEN 'rule_based' WHEN contains(safe_message, 'cafeteria') THEN 'llm' ELSE 'llm_failed' END AS category_method,
+  CASE WHEN rule <> 'none' THEN 'rule_based' WHEN contains(safe_message, 'material') THEN 'llm' ELSE 'llm_failed' END AS items_method,
+  CASE WHEN confidence < 0.75 AND contains(safe_message, 'cafeteria') THEN 'general_information' ELSE category END AS category, count(*) AS n
+FROM classified JOIN safe ON safe.id = classified.message_id JOIN ruled USING (message_id) GROUP BY 1, 2, 3""")
 def _(spark, d):
     asked = with_model_items(with_model_category(results(spark, d), lambda: _stub()), lambda: _stub())
     return asked.groupBy(F.col("classification.method").alias("category_method"), F.col("extraction.method").alias("items_method"), F.col("classification.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# answers of a model, by key; the same SQL in both engines
+def _cases(answers: tuple[str, ...]) -> str:
+    cases = " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(answers))
+    return f"CASE o_orderkey % {len(answers)} {cases} END AS answer"
+
+
+def answers(spark, d, cases: str) -> DataFrame:
+    return table(spark, d, "orders").selectExpr("o_orderkey", "CAST(o_orderkey AS STRING) AS k").selectExpr("o_orderkey", "'MSG_' || k AS message_id", cases)
+
+
+CATEGORY_ANSWERS = _cases((
+    """'{"message_id": "MSG_' || k || '", "category": "Promotional", "confidence": 0.8, "reason": " because of ' || k || ' "}'""",
+    """'Here: ```json {"category": "action-required", "confidence": "0.75", "reason": "asked"} ``` bye'""",
+    """'Sure! {"category": " meeting or event ", "confidence": 2} ok'""",
+    """'{"category": "promotional"'""",
+    """'{"message_id": "MSG_x' || k || '", "category": "promotional", "confidence": 1}'""",
+    """'[{"category": "promotional"}]'""",
+    """'{"category": "nonsense ' || k || '", "confidence": 1}'""",
+    """''""",
+    """'{"category": "personal_information!", "confidence": "high"}'""",
+    """'{"category": null, "confidence": 1}'""",
+    """'{"category": "general_information", "confidence": true, "reason": 5}'""",
+    """'{"category": "general_information", "confidence": -3, "message_id": null, "reason": "' || repeat('r', 400) || '"}'""",
+    """'{"category": "promotional"} {"category": "promotional"}'""",
+    """'{"category": "sensitive_information", "confidence": "' || k || 'e-6", "extra": {"category": [1, 2]}}'""",
+))
+ITEM_ANSWERS = _cases((
+    """'{"items": [{"type": "Task", "title": " Pay bill ' || k || ' ", "deadline": "2026-02-03", "priority": "HIGH"}, {"type": "task", "title": "b", "priority": 3}, {"type": "event", "title": "c"}]}'""",
+    """'```[{"type": "reminder", "title": "call", "time": "9 pm", "person": " (Maya  K). ", "date": ""}]```'""",
+    """'So [{"type": "meeting", "title": "sync ' || k || '", "date": " 2026-12-31 ", "time": "", "description": "in (Room 2)"}] it is'""",
+    """'{"items": [{"type": "task", "title": "good"}, {"type": "task", "title": "  "}]}'""",
+    """'{"items": [{"type": "task", "title": "t", "date": "2026-02-30"}]}'""",
+    """'{"items": [{"type": "task", "title": "t", "time": "25:00"}]}'""",
+    """'{"message_id": "MSG_x", "items": [{"type": "task", "title": "t"}]}'""",
+    """'{"items": null}'""",
+    """'{"items": {"type": "task", "title": "t"}}'""",
+    """'{"items": []}'""",
+    """'{"items": [{"type": "task", "title": "t"}, "task"]}'""",
+    """'{"items": [{"type": "party", "title": "t"}]}'""",
+    """'nothing to do'""",
+    """'{"message_id": "MSG_' || k || '", "items": [{"type": "task", "title": "' || repeat('t', 200) || '", "description": 7, "person": "", "priority": "unheard of"}]}'""",
+    """'{"items": [{"type": "task", "title": "t", "deadline": 20260203}]}'""",
+))
+FENCE = "'(?s)```(?:json)?\\s*(.*?)\\s*```'"
+
+
+def _recovered_sql(source: str, shape: str) -> str:
+    return f"""a AS (SELECT o_orderkey, 'MSG_' || k AS message_id, {source} FROM (SELECT o_orderkey, CAST(o_orderkey AS STRING) AS k FROM orders)), t AS (SELECT *, CASE WHEN regexp_matches(answer, {FENCE}) THEN regexp_extract(answer, {FENCE}, 1) ELSE trim(answer) END AS t FROM a),
+r AS (SELECT *, CASE WHEN json_valid(t) THEN t WHEN json_valid(regexp_extract(t, '{shape}')) THEN regexp_extract(t, '{shape}') END AS j FROM t)"""
+
+
+def _text_sql(j: str, name: str) -> str:
+    return f"CASE WHEN json_type({j}, '$.{name}') = 'VARCHAR' THEN json_extract_string({j}, '$.{name}') END"
+
+
+_OWN = "(coalesce(json_type(j, '$.message_id'), 'NULL') = 'NULL' OR trim(json_extract_string(j, '$.message_id')) = message_id)"
+
+
+@query("model_categories", f"""WITH {_recovered_sql(CATEGORY_ANSWERS, r'(?s)\{.*\}')},
+c AS (SELECT *, regexp_replace(translate(lower(trim({_text_sql('j', 'category')})), ' -', '__'), '[^a-z0-9_]', '', 'g') AS category, CASE json_type(j, '$.confidence') WHEN 'BOOLEAN' THEN CAST(CAST(json_extract_string(j, '$.confidence') AS BOOLEAN) AS INT) ELSE TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS n FROM r)
+SELECT o_orderkey, g AS accepted, CASE WHEN g THEN category END AS category, CASE WHEN g THEN CAST(least(greatest(coalesce(n, 0), 0), 1) AS DOUBLE) END AS confidence, CASE WHEN g THEN substr(trim(coalesce({_text_sql('j', 'reason')}, '')), 1, 300) END AS reason
+FROM (SELECT *, coalesce(json_type(j) = 'OBJECT' AND category IN ({', '.join(map(O.lit, X.CATEGORIES))}) AND {_OWN}, false) AS g FROM c)""")
+def _(spark, d):
+    return answers(spark, d, CATEGORY_ANSWERS).select("o_orderkey", parsed_category(F.col("message_id"), F.col("answer")).alias("x")).select("o_orderkey", F.col("x").isNotNull().alias("accepted"), "x.*")
+
+
+_DAY = "CASE WHEN regexp_matches(trim({0}), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN TRY_CAST(trim({0}) AS DATE) END"
+_day_sql = lambda n: _DAY.format(f"({_text_sql('x', n)})")
+_given = lambda n: f"coalesce(json_type(x, '$.{n}'), 'NULL') <> 'NULL' AND coalesce(({_text_sql('x', n)}) <> '', true)"
+_clean_sql = lambda n: f"nullif({O.squeeze_sql('(' + _text_sql('x', n) + ')')}, '')"
+
+
+@query("model_items", f"""WITH {_recovered_sql(ITEM_ANSWERS, r'(?s)\[.*\]|\{.*\}')},
+l AS (SELECT o_orderkey, message_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_type(j) = 'OBJECT' AND {_OWN} AND json_type(j, '$.items') = 'ARRAY' THEN json_extract(j, '$.items[*]') END AS items FROM r),
+i AS (SELECT o_orderkey, message_id, x, i, translate(lower(trim({_text_sql('x', 'type')})), ' -', '__') AS type FROM (SELECT *, unnest(items) AS x, unnest(range(1, len(items) + 1)) AS i FROM l)),
+v AS (SELECT *, coalesce(json_type(x) = 'OBJECT' AND type IN ({', '.join(map(O.lit, X.ITEM_TYPES))}) AND trim({_text_sql('x', 'title')}) <> '', false) AND NOT ({_given('date')} AND ({_day_sql('date')}) IS NULL)
+  AND NOT ({_given('deadline')} AND ({_day_sql('deadline')}) IS NULL) AND NOT ({_given('time')} AND ({O.time_sql('(' + _text_sql('x', 'time') + ')')}) IS NULL) AS good FROM i),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, type ORDER BY i) AS k, bool_and(good) OVER (PARTITION BY o_orderkey) AS fine FROM v),
+lost AS (SELECT o_orderkey FROM l WHERE items IS NULL UNION ALL SELECT DISTINCT o_orderkey FROM n WHERE NOT fine)
+SELECT o_orderkey, upper(type) || '_' || message_id || CASE WHEN k > 1 THEN '-' || CAST(k AS VARCHAR) ELSE '' END AS item_id, type, substr(trim({_text_sql('x', 'title')}), 1, 120) AS title, {_clean_sql('description')} AS description,
+  CAST({_day_sql('date')} AS STRING) AS date, CAST({_day_sql('deadline')} AS STRING) AS deadline, {O.time_sql('(' + _text_sql('x', 'time') + ')')} AS time, {_clean_sql('person')} AS person,
+  CASE WHEN lower(trim({_text_sql('x', 'priority')})) IN ({', '.join(map(O.lit, X.PRIORITIES))}) THEN lower(trim({_text_sql('x', 'priority')})) ELSE 'unknown' END AS priority FROM n WHERE fine
+UNION ALL SELECT o_orderkey, 'rejected', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lost""")
+def _(spark, d):
+    rows = answers(spark, d, ITEM_ANSWERS).select("o_orderkey", parsed_items(F.col("message_id"), F.col("answer")).alias("items"))
+    one = rows.select("o_orderkey", F.explode(F.coalesce("items", F.array(F.lit(None).cast(extract.ITEM)))).alias("x"))
+    return one.selectExpr("o_orderkey", "coalesce(x.item_id, 'rejected') AS item_id", "x.type", "x.title", "x.description", "CAST(x.date AS STRING) AS date", "CAST(x.deadline AS STRING) AS deadline", "x.time", "x.person", "x.priority")
+
+
 @query("events_daily_categories", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -1,13 +1,17 @@
 """Phrases with known outcomes, and a Python twin for spans, dedup and masks."""
 
 import datetime
+import http.server
+import json
 import re
+import threading
+import time
 
 import pytest
 from missive.functions import fixed as X
-from missive.operators import audit, extract, validate, views
+from missive.operators import audit, extract, fallback, validate, views
 from missive.operators.detect import DETECTORS, with_safe_text, with_spans
-from missive.operators.fallback import parsed_category, parsed_items, with_model_category
+from missive.operators.fallback import with_model_category, with_model_items
 from missive.plans import run as runs
 from missive.plans.analysis import published, summary
 from missive.sources import artifacts
@@ -187,8 +191,73 @@ def test_model_sees_masked_text_only(spark, results):
     seen = with_model_category(results, lambda: lambda prompt: '{"category": "promotional", "confidence": 2}' if "482913" not in prompt else "leak")
     rows = seen.where("classification.method = 'llm'").select("classification.*").collect()
     assert rows and {(r.category, r.confidence) for r in rows} == {("promotional", 1.0)}
-    assert parsed_category("a", '```json\n{"category": "Action-Required"}\n```')[0] == "action_required"
-    assert parsed_items("a", 'x [{"type": "task", "title": " t "}] y')[0]["item_id"] == "TASK_a"
+    assert seen.columns == results.columns and seen.count() == results.count()
+
+
+def answered(spark, kind, *answers):
+    parse = {"category": fallback.parsed_category, "items": fallback.parsed_items}[kind]
+    rows = spark.createDataFrame([(i, "a", x) for i, x in enumerate(answers)], "i int, message_id string, answer string")
+    return [r.x for r in rows.select("i", parse(F.col("message_id"), F.col("answer")).alias("x")).orderBy("i").collect()]
+
+
+def test_answers_of_a_model(spark):
+    good = answered(spark, "category", '```json\n{"category": "Action-Required"}\n```', 'x {"category": "promotional", "confidence": "0.5"} y', '{"message_id": " a ", "category": "promotional", "reason": " r "}')
+    assert [(r.category, r.confidence, r.reason) for r in good] == [("action_required", 0.0, ""), ("promotional", 0.5, ""), ("promotional", 0.0, "r")]
+    assert answered(spark, "category", None, "", "{}", "[1]", '{"category": 3}', '{"category": "promotional"},', '{"category": "promotional", "message_id": "b"}', '{"category": "promotional"}}') == [None] * 5 + [good[1].__class__("promotional", 0.0, "")] + [None] * 2
+    one, listed, none = answered(spark, "items", '{"items": [{"type": "TASK", "title": " t "}, {"type": "task", "title": "u", "time": "9"}]}', 'x [{"type": "task", "title": "t", "date": "20260203"}] y', "[]")
+    assert [(x.item_id, x.title, x.time) for x in one] == [("TASK_a", "t", None), ("TASK_a-2", "u", "09:00")] and str(listed[0].date) == "2026-02-03" and none == []
+    assert answered(spark, "items", '[{"type": "task", "title": "t"}, {"type": "task"}]', '{"items": 3}', '{"x": []}', '[{"type": "task", "title": "t", "deadline": "soon"}]', '{"message_id": 7, "items": []}') == [None] * 5
+
+
+def test_a_service_that_fails_hangs_and_answers_late(spark, results):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        calls: dict = {}
+
+        def do_POST(self):  # noqa: N802
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+            name = re.search("message_id: (.*)", prompt)[1]
+            n = Handler.calls[name] = Handler.calls.get(name, 0) + 1
+            if name == "slow" or name == "hangs":
+                time.sleep(0.4 if name == "slow" else 3)
+            code = {"down": 503, "no": 401}.get(name, 500 if name == "twice" and n < 3 else 200)
+            body = json.dumps({"choices": [{"message": {"content": '{"category": "promotional"}' if name != "odd" else "?"}}]}).encode()
+            try:
+                self.send_response(code)
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+            except OSError:
+                pass
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        factory = fallback.http_provider(f"http://127.0.0.1:{server.server_port}", "k", "m", timeout=1.0)
+        names = ["fine", "slow", "hangs", "down", "no", "twice", "odd", "fine", None]
+        rows = spark.createDataFrame([(i, n, n and n != "asis") for i, n in enumerate(names)], "i int, message_id string, ask boolean").coalesce(1)
+        manners = fallback.Manners(at_once=4, attempts=3, pause=0.01)
+        out = fallback.asked(rows, F.when(F.col("ask"), fallback.category_prompt(F.col("message_id"), F.lit("text"))), factory, manners=manners).orderBy("i").collect()
+        got = [(r.message_id, r.answer and (r.answer.status, r.answer.attempts)) for r in out]
+        assert got == [("fine", ("answered", 1)), ("slow", ("answered", 1)), ("hangs", ("failed", 3)), ("down", ("failed", 3)), ("no", ("refused", 1)), ("twice", ("answered", 3)), ("odd", ("answered", 1)), ("fine", ("answered", 1)), (None, None)]
+    finally:
+        server.shutdown()
+
+
+def test_model_stages_keep_rows_and_count_failures(spark, results):
+    rows = results.limit(0)
+    base = results.where("classification.method = 'rule_based' and classification.confidence < 0.75 and extraction.method = 'none'").limit(1)
+    for i in ("x", "x", None):
+        rows = rows.unionByName(base.withColumn("message_id", F.lit(i).cast("string")))
+    made = with_model_items(with_model_category(rows, lambda: lambda prompt: "no"), lambda: lambda prompt: "no")
+    assert sorted(str(r.message_id) for r in made.collect()) == ["None", "x", "x"]
+    total = summary(made).first()
+    assert (total.total_messages, total.llm_failures, total.rule_based, total.llm_based) == (3, 6, 3, 0)
+    watched, seen = fallback.observed(made)
+    watched.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 3, "categories_by_model": 0, "items_by_model": 0, "failures": 6}
 
 
 def test_leaks_anywhere_in_any_line(spark):
@@ -199,6 +268,9 @@ def test_leaks_anywhere_in_any_line(spark):
     want = {(m, a) for m, v in values for a, lines in texts.items() if v and any(v in (x or "") for x in lines)}
     rows = [(r.message_id, r.artifact) for r in found.collect()]
     assert sorted(rows) == sorted(want) and want == {("A", "one"), ("B", "one"), ("C", "two"), ("D", "two"), ("F", "one"), ("H", "two")}
+    long = "".join(chr(97 + i * 7 % 26) + str(i % 977) for i in range(250_000)) + "482913" + "é😀 secret word"  # a line of about a megabyte
+    far = audit.leaks(detected, {"one": spark.createDataFrame([(long,), (long,)], "line string")}).collect()
+    assert sorted(r.message_id for r in far) == sorted(m for m, v in values if v and v in long)
     assert audit.leaks(detected.limit(0), {"one": spark.createDataFrame([("x",)], "line string")}).isEmpty()
     assert {"message_id": "A", "artifact": "one", "sensitivity_type": "password"} in [r.finding for r in audit.leak_texts(found).collect()]
 
