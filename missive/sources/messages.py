@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed as X
 from ..functions.text import utrim
+from .delimited import records
 
 COLUMNS = ("message_id", "timestamp", "sender", "message")
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -17,15 +19,46 @@ class SourceError(Exception):
     """The input cannot be used."""
 
 
-def read_csv(spark: SparkSession, path: str, *, missing_values: bool = True) -> DataFrame:
-    """All columns as text, with row_pos in file order; optionally the usual markers of missing values as null."""
-    try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
-    except Exception as e:
-        raise SourceError(f"cannot read {path}") from e
+def _status(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(place) if files.exists(place) else None
+
+
+def read_csv(spark: SparkSession, path: str, *, missing_values: bool = True, folder: bool = False) -> DataFrame:
+    """All columns as text, with row_pos in file order; optionally the usual markers of missing values as null.
+
+    One large file is read by many tasks. SourceError: there is no such file, it is a folder (unless ``folder`` says that its files
+    are wanted; they have the same header, and come in the order of their names), it is empty, or ends within quotes. A record of more
+    fields than the header has ends the job that reads it.
+    """
+    found = _status(spark, path)
+    if found is None:
+        raise SourceError(f"no file {path}")
+    if found.isDirectory() and not folder:
+        raise SourceError(f"{path} is a folder")
+    rows = records(spark, path).where("text is null or text <> ''")
+    first = rows.groupBy("file").agg(F.min(F.struct("record", "text")).alias("x"), F.max("record").alias("last"), F.count_if(F.col("text").isNull()).alias("cut"))
+    files = first.select("file", F.col("x.record").alias("header_at"), F.col("x.text").alias("header"), "last", "cut", F.coalesce(F.sum(F.col("last") + 1).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
+    headers = files.agg(F.count(F.lit(1)).alias("n"), F.min("header").alias("a"), F.max("header").alias("b"), F.sum("cut").alias("cut")).first()
+    if not headers.n:
+        raise SourceError(f"{path} is empty")
+    if headers.cut:
+        raise SourceError(f"{path} ends within quotes")
+    if headers.a != headers.b:
+        raise SourceError(f"the files of {path} have different headers")
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    names = spark.range(1).select(F.from_csv(F.lit(headers.a), ", ".join(f"c{i} string" for i in range(headers.a.count(",") + 1)), options).alias("x")).select("x.*").first()
+    columns = [n for n in names if n is not None]
+    more = "_more"
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))] + [T.StructField(more, T.StringType())])
+    raw = rows.join(files.select("file", "header_at", "rows_before"), "file").where("record > header_at")
+    raw = raw.select((F.col("rows_before") + F.col("record")).alias("row_pos"), F.from_csv("text", schema.simpleString(), options).alias("x"))
+    fine = F.when(F.col(f"x.{more}").isNotNull(), F.raise_error(F.concat(F.lit("more fields than the header has, in record "), F.col("row_pos").cast("string")))).otherwise(F.col("x.c0"))
+    values = [fine if i == 0 else F.col(f"x.c{i}") for i in range(len(columns))]
     if missing_values:
-        raw = raw.select(*(F.when(~F.col(f"`{c}`").isin(*X.MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns))
-    return raw.withColumn("row_pos", F.monotonically_increasing_id())  # rises with the place in the file
+        values = [F.when(~v.isin(*X.MISSING), v) for v in values]
+    return raw.select(*(v.alias(c) for v, c in zip(values, columns, strict=True)), "row_pos")
 
 
 def parsed_timestamp(raw: Column) -> Column:
