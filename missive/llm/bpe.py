@@ -79,40 +79,41 @@ class _Follows(dict):
 
 
 class Transducer:
-    #: States, and pairs of tokens, that are remembered at most.
-    MOST_STATES, MOST_PAIRS = 100_000, 250_000
+    #: States, and pairs of tokens, that are remembered at most; bytes of a short piece.
+    MOST_STATES, MOST_PAIRS, SHORT = 80_000, 300_000, 40
 
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has all single bytes")
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self._next: dict[int, int] = {}  # node << 8 | byte -> node; a node is a beginning of tokens, 0 the empty one
-        self._rank, self._longer = [-1], [True]  # of each node: the token it is, and whether longer ones begin with it
-        for token, rank in ranks.items():
+        nodes, rank, longer = {b"": 0}, [-1], [True]  # a node is a beginning of tokens
+        ways: dict[int, int] = {}
+        for token, r in ranks.items():
             node = 0
-            for byte in token:
-                self._longer[node] = True
-                way = node << 8 | byte
-                node = self._next.get(way) or self._grown(way)
-            self._rank[node] = rank
+            for i, byte in enumerate(token):
+                longer[node] = True
+                begun = token[: i + 1]
+                if begun not in nodes:
+                    nodes[begun] = len(rank)
+                    ways[node << 8 | byte] = len(rank)
+                    rank.append(-1)
+                    longer.append(False)
+                node = nodes[begun]
+            rank[node] = r
+        #: node << 8 | byte -> node, the token it is (-1: none), and whether longer tokens begin with it
+        self._next = {way: (node, rank[node], longer[node]) for way, node in ways.items()}
         self._edges: dict[int, tuple[list, list]] = {}
         self._follows = _Follows()
         self._follows.of = self
         self._states: dict[tuple, int] = {}
         self._live: list[tuple] = []
         self._ways: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._ends: dict[int, tuple[int, ...]] = {}
+        self._once: set[int] = set()
         self._anew()
 
-    def _grown(self, way: int) -> int:
-        node = self._next[way] = len(self._rank)
-        self._rank.append(-1)
-        self._longer.append(False)
-        return node
-
     def _anew(self) -> None:
-        for memory in (self._states, self._live, self._ways, self._ends):
+        for memory in (self._states, self._live, self._ways, self._once):
             memory.clear()
         self._state(((-1, 0, ()),))  # the start, number 0
 
@@ -155,52 +156,61 @@ class Transducer:
             if i == len(lefts) or j == len(rights):
                 return True
 
-    def way(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Where a byte leads from a state, and the output that all that then live agree on."""
-        follows, rank, longer, after = self._follows, self._rank, self._longer, self._next.get
-        live, done = [], []
-        for last, node, out in self._live[state]:
-            node = after(node << 8 | byte)
-            if node is None:
+    def _step(self, pairs: tuple | list, byte: int) -> list:
+        """The live pairs after a byte, that with a finished token last."""
+        follows, after = self._follows, self._next.get
+        live, done = [], None
+        for last, node, out in pairs:
+            found = after(node << 8 | byte)
+            if found is None:
                 continue
-            token = rank[node]
+            node, token, longer = found
             if token >= 0 and follows[last << 32 | token]:
-                done.append((token, 0, (*out, token)))
-            if longer[node]:
+                if done is not None:
+                    raise Ambiguous("two encodings")
+                done = (token, 0, (*out, token))
+            if longer:
                 live.append((last, node, out))
-        if len(done) != 1:
-            raise Ambiguous(f"{len(done)} encodings")
-        live += done
-        outs = [out for _, _, out in live]
-        low, high = min(outs), max(outs)  # what these two agree on all do
-        n = 0
-        while n < len(low) and low[n] == high[n]:
-            n += 1
-        way = self._ways[state << 8 | byte] = self._state(tuple([(last, node, out[n:]) for last, node, out in live] if n else live)), low[:n]
-        return way
+        if done is None:
+            raise Ambiguous("no encoding")
+        live.append(done)
+        return live
 
-    def end(self, state: int, byte: int) -> tuple[int, ...]:
-        """The output that is left if the text ends with this byte."""
-        done = []
-        for last, node, out in self._live[state]:
-            node = self._next.get(node << 8 | byte)
-            if node is not None and (token := self._rank[node]) >= 0 and self._follows[last << 32 | token]:
-                done.append((*out, token))
-        if len(done) != 1:
-            raise Ambiguous(f"{len(done)} encodings")
-        self._ends[state << 8 | byte] = done[0]
-        return done[0]
+    def way(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Where a byte leads from a state, and the output that all that live then agree on."""
+        live = self._step(self._live[state], byte)
+        first, n = live[0][2], 0
+        if first and all(out and out[0] == first[0] for _, _, out in live):
+            outs = [out for _, _, out in live]
+            low, high = min(outs), max(outs)  # what these two agree on all do
+            while n < len(low) and low[n] == high[n]:
+                n += 1
+        way = self._ways[state << 8 | byte] = self._state(tuple([(last, node, out[n:]) for last, node, out in live] if n else live)), first[:n]
+        return way
 
     def encode(self, piece: bytes) -> array:
-        """The ids of a piece that is not empty."""
-        if len(self._live) >= self.MOST_STATES or len(self._ends) >= 2 * self.MOST_STATES:
+        """The ids of a piece. A way that a short piece takes for the first time is not remembered, but the rest of the piece read pair by pair: most such ways are taken once."""
+        if len(self._live) >= self.MOST_STATES:
             self._anew()
-        ids, state, ways = array("i"), 0, self._ways.get
-        for byte in piece[:-1]:
-            state, out = ways(state << 8 | byte) or self.way(state, byte)
+        ids, state, ways, short = array("i"), 0, self._ways.get, len(piece) <= self.SHORT
+        for i, byte in enumerate(piece):
+            key = state << 8 | byte
+            way = ways(key)
+            if way is None:
+                if short and key not in self._once:
+                    if len(self._once) >= 2 * self.MOST_STATES:
+                        self._once.clear()
+                    self._once.add(key)
+                    pairs = self._live[state]
+                    for byte in piece[i:]:
+                        pairs = self._step(pairs, byte)
+                    ids.extend(pairs[-1][2])
+                    return ids
+                way = self.way(state, byte)
+            state, out = way
             if out:
                 ids.extend(out)
-        ids.extend(self._ends.get(state << 8 | piece[-1]) or self.end(state, piece[-1]))
+        ids.extend(self._live[state][-1][2])
         return ids
 
 
@@ -212,24 +222,22 @@ class Encoder:
     """Whole texts. A match of the pattern is white space, or has none but for a space in front; so a text is cut there first, and what was
     encoded is remembered by these words (two generations of a bounded number). A new word's matches each go through the transducer."""
 
-    MOST, LONGEST = 220_000, 40
+    MOST, LONGEST = 200_000, 32
     #: Characters that are split at a time; a part ends between a character and white space, where a match always ends.
     PART = 500_000
     _END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
     _WORD = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
-    #: White space that is no single space or newline between other characters.
-    _UNEVEN = re.compile(f"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|^[ \n]|[ \n]$")
-
-    @staticmethod
-    def _even(text: str) -> list[str]:
-        """What _WORD finds in a text without such white space."""
+    def _words(self, text: str) -> list[str]:
+        """What _WORD finds: without it if the white space is single spaces and newlines between other characters."""
         words: list[str] = []
-        for line in text.split("\n"):
+        lines = text.split("\n")
+        for line in lines:
             first, *rest = line.split(" ")
             words += ["\n", first] if words else [first]
             words += [" " + x for x in rest]
-        return words
+        even = len(words) - len(lines) + 1 == len(text.split()) and "" not in words and " " not in words
+        return words if even else self._WORD.findall(text)
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.by, self._pattern = Transducer(ranks), regex.compile(pattern)
@@ -265,9 +273,7 @@ class Encoder:
         while at < len(text):
             end = self._END.search(text, at + self.PART) if len(text) - at > self.PART else None
             end = end.start() if end else len(text)
-            part = text[at:end]
-            words = self._WORD.findall(part) if self._UNEVEN.search(part) else self._even(part)
-            out.append(b"".join([known(x) or self._ids(x) for x in words]))
+            out.append(b"".join([known(x) or self._ids(x) for x in self._words(text[at:end])]))
             at = end
         return b"".join(out)
 
