@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators.detect import with_spans
-from ..operators.fallback import Factory, http_provider, with_model_category, with_model_items
+from ..operators.fallback import Factory, Manners, http_provider, observed, with_model_category, with_model_items
 from ..operators.validate import require_valid
 from ..sources.artifacts import ARTIFACTS, exists, lines, load, write, write_report
 from ..sources.messages import mandatory_ids, read_csv, typed
+from ..sources.sealed import prepared
 from .analysis import published, summary
 
 
@@ -31,6 +32,10 @@ class Settings:
     model_name: str = ""
     model_key: str = ""
     model_timeout: float = 30.0
+    model_at_once: int = 8
+    sealed: str = ""
+    sealed_mandatory: str = ""
+    key_file: str = ""
 
 
 def settings(prefix: str = "MISSIVE_", environment: dict[str, str] | None = None) -> Settings:
@@ -92,15 +97,20 @@ def stats(document: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, s: Settings) -> int:
     """The run of the settings: writes the artifacts, prints a report, and returns 0 if all is well, else 1."""
-    messages = typed(require_valid(read_csv(spark, s.messages), s.expected))
+    for plain, blob in ((s.messages, s.sealed), (s.mandatory, s.sealed_mandatory)):
+        if blob:
+            prepared(spark, plain, blob, s.key_file or None)
+    messages = typed(require_valid(read_csv(spark, s.messages, folder=bool(s.sealed)), s.expected))
     began, results = time.perf_counter(), published(messages)
     if (provider := provider_of(s)) is not None:
-        results = with_model_items(with_model_category(results, provider), provider)
+        manners = Manners(at_once=s.model_at_once)
+        results = with_model_items(with_model_category(results, provider, manners=manners), provider, manners)
+    results, seen = observed(results)
     results.write.mode("overwrite").parquet(f"{s.outputs}/results")
     results = spark.read.schema(results.schema).parquet(f"{s.outputs}/results")
     write(results, s.outputs)
     seconds = round(time.perf_counter() - began, 4)
-    wanted = mandatory_ids(spark, s.mandatory, expected=s.expected_mandatory) if s.mandatory and exists(spark, s.mandatory) else None
+    wanted = mandatory_ids(spark, s.mandatory, expected=s.expected_mandatory, folder=bool(s.sealed_mandatory)) if s.mandatory and exists(spark, s.mandatory) else None
     check = audit.mandatory_check(wanted, messages, results, load(spark, s.outputs, "classifications")) if wanted is not None else None
     texts = {name: lines(load(spark, s.outputs, name)) for name in ARTIFACTS}
     audit.leaks(with_spans(messages), texts).write.mode("overwrite").parquet(f"{s.outputs}/leaks")
@@ -111,6 +121,8 @@ def run(spark: SparkSession, s: Settings) -> int:
     for row in (report.first(), totals.first()):
         for name, value in row.asDict().items():
             print(f"{name}: {value}")
+    for name, value in seen.get.items():
+        print(f"written_{name}: {value}")
     print(f"seconds: {seconds}")
     for r in audit.issue_line(audit.output_issues(results, messages)).limit(50).collect():
         print(" ", r.line)

@@ -17,6 +17,7 @@ from .operators.detect import DETECTORS, found_by, with_spans
 from .operators.fallback import parsed_category, parsed_items, with_model_category, with_model_items
 from .plans.analysis import analyzed, items_by_type, published, spread, summary
 from .plans.run import stats, summary_statistics, validation_report
+from .sources import sealed
 from .sources.artifacts import final_results, lines, materialized
 from .sources.messages import template_messages
 
@@ -560,6 +561,14 @@ def _(spark, d):
     return one.selectExpr("o_orderkey", "coalesce(x.item_id, 'rejected') AS item_id", "x.type", "x.title", "x.description", "CAST(x.date AS STRING) AS date", "CAST(x.deadline AS STRING) AS deadline", "x.time", "x.person", "x.priority")
 
 
+@query("sealed_round_trip", "SELECT c_custkey, c_name, true AS hidden FROM customer")
+def _(spark, d):
+    key = sealed.key_of(sealed.new_key())
+    tokens = materialized(sealed.seal(table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_name").alias("token")), "token", key), "sealed")
+    back = sealed.opened(tokens.withColumn("hidden", ~F.contains("token", "c_name")).drop("c_name"), "token", key)
+    return back.select("c_custkey", F.decode("token", "UTF-8").alias("c_name"), "hidden")
+
+
 @query("events_daily_categories", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))

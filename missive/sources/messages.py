@@ -70,9 +70,9 @@ def typed(raw: DataFrame) -> DataFrame:
     return raw.select(utrim(F.col("message_id")).alias("message_id"), parsed_timestamp(F.col("timestamp")).alias("ts"), utrim(F.col("sender")).alias("sender"), utrim(F.col("message")).alias("message"), "row_pos")
 
 
-def mandatory_ids(spark: SparkSession, path: str, *, expected: int | None = 15) -> DataFrame:
+def mandatory_ids(spark: SparkSession, path: str, *, expected: int | None = 15, folder: bool = False) -> DataFrame:
     """The column message_id of a CSV; unless expected is null, that many, none blank, none twice."""
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, folder=folder)
     if "message_id" not in raw.columns:
         raise SourceError("no column message_id")
     ids = raw.select(utrim(F.col("message_id")).alias("message_id"), "row_pos")

@@ -1,8 +1,13 @@
 """Files that many tasks read, sealed data, and artifacts record by record."""
 
+import base64
+import hmac
+import os
 import random
+import time
 
 import pytest
+from missive.sources import sealed
 from missive.sources.messages import SourceError, mandatory_ids, read_csv
 from pyspark.sql import functions as F
 
@@ -79,3 +84,49 @@ def test_mandatory_ids_strict_and_lenient(spark, tmp_path):
         with pytest.raises(SourceError, match=says):
             mandatory_ids(spark, str(path), expected=2)
     assert [r.message_id for r in mandatory_ids(spark, str(tmp_path / "3.csv"), expected=None).orderBy("row_pos").collect()] == ["A", "A"]
+
+
+def test_sealed_files(spark, tmp_path):
+    text = 'message_id,timestamp,sender,message\nM1,2026-09-01 08:00:00,A,"x, ""é😀""\nz"\n'
+    (tmp_path / "m.csv").write_text(text)
+    secret = sealed.kept_key(f"{tmp_path}/key")
+    key = sealed.found_key(f"{tmp_path}/key", {})
+    assert os.stat(tmp_path / "key").st_mode & 0o777 == 0o600 and secret not in repr(key)
+    sealed.seal_file(spark, f"{tmp_path}/m.csv", f"{tmp_path}/m.sealed", key)
+    blob = next((tmp_path / "m.sealed").glob("part*")).read_text().strip()
+    assert "message_id" not in blob and bytes(sealed.open_file(spark, f"{tmp_path}/m.sealed", key).first().content) == text.encode()
+    raw = base64.urlsafe_b64decode(blob)  # the public format, by hand
+    full = base64.urlsafe_b64decode(secret)
+    assert raw[0] == 0x80 and abs(int.from_bytes(raw[1:9], "big") - time.time()) < 600 and hmac.new(full[:16], raw[:-32], "sha256").digest() == raw[-32:]
+    assert read_csv(spark, sealed.prepared(spark, f"{tmp_path}/plain", f"{tmp_path}/m.sealed", f"{tmp_path}/key", {}), folder=True).first().message == 'x, "é😀"\nz'
+    assert sealed.prepared(spark, f"{tmp_path}/plain", "nowhere", None, {}) == f"{tmp_path}/plain"  # there already: no key needed
+    other = sealed.new_key()
+    with pytest.raises(sealed.SealError, match="wrong key"):
+        sealed.prepared(spark, f"{tmp_path}/plain2", f"{tmp_path}/m.sealed", f"{tmp_path}/key", {sealed.VARIABLE: other})  # the variable comes first
+    with pytest.raises(sealed.SealError, match="no key"):
+        sealed.prepared(spark, f"{tmp_path}/plain3", f"{tmp_path}/m.sealed", f"{tmp_path}/none", {})
+    with pytest.raises(sealed.SealError, match="no sealed file"):
+        sealed.prepared(spark, f"{tmp_path}/plain3", f"{tmp_path}/none", f"{tmp_path}/key", {})
+    flipped = base64.urlsafe_b64encode(raw[:40] + bytes([raw[40] ^ 1]) + raw[41:]).decode()
+    for bad in (blob[:-8], flipped, "", "no base64 !", blob[:40]):
+        rows = spark.createDataFrame([(bad,)], "content string")
+        with pytest.raises(Exception, match="wrong key or damaged"):
+            sealed.opened(rows, "content", key).collect()
+    for text in ("short", "ü" * 43, other[:-4] + "AA", other + "AAAA"):
+        with pytest.raises(sealed.SealError):
+            sealed.key_of(text)
+
+
+def test_sealed_tables(spark, tmp_path):
+    key = sealed.key_of(sealed.new_key())
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('text ', id, '\n\"é') END AS text", "id % 2 = 0 AS even")
+    sealed.write_sealed(rows.repartition(3), f"{tmp_path}/t", key)
+    again = sealed.read_sealed(spark, f"{tmp_path}/t", "id long, text string, even boolean", key)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+    tokens = spark.read.text(f"{tmp_path}/t")
+    assert tokens.distinct().count() == 500 and tokens.where(F.contains("value", F.lit("text"))).isEmpty()
+    plan = sealed.opened(tokens, "value", key)._jdf.queryExecution().toString().lower()
+    assert key.encryption.hex() not in plan and str(list(key.encryption))[1:-1] not in plan
+    with pytest.raises(Exception, match="wrong key"):
+        sealed.read_sealed(spark, f"{tmp_path}/t", "id long", sealed.key_of(sealed.new_key())).collect()
+    assert sealed.opened(spark.sql("SELECT CAST(NULL AS string) AS value"), "value", key).first().value is None
