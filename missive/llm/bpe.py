@@ -80,7 +80,7 @@ class _Follows(dict):
 
 class Transducer:
     #: States, and pairs of tokens, that are remembered at most; bytes of a short piece.
-    MOST_STATES, MOST_PAIRS, SHORT = 80_000, 300_000, 40
+    MOST_STATES, MOST_PAIRS, SHORT = 120_000, 400_000, 40
 
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -222,7 +222,7 @@ class Encoder:
     """Whole texts. A match of the pattern is white space, or has none but for a space in front; so a text is cut there first, and what was
     encoded is remembered by these words (two generations of a bounded number). A new word's matches each go through the transducer."""
 
-    MOST, LONGEST = 200_000, 32
+    MOST, LONGEST = 300_000, 32
     #: Characters that are split at a time; a part ends between a character and white space, where a match always ends.
     PART = 500_000
     _END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
@@ -311,7 +311,7 @@ class Decoder:
     """ids -> text, in order; ``feed`` gives what is complete, ``end`` what is left."""
 
     #: Ways that are remembered at most, and ids that are looked up together.
-    MOST, STRETCH = 200_000, 500
+    MOST, STRETCH, PART = 200_000, 500, 100_000
 
     def __init__(self, tokens: dict[int, bytes]):
         self._tokens, self._states, self._ways = tokens, {}, 0
@@ -371,6 +371,13 @@ class Decoder:
         self.state = state
         return "".join(out)
 
+    def whole(self, ids: np.ndarray | pa.Array) -> str:
+        """The text of an array of ids, fed part by part."""
+        listed = ids.tolist if isinstance(ids, np.ndarray) else ids.to_pylist
+        if len(ids) > self.PART:
+            return "".join([self.feed(x.tolist() if isinstance(x, np.ndarray) else x.to_pylist()) for x in (ids[a : a + self.PART] for a in range(0, len(ids), self.PART))]) + self.end()
+        return self.feed(listed()) + self.end()
+
     def end(self) -> str:
         left = "�" if self.state.begun else ""
         self.state = self.start
@@ -403,25 +410,30 @@ def _vocabulary(path: str | None, pattern: str | None) -> tuple[bytes, str]:
         return f.read(), pattern or public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text, array<int>. ranks: a rank file on the driver's machine; its bytes, the size of the vocabulary, are broadcast."""
+def encode(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with the ids of each whole text, array<int>, and, if a column is named for it, the text that these ids decode to (in the same stage, so that
+    Python workers keep one kind of memory). ranks: a rank file on the driver's machine; its bytes, the size of the vocabulary, are broadcast."""
     spark = docs.sparkSession
     ship(spark)
-    name, work = own_name(docs, ids_col), own_name(docs, "text_to_encode")
+    name, work, here = own_name(docs, ids_col), own_name(docs, "text_to_encode"), docs.columns
+    back = own_name(docs.withColumn(name, F.lit(None)), decoded_col) if decoded_col else None
     sent = spark.sparkContext.broadcast(_vocabulary(ranks, pattern))
-    here = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, splits = sent.value
         encoder = remembered(f"bpe encoder {zlib.crc32(lines)} {splits}", lambda: Encoder(ranks_of(lines), splits))
+        decoder = Decoder(encoder.by.tokens) if back else None
         for batch in parted(batches):
             with _no_cycles():
-                found = [encoder.of(x.as_py() or "") for x in batch.column(len(here))]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-            flat = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(here)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*here, name])
-
-    schema = docs.select(*docs.columns, F.lit(None).cast("array<int>").alias(name)).schema
+                found = [np.frombuffer(encoder.of(x.as_py() or ""), np.int32) for x in batch.column(len(here))]
+            ends = np.cumsum([0, *map(len, found)])
+            flat = pa.array(np.concatenate([np.empty(0, np.int32), *found]))
+            made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            if back:
+                made.append(pa.array([decoder.whole(x) for x in found], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(here)], *made], names=[*here, name, *[back] * bool(back)])
+
+    schema = docs.select(*docs.columns, F.lit(None).cast("array<int>").alias(name), *([F.lit(None).cast("string").alias(back)] if back else [])).schema
     return docs.select("*", F.col(text_col).alias(work)).mapInArrow(run, schema)
 
 
@@ -436,11 +448,7 @@ def decode(df: DataFrame, *, ranks: str | None = None, ids_col: str = "ids", dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder({rank: token for token, rank in ranks_of(sent.value[0]).items()})
         for batch in parted(batches):
-            texts = []
-            for row in batch.column(len(here)):
-                ids = row.values
-                parts = [decoder.feed(ids.slice(a, 100_000).to_pylist()) for a in range(0, len(ids), 100_000)] if ids is not None else []
-                texts.append("".join(parts) + decoder.end())
+            texts = [decoder.whole(row.values) if row.values is not None else "" for row in batch.column(len(here))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(here)], pa.array(texts, pa.string())], names=[*here, name])
 
     schema = df.select(*df.columns, F.lit(None).cast("string").alias(name)).schema
@@ -448,6 +456,6 @@ def decode(df: DataFrame, *, ranks: str | None = None, ids_col: str = "ids", dec
 
 
 def op11(spark, sf_dir: str) -> DataFrame:
-    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    digests = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(digests).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

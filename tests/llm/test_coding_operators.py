@@ -104,6 +104,8 @@ def test_encode_and_decode_tables(spark, library):
     assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(i) for i, _ in rows)
     for r in got:
         assert r.ids == "own" and r.ids_ == library.encode_ordinary(r.text or "") and r.decoded == (r.text or "")
+    both = bpe.encode(docs(spark, rows), decoded_col="form")
+    assert both.columns == ["doc_id", "text", "ids", "form", "ids_", "form_"] and all(r.form_ == (r.text or "") for r in both.collect())
     assert bpe.decode(bpe.encode(docs(spark, [])), ids_col="ids_").count() == 0
     assert bpe.decode(spark.sql("SELECT CAST(NULL AS array<int>) AS ids")).first().decoded == ""
 
