@@ -19,20 +19,28 @@ def unknown_ids(expected: DataFrame, artifact: DataFrame) -> DataFrame:
     return artifact.select("message_id").distinct().join(expected, "message_id", "left_anti")
 
 
+def ranged(rows: DataFrame, at: str) -> DataFrame:
+    """rows with _range, a number that rises with a long column and cuts the rows into about equal parts, as many as a shuffle has."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(rows.approxQuantile(at, [k / tasks for k in range(1, tasks)], 0.25 / tasks)))
+    cut = rows.withColumn("_at", F.col(at).cast("double"))
+    if not cuts:
+        return cut.withColumn("_range", F.lit(0.0)).drop("_at")
+    return Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_range", handleInvalid="keep").transform(cut).drop("_at")
+
+
 def numbered(rows: DataFrame, key: str, order: list[str], into: str = "occurrence") -> DataFrame:
-    """rows with their number within their key, in the order of long columns (the first of them cuts the rows into ranges).
+    """rows with their number within their key, in the order of columns, of which the first is a long.
 
     A key may have most of the rows. So rows are numbered within (key, range), and what a key has in earlier ranges is added: a sum over at most
-    as many rows for each key as there are ranges. Ranges are quantiles of all rows, so none is large, whatever the key.
+    as many rows for each key as there are ranges.
     """
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.approxQuantile(order[0], [k / tasks for k in range(1, tasks)], 0.25 / tasks)))
-    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_at", outputCol="_range").transform(rows.withColumn("_at", F.col(order[0]).cast("double"))) if cuts else rows.withColumn("_at", F.lit(0.0)).withColumn("_range", F.lit(0.0))
+    cut = ranged(rows, order[0])
     counts = cut.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = counts.withColumn("_earlier", F.sum("_n").over(W.partitionBy(key).orderBy("_range")) - F.col("_n")).where("_earlier > 0").select(F.col(key).alias("_key"), F.col("_range").alias("_in"), "_earlier")
     inside = F.row_number().over(W.partitionBy(key, "_range").orderBy(*order))
     out = cut.withColumn("_inside", inside).join(earlier, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_in")), "left")
-    return out.withColumn(into, F.col("_inside") + F.coalesce("_earlier", F.lit(0))).drop("_at", "_range", "_inside", "_key", "_in", "_earlier")
+    return out.withColumn(into, F.col("_inside") + F.coalesce("_earlier", F.lit(0))).drop("_range", "_inside", "_key", "_in", "_earlier")
 
 
 def repeated_rows(artifact: DataFrame, order: str = "row_pos") -> DataFrame:

@@ -21,13 +21,14 @@ def _issue(rows: DataFrame, code: str, detail) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), F.col("row_pos").cast("long").alias("row_pos"), F.col("message_id"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
 
 
-def first_inversion(messages: DataFrame, buckets: int = 1024) -> DataFrame:
+def first_inversion(messages: DataFrame, buckets: int | None = None) -> DataFrame:
     """The first row (row_pos) whose ts is before the greatest ts of an earlier row.
 
     A row before its direct predecessor exists exactly if one is before the running maximum, and the first of both is
     the same. Rows are cut into ranges of row_pos of about equal numbers of rows (by its quantiles, since row numbers may have
     wide gaps); only the ranges' maxima (buckets rows at most) are put in one order.
     """
+    buckets = buckets or max(1024, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     inner = sorted(set(messages.approxQuantile("row_pos", [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
     rows = messages.select("row_pos", "message_id", "ts", F.col("row_pos").cast("double").alias("_at"))
     cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_at", outputCol="b").transform(rows) if inner else rows.withColumn("b", F.lit(0.0))
@@ -81,7 +82,9 @@ def require_valid(raw: DataFrame, expected: int | None = None, shown: int = 50)
 
 
 def statistics(messages: DataFrame) -> DataFrame:
+    """One row of counts; the job that reads it ends with an error if there are no messages."""
+    n = F.count(F.lit(1))
     return messages.agg(
-        F.count(F.lit(1)).alias("total_messages"), F.countDistinct("message_id").alias("unique_message_ids"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.when(n > 0, n).otherwise(F.raise_error(F.lit("no messages")).cast("long")).alias("total_messages"), F.countDistinct("message_id").alias("unique_message_ids"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.count_if(blank(F.col("message"))).alias("empty_messages"), F.count_if(blank(F.col("sender"))).alias("empty_senders"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from .audit import ranged
 
 LIMIT, MOST_MESSAGES, MOST_TASKS, LONGEST_SEARCH = 100, 900, 2000, 200
 
@@ -14,10 +15,36 @@ class NotFound(Exception):
     """No such message."""
 
 
+#: Rows that one task may order for a page.
+DIRECT = 10_000
+
+
 def _page(rows: DataFrame, order: list[str], limit: int, offset: int, most: int) -> DataFrame:
+    """Rows number offset to offset + limit in the order of columns, of which the first is a long.
+
+    A deep page does not bring all rows before it to one task: rows are counted by ranges of the first column, and the page reads its own ranges only.
+    """
     if not 1 <= limit <= most or offset < 0:
         raise ValueError(f"limit is 1 to {most}, offset 0 or more")
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    if offset + limit <= DIRECT:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    at = order[0]
+    ranges = sorted(ranged(rows, at).groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).collect(), key=lambda r: r["_range"])
+    before, low, high, skipped = 0, None, None, 0
+    for r in ranges:  # as many as a shuffle has partitions
+        if before + r.n > offset and before < offset + limit:
+            low, high, skipped = (r.low if low is None else low), r.high, (before if low is None else skipped)
+        before += r.n
+    if low is None:
+        return rows.limit(0)
+    return rows.where(F.col(at).between(low, high)).orderBy(*order).offset(offset - skipped).limit(limit)
+
+
+def _with_total(rows: DataFrame, page: DataFrame, limit: int, offset: int, order: list[str]) -> DataFrame:
+    """One row: how many rows there are before paging, the page's offset and limit, and its items in order (limit bounds them)."""
+    items = page.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in page.columns if c not in order)))).alias("items"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return total.crossJoin(items).select("total", F.lit(offset).alias("page_offset"), F.lit(limit).alias("page_limit"), "items")  # one row each
 
 
 def filtered_messages(results: DataFrame, *, search: str | None = None, category: str | None = None, sensitive: bool | None = None) -> DataFrame:
@@ -45,12 +72,9 @@ def messages(results: DataFrame, *, limit: int = LIMIT, offset: int = 0, **filte
 
 
 def counted(results: DataFrame, *, limit: int = LIMIT, offset: int = 0, **filters) -> DataFrame:
-    """One row: how many messages pass the filters, the page's offset and limit, and its items in order (limit bounds them)."""
+    """One row: how many messages pass the filters, the page's offset and limit, and its items in order."""
     rows = filtered_messages(results, **filters)
-    page = _page(message_list(rows), ["row_pos"], limit, offset, MOST_MESSAGES)
-    items = page.agg(F.array_sort(F.collect_list(F.struct("row_pos", *(c for c in page.columns if c != "row_pos")))).alias("items"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return total.crossJoin(items).select("total", F.lit(offset).alias("page_offset"), F.lit(limit).alias("page_limit"), "items")  # one row each
+    return _with_total(rows, _page(message_list(rows), ["row_pos"], limit, offset, MOST_MESSAGES), limit, offset, ["row_pos"])
 
 
 def message(results: DataFrame, message_id: str) -> DataFrame:
@@ -85,12 +109,29 @@ def task_list(results: DataFrame, *, limit: int = LIMIT, offset: int = 0, **filt
     return _page(filtered_tasks(results, **filters), ["row_pos", "pos"], limit, offset, MOST_TASKS)
 
 
+def counted_tasks(results: DataFrame, *, limit: int = LIMIT, offset: int = 0, **filters) -> DataFrame:
+    """The same of items."""
+    rows = filtered_tasks(results, **filters)
+    return _with_total(rows, _page(rows, ["row_pos", "pos"], limit, offset, MOST_TASKS), limit, offset, ["row_pos", "pos"])
+
+
+def _sensitive(results: DataFrame) -> DataFrame:
+    return results.where("security.has_detection").select("message_id", "sender", "safe_message", "security.detections", "row_pos")
+
+
 def sensitive(results: DataFrame, *, limit: int = LIMIT, offset: int = 0) -> DataFrame:
-    return _page(results.where("security.has_detection").select("message_id", "sender", "safe_message", "security.detections", "row_pos"), ["row_pos"], limit, offset, MOST_MESSAGES)
+    return _page(_sensitive(results), ["row_pos"], limit, offset, MOST_MESSAGES)
+
+
+def counted_sensitive(results: DataFrame, *, limit: int = LIMIT, offset: int = 0) -> DataFrame:
+    """The same of messages with detections."""
+    return _with_total(_sensitive(results), sensitive(results, limit=limit, offset=offset), limit, offset, ["row_pos"])
 
 
-def mandatory(results: DataFrame, ids: DataFrame) -> DataFrame:
-    """Results of the given ids, in order."""
+def mandatory(results: DataFrame, ids: DataFrame, *, strict: bool = False, shown: int = 20) -> DataFrame:
+    """Results of the given ids, in order. NotFound, if strict, when an id has none: with the first of such ids."""
+    if strict and (lost := [str(r.message_id) for r in mandatory_missing(results, ids).orderBy("message_id").limit(shown).collect()]):
+        raise NotFound(", ".join(lost))
     return results.join(ids.select("message_id").distinct(), "message_id", "left_semi").orderBy("row_pos")
 
 

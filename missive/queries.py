@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions import fixed as X
 from .functions.text import any_case, blank, utrim
-from .operators import audit, extract, validate, views
+from .operators import audit, conform, extract, validate, views
 from .operators.classify import SCORES
 from .operators.detect import DETECTORS, found_by, with_spans
 from .operators.fallback import parsed_category, parsed_items, with_model_category, with_model_items
 from .plans.analysis import analyzed, items_by_type, published, spread, summary
 from .plans.run import stats, summary_statistics, validation_report
 from .sources import sealed
-from .sources.artifacts import final_results, lines, materialized
+from .sources.artifacts import final_results, lines, materialized, securities
 from .sources.messages import template_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ RAW_SQL = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN '  ' WHEN o_orderkey % 89
 R = f"r AS ({RAW_SQL.replace('{orders}', 'orders')})"
 
 
+#: Raw rows without blank ids and bad timestamps, so that repeated ids and the order are reported.
+ORDERED_SQL = """SELECT CASE WHEN o_orderkey % 89 = 0 THEN 'MSG_twice' ELSE 'MSG_' || CAST(o_orderkey AS STRING) END AS message_id, CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 07:00:00' AS timestamp, 'Customer' AS sender, 'text' AS message, o_orderkey AS row_pos FROM {orders}"""
+
+
 def raw_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(RAW_SQL, orders=table(spark, d, "orders"))
 
@@ -561,6 +565,80 @@ def _(spark, d):
     return one.selectExpr("o_orderkey", "coalesce(x.item_id, 'rejected') AS item_id", "x.type", "x.title", "x.description", "CAST(x.date AS STRING) AS date", "CAST(x.deadline AS STRING) AS deadline", "x.time", "x.person", "x.priority")
 
 
+@query("messages_deep_page", f"WITH RECURSIVE {RESULT}, n AS (SELECT *, row_number() OVER (ORDER BY row_pos) AS k, count(*) OVER () AS most FROM result) SELECT {LIST} FROM n WHERE k > most * 99 // 100 AND k <= most * 99 // 100 + 50")
+def _(spark, d):
+    r = results(spark, d, *LISTED)
+    return views.messages(r, limit=50, offset=r.count() * 99 // 100)
+
+
+@query("tasks_total", f"WITH RECURSIVE {O.ITEMS}, n AS (SELECT * FROM items WHERE priority = 'unknown' ORDER BY row_pos, i LIMIT 20 OFFSET 40) SELECT (SELECT count(*) FROM items WHERE priority = 'unknown') AS total, 40 AS page_offset, 20 AS page_limit, string_agg(item_id, ',' ORDER BY row_pos, i) AS ids FROM n")
+def _(spark, d):
+    made = views.counted_tasks(results(spark, d, "row_pos", "extraction"), priority="unknown", limit=20, offset=40)
+    return made.select("total", "page_offset", "page_limit", F.array_join(F.transform("items", lambda x: x["item_id"]), ",").alias("ids"))
+
+
+@query("sensitive_total", f"WITH RECURSIVE {O.MASKED}, s AS MATERIALIZED (SELECT DISTINCT id FROM spans), n AS (SELECT m.message_id, m.row_pos FROM m JOIN s ON s.id = m.message_id ORDER BY row_pos LIMIT 25 OFFSET 75) SELECT (SELECT count(*) FROM s) AS total, 75 AS page_offset, 25 AS page_limit, string_agg(message_id, ',' ORDER BY row_pos) AS ids FROM n")
+def _(spark, d):
+    made = views.counted_sensitive(results(spark, d, "message_id", "sender", "safe_message", "security", "row_pos"), limit=25, offset=75)
+    return made.select("total", "page_offset", "page_limit", F.array_join(F.transform("items", lambda x: x["message_id"]), ",").alias("ids"))
+
+
+@query("sensitive_detections", f"WITH {O.SPANS} SELECT id AS message_id, type AS sensitivity_type, risk, mask AS masked_text, CASE type {' '.join(f'WHEN {O.lit(k)} THEN {O.lit(v[2])}' for k, v in X.SENSITIVE_TYPES.items())} END AS recommended_action FROM spans")
+def _(spark, d):
+    rows = securities(results(spark, d, "message_id", "security"))
+    return rows.select("message_id", F.explode("detections").alias("x")).select("message_id", "x.sensitivity_type", "x.risk", "x.masked_text", "x.recommended_action")
+
+
+@query("extraction_reasons", f"""WITH RECURSIVE {O.ITEMS}, c AS (SELECT message_id, count(*) AS n, max(person) AS person FROM items GROUP BY message_id)
+SELECT message_id, CASE rule {' '.join(f"WHEN '{r[0]}' THEN 'Matched a {r[3]} with an explicit date{' and time' if r[4][2] else ''}.'" for r in extract.RULES)}
+  WHEN 'deadline' THEN CASE WHEN n > 1 THEN 'Matched ' || CAST(n AS VARCHAR) || ' distinct tasks with explicit deadlines.' ELSE 'Matched a task with an explicit deadline.' END
+  WHEN 'call' THEN 'Matched a call request naming ' || person || '.' ELSE {O.lit(X.NO_ITEMS_REASON)} END AS reason FROM ruled LEFT JOIN c USING (message_id)""")
+def _(spark, d):
+    return computed(spark, d, "message_id", "extraction.reason")
+
+
+@query("input_issues_ordered", f"""WITH r AS ({ORDERED_SQL.replace('{orders}', 'orders')}), l AS (SELECT *, CAST(timestamp AS TIMESTAMP) < lag(CAST(timestamp AS TIMESTAMP)) OVER (ORDER BY row_pos) AS late FROM r)
+SELECT 'duplicate_message_id' AS code, -1 AS row_pos, message_id, CAST(count(*) AS VARCHAR) || ' rows' AS detail FROM r GROUP BY message_id HAVING count(*) > 1
+UNION ALL SELECT * FROM (SELECT 'not_chronological', row_pos, message_id, 'earlier than the row before' FROM l WHERE late ORDER BY row_pos LIMIT 1)""")
+def _(spark, d):
+    found = validate.issues(spark.sql(ORDERED_SQL, orders=table(spark, d, "orders")))
+    return found.select("code", F.coalesce("row_pos", F.lit(-1)).alias("row_pos"), "message_id", "detail")
+
+
+#: Records of an artifact, some with faults by key; the same SQL in both engines.
+RECORDS = _cases((
+    """'{"message_id": "M' || k || '", "confidence": 0.5, "items": [{"title": "a", "day": "2026-01-02"}, {"title": "b", "day": null}]}'""",
+    """'{"message_id": "M' || k || '", "confidence": 1, "items": [], "extra": {"a": 1}}'""",
+    """'{"message_id": "M' || k || '", "items": []}'""",
+    """'{"message_id": "M' || k || '", "confidence": "0.5", "items": []}'""",
+    """'{"message_id": ' || k || ', "confidence": 0.5, "items": [{"title": "a", "day": "2026-13-02"}, {"day": null, "more": 1}, 7]}'""",
+    """'[' || k || ']'""",
+    """'{"message_id": "M' || k || '"'""",
+    """'{"message_id": null, "confidence": null, "items": {"title": "a"}}'""",
+))
+
+
+@query("record_faults", f"""WITH f(m, path, code, found) AS (VALUES (1, 'extra', 'unexpected', NULL), (2, 'confidence', 'missing', NULL), (3, 'confidence', 'mistyped', 'STRING'), (4, 'message_id', 'mistyped', 'BIGINT'), (4, 'items[0].day', 'mistyped', 'STRING'),
+  (4, 'items[1].title', 'missing', NULL), (4, 'items[1].more', 'unexpected', NULL), (4, 'items[2]', 'mistyped', 'BIGINT'), (5, '', 'mistyped', 'ARRAY'), (6, '', 'malformed', NULL), (7, 'message_id', 'null', 'VOID'), (7, 'items', 'mistyped', 'OBJECT'))
+SELECT o_orderkey, path, code, found FROM orders JOIN f ON o_orderkey % 8 = m""")
+def _(spark, d):
+    lines_ = answers(spark, d, RECORDS).select("o_orderkey", F.col("answer").alias("line"))
+    return conform.faults(lines_, "message_id string not null, confidence double, items array<struct<title: string, day: date>>")
+
+
+@query("row_issues", f"""WITH RECURSIVE {O.ITEMS}, h AS (SELECT DISTINCT message_id, row_pos FROM items), t AS (SELECT DISTINCT message_id, row_pos FROM items WHERE row_pos % 11 = 0)
+SELECT 'foreign_item' AS code, message_id FROM h WHERE row_pos % 7 = 0 UNION ALL SELECT 'invalid_time', message_id FROM t
+UNION ALL SELECT 'missing_reason', message_id FROM m WHERE row_pos % 13 = 0 UNION ALL SELECT 'detection_mismatch', message_id FROM m WHERE row_pos % 17 = 0 UNION ALL SELECT 'sensitive_mismatch', message_id FROM m WHERE row_pos % 17 = 0""")
+def _(spark, d):
+    at = lambda n: F.col("row_pos") % n == 0
+    changed = lambda x: x.withField("source_message_id", F.when(at(7), "other").otherwise(x["source_message_id"])).withField("time", F.when(at(11), "24:30").otherwise(x["time"]))
+    c, e, sec = F.col("classification"), F.col("extraction"), F.col("security")
+    rows = results(spark, d, *GOOD)
+    rows = rows.withColumn("extraction", e.withField("items", F.transform(e["items"], changed))).withColumn("classification", c.withField("reason", F.when(at(13), "").otherwise(c["reason"])))
+    rows = rows.withColumn("security", sec.withField("has_detection", F.when(at(17), ~sec["has_detection"]).otherwise(sec["has_detection"])))
+    return audit.row_issues(rows).select("code", "message_id")
+
+
 @query("sealed_round_trip", "SELECT c_custkey, c_name, true AS hidden FROM customer")
 def _(spark, d):
     key = sealed.key_of(sealed.new_key())

@@ -74,16 +74,19 @@ def has_outputs(spark: SparkSession, folder: str) -> bool:
 
 
 def load(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
-    """An artifact again; with a schema (a DDL text or a type) from JSON lines, else from Parquet. Rows that are no objects are left out.
+    """An artifact again; with a schema (a DDL text or a type) from JSON lines, else from Parquet. Lines that are JSON but no objects are left out.
 
-    ArtifactError: there is no such artifact, or a line of it does not fit the schema (found when the rows are read).
+    ArtifactError: there is no such artifact. The job that reads the rows ends at a line that is no JSON, or an object that does not fit the schema.
     """
     path = f"{folder}/{name}"
     if not exists(spark, path):
         raise ArtifactError(f"no artifact {path}")
     if schema is None:
         return spark.read.parquet(path)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    line = F.when(kind.isNull(), F.raise_error(F.lit(f"a line of {name} is no JSON"))).when(kind.startswith("OBJECT"), F.col("value"))
+    objects = spark.read.text(path).where(F.trim("value") != "").select(line.alias("value")).where("value is not null")
+    return objects.select(F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def write_document(rows: DataFrame, path: str, generated_at: str) -> None:
