@@ -4,11 +4,11 @@ Every line of every text is compressed plainly and with all license templates to
 overlapping windows). Lines that the dictionary makes smaller by more than chance seed candidate blocks (seeds at most
 three lines apart join). A block that is not wholly
 made of complete notices is taken again with the lines of its paragraph around it, as far as the longest template
-reaches. It is compressed plainly and with each license template as a raw zstandard dictionary; all templates that make
-it smaller are held against it word by word: the template is aligned where most of its word triples lie, and a license is
-confirmed if enough of its words are there and none of its distinguishing words differs (list markers at line starts are
-not counted as added). The one with most words there is taken, and what is left before and after it is searched again.
-The words missing and added are reported.
+reaches. It is compressed plainly and with each license template as a raw zstandard dictionary, and the templates are ranked by
+what they take off. In this order they are held against it word by word: the template is aligned where most of its word
+triples lie, and a license is confirmed if enough of its words are there and none of its distinguishing words differs (list
+markers at line starts are not counted as added). The first that holds is taken, and what is left before and after it is
+ranked and searched again. Long blocks are searched part by part. The words missing and added are reported.
 
 Defined cases: a null or empty text has no blocks; a block that no template fits is reported with a null license, and a
 confirmed license with the lines of its words; equal ones go to the template of the smaller name; repeated rows are scanned each; an empty table gives no rows;
@@ -18,6 +18,7 @@ other columns are not needed; a line with carriage returns is a line.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
@@ -154,7 +155,7 @@ Found = tuple[int, int, str | None, float, list[str], list[str]]
 class Scanner:
     def __init__(self, templates: dict[str, str], level: int, least: float):
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.least, self.seeds = least, {}
+        self.least, self.seeds, self.parts = least, {}, {}
         together = zstandard.ZstdCompressionDict("\n".join(text for _, text in sorted(templates.items())).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         together.precompute_compress(level=level)
         self.together = zstandard.ZstdCompressor(level=level, write_content_size=False, write_dict_id=False, dict_data=together)
@@ -180,52 +181,83 @@ class Scanner:
         size = len(self.plain.compress(data))
         return size - len(self.together.compress(data)) >= SAVED + BY_CHANCE * size
 
-    def scan(self, block: str) -> list[Found]:
-        """The confirmed licenses, in their order; one with a null license if there is none."""
-        data = block.encode("utf-8", "surrogatepass")
+    def ranked(self, part: str) -> list[tuple[str, float]]:
+        """All templates with the share they take off a part's compressed size, the greatest first and equal ones by name."""
+        data = part.encode("utf-8", "surrogatepass")
         size = len(self.plain.compress(data))
         rank = sorted((-(size - len(c.compress(data))) / size, name) for name, (c, _) in self.by.items())
-        likely = [(name, -minus) for minus, name in rank if minus < 0]
+        return [(name, -minus) for minus, name in rank]
+
+    def _confirmed(self, text: str, words: list[str], markers: tuple[int, ...]) -> tuple | None:
+        """Begin, end, license, reduction, missing and added words of the first template in the order of reduction whose wording holds."""
+        key = (text, markers)
+        if key not in self.parts:
+            if len(self.parts) >= 5_000:
+                self.parts.clear()
+            self.parts[key] = self._first(text, words, set(markers))
+        return self.parts[key]
+
+    def _first(self, text: str, words: list[str], markers: set[int]) -> tuple | None:
+        there = Counter(words)
+        for name, reduction in self.ranked(text):
+            template = self.by[name][1]
+            if sum((Counter(template) - there).values()) > (1 - self.least) * len(template) + 1e-9:
+                continue
+            missing, added, a, b = aligned(template, words, len(markers))
+            added = [words[i] for i in added if i not in markers]
+            changed = [w for w in missing + added if w in TELLING or w[0].isdigit()]
+            if 1 - len(missing) / max(1, len(template)) >= self.least and not changed and a < b:
+                return a, b, name, reduction, missing, added
+        return None
+
+    def scan(self, block: str) -> list[Found]:
+        """The confirmed licenses, in their order; one with a null license if there is none.
+
+        Parts of at most twice the longest template are searched; what is found in the first half of one has all its words in it. What is left before
+        and after a find goes on a list of parts, so work grows with the block, however many notices it has.
+        """
         placed = list(_PLACED.finditer(block))
         words = [m[0].lower() for m in placed]
         at = {m.start(1) for m in _MARKER.finditer(block)}
-        markers = {i for i, m in enumerate(placed) if m.start() in at}
+        markers = [i for i, m in enumerate(placed) if m.start() in at]
         out: list[Found] = []
-
-        def search(low: int, high: int) -> None:
-            part, best = words[low:high], None
-            there = Counter(part)
-            loose = sum(low <= i < high for i in markers)
-            for name, reduction in likely:
-                template = self.by[name][1]
-                if sum((Counter(template) - there).values()) > (1 - self.least) * len(template) + 1e-9:
-                    continue
-                missing, added, a, b = aligned(template, part, loose)
-                added = [part[i] for i in added if low + i not in markers]
-                share = 1 - len(missing) / max(1, len(template))
-                changed = [w for w in missing + added if w in TELLING or w[0].isdigit()]
-                key = (len(template) - len(missing), share)
-                if share >= self.least and not changed and a < b and (best is None or key > best[0]):
-                    best = (key, low + a, low + b, name, reduction, missing, added)
-            if best:
-                _, a, b, *found = best
-                search(low, a)
-                start = block.rfind("\n", 0, placed[a].start()) + 1
-                end = block.find("\n", placed[b - 1].end())
-                out.append((start, len(block) if end < 0 else end, *found))
-                search(b, high)
-
-        search(0, len(words))
-        return out or [(0, len(block), None, -rank[0][0] if rank else 0.0, [], [])]
+        todo = [(0, len(words))]
+        while todo:
+            low, high = todo.pop()
+            if low >= high:
+                continue
+            end = min(high, low + 2 * self.reach)
+            marked = tuple(i - low for i in markers[bisect_left(markers, low) : bisect_left(markers, end)])
+            found = self._confirmed(block[placed[low].start() : placed[end - 1].end()], words[low:end], marked)
+            if found is None:
+                if end < high:
+                    todo.append((low + self.reach, high))
+                continue
+            a, b, *found = found
+            a, b = low + a, low + b
+            if a >= low + self.reach and end < high:  # it may go on beyond the part: again from its begin
+                todo += [(a, high), (low, a)]
+                continue
+            start = block.rfind("\n", 0, placed[a].start()) + 1
+            stop = block.find("\n", placed[b - 1].end())
+            out.append((start, len(block) if stop < 0 else stop, *found))
+            todo += [(b, high), (low, a)]
+        if out:
+            return sorted(out, key=lambda x: x[:3])
+        rank = self.ranked(block)
+        return [(0, len(block), None, rank[0][1] if rank else 0.0, [], [])]
 
 
 def _whole(block: str, found: list[Found], seed: Callable[[str], bool]) -> bool:
     """Whether all lines with a seed belong to licenses without missing words."""
     if any(x[2] is None or x[4] for x in found):
         return False
-    at = 0
+    at, ends, reached = 0, [(x[0], x[1]) for x in found], 0
     for line in block.split("\n"):
-        if len(line) >= SAVED and seed(line) and not any(a <= at < b for a, b, *_ in found):
+        while reached < len(ends) and ends[reached][1] <= at:
+            reached += 1
+        inside = reached < len(ends) and ends[reached][0] <= at
+        if len(line) >= SAVED and not inside and seed(line):
             return False
         at += len(line) + 1
     return True

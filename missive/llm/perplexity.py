@@ -486,11 +486,11 @@ def _judged(docs: DataFrame, *, below: float = 4.0, above: float = 4.0, least_wo
     likely = F.greatest(*((F.col(x) - F.col(f"low_{x}")) for x in LOSSES)) < 0
     kept = ~F.col("base_failed") & F.coalesce((F.col("loss") <= F.col("high")) & ~likely, F.lit(False))
     null = lambda x: F.when(~F.isnan(x), F.col(x)).alias(x)
-    return known.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text_key", *COUNTS, "base_failed", F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), *map(null, LOSSES), "high", *(f"low_{x}" for x in LOSSES), kept.alias("kept"))
+    return known.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text_key", *COUNTS, "base_failed", kept.alias("kept"), F.when(F.col("lang") != "\0", F.col("lang")).alias("lang"), *map(null, LOSSES), "high", *(f"low_{x}" for x in LOSSES))
 
 
 def judged(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, the base counts, base_failed, lang, the losses, the limits of their bands, and kept, for each row; options as of ``scores``, and of the bands."""
+    """doc_id, the base counts, base_failed, kept, lang, the losses and the limits of their bands, for each row; options as of ``scores``, and of the bands."""
     return _judged(docs, **options).drop("text_key")
 
 

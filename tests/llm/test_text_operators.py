@@ -362,3 +362,27 @@ def test_licenses_whole_and_reworded_texts_are_found(spark):
     assert sum(got.get(i) == [name] for i, name in want.items()) >= 0.97 * len(want)
     assert got.get(9000, [None]) == [None] and got[9001] == ["MIT"]
     assert len(IDENTIFIERS) == 18 and all(f"SPDX-{x}" in TEMPLATES for x in IDENTIFIERS)
+
+
+def test_license_runs_are_linear_and_the_ranking_decides(monkeypatch):
+    import time
+
+    from missive.llm import licenses as L
+
+    scanner = L.Scanner(dict(L.TEMPLATES), 3, 0.9)
+    began = time.perf_counter()
+    many = scanner.scan("\n".join(["Released under the MIT License."] * 20_000))
+    assert len(many) == 20_000 and {x[2] for x in many} == {"MIT"} and time.perf_counter() - began < 30
+    assert [x[0] for x in many[:3]] == [0, 32, 64] and L._whole("\n".join(["Released under the MIT License."] * 20_000), many, lambda _: True)
+    nested = {n: L.TEMPLATES[n] for n in ("BSD-3-Clause", "Apache-2.0-header", "MPL-2.0-header", "MIT-full")}
+    for name, text in nested.items():
+        assert [x[2] for x in scanner.scan(text)] == [name]
+    rng = random.Random(9)
+    for _ in range(30):  # licenses one after the other, words between them
+        names = rng.choices(sorted(nested), k=rng.randint(1, 4))
+        block = "\n".join(x for n in names for x in (nested[n], " ".join(rng.choices(["plain", "words", "here"], k=rng.randint(1, 400)))))
+        assert [x[2] for x in scanner.scan(block)] == names
+    constant = L.Scanner(dict(L.TEMPLATES), 3, 0.9)
+    monkeypatch.setattr(constant, "ranked", lambda part: [(name, 0.5) for name in sorted(L.TEMPLATES)])
+    changed = {name: [x[2] for x in constant.scan(text)] for name, text in nested.items()}
+    assert all(changed[name][0] == other for name, other in (("BSD-3-Clause", "BSD-2-Clause"), ("Apache-2.0-header", "Apache-2.0"), ("MPL-2.0-header", "MPL-2.0")))
