@@ -59,8 +59,8 @@ def valid_confidence(c: Column | str) -> Column:
     return F.coalesce(x.cast("string").try_cast("double").between(0, 1), F.lit(False))
 
 
-def row_issues(results: DataFrame) -> DataFrame:
-    """(code, message_id) of domain and consistency errors within rows."""
+def _row_codes() -> Column:
+    """The codes of a row's domain and consistency errors."""
     items = F.col("extraction.items")
     tests = {
         "invalid_category": ~F.coalesce(F.col("classification.category").isin(*X.CATEGORIES), F.lit(False)),
@@ -73,8 +73,12 @@ def row_issues(results: DataFrame) -> DataFrame:
         "detection_mismatch": F.col("security.has_detection") != (F.size("security.detections") > 0),
         "sensitive_mismatch": F.col("security.has_detection") != (F.col("classification.category") == "sensitive_information"),
     }
-    found = F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
-    return results.select("message_id", F.explode(found).alias("code"))
+    return F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
+
+
+def row_issues(results: DataFrame) -> DataFrame:
+    """(code, message_id) of domain and consistency errors within rows."""
+    return results.select("message_id", F.explode(_row_codes()).alias("code"))
 
 
 def artifact_issues(artifact: DataFrame, expected: DataFrame, name: str) -> DataFrame:
@@ -170,24 +174,35 @@ def quality_report(results: DataFrame, expected: DataFrame, mandatory: DataFrame
     """One row of counts over the results, the check of mandatory ids (none by default) and of leaks (``found``), and the status.
 
     PASS: nothing missing, repeated, out of its domain or leaked, no issue at all, and all mandatory ids have results.
+
+    Results are read twice: once as rows of marks that meet the expected and the mandatory ids in one grouping by id, whose sums are the counts, and
+    once for items that share an id. A null id is no id: it is missing where it is expected, and unknown and repeated where it has a result.
     """
-    items = F.size("extraction.items").cast("long")
-    counts = results.agg(
-        F.count(F.lit(1)).alias("classified_messages"), (F.count(F.lit(1)) - F.countDistinct("message_id")).alias("duplicate_message_ids"),
-        F.coalesce(F.sum(F.when(items > 0, items)), F.lit(0)).alias("task_event_count"), F.count_if("security.has_detection").alias("sensitive_message_count"),
-    )
-    n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
-    codes = output_issues(results, expected).agg(
-        F.count_if(F.col("code") == "missing_message_id").alias("missing_message_ids"), F.count_if(F.col("code") == "invalid_category").alias("invalid_categories"),
-        F.count_if(F.col("code") == "invalid_confidence").alias("invalid_confidence_scores"), F.count(F.lit(1)).alias("issues"),
+    items, codes = F.size("extraction.items").cast("long"), F.col("_codes")
+    marks = {
+        "results": F.lit(1), "items": F.greatest(items, F.lit(0)), "sensitive": F.coalesce(F.col("security.has_detection").cast("long"), F.lit(0)), "expected": F.lit(0), "wanted": F.lit(0),
+        "category": F.array_contains(codes, "invalid_category").cast("long"), "confidence": F.array_contains(codes, "invalid_confidence").cast("long"), "faults": F.size(codes),
+    }
+    of_ids = lambda df, name: df.select("message_id", *(F.lit(int(k == name)).cast("long").alias(k) for k in marks))
+    rows = results.withColumn("_codes", _row_codes()).select("message_id", *(c.cast("long").alias(k) for k, c in marks.items())).unionByName(of_ids(expected, "expected"))
+    if mandatory is not None:
+        rows = rows.unionByName(of_ids(mandatory, "wanted"))
+    ids = rows.groupBy("message_id").agg(*(F.sum(k).alias(k) for k in marks))
+    has = lambda k: (F.col(k) > 0) & F.col("message_id").isNotNull()
+    missing, unknown = (F.col("expected") > 0) & ~has("results"), (F.col("results") > 0) & ~has("expected")
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0))
+    counts = ids.agg(
+        total("expected").alias("total_input_messages"), total("results").alias("classified_messages"), (total("results") - F.count_if(has("results"))).alias("duplicate_message_ids"),
+        total("items").alias("task_event_count"), total("sensitive").alias("sensitive_message_count"), F.count_if(missing).alias("missing_message_ids"),
+        total("category").alias("invalid_categories"), total("confidence").alias("invalid_confidence_scores"),
+        (total("faults") + F.count_if(missing) + F.count_if(unknown) + F.count_if(F.col("results") > 1)).alias("_issues"),
+        F.count_if(has("wanted") & has("expected")).alias("mandatory_messages_found"), F.count_if(has("wanted") & has("results")).alias("mandatory_messages_processed"),
+        F.count_if((F.col("wanted") > 0) & ~has("results")).alias("mandatory_messages_missing"),
     )
-    wanted = (expected.select("message_id").where(F.lit(False)) if mandatory is None else mandatory.select("message_id")).distinct()
-    leaked = (expected.select("message_id").where(F.lit(False)) if found is None else found)
-    parts = [counts, codes, n(wanted.join(expected, "message_id", "left_semi"), "mandatory_messages_found"), n(wanted.join(results, "message_id", "left_semi"), "mandatory_messages_processed"),
-             n(wanted.join(results, "message_id", "left_anti"), "mandatory_messages_missing"), n(leaked, "leaks")]
-    out = n(expected.select("message_id"), "total_input_messages")
-    for p in parts:
-        out = out.crossJoin(p)  # one row each
+    shared = results.select(F.explode("extraction.items").alias("x")).groupBy("x.item_id").agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("_shared"))
+    leaked = (expected.select("message_id").where(F.lit(False)) if found is None else found).agg(F.count(F.lit(1)).alias("leaks"))
+    out = counts.crossJoin(shared).crossJoin(leaked).withColumn("issues", F.col("_issues") + F.col("_shared"))  # one row each
     good = F.expr("missing_message_ids = 0 and duplicate_message_ids = 0 and invalid_categories = 0 and invalid_confidence_scores = 0 and issues = 0 and leaks = 0 and mandatory_messages_missing = 0")
     status = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
-    return out.withColumn("sensitive_value_leak_check", status(F.col("leaks") == 0)).withColumn("validation_status", status(good)).drop("leaks")
+    order = ("total_input_messages", "classified_messages", "duplicate_message_ids", "task_event_count", "sensitive_message_count", "missing_message_ids", "invalid_categories", "invalid_confidence_scores", "issues", "mandatory_messages_found", "mandatory_messages_processed", "mandatory_messages_missing")
+    return out.select(*order, status(F.col("leaks") == 0).alias("sensitive_value_leak_check"), status(good).alias("validation_status"))

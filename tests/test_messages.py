@@ -9,7 +9,7 @@ import time
 
 import pytest
 from missive.functions import fixed as X
-from missive.operators import audit, extract, fallback, validate, views
+from missive.operators import audit, conform, extract, fallback, validate, views
 from missive.operators.detect import DETECTORS, with_safe_text, with_spans
 from missive.operators.fallback import with_model_category, with_model_items
 from missive.plans import run as runs
@@ -322,3 +322,63 @@ def test_mandatory_check(spark):
     row = audit.mandatory_check(ids("a", "b", "b", "c", "d"), ids("a", "b", "c"), ids("a", "b"), ids("a")).first().asDict()
     assert row == {"provided": 5, "unique_ids": 4, "duplicates": 1, "missing_from_dataset": 1, "not_processed": 2, "not_classified": 1, "ok": False}
     assert audit.mandatory_check(ids("a"), ids("a"), ids("a"), ids("a")).first().ok
+
+
+def test_report_counts_as_the_list_of_issues(spark, results):
+    expected = results.select("message_id").unionByName(spark.createDataFrame([("absent",), (None,)], "message_id string"))
+    bad = results.unionByName(results.where("row_pos < 3")).unionByName(results.where("row_pos = 4").withColumn("message_id", F.lit(None).cast("string")))
+    bad = bad.withColumn("classification", F.col("classification").withField("category", F.when(F.col("row_pos") % 5 == 0, "odd").otherwise(F.col("classification.category"))))
+    wanted = spark.createDataFrame([("T001",), ("absent",), ("T001",), ("nowhere",)], "message_id string")
+    row = audit.quality_report(bad, expected, wanted).first()
+    assert row.issues == audit.output_issues(bad, expected).count()
+    assert (row.total_input_messages, row.classified_messages) == (expected.count(), bad.count())
+    assert row.missing_message_ids == audit.missing_ids(expected, bad).count() == 2
+    assert (row.mandatory_messages_found, row.mandatory_messages_processed, row.mandatory_messages_missing) == (2, 1, 2)
+    plan = audit.quality_report(bad, expected)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate") < 20
+
+
+def test_records_against_a_schema(spark):
+    schema = "a string not null, n double, when timestamp_ntz, tags array<string>, inner struct<x: boolean>"
+    cases = {
+        '{"a": "x", "n": 1e3, "when": "2026-01-02 03:04:05", "tags": ["t", null], "inner": {"x": true}}': set(),
+        '{"a": "x", "n": null, "when": null, "tags": null, "inner": null}': set(),
+        '{"a": null, "n": true, "when": "soon", "tags": ["t", 1, {}], "inner": {"x": "y", "z": 1}}': {("a", "null"), ("n", "mistyped"), ("when", "mistyped"), ("tags[1]", "mistyped"), ("tags[2]", "mistyped"), ("inner.x", "mistyped"), ("inner.z", "unexpected")},
+        "{}": {(k, "missing") for k in ("a", "n", "when", "tags", "inner")},
+        "7": {("", "mistyped")}, "null": {("", "null")}, "{": {("", "malformed")}, "": {("", "malformed")},
+    }
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate([*cases, None])], "i int, line string")
+    got = conform.faults(lines, schema).collect()
+    for i, want in enumerate([*cases.values(), {("", "malformed")}]):
+        assert {(r.path, r.code) for r in got if r.i == i} == want, i
+    assert conform.faults(lines.limit(0), schema).isEmpty()
+    with pytest.raises(ValueError):
+        conform.faults(lines, "a binary")
+
+
+def test_lines_of_an_artifact_that_are_no_objects(spark, tmp_path):
+    put = lambda *x: spark.createDataFrame([(v,) for v in x], "value string").coalesce(1).write.mode("overwrite").text(f"{tmp_path}/art")
+    put('{"a": 1}', "5", "[1]", "null", "", '"text"', '{"a": 2}')
+    assert sorted(r.a for r in artifacts.load(spark, str(tmp_path), "art", "a int").collect()) == [1, 2]
+    for bad in ('{"a": 1', '{"a": "x"}'):
+        put('{"a": 1}', bad)
+        with pytest.raises(Exception):  # noqa: B017
+            artifacts.load(spark, str(tmp_path), "art", "a int").collect()
+
+
+def test_deep_pages_totals_and_strict_ids(spark, results, monkeypatch):
+    monkeypatch.setattr(views, "DIRECT", 5)
+    every = [r.message_id for r in results.orderBy("row_pos").collect()]
+    for offset in (0, 1, 7, len(every) - 3, len(every) - 1, len(every), len(every) + 50):
+        assert [r.message_id for r in views.messages(results, limit=10, offset=offset).orderBy("row_pos").collect()] == every[offset : offset + 10]
+    tasks = [(r.row_pos, r.pos) for r in views.tasks(results).orderBy("row_pos", "pos").collect()]
+    got = views.counted_tasks(results, limit=3, offset=6).first()
+    assert got.total == len(tasks) and [(x["row_pos"], x["pos"]) for x in got["items"]] == tasks[6:9]
+    got = views.counted_sensitive(results, limit=2).first()
+    assert got.total == results.where("security.has_detection").count() and len(got["items"]) == 2
+    ids = spark.createDataFrame([("T001",), ("lost",)], "message_id string")
+    assert views.mandatory(results, ids).count() == 1
+    with pytest.raises(views.NotFound, match="lost"):
+        views.mandatory(results, ids, strict=True)
+    with pytest.raises(Exception, match="no messages"):
+        validate.statistics(results.limit(0).withColumn("message", F.lit(""))).collect()
