@@ -9,8 +9,8 @@ the items' vocabulary). A larger benchmark is dealt into such blocks; they are b
 has hit is stored before the next one, so that no worker and not the driver ever holds two. Nothing is left out.
 
 Defined cases: a null text has no words, so nothing is hit; an item without words has no window; repeated items count once
-by id; repeated documents are treated row by row; an empty benchmark leaves everything clean; other columns pass through; a single
-item larger than a block is a block of its own.
+by id; repeated documents are treated row by row; an empty benchmark leaves everything clean; other columns pass through; a very
+long document is a row like any other; a very long item is dealt in parts that overlap by a window less a word.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, mixed, own_name, remembered, ship, stored, window_hashes
+from .common import distinct, drop, mixed, own_name, remembered, ship, stored, window_hashes
 
 #: Lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -41,46 +41,86 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: for each length sorted hashes with their places among the items' word numbers."""
+    """The windows of some items: for each length the different ones, by their sorted hashes, each with one place among the items' word numbers, and the further items of those that several items have."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.number: dict[bytes, int] = {}
         self.items = [str(i) for i, _ in items]
         coded = [np.array([self.number.setdefault(w, len(self.number)) for w in words_of(t)], np.int32) for _, t in items]
-        sizes = np.array([len(x) for x in coded], np.int64)
         self.flat = np.concatenate([*coded, np.empty(0, np.int32)])
-        self.ends = np.cumsum(sizes)
         by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.ends = np.cumsum([len(x) for x in coded], dtype=np.int64)
         for x, end in zip(coded, self.ends.tolist(), strict=True):
             if n := min(window, len(x)):
                 h = window_hashes(_spread(x), n)
                 by.setdefault(n, []).append((h, np.arange(end - len(x), end - len(x) + len(h), dtype=np.int64)))
-        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, parts in sorted(by.items()):
             h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.sorted[n] = h[order], at[order]
+            self.sorted[n] = self._distinct(n, h, at)
+
+    def _of(self, places: np.ndarray) -> np.ndarray:
+        """The items of places."""
+        return np.searchsorted(self.ends, places, "right")
+
+    def _distinct(self, n: int, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and place of each different window; the numbers of those that several items have, where each one's items begin, and these items."""
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        group, left, groups = np.full(len(h), -1, np.int64), np.arange(len(h)), 0
+        places: list[np.ndarray] = []
+        while len(left):  # once, and again for windows that only share a hash
+            new = np.r_[True, h[left][1:] != h[left][:-1]]
+            first = left[new]
+            number = np.cumsum(new) - 1
+            same = self._equal(at[left], at[first][number], n)
+            group[left[same]] = groups + number[same]
+            places.append(first)
+            groups += len(first)
+            left = left[~same]
+        first = np.concatenate(places)
+        rank = np.argsort(h[first], kind="stable")
+        place_of = np.empty(groups, np.int64)
+        place_of[rank] = np.arange(groups)
+        pairs = np.unique(place_of[group] * len(self.items) + self._of(at))
+        of, counts = np.unique(pairs // len(self.items), return_counts=True)
+        pairs = pairs[np.repeat(counts > 1, counts)]
+        begins = np.r_[0, np.cumsum(counts[counts > 1])]
+        return h[first][rank], at[first][rank].astype(np.int32), of[counts > 1].astype(np.int32), begins.astype(np.int32), (pairs % len(self.items)).astype(np.int32)
+
+    def _equal(self, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for j in range(n):
+            out &= self.flat[a + j] == self.flat[b + j]
+        return out
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words are hit, and the ids of the items."""
-        hit, items = np.zeros(len(words), bool), set()
+        """Which words are hit, and the ids of the items. A window's items are named once, however often the text has it."""
+        hit, items = np.zeros(len(words), bool), np.zeros(len(self.items), bool)
         coded = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
         spread = _spread(coded)
-        for n, (hashes, places) in self.sorted.items():
+        for n, (hashes, places, shared, begins, named) in self.sorted.items():
             h = window_hashes(spread, n)
             if not len(h):
                 continue
-            low = np.searchsorted(hashes, h)
-            low[low == len(hashes)] = 0
-            for p in np.flatnonzero(hashes[low] == h).tolist():
-                k = low[p]
-                while k < len(hashes) and hashes[k] == h[p]:
-                    at = places[k]
-                    if (self.flat[at : at + n] == coded[p : p + n]).all():
-                        hit[p : p + n] = True
-                        items.add(self.items[int(np.searchsorted(self.ends, at, "right"))])
-                    k += 1
-        return hit, items
+            k = np.searchsorted(hashes, h)
+            p = np.flatnonzero(hashes[np.minimum(k, len(hashes) - 1)] == h)
+            k = k[p]
+            while len(p):  # once, and again where different windows share a hash
+                equal = np.ones(len(p), bool)
+                for j in range(n):
+                    equal &= self.flat[places[k] + j] == coded[p + j]
+                for j in range(n):
+                    hit[p[equal] + j] = True
+                met = distinct(k[equal])
+                items[self._of(places[met])] = True
+                for g in np.flatnonzero(np.isin(shared, met)).tolist() if len(shared) and len(met) else ():
+                    items[named[begins[g] : begins[g + 1]]] = True
+                k = k + 1
+                more = (k < len(hashes)) & ~equal
+                more[more] = hashes[k[more]] == h[p[more]]
+                p, k = p[more], k[more]
+        return hit, {self.items[i] for i in np.flatnonzero(items).tolist()}
 
 
 def _spread(coded: np.ndarray) -> np.ndarray:
@@ -128,21 +168,31 @@ def _scanned(docs: DataFrame, windows, at: int, names: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator:
-    """Broadcasts of the items' windows, one after the other, each of a bounded part of the items."""
+def _parts(text: Column, window: int, part_words: int) -> Column:
+    """A long text in parts of so many words that overlap by a window less a word, so that each window is whole in one of them; others as they are."""
+    words = F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+    cut = F.get(F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - window, F.lit(0)), F.lit(part_words)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(part_words + window - 1)), " "))), 0)
+    return F.when(F.octet_length(text) > part_words, cut).otherwise(F.array(text))
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int, part_words: int) -> Iterator:
+    """Broadcasts of the items' windows, one after the other, each of a bounded part of the items.
+
+    Different parts of items are dealt by a hash of id and text, so neither a long item nor an id of many rows makes a block large.
+    """
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(id_col).alias("item"), F.explode(_parts(F.col(text_col), window, part_words)).alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
         yield spark.sparkContext.broadcast(Windows([(r.item, r.text) for r in part.collect()], window)), k == n - 1
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, names: list[str], at: int, window: int, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, object]:
+def _hits(docs: DataFrame, benchmark: DataFrame, names: list[str], at: int, window: int, item_col: str, item_text_col: str, block_bytes: int, part_words: int) -> tuple[DataFrame, object]:
     """docs with the columns names, after all blocks; and the windows if there is one block only."""
     found, windows = docs, None
-    for windows, last in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
+    for windows, last in _blocks(benchmark, item_col, item_text_col, window, block_bytes, part_words):
         before, found = found, _scanned(found, windows, at, names)
         if not last:
             found = stored(found, "scanned")
@@ -153,13 +203,13 @@ def _hits(docs: DataFrame, benchmark: DataFrame, names: list[str], at: int, wind
     return found, windows if found is not docs and before is docs else None
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_words: int = 20_000, clean: bool = False) -> DataFrame:
     """docs with n_words, n_hit, items (ids as sorted strings) and, if clean, cleaned: the text without hit spans, removed again until no window occurs."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     names = [own_name(docs, x) for x in ("n_words", "n_hit", "items")]
     spans = names[1]
-    how = (window, item_col, item_text_col, block_bytes)
+    how = (window, item_col, item_text_col, block_bytes, part_words)
     found, windows = _hits(docs, benchmark, names, at, *how)
     n_hit = F.aggregate(F.transform(F.col(spans), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, b: a + b)
     counts = [*(F.col(f"`{c}`") for c in docs.columns), F.col(names[0]), n_hit.alias(spans), F.col(names[2])]

@@ -7,7 +7,8 @@ byte (``first``), with its last byte (``last``), or to each by its share of the
 
 Defined cases: a null or empty text has no tokens and the one empty section; null sections give no rows; sections may
 overlap or leave gaps (a token then counts in each section that the rule names, or in none); spans are cut to the text;
-an empty table gives no rows.
+repeated rows are counted each; a very long text is encoded whole, in one task; other columns are not needed; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ def line_sections(text: Column) -> Column:
     return F.transform(lengths, lambda n, i: F.struct(F.get(ends, i).cast("long").alias("start"), (F.get(ends, i) + n).cast("long").alias("end")))
 
 
+def even_sections(text: Column, width: int) -> Column:
+    """Spans of so many characters, the last one shorter; their borders fall anywhere, inside tokens too."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(width))
+    return F.transform(starts, lambda a: F.struct(a.cast("long").alias("start"), (a + width).cast("long").alias("end")))
+
+
 def _line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """What line_sections gives, cut to the text, in bytes."""
     b = np.frombuffer(text.encode(), np.uint8)
@@ -86,5 +93,10 @@ def count_tokens(docs: DataFrame, *, sections: str | None = None, rule: str = "f
     return rows.mapInArrow(run, f"doc_id {kind}, section long, n_chars long, n_tokens double, n_crossing long")
 
 
+#: Characters of the registered query's sections.
+WIDTH = 400
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs.withColumn("sections", even_sections(text_or_empty(), WIDTH)), sections="sections")

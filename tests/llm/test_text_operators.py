@@ -37,8 +37,8 @@ def test_decontamination_as_by_brute_force(spark):
     texts = [(i, " ".join([words(rng, 8, "ab"), rng.choice(items)[1] or "", words(rng, 5, "abé"), "ONE two THREE" * (i % 5 == 0)])) for i in range(40)]
     texts += [(40, None), (41, ""), (7, texts[7][1]), ("null", texts[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (4_000_000, 60):
-        got = scan(docs(spark, texts), bench, block_bytes=block).collect()
+    for block, part in ((4_000_000, 20_000), (60, 20_000), (60, 3)):
+        got = scan(docs(spark, texts), bench, block_bytes=block, part_words=part).collect()
         assert len(got) == len(texts) and got[0].n_words == "own"
         for r in got:
             w, hit, ids = split(r.text), set(), set()
@@ -386,3 +386,49 @@ def test_license_runs_are_linear_and_the_ranking_decides(monkeypatch):
     monkeypatch.setattr(constant, "ranked", lambda part: [(name, 0.5) for name in sorted(L.TEMPLATES)])
     changed = {name: [x[2] for x in constant.scan(text)] for name, text in nested.items()}
     assert all(changed[name][0] == other for name, other in (("BSD-3-Clause", "BSD-2-Clause"), ("Apache-2.0-header", "Apache-2.0"), ("MPL-2.0-header", "MPL-2.0")))
+
+
+def test_items_that_share_a_sentence_and_hashes_that_collide(monkeypatch):
+    import time
+
+    from missive.llm import decontaminate as D
+
+    rng = random.Random(10)
+    shared = words(rng, 2200, "abcdefghijklmnop")
+    items = [(i, f"{shared} only{i} {words(rng, 5)}") for i in range(2000)]
+    block = D.Windows(items[:300], 10)
+    began = time.perf_counter()
+    hit, named = block.scan(shared.encode().split())
+    assert hit.all() and len(named) == 300 and time.perf_counter() - began < 3
+    small = [(i, words(rng, rng.choice([3, 10, 12, 25]), "ab")) for i in range(40)]
+    texts = [words(rng, 60, "ab").encode().split() for _ in range(20)]
+    want = [D.Windows(small, 10).scan(t) for t in texts]
+    monkeypatch.setattr(D, "window_hashes", lambda h, n, f=D.window_hashes: f(h, n) % np.uint64(7))  # most windows share a hash
+    few = D.Windows(small, 10)
+    for t, (hit, named) in zip(texts, want, strict=True):
+        again, ids = few.scan(t)
+        assert (again == hit).all() and ids == named
+
+
+def test_token_counts_of_sections_that_cut_tokens(spark, tmp_path):
+    from missive.llm.token_counts import WIDTH, op9
+
+    rng = random.Random(11)
+    texts = [(i, words(rng, rng.randint(0, 900), "abcdefé漢")) for i in range(12)] + [(12, None), (13, ""), (3, "x" * 1000), (14, "wörd " * 40_000)]
+    texts += [texts[5], ("null", "a b")]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9(spark, str(tmp_path)).collect()
+    ids = tokens.loaded(tokens.default_path())
+    want = []
+    for i, text in texts:
+        text = text or ""
+        ends = np.cumsum(ids.byte_lengths[np.frombuffer(ids.of(text), "<u4")]).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+        for k, a in enumerate(range(0, max(1, len(text)), WIDTH)):
+            part = text[a : a + WIDTH]
+            low = len(text[:a].encode())
+            high = low + len(part.encode())
+            want.append((None if i == "null" else i, k, len(part), float(sum(low <= x < high for x, _ in spans)), sum(x < high and y > low and not (low <= x and y <= high) for x, y in spans)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and sum(w[4] for w in want) > 20
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op9(spark, f"{tmp_path}/none").count() == 0
