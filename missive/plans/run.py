@@ -14,7 +14,7 @@ from ..operators import audit
 from ..operators.detect import with_spans
 from ..operators.fallback import Factory, Manners, http_provider, observed, with_model_category, with_model_items
 from ..operators.validate import require_valid
-from ..sources.artifacts import ARTIFACTS, exists, lines, load, write, write_report
+from ..sources.artifacts import ARTIFACTS, exists, lines, load, materialized, write, write_report
 from ..sources.messages import mandatory_ids, read_csv, typed
 from ..sources.sealed import prepared
 from .analysis import published, summary
@@ -100,7 +100,8 @@ def run(spark: SparkSession, s: Settings) -> int:
     for plain, blob in ((s.messages, s.sealed), (s.mandatory, s.sealed_mandatory)):
         if blob:
             prepared(spark, plain, blob, s.key_file or None)
-    messages = typed(require_valid(read_csv(spark, s.messages, folder=bool(s.sealed)), s.expected))
+    raw = materialized(read_csv(spark, s.messages, folder=bool(s.sealed)), "messages")  # checks read it again and again
+    messages = typed(require_valid(raw, s.expected))
     began, results = time.perf_counter(), published(messages)
     if (provider := provider_of(s)) is not None:
         manners = Manners(at_once=s.model_at_once)
