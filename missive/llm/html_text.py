@@ -10,7 +10,8 @@ body) is the article: its other blocks are content too unless they score next to
 list items are short. Nothing in elements such as nav and footer is content.
 
 Only markup, scripts, styles, form controls and the like are no text at all. Defined cases: a null or empty page has the empty text; unclosed and misplaced tags, cut character references and
-unended comments or scripts are read as browsers do, as far as blocks are concerned; repeated rows are extracted each;
+unended comments or scripts are read as browsers do, as far as blocks are concerned; repeated rows are extracted each; a very long page, and
+one of ten thousands of unclosed tags, takes time in proportion to its length;
 an empty table gives no rows; other columns pass through.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -51,20 +52,52 @@ NAME_ENDS = ("-ad", "-ads", "-sidebar", "-comments", "-nav", "-menu", "-footer",
 SIGMA, APART, SHARE, LEAST, HELD = 1.0, 0.3, 0.3, 0.03, 0.9
 
 
+class Path:
+    """A tag path, by its last tag and the path above: each path of a page is one object."""
+
+    __slots__ = ("above", "tag", "below")
+
+    def __init__(self, above: Path | None = None, tag: str = ""):
+        self.above, self.tag, self.below = above, tag, {}
+
+    def to(self, tag: str) -> Path:
+        found = self.below.get(tag)
+        if found is None:
+            found = self.below[tag] = Path(self, tag)
+        return found
+
+    def __str__(self) -> str:
+        tags, at = [], self
+        while at.above is not None:
+            tags.append(at.tag)
+            at = at.above
+        return "/".join(reversed(tags))
+
+
+@dataclass(eq=False)
+class Node:
+    """An element around blocks (no inline one, nor html and body): its number in page order, how many such elements it and those around it are, and the next one around it."""
+
+    number: int
+    depth: int
+    above: Node | None
+
+
 @dataclass
 class Element:
     tag: str
-    number: int
+    path: Path
+    node: Node | None = None  # the innermost that is it or around it
     factor: float = 1.0  # of the aside tags and names around its text
     article: bool = False  # within an article or main element, and no aside between
     comment: bool = False
-    above: tuple[int, ...] = ()  # numbers of the elements around it and its own, but for inline ones, html and body
+    link: bool = False
 
 
 @dataclass
 class Block:
-    nodes: list[tuple[str, str, float]] = field(default_factory=list)  # path, text, factor
-    within: tuple[int, ...] = ()  # elements around it and its own
+    nodes: list[tuple[Path, str, float]] = field(default_factory=list)  # path, text, factor
+    node: Node | None = None
 
     def text(self) -> str:
         return " ".join("".join(t for _, t, _ in self.nodes).split())
@@ -74,12 +107,14 @@ def named_aside(names: set[str], in_article: bool) -> bool:
     return any((n in NAMES or n.startswith(NAME_STARTS) or n.endswith(NAME_ENDS)) and not (n == "header" and in_article) for n in names)
 
 
-def element(tag: str, attrs: str, above: Element | None, number: int) -> Element:
-    e = Element(tag, number)
+def element(tag: str, attrs: str, above: Element | None, root: Path, number: int) -> Element:
+    e = Element(tag, above.path if above else root)
     if above:
-        e.factor, e.article, e.comment, e.above = above.factor, above.article, above.comment, above.above
+        e.factor, e.article, e.comment, e.node, e.link = above.factor, above.article, above.comment, above.node, above.link
+    if tag == "a" or tag not in INLINE:
+        e.path, e.link = e.path.to(tag), e.link or tag == "a"
     if tag not in INLINE and tag not in ("html", "body"):
-        e.above += (number,)
+        e.node = Node(number, e.node.depth + 1 if e.node else 1, e.node)
     names = {n.replace("_", "-") for m in _HINT.finditer(attrs) for n in m[1].strip("\"'").lower().split()} if attrs else set()
     if tag in ASIDE_TAGS or tag == "header" and not e.article:
         e.factor, e.article = e.factor * ASIDE, False
@@ -91,9 +126,12 @@ def element(tag: str, attrs: str, above: Element | None, number: int) -> Element
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks that have text, in page order."""
+    """The blocks that have text, in page order. Each step looks at the innermost open element of a tag, not at all open elements."""
     done: list[Block] = []
     stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
+    scopes: list[int] = []  # of the open elements that end the search for one to close
+    root = Path()
     block, at, number = Block(), 0, 0
 
     def flush() -> None:
@@ -105,19 +143,23 @@ def blocks_of(page: str) -> list[Block]:
     def pop_to(k: int) -> None:
         if any(e.tag not in INLINE for e in stack[k:]):
             flush()
-        del stack[k:]
+        while len(stack) > k:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in SCOPES:
+                scopes.pop()
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def text(raw: str) -> None:
         if not raw:
             return
-        factor, path = 1.0, ""
-        if stack:
-            link = any(e.tag == "a" for e in stack)
-            path = "/".join(e.tag for e in stack if e.tag == "a" or e.tag not in INLINE)
-            factor = stack[-1].factor * (ARTICLE if stack[-1].article else 1.0) * (LINK if link else 1.0)
+        top = stack[-1] if stack else None
+        factor = top.factor * (ARTICLE if top.article else 1.0) * (LINK if top.link else 1.0) if top else 1.0
         if not block.nodes:
-            block.within = stack[-1].above if stack else ()
-        block.nodes.append((path, unescape(raw), factor))
+            block.node = top.node if top else None
+        block.nodes.append((top.path if top else root, unescape(raw), factor))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -126,43 +168,38 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if k is not None:
-                pop_to(k)
+            if places[tag]:
+                pop_to(places[tag][-1])
             elif tag not in INLINE:
                 flush()
             continue
         if tag not in INLINE:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in SCOPES:
-                    break
+            k = innermost(("p",))
+            if k >= 0 and (not scopes or k >= scopes[-1]):
+                pop_to(k)
         if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    pop_to(k)
-                    break
-                if stack[k].tag in SCOPES and tag != "body":
-                    break
+            k = innermost(CLOSES[tag])
+            if k >= 0 and (tag == "body" or not scopes or k >= scopes[-1]):
+                pop_to(k)
         if tag in VOID:
             if tag == "br":
                 text(" ")
             continue
         number += 1
-        stack.append(element(tag, m["attrs"] or "", stack[-1] if stack else None, number))
+        places[tag].append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        stack.append(element(tag, m["attrs"] or "", stack[-1] if stack else None, root, number))
     text(page[at:])
     flush()
     return done
 
 
-def ratios_of(blocks: list[Block]) -> dict[str, tuple[float, float]]:
-    """Text and punctuation ratio of each tag path: characters and marks by node with text."""
-    chars: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    nodes: dict[str, int] = defaultdict(int)
+def _ratios(blocks: list[Block]) -> dict[Path, tuple[float, float]]:
+    chars: dict[Path, int] = defaultdict(int)
+    marks: dict[Path, int] = defaultdict(int)
+    nodes: dict[Path, int] = defaultdict(int)
     for b in blocks:
         for path, t, _ in b.nodes:
             if t and not t.isspace():
@@ -172,21 +209,36 @@ def ratios_of(blocks: list[Block]) -> dict[str, tuple[float, float]]:
     return {p: (chars[p] / n, marks[p] / n) for p, n in nodes.items()}
 
 
+def ratios_of(blocks: list[Block]) -> dict[str, tuple[float, float]]:
+    """Text and punctuation ratio of each tag path: characters and marks by node with text."""
+    return {str(p): x for p, x in _ratios(blocks).items()}
+
+
+def _apart(a: Node | None, b: Node | None) -> int:
+    """By how many levels the deeper of two elements is below the one that holds both. Steps are as many as the elements between."""
+    deep = max(a.depth if a else 0, b.depth if b else 0)
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.above
+        else:
+            b = b.above
+    return deep - (a.depth if a else 0)
+
+
 def scores_of(blocks: list[Block]) -> np.ndarray:
     """Fused and smoothed ratios of the blocks' paths, times what the paths say."""
-    fused = {p: (c * (0.5 + m)) ** 0.5 for p, (c, m) in ratios_of(blocks).items()}
+    fused = {p: (c * (0.5 + m)) ** 0.5 for p, (c, m) in _ratios(blocks).items()}
     own, factors = np.zeros(len(blocks)), np.ones(len(blocks))
     for k, b in enumerate(blocks):
         weights = np.array([len(t.strip()) for _, t, _ in b.nodes], float)
         own[k] = weights @ np.array([fused.get(p, 0.0) for p, _, _ in b.nodes]) / weights.sum()
         factors[k] = weights @ np.array([f for _, _, f in b.nodes]) / weights.sum()
     sums, total = own.copy(), np.ones(len(blocks))
+    around = [b.node.above if b.node else None for b in blocks]
     for gap in (1, 2, 3):
         near = np.exp(-0.5 * (gap / SIGMA) ** 2)
         for k in range(len(blocks) - gap):
-            x, y = blocks[k].within[:-1], blocks[k + gap].within[:-1]
-            common = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-            w = near * APART ** (max(len(x), len(y)) - common)
+            w = near * APART ** _apart(around[k], around[k + gap])
             sums[k] += w * own[k + gap]
             sums[k + gap] += w * own[k]
             total[k] += w
@@ -194,6 +246,36 @@ def scores_of(blocks: list[Block]) -> np.ndarray:
     return sums / total * factors
 
 
+def _held(blocks: list[Block], sizes: np.ndarray, content: np.ndarray) -> dict[Node, int]:
+    """The size of the content in each element: handed up from element to element, the later numbers first."""
+    held: dict[Node, int] = {}
+    for k in np.flatnonzero(content):
+        at = blocks[k].node
+        if at is not None:
+            held[at] = held.get(at, 0) + int(sizes[k])
+            while at.above is not None and at.above not in held:
+                at = at.above
+                held[at] = 0
+    for e in sorted(held, key=lambda e: -e.number):
+        if e.above is not None:
+            held[e.above] += held[e]
+    return held
+
+
+def _inside(blocks: list[Block], article: Node) -> np.ndarray:
+    """Whether each block is in an element; what is known of an element is kept."""
+    known: dict[Node | None, bool] = {None: False, article: True}
+    out = np.zeros(len(blocks), bool)
+    for k, b in enumerate(blocks):
+        at, way = b.node, []
+        while at not in known:
+            way.append(at)
+            at = at.above
+        known.update(dict.fromkeys(way, known[at]))
+        out[k] = known[at]
+    return out
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
@@ -201,17 +283,11 @@ def main_text(page: str | None) -> str:
     score = scores_of(blocks)
     content = score >= SHARE * score.max()
     sizes = np.array([len(b.text()) for b in blocks])
-    held: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    for k in np.flatnonzero(content):
-        for d, e in enumerate(blocks[k].within):
-            held[e] += int(sizes[k])
-            depth[e] = d
+    held = _held(blocks, sizes, content)
     factors = np.array([max(f for _, t, f in b.nodes if not t.isspace()) for b in blocks])
     enough = [e for e, n in held.items() if n >= HELD * sizes[content].sum()]
     if enough:
-        article = max(enough, key=lambda e: (depth[e], e))
-        inside = np.array([article in b.within for b in blocks])
+        inside = _inside(blocks, max(enough, key=lambda e: (e.depth, e.number)))
         best = factors[content].max()
         content |= inside & ((score >= LEAST * score.max()) & (factors >= LINK * best) | (factors >= best))
     content &= factors > ASIDE

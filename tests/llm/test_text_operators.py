@@ -432,3 +432,14 @@ def test_token_counts_of_sections_that_cut_tokens(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and sum(w[4] for w in want) > 20
     docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert op9(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<div>text, some. ", "<div><p>text, some. ", "<ul><li>text, some. ", "<b>text, some. ", "</p></div>text, some. <div>"):
+        assert main_text(unit * 20_000).count("text, some.") > 100
+    assert time.perf_counter() - began < 60
+    deep = "<div>" * 20_000 + "<article><p>The article has a long text, with marks. It goes on, and on.</p></article>" + "</div>" * 20_000 + "<nav>menu</nav>"
+    assert main_text(deep) == "The article has a long text, with marks. It goes on, and on."
