@@ -113,7 +113,7 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parent.parent
     target = Path(tempfile.mkdtemp()) / "missive_package.zip"
     with zipfile.ZipFile(target, "w") as z:
-        for p in sorted([top / "__init__.py", *(top / "llm").glob("*.py")]):
+        for p in sorted(top.rglob("*.py")):  # all of it, as it comes before any other copy
             z.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
