@@ -1,8 +1,9 @@
 """Reply trees as conversations, with DataFrame functions only.
 
-Messages point to the message they answer. From every leaf, self-joins double the distance they climb each round
-(so a path of n messages takes about log2 n rounds), which lists every root-to-leaf path as rows (leaf, message,
-distance). The branches of a conversation are ranked by mean score, and each chosen path becomes one formatted text.
+Messages point to the message they answer. Self-joins double the distance climbed each round (so a path of n messages takes about log2 n
+rounds), and with it the score and length of every message's way up. The root-to-leaf paths of a conversation are ranked by mean
+score, those chosen are listed as rows (leaf, message, distance) by the same jumps, and each becomes one formatted text. Paths that are not
+chosen are never listed: a thread of n messages with a side answer at each would have n * n / 4 rows.
 
 Template: ``<|role|>``, newline, text, ``<|end|>``, newline for each turn. Inside roles and texts ``~ < [ |`` are written
 ``~0 ~1 ~2 ~3``, so that no control string of this or another template can occur there, and nothing is lost.
@@ -44,39 +45,51 @@ def _same(a: str, b: str, *pairs: tuple[str, str]) -> Column:
     return out
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(conv, leaf, node, dist) of every root-to-leaf path; nodes: conv, node, parent with unique nodes, a parent null at roots."""
+def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rooted nodes with the score and length of their way to the root, and a table of jumps for each power of two.
+
+    nodes: conv, node, parent (null at roots), score, with unique nodes. Round k knows of each node the ancestor 2**k steps above (to; null beyond the root),
+    and total and n of the way before it; the next round adds what that ancestor knows. So a round has a row for each node at most, however many leaves are below it.
+    """
+    done = nodes.where("parent is null").select("conv", "node", F.col("parent").alias("to"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n"))
+    jump = nodes.where("parent is not null").select("conv", "node", F.col("parent").alias("to"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n"))
+    longest, found = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0, []
+    while 2 ** len(found) <= longest and not jump.isEmpty():  # what is open after that runs into a cycle
+        found.append(jump)
+        known = done.unionByName(jump)
+        grown = jump.alias("a").join(known.alias("b"), _same("a", "b", ("to", "node"))).select("a.conv", "a.node", "b.to", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.n") + F.col("b.n")).alias("n"))
+        grown = stored(grown, "jumps")
+        done, jump = done.unionByName(grown.where("to is null")), grown.where("to is not null")
+    return done.drop("to"), found
+
+
+def leaves(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(conv, leaf, mean): the rooted nodes that nothing answers, with the mean score of their way."""
     answered = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
-    leaves = nodes.alias("a").join(answered.alias("b"), _same("a", "b", ("node", "node")), "left_anti").select("conv", "node")
-    found = leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
-    jump = nodes.where("parent is not null").select("conv", "node", F.col("parent").alias("to"))
-    longest = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    reach = 1
-    while reach <= longest and not jump.isEmpty():
-        jump = stored(jump, "jumps")
-        climbed = found.alias("a").join(jump.alias("b"), _same("a", "b", ("node", "node"))).select("a.conv", "leaf", F.col("to").alias("node"), (F.col("dist") + reach).alias("dist"))
-        found = stored(found.unionByName(climbed), "paths")
-        jump = jump.alias("a").join(jump.alias("b"), _same("a", "b", ("to", "node"))).select("a.conv", "a.node", "b.to")
-        reach *= 2
-    roots = nodes.where("parent is null").select("conv", "node")
-    rooted = found.alias("a").join(roots.alias("b"), _same("a", "b", ("node", "node")), "left_semi").select("conv", "leaf").distinct()
-    return found.alias("a").join(rooted.alias("b"), _same("a", "b", ("leaf", "leaf")), "left_semi")
-
-
-def best_branches(ways: DataFrame, scores: DataFrame, branches: int) -> DataFrame:
+    return rooted.alias("a").join(answered.alias("b"), _same("a", "b", ("node", "node")), "left_anti").select("conv", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("mean"))
+
+
+def best_branches(ranked: DataFrame, branches: int) -> DataFrame:
     """(conv, leaf) of each conversation's best branches, by mean score and then the smaller leaf."""
-    mean = ways.alias("a").join(scores.alias("b"), _same("a", "b", ("node", "node"))).groupBy("a.conv", "leaf").agg(F.avg("score").alias("mean"))
-    ranked, chosen = stored(mean, "branches") if branches > 1 else mean, None
+    ranked, chosen = stored(ranked, "branches"), None
     for _ in range(branches):  # a maximum each time, not a sort of all of a conversation's branches
         best = ranked.groupBy("conv").agg(F.max(F.col("mean")).alias("mean"))
         top = ranked.alias("a").join(best.alias("b"), _same("a", "b", ("mean", "mean"))).groupBy("a.conv").agg(F.min("leaf").alias("leaf"))
-        chosen = top if chosen is None else chosen.unionByName(top)
+        chosen = stored(top if chosen is None else chosen.unionByName(top), "chosen")
         if branches > 1:
-            chosen = stored(chosen, "chosen")
             ranked = ranked.alias("a").join(chosen.alias("b"), _same("a", "b", ("leaf", "leaf")), "left_anti")
     return chosen
 
 
+def paths(chosen: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(conv, leaf, node, dist) of the ways from chosen leaves (conv, leaf) to their roots: each round every row climbs a jump, twice as far as the round before."""
+    out = chosen.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("dist"))
+    for k, jump in enumerate(found):
+        climbed = out.alias("a").join(jump.alias("b"), _same("a", "b", ("node", "node"))).select("a.conv", "leaf", F.col("to").alias("node"), (F.col("dist") + 2**k).alias("dist"))
+        out = stored(out.unionByName(climbed), "paths")
+    return out
+
+
 def conversations(messages: DataFrame, *, conv: str = "conv_id", node: str = "node_id", parent: str = "parent_id", role: str = "role", text: str = "text", score: str | None = None, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """conv, leaf, n_turns, formatted and loss_spans (array of start and length in code points of the loss role's texts)."""
     named = messages.select(F.col(conv).alias("conv"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(score).cast("double") if score else F.lit(0.0), F.lit(0.0)).alias("score")).where("node is not null")
@@ -84,9 +97,8 @@ def conversations(messages: DataFrame, *, conv: str = "conv_id", node: str = "no
     ids = once.select("conv", "node")
     linked = once.alias("a").join(ids.alias("b"), _same("a", "b", ("parent", "node")), "left").select("a.conv", "a.node", F.col("b.node").alias("parent"), "role", "text", "score")
     nodes = stored(linked, "messages")
-    ways = paths(nodes.select("conv", "node", "parent"))
-    best = best_branches(ways, nodes.select("conv", "node", "score"), branches)
-    kept = ways.alias("a").join(best.alias("b"), _same("a", "b", ("leaf", "leaf")), "left_semi")
+    rooted, found = jumps(nodes.select("conv", "node", "parent", "score"))
+    kept = paths(best_branches(leaves(nodes, rooted), branches), found)
     turns = kept.alias("a").join(nodes.alias("b"), _same("a", "b", ("node", "node"))).select("a.conv", "leaf", "dist", "role", escaped(F.col("text")).alias("body"), F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n")).alias("head"))
     turns = turns.withColumn("turn", F.concat("head", "body", F.lit(END)))
     upto = W.partitionBy("conv", "leaf").orderBy(F.desc("dist")).rowsBetween(W.unboundedPreceding, 0)

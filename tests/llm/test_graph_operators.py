@@ -8,7 +8,7 @@ import corpus_pipeline
 from missive.llm.jaccard import near_duplicates, one_of_each, signatures
 from missive.llm.lines import cleaned, marked, within
 from missive.llm.linking import components, linked
-from missive.llm.reply_trees import conversations, escaped, loss_text, turns_of, unescaped
+from missive.llm.reply_trees import best_branches, conversations, escaped, jumps, leaves, loss_text, paths, turns_of, unescaped
 from missive.llm.shards import shard
 from pyspark.sql import functions as F
 
@@ -113,6 +113,20 @@ def test_reply_trees(spark):
     assert t.select(unescaped(escaped(F.col("x"))).alias("x")).first().x == "~<[|~1"
 
 
+def test_reply_trees_long_thread(spark):
+    """A thread with a side answer at each message: the best side answer is chosen, and no way but the chosen ones is listed."""
+    n = 300
+    main = [(7, i, i - 1 if i else None, "user", f"m{i}", 1.0) for i in range(n)]
+    side = [(7, 1000 + i, i, "assistant", f"s{i}", 40.0 if i == 250 else 0.0) for i in range(n - 1)]
+    nodes = spark.createDataFrame(main + side, "conv long, node long, parent long, role string, text string, score double")
+    rooted, found = jumps(nodes)
+    assert rooted.count() == 2 * n - 1 and len(found) == 9 and all(t.count() == sum(d >= 2**k for d in [*range(n), *range(1, n)]) for k, t in enumerate(found))
+    assert {(r.node, r.n) for r in rooted.where("node in (0, 17, 299, 1250)").collect()} == {(0, 1), (17, 18), (299, 300), (1250, 252)}
+    ways = paths(best_branches(leaves(nodes, rooted), 2), found)
+    got = {(r.leaf, r.node): r.dist for r in ways.collect()}
+    assert got == {(1250, 1250): 0} | {(1250, i): 251 - i for i in range(251)} | {(299, i): 299 - i for i in range(n)}
+
+
 def test_components_and_linking(spark):
     rng = random.Random(3)
     pairs = [(a, a + 1) for a in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
