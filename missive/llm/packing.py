@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences, with three capacities at once.
 
 A document is its ids and the end id; only documents longer than a sequence are cut, into full pieces with the shorter
-one first. Pieces are dealt by a hash into groups of about ``group_size`` (a long document's pieces to many); in each group, vector best-fit-decreasing
+one first. Pieces are dealt by a hash of id, place and tokens into groups of about ``group_size`` (a long document's pieces to many); in each group, vector best-fit-decreasing
 opens bins: a piece is the vector (tokens, 1 document, tokens squared for attention), a bin has a residual of each, and
 among the bins with room in every respect the piece goes to that with the least weighted residual norm afterwards
 (``rule="norm"``) or the greatest weighted dot product of piece and residual (``rule="dot"``). The groups bound memory
@@ -108,7 +108,7 @@ def packed(parts: DataFrame, n_groups: int, *, size: int = SEQUENCE, max_docs: i
         number = group["group"].to_numpy().astype("int64")
         return group.drop(columns="group").assign(sequence_id=(number << 32) + bins, offset=offsets)
 
-    salted = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
+    salted = parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
     return salted.groupBy("group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
