@@ -33,20 +33,19 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def total_length(texts: Column) -> Column:
-    return F.aggregate(texts, F.lit(0), lambda n, x: n + F.char_length(x))
-
-
 def matches(text: Column, pattern: str, group: int = 1) -> Column:
     """All matches as array<struct<start, end, value>> in code points; the group must end where the match ends."""
     parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
 
     def placed(p: Column) -> Column:
-        def one(value: Column, i: Column) -> Column:
-            end = total_length(F.slice(p["between"], F.lit(1), i + 1)) + total_length(F.slice(p["whole"], F.lit(1), i + 1))
-            return F.struct((end - F.char_length(value)).alias("start"), end.alias("end"), value.alias("value"))
+        steps = F.transform(p["value"], lambda value, i: F.struct((F.char_length(F.get(p["between"], i)) + F.char_length(F.get(p["whole"], i))).alias("step"), value.alias("value")))
+
+        def one(seen: Column, x: Column) -> Column:
+            end = seen["at"] + x["step"]
+            return F.struct(end.alias("at"), F.concat(seen["found"], F.array(F.struct((end - F.char_length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found"))
 
-        return F.transform(p["value"], one)
+        return F.aggregate(steps, none, one, lambda seen: seen["found"])
 
     return bound(parts, placed)
 

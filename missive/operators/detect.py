@@ -124,9 +124,10 @@ def all_spans(text: Column) -> Column:
 
 
 def deduped(spans: Column) -> Column:
-    """Spans that no accepted span contains, in order; partial overlaps stay."""
-    inside = lambda kept, x: F.exists(kept, lambda o: (x["start"] >= o["start"]) & (x["end"] <= o["end"]))
-    return F.aggregate(spans, F.filter(spans, lambda _: F.lit(False)), lambda kept, x: F.when(inside(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    """Spans that no accepted span contains, in order; partial overlaps stay. As starts do not fall, only the greatest accepted end matters."""
+    none = F.struct(F.lit(-1).alias("top"), F.filter(spans, lambda _: F.lit(False)).alias("kept"))
+    add = lambda seen, x: F.when(x["end"] <= seen["top"], seen).otherwise(F.struct(x["end"].alias("top"), F.concat(seen["kept"], F.array(x)).alias("kept")))
+    return F.aggregate(spans, none, add, lambda seen: seen["kept"])
 
 
 def masked(text: Column, spans: Column) -> Column:

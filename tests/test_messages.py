@@ -132,6 +132,12 @@ def test_spans_as_python_finds_them(spark):
         assert [(x.start, x.end, x.type) for x in r.spans] == twin(r.message), r.message
 
 
+def test_many_spans_in_one_text(spark):
+    text = "otp is 123456, card number 4111 1111 1111 1111 é " * 400
+    row = with_spans(frame(spark, [text])).first()
+    assert [(x.start, x.end, x.type) for x in row.spans] == twin(text) and len(row.spans) == 800
+
+
 def test_overlapping_masks_keep_their_places(spark):
     spans = "array(named_struct('start', 0, 'end', 5, 'mask', '*****'), named_struct('start', 3, 'end', 8, 'mask', '[R]'))"
     row = with_safe_text(spark.sql(f"SELECT 'abcdefghij' AS message, {spans} AS spans")).first()
