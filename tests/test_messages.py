@@ -388,3 +388,25 @@ def test_deep_pages_totals_and_strict_ids(spark, results, monkeypatch):
         views.mandatory(results, ids, strict=True)
     with pytest.raises(Exception, match="no messages"):
         validate.statistics(results.limit(0).withColumn("message", F.lit(""))).collect()
+
+
+def test_analysis_is_cut_by_rows(spark):
+    """One partition of a scan, however many rows it has, is not one task."""
+    from missive.plans.analysis import spread
+
+    rows = spark.range(0, 10_000, 1, 1).selectExpr("'m' || id AS message_id", "'text' AS message", "id AS row_pos")
+    sizes = [r["count"] for r in spread(rows, at_once=250).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 40 and sum(sizes) == 10_000 and max(sizes) < 400
+
+
+def test_words_looked_for_first(spark):
+    """Every character that a pattern takes for a letter of ASCII is folded to it, and what utrim removes is what the pattern for white space matches."""
+    from missive.functions.text import FOLDED, WHITE
+
+    chars = spark.range(1, 0xFFFF).where("id < 55296 OR id > 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c")
+    assert {(r.id) for r in chars.where("c RLIKE '(?iU)^[a-z]$' AND id > 127").select("id").collect()} == {ord(c) for c, _ in FOLDED}
+    assert {r.id for r in chars.where(F.col("c").rlike(r"(?U)^\s$")).select("id").collect()} == {ord(c) for c in WHITE}
+    texts = ["your ſecurity code is 482913", "TİME", "  the acceſs toKen iſ tok_demo_A8  ", "api key: zz99 and api key: zz88 \U0001f600 pwd Q1x#9"]
+    found = with_spans(spark.createDataFrame([(t,) for t in texts], "message string")).select("message", F.explode("spans").alias("x")).select("message", "x.*").collect()
+    assert [r.value for r in found] == ["482913", "tok_demo_A8", "zz99", "zz88", "Q1x#9"]
+    assert all(r.message[r.start : r.end] == r.value for r in found)
