@@ -410,3 +410,13 @@ def test_words_looked_for_first(spark):
     found = with_spans(spark.createDataFrame([(t,) for t in texts], "message string")).select("message", F.explode("spans").alias("x")).select("message", "x.*").collect()
     assert [r.value for r in found] == ["482913", "tok_demo_A8", "zz99", "zz88", "Q1x#9"]
     assert all(r.message[r.start : r.end] == r.value for r in found)
+
+
+def test_phrases_are_counted_in_a_text_computed_once(spark):
+    """The trimmed, lowered text is not computed again for each phrase."""
+    from missive.functions.text import count_phrases, utrim
+
+    rows = spark.createDataFrame([(" Buy NOW, big sale ",), (None,)], "text string").withColumn("low", F.lower(utrim(F.col("text"))))
+    counted = rows.select(count_phrases(F.col("low"), ("buy now", "sale", "coupon")).alias("n"))
+    assert "array(lower(" in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.n for r in counted.where("n > 0").collect()] == [2]
