@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHashes, bucketed, distinct, drop, grouped, mixed, own_name, read, release, remembered, ship, stored, window_hashes
+from .common import _STEP, WordHashes, bucketed, distinct, drop, grouped, mixed, own_name, read, release, remembered, ship, stored, trimmed_worker, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
@@ -269,6 +269,7 @@ def _merge(asked: DataFrame, n_values: int) -> DataFrame:
     batch's answer, looked up in the sorted array: the sums, and whether the batch is the first to ask."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        trimmed_worker()
         group = group.sort_values("batch", ignore_index=True)
         keys = [unsqueezed_sorted(x) for x in group["keys"]]
         ends = np.cumsum([len(k) for k in keys]).tolist()
@@ -310,6 +311,7 @@ def _ask_sums(held: DataFrame, answers: DataFrame, order: int, n_ranges: int, bi
     """What the n-grams of the order above add to their suffixes and contexts, from the first batch that has them."""
 
     def run(rows: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        trimmed_worker()
         out: list[tuple] = []
         for row in rows.to_dict("records"):
             g = Grams(row, bits)
@@ -426,6 +428,7 @@ def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits:
     """A row for each document: base counts and mean negative log probability of its words (null without words)."""
 
     def run(rows: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        trimmed_worker()
         out = []
         for r in rows.to_dict("records"):
             g = Grams(r, bits)
