@@ -281,6 +281,23 @@ def test_leaks_anywhere_in_any_line(spark):
     assert {"message_id": "A", "artifact": "one", "sensitivity_type": "password"} in [r.finding for r in audit.leak_texts(found).collect()]
 
 
+def test_leak_search_gives_stretches_not_pairs_of_lines_and_values(spark):
+    from missive.operators.search import AT_ONCE, stretches
+
+    codes = [f"{i:04d}" for i in range(5000)]  # all in every line, as short values are in large tables
+    long = "k" * 40 + "é😀"
+    values = [*codes, long, long + "z", "k" * 32, "k" * 33, "absent" * 9]
+    rows = spark.createDataFrame([(bytearray(v.encode()),) for v in values], "value binary")
+    crossing = "-" * (AT_ONCE - 20) + long + "-" * AT_ONCE
+    lines = spark.createDataFrame([(bytearray("".join(codes[:2500]).encode()),)] * 300 + [(bytearray(x.encode()),) for x in (crossing, "kk", "")], "line binary").coalesce(1)
+    found = [bytes(r[0]).decode("utf-8", "replace") for r in stretches(rows)(lines).collect()]
+    text = "".join(codes[:2500])
+    assert set(found) & set(values) == {v for v in values if v in text or v in crossing} and len(found) < 30_000
+    detected = rows.select(F.col("value").cast("string").alias("message_id"), F.array(F.struct(F.lit(0).alias("start"), F.col("value").cast("string").alias("value"), F.lit("x").alias("type"))).alias("spans"))
+    leaked = audit.leaks(detected, {"one": lines.select(F.col("line").cast("string").alias("line"))})
+    assert {r.message_id for r in leaked.collect()} == set(found) & set(values)
+
+
 def test_first_inversion_in_rows_with_gaps(spark):
     rows = spark.range(4000, numPartitions=4).selectExpr("(id div 1000) * 8589934592 + id % 1000 AS row_pos", "CAST(id AS STRING) AS message_id", "timestamp_seconds(IF(id IN (1703, 3100), 5, id)) AS ts")
     assert validate.first_inversion(rows).first().message_id == "1703"
