@@ -7,8 +7,10 @@ in order. Chunks repeat, and are encoded once per worker as long as the bounded
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +26,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 class _Pieces(dict):
     """Piece -> its ids as bytes; two generations, so that memory is bounded and common pieces stay."""
 
-    MOST = 250_000
+    MOST = 100_000
     #: Longer pieces are encoded but not remembered.
     LONGEST = 64
 
@@ -47,14 +49,19 @@ class Ids:
     """The ids of a text, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._whole = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self._path = path
+        self._whole = [x["content"] for x in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens") or ()]
         self._lengths: np.ndarray | None = None
         encode = self._ranked(Path(path).with_suffix(".tiktoken")) or (lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids)
         self._spaced, self._bare = _Pieces(encode, " "), _Pieces(encode, "")
 
+    @cached_property
+    def tokenizer(self):
+        """Of the library itself, only where it is needed: it takes tens of MB of each worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     @staticmethod
     def _ranked(ranks: Path):
         """The same vocabulary by the quicker of the two libraries, where its file lies beside the other."""

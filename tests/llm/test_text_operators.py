@@ -443,3 +443,14 @@ def test_pages_of_unclosed_tags_take_linear_time():
     assert time.perf_counter() - began < 60
     deep = "<div>" * 20_000 + "<article><p>The article has a long text, with marks. It goes on, and on.</p></article>" + "</div>" * 20_000 + "<nav>menu</nav>"
     assert main_text(deep) == "The article has a long text, with marks. It goes on, and on."
+
+
+def test_token_workers_stay_small():
+    """Workers of the pipeline have room for the pieces of 100,000 words twice over, and load the second library only for texts that need it."""
+    ids = tokens.Ids(tokens.default_path())
+    for k in range(250_000):
+        ids._bare[f"w{k}"]
+    ids.of("plain words\nand lines")
+    assert len(ids._bare) + len(ids._bare._old) <= 200_000 and "tokenizer" not in vars(ids)
+    odd = "a\x1cb <|endoftext|> c"
+    assert ids.of(odd) == np.array(ids.tokenizer.encode(odd, add_special_tokens=False).ids, "<u4").tobytes() and ids._whole == ["<|endoftext|>"]
