@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHashes, bucketed, distinct, drop, grouped, mixed, own_name, read, release, remembered, ship, stored, trimmed_worker, window_hashes
+from .common import _STEP, bucketed, distinct, drop, grouped, mixed, own_name, read, release, ship, stored, trimmed_worker, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
@@ -57,16 +57,9 @@ ORDER = 3
 LOSSES = ("loss_1", "loss_2", "loss")
 
 
-class LowHashes(WordHashes):
-    """Hashes of words without regard to A-Z or a-z."""
-
-    MOST = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.lower()) >> (64 - WORD_BITS)
-        return h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes. Most words of a large corpus are rare: to look each up in a bounded memory costs more than to hash it."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def text_counts(text: str) -> tuple[int, int, int]:
@@ -83,8 +76,10 @@ def repeated_words(hashes: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     if len(hashes) > 3:
         windows = window_hashes(hashes, 3) ^ mixed(doc[:-2] + np.uint64(1))
         inside = np.flatnonzero(doc[2:] == doc[:-2])
-        _, where, counts = np.unique(windows[inside], return_inverse=True, return_counts=True)
-        twice = inside[counts[where] > 1]
+        windows = windows[inside]
+        order = np.sort(windows)
+        again = distinct(order[1:][order[1:] == order[:-1]])
+        twice = inside[np.isin(windows, again)]
         for k in range(3):
             out[twice + k] = True
     return np.bincount(doc[out].astype(np.int64), minlength=len(n_words))
@@ -108,7 +103,7 @@ def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
     """Batches: ids, languages and base counts of their documents, the hashes of their different words, and all words as numbers of those."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, low = remembered("word hashes", lambda: (WordHashes(), LowHashes()))
+        trimmed_worker()
         ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
@@ -122,12 +117,14 @@ def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
             for doc, lang, value, key in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), record.column(3).to_pylist(), strict=True):
                 text = value.as_py()
                 text_keys.append(key)
-                split = text.encode("utf-8", "surrogatepass").split()
+                coded = text.encode("utf-8", "surrogatepass")
+                lowered = coded.lower()  # of bytes: A-Z only
+                low = word_hashes(lowered.split())
                 ids.append(doc)
                 langs.append(lang.encode("utf-8", "surrogatepass"))
                 counts.append(text_counts(text))
-                words.append(low.of(split))
-                seen.append(exact.of(split))
+                words.append(low >> np.uint64(64 - WORD_BITS))
+                seen.append(low if lowered == coded else word_hashes(coded.split()))
                 held += len(text)
                 if held >= batch_chars:
                     yield row()

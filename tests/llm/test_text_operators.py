@@ -454,3 +454,23 @@ def test_token_workers_stay_small():
     assert len(ids._bare) + len(ids._bare._old) <= 200_000 and "tokenizer" not in vars(ids)
     odd = "a\x1cb <|endoftext|> c"
     assert ids.of(odd) == np.array(ids.tokenizer.encode(odd, add_special_tokens=False).ids, "<u4").tobytes() and ids._whole == ["<|endoftext|>"]
+
+
+def test_perplexity_hashes_words_without_a_memory():
+    """Words of which nearly all differ are hashed, not looked up; repeated windows are those of the words as they are written."""
+    import xxhash
+
+    from missive.llm import perplexity
+
+    assert perplexity.word_hashes([b"Word", b"word"]).tolist() == [xxhash.xxh64_intdigest(b"Word"), xxhash.xxh64_intdigest(b"word")]
+    assert perplexity.word_hashes([]).tolist() == [] and not hasattr(perplexity, "LowHashes")
+    texts = [b"a b c x a b c a b c", b"A b c a b c", b"", b"q q q q", b"a b c", b"c x a"]
+    want = []
+    for t in texts:
+        w = t.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        twice = {x for x in windows if windows.count(x) > 1}
+        want.append(len({i + k for i, x in enumerate(windows) if x in twice for k in range(3)}))
+    words = [t.split() for t in texts]
+    got = perplexity.repeated_words(perplexity.word_hashes([w for t in words for w in t]), np.array([len(t) for t in words]))
+    assert got.tolist() == want
