@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, bucketed, distinct, drop, grouped, mixed, own_name, read, release, ship, stored, trimmed_worker, window_hashes
+from .common import _STEP, bucketed, distinct, drop, fresh_worker, grouped, mixed, own_name, read, release, ship, stored, trimmed_worker, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
@@ -103,7 +103,7 @@ def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
     """Batches: ids, languages and base counts of their documents, the hashes of their different words, and all words as numbers of those."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trimmed_worker()
+        fresh_worker()
         ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:

@@ -474,3 +474,15 @@ def test_perplexity_hashes_words_without_a_memory():
     words = [t.split() for t in texts]
     got = perplexity.repeated_words(perplexity.word_hashes([w for t in words for w in t]), np.array([len(t) for t in words]))
     assert got.tolist() == want
+
+
+def test_encoding_forgets_what_other_stages_keep():
+    """The pipeline's workers go from packing to the first stage of the next run: its tokens must not stay beside the batches."""
+    from missive.llm import common, perplexity
+
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter(())))
+
+    common.remembered("of another stage", lambda: bytearray(10))
+    assert perplexity._encoded(Rows(), 10) == [] and not common._remembered
