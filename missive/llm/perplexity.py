@@ -6,9 +6,11 @@ as often as different bigrams do. So a text's copies count once, and near copies
 document is scored, what the model has from that document alone is taken out of every count, context and discount class first.
 
 Documents are encoded in batches, a table in buckets by batch. For each order, batches send the sorted distinct hashes of their n-grams to
-ranges of the hash space; a range merges them into sorted hash arrays (the stored model), looks every batch's
+ranges of the hash space; a range merges them into sorted hash arrays (the model, stored if asked for), looks every batch's
 hashes up there, and answers with the counts. The answer also says which batch is the first to have an n-gram: only that one adds it to
 the sums of its context and its suffix, which are the question of the order below. Nothing but the counts of counts reaches the driver.
+The ranges of an order are settled in ``PASSES`` parts, one after the other, so that only one part's questions are on disk at a time; the answers
+are stored in buckets by batch, too, so that whoever reads them needs no exchange.
 The words before a trigram are told apart by ``SKETCH`` bits of their hash, and their number is corrected for the collisions to expect;
 numbers beyond some thousands level off.
 
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, bucketed, distinct, drop, fresh_worker, grouped, mixed, own_name, read, release, ship, stored, trimmed_worker, window_hashes
+from .common import _STEP, appended, bucketed, distinct, drop, first_places, fresh_worker, grouped, mixed, own_name, read, release, ship, stored, trimmed_worker, window_hashes
 from .exchange import PART, batch_number, slices, squeezed, squeezed_sorted, unsqueezed, unsqueezed_sorted
 
 NO_ID = -(2**63)
@@ -46,6 +48,8 @@ SKETCH = 10
 #: Stands before the first word of a document.
 START = np.uint64(0x5851F42D4C957F2D)
 BATCH_CHARS, RANGE_KEYS, BUCKETS = 10_000_000, 1_000_000, 64
+#: In how many parts the ranges of an order are settled. Each part reads the batches again.
+PASSES = 2
 #: Bits of a word's hash.
 WORD_BITS = 44
 #: What n_symbols counts.
@@ -99,6 +103,15 @@ def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
+def by_frequency(known: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same words with the frequent ones first, by powers of two and then by hash, and their new numbers: small numbers compress better."""
+    rarity = np.uint64(64) - np.frexp(np.bincount(tokens, minlength=len(known)))[1].astype(np.uint64)
+    order = np.argsort(rarity << np.uint64(WORD_BITS) | known)
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    return known[order], number[tokens]
+
+
 def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
     """Batches: ids, languages and base counts of their documents, the hashes of their different words, and all words as numbers of those."""
 
@@ -110,7 +123,8 @@ def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
             n_words = np.array([len(w) for w in words], np.int64)
             table = np.column_stack([n_words, np.array(counts, np.int64).reshape(-1, 3), repeated_words(np.concatenate(seen), n_words)])
             known, _, tokens = grouped(np.concatenate(words), WORD_BITS)
-            blobs = (squeezed(np.array([ids, text_keys], np.int64).reshape(-1)), PART.join(langs), squeezed(table.reshape(-1)), squeezed_sorted(known), squeezed(tokens.astype(np.int32), 3))
+            known, tokens = by_frequency(known, tokens)
+            blobs = (squeezed(np.array([ids, text_keys], np.int64).reshape(-1)), PART.join(langs), squeezed(table.reshape(-1)), squeezed_sorted(known), squeezed(tokens))
             return pa.RecordBatch.from_pydict({"batch": [batch_number(seq)]} | dict(zip(("ids", "langs", "counts", "words", "tokens"), ([b] for b in blobs), strict=True)))
 
         for record in records:
@@ -187,6 +201,10 @@ class Grams:
             self._distinct[order] = keys, first.astype(np.int32), number.astype(np.int32)
         return self._distinct[order]
 
+    def firsts(self, order: int) -> np.ndarray:
+        """The second result of ``distinct`` alone."""
+        return first_places(np.append(self.of(order), self.start(order)) if order < ORDER else self.of(order), self.bits)
+
     def forget(self, order: int) -> None:
         self._of.pop(order, None)
         self._distinct.pop(order, None)
@@ -197,6 +215,12 @@ class Grams:
         return self.before(number[: len(self.words)], number[-1])
 
 
+def places_in(keys: np.ndarray, part: range, n_ranges: int, bits: int) -> np.ndarray:
+    """Where keys lie in these ranges, which are those of ``slices``."""
+    width = -(-(1 << bits) // n_ranges)
+    return np.flatnonzero((keys >= np.uint64(part.start * width)) & (keys < np.uint64(part.stop * width)))
+
+
 def _rows(batch: int, keys: np.ndarray, payload: Callable[[int, int], bytes], n_ranges: int, bits: int) -> list[tuple]:
     return [(batch, r, squeezed_sorted(keys[a:b]), payload(a, b)) for r, a, b in slices(keys, n_ranges, bits)]
 
@@ -231,14 +255,15 @@ ANSWERED = ASKED + ", stats array<long>"
 SUMS = 5
 
 
-def _ask_counts(held: DataFrame, n_ranges: int, bits: int) -> DataFrame:
-    """Of each batch the n-grams of the highest order, and the different words before each."""
+def _ask_counts(held: DataFrame, n_ranges: int, bits: int, part: range) -> DataFrame:
+    """Of each batch the n-grams of the highest order in these ranges, and the different words before each."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for row in record.to_pylist():
                 g = Grams(row, bits)
-                pairs = distinct(g.of(ORDER) << np.uint64(SKETCH) | g.sketch())
+                inside = places_in(g.of(ORDER), part, n_ranges, bits)
+                pairs = distinct(g.of(ORDER)[inside] << np.uint64(SKETCH) | g.sketch()[inside])
                 every = pairs >> np.uint64(SKETCH)
                 at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
                 keys, ends = every[at], np.append(at, len(every))
@@ -261,9 +286,9 @@ def _stats(counts: np.ndarray) -> list[int]:
     return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int(counts.sum()), int((counts > 0).sum())]
 
 
-def _merge(asked: DataFrame, n_values: int) -> DataFrame:
-    """The stored part of the model (batch -1; only counts over 1, the others are known by that) with the counts of counts, and each
-    batch's answer, looked up in the sorted array: the sums, and whether the batch is the first to ask."""
+def _merge(asked: DataFrame, n_values: int, with_model: bool) -> DataFrame:
+    """Of each range the counts of counts and, if wanted, its part of the model (batch -1 - range; only counts over 1, the others are known by that), and
+    each batch's answer, looked up in the sorted array: the sums, and whether the batch is the first to ask."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         trimmed_worker()
@@ -284,8 +309,9 @@ def _merge(asked: DataFrame, n_values: int) -> DataFrame:
         first[firsts] = 1
         made = (lambda v: packed(*v)) if n_values == 1 else packed_sums
         answers = [np.array([len(x := made([v[at[a:b]] for v in values]))], "<u4").tobytes() + x + squeezed(first[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        some = values[0] > 1
-        model = pd.DataFrame({"batch": [-1], "range": [group["range"].iloc[0]], "keys": [squeezed_sorted(every[some] + low)], "payload": [made([v[some] for v in values])], "stats": [_stats(values[0])]})
+        some, number = values[0] > 1, int(group["range"].iloc[0])
+        part = (squeezed_sorted(every[some] + low), made([v[some] for v in values])) if with_model else (None, None)
+        model = pd.DataFrame({"batch": [-1 - number], "range": [number], "keys": [part[0]], "payload": [part[1]], "stats": [_stats(values[0])]})
         return pd.concat([group[["batch", "range"]].assign(keys=None, payload=answers, stats=None), model])
 
     return asked.groupBy("range").applyInPandas(run, ANSWERED)
@@ -304,20 +330,25 @@ def _told(answers: pd.DataFrame, n_values: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(n_values + 1)]
 
 
-def _ask_sums(held: DataFrame, answers: DataFrame, order: int, n_ranges: int, bits: int) -> DataFrame:
-    """What the n-grams of the order above add to their suffixes and contexts, from the first batch that has them."""
+def _ask_sums(held: DataFrame, answers: DataFrame, order: int, n_ranges: int, bits: int, part: range) -> DataFrame:
+    """What the n-grams of the order above add to their suffixes and contexts in these ranges, from the first batch that has them."""
 
     def run(rows: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
         trimmed_worker()
         out: list[tuple] = []
         for row in rows.to_dict("records"):
             g = Grams(row, bits)
-            _, word, _ = g.distinct(order + 1)
+            word = g.firsts(order + 1)
             counts, *_, first = _told(answered, 1 if order == ORDER - 1 else SUMS)
             mine = (first == 1) & (counts > 0)
             word, counts = word[mine], counts[mine]
-            keys, _, number = g.distinct(order)
-            suffix, context = number[word], g.contexts(order + 1)[word]
+            every = np.append(g.of(order), g.start(order))
+            inside = places_in(every, part, n_ranges, bits)
+            keys, _, found = grouped(every[inside], bits)
+            number = np.full(len(every), -1, np.int32)
+            number[inside] = found
+            suffix, context = number[word], g.before(number[:-1], number[-1])[word]
+            counts, suffix, context = counts[context >= 0], suffix[suffix >= 0], context[context >= 0]
             kind = np.minimum(counts, 3)
             sums = [np.bincount(suffix, minlength=len(keys)), _sum(context, counts, len(keys)), *(np.bincount(context[kind == k], minlength=len(keys)) for k in (1, 2, 3))]
             out += _rows(row["batch"], keys, lambda a, b, s=sums: packed_sums([x[a:b].astype(np.int64) for x in s]), n_ranges, bits)
@@ -343,11 +374,10 @@ class Model:
     rest: float  # what the discounts leave of it, for each different word
 
 
-def _model(answers: dict[int, DataFrame]) -> Model:
-    stats = {}
-    for order, df in answers.items():
-        row = df.where("batch = -1").agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(6))).first()
-        stats[order] = [int(x or 0) for x in row]
+def _model(answers: DataFrame) -> Model:
+    sums = answers.where("batch < 0").groupBy("order").agg(*(F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(6)))
+    stats = {row[0]: [int(x or 0) for x in row[1:]] for row in sums.collect()}  # a row for each order
+    stats = {order: stats.get(order, [0] * 6) for order in range(1, ORDER + 1)}
     d = {order: discounts_of(x[:4]) for order, x in stats.items()}
     n1, n2, _, _, total, distinct = stats[1]
     left = d[1][1] * n1 + d[1][2] * n2 + d[1][3] * max(0, distinct - n1 - n2)
@@ -421,7 +451,7 @@ def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarr
     return out
 
 
-def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits: int) -> DataFrame:
+def _scored(held: DataFrame, answers: DataFrame, model: Model, bits: int) -> DataFrame:
     """A row for each document: base counts and mean negative log probability of its words (null without words)."""
 
     def run(rows: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
@@ -436,15 +466,27 @@ def _scored(held: DataFrame, answers: dict[int, DataFrame], model: Model, bits:
             out.append(pd.DataFrame({"id": ids, "text_key": text_keys, "lang": langs} | {c: counts[:, i] for i, c in enumerate(COUNTS)} | dict(zip(LOSSES, losses(g, told, model), strict=True))))
         return pd.concat(out) if out else pd.DataFrame(columns=["id", "text_key", "lang", *COUNTS, *LOSSES])
 
-    every = None
-    for order, df in answers.items():
-        part = df.where("batch >= 0").select("batch", "range", "payload", F.lit(order).alias("order"))
-        every = part if every is None else every.unionByName(part)
+    every = answers.where("batch >= 0").select("batch", "order", "range", "payload")
     return held.groupBy("batch").cogroup(every.groupBy("batch")).applyInPandas(run, "id long, text_key long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {x} double" for x in LOSSES))
 
 
-def scores(docs: DataFrame, *, batch_chars: int = BATCH_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Base counts and loss (log perplexity) of each document, and the model (order, range, sorted keys, their values).
+def _answers(held: DataFrame, n_buckets: int, n_ranges: int, bits: int, with_model: bool) -> DataFrame:
+    """(order, and as of ``_merge``) of all orders, in buckets by batch as held."""
+    spark, out = held.sparkSession, None
+    for order in range(ORDER, 0, -1):
+        told = None if order == ORDER else out.where(f"batch >= 0 AND order = {order + 1}").select("batch", "range", "payload")
+        parts = [range(k * n_ranges // PASSES, (k + 1) * n_ranges // PASSES) for k in range(PASSES)]
+        for part in filter(len, parts):
+            asked = _ask_counts(held, n_ranges, bits, part) if told is None else _ask_sums(held, told, order, n_ranges, bits, part)
+            rows = _merge(asked, 1 if told is None else SUMS, with_model).repartition("batch").withColumn("order", F.lit(order))
+            out = bucketed(rows, "answers", "batch", n_buckets) if out is None else appended(out, rows, "batch", n_buckets)
+            del asked, rows
+            release(spark)
+    return out
+
+
+def scores(docs: DataFrame, *, batch_chars: int = BATCH_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_model: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Base counts and loss (log perplexity) of each document, and the model (order, range, sorted keys, their values) if wanted.
 
     A task holds batch_chars characters of documents at a time, in about 40 bytes each; fewer make the exchange's rows smaller and its files larger.
     """
@@ -453,27 +495,20 @@ def scores(docs: DataFrame, *, batch_chars: int = BATCH_CHARS, id_col: str = "do
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    held = bucketed(_encoded(rows, batch_chars), "encoded", "batch", max(BUCKETS, math.ceil(total / batch_chars / 4)))
+    n_buckets = max(BUCKETS, math.ceil(total / batch_chars / 4))
+    held = bucketed(_encoded(rows, batch_chars), "encoded", "batch", n_buckets)
     most = max(1, total // 6)  # distinct n-grams, about: a word and a blank are 6 bytes or more
     n_ranges, bits = math.ceil(most / RANGE_KEYS), min(60, max(34, math.ceil(math.log2(most)) + 7))
-    answers = {ORDER: stored(_merge(_ask_counts(held, n_ranges, bits), 1), f"model-{ORDER}")}
-    for order in range(ORDER - 1, 0, -1):
-        release(spark)
-        told = answers[order + 1].where("batch >= 0").select("batch", "range", "payload")
-        answers[order] = stored(_merge(_ask_sums(held, told, order, n_ranges, bits), SUMS), f"model-{order}")
-    release(spark)
+    answers = _answers(held, n_buckets, n_ranges, bits, with_model)
     found = stored(_scored(held, answers, _model(answers), bits), "losses")
-    table = None
-    for order, df in answers.items():
-        part = df.where("batch = -1").select(F.lit(order).alias("order"), "range", "keys", "payload")
-        table = part if table is None else table.unionByName(part)
-    model = stored(table, "model")
-    drop(held, *answers.values())
+    drop(held)
+    model = stored(answers.where("batch < 0").select("order", "range", "keys", "payload"), "model") if with_model else None
+    drop(answers)
     return found, model
 
 
 def _judged(docs: DataFrame, *, below: float = 4.0, above: float = 4.0, least_words: int = 50, repeat_percent: int = 50, prior: int = 50, **options) -> DataFrame:
-    found, _ = scores(docs, **options)
+    found, _ = scores(docs, with_model=False, **options)
     found = found.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     fair = found.where(~F.col("base_failed"))
     quarters = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000) for x in LOSSES]

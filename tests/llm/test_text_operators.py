@@ -486,3 +486,36 @@ def test_encoding_forgets_what_other_stages_keep():
 
     common.remembered("of another stage", lambda: bytearray(10))
     assert perplexity._encoded(Rows(), 10) == [] and not common._remembered
+
+
+def test_perplexity_asks_in_parts_and_answers_in_buckets(spark, monkeypatch):
+    """On disk are the questions of one part of the ranges at a time, and the answers lie by batch: scoring needs no exchange of them."""
+    from missive.llm import perplexity
+
+    rng = random.Random(16)
+    texts = [(i, words(rng, rng.randint(20, 50), "abc")) for i in range(60)]
+    monkeypatch.setattr(perplexity, "RANGE_KEYS", 100)
+    found, asked, plans = {}, {}, []
+    merge, scored = perplexity._merge, perplexity._scored
+    monkeypatch.setattr(perplexity, "_merge", lambda df, *a: asked.setdefault(perplexity.PASSES, []).append({r.range for r in df.select("range").distinct().collect()}) or merge(df, *a))
+    monkeypatch.setattr(perplexity, "_scored", lambda *a: plans.append((out := scored(*a))._jdf.queryExecution().toString()) or out)
+    for perplexity_passes in (1, 3):
+        monkeypatch.setattr(perplexity, "PASSES", perplexity_passes)
+        rows, model = scores(docs(spark, texts), batch_chars=1000)
+        found[perplexity_passes] = [sorted(map(str, x.collect())) for x in (rows, model.where("keys is not null"))]
+    assert found[1] == found[3] and len(found[1][0]) == 60 and {x[:13] for x in found[1][1]} == {f"Row(order={n}, " for n in (1, 2, 3)}
+    whole, parts = asked[1], asked[3]
+    assert len(whole) == 3 and len(parts) == 9
+    for k, of_order in enumerate(whole):
+        three = parts[3 * k : 3 * k + 3]
+        assert set().union(*three) == of_order and sum(map(len, three)) == len(of_order) and max(map(len, three)) <= len(of_order) / 3 + 1
+    assert not any("Exchange" in p for p in plans)
+
+
+def test_perplexity_numbers_frequent_words_first():
+    from missive.llm import perplexity
+
+    known, tokens = np.array([5, 7, 9, 11], np.uint64), np.array([0, 2, 2, 3, 2, 3, 1, 2, 3], np.int64)
+    words, numbers = perplexity.by_frequency(known, tokens)
+    assert words[numbers].tolist() == known[tokens].tolist() and words.tolist() == [9, 11, 5, 7]
+    assert [len(x) for x in perplexity.by_frequency(known[:0], tokens[:0])] == [0, 0]
