@@ -66,6 +66,69 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS.encode(), np.uint8))
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, k: int) -> np.ndarray:
+    return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+
+class Words:
+    """The words of some texts (UTF-8), found and hashed by array operations; ``n`` of each text. Hashes are those of ``word_hashes``."""
+
+    #: Words hashed at a time, and bytes from which a word is hashed alone.
+    CHUNK, LONG = 100_000, 16
+
+    def __init__(self, texts: list[bytes]):
+        self.coded = b"".join((b"\n", b"\n".join(texts), b"\n" * 9))
+        blank = _BLANK[np.frombuffer(self.coded, np.uint8)]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        self.starts, self.sizes = edges[::2], edges[1::2] - edges[::2]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.n = np.diff(np.searchsorted(self.starts, ends + 1), prepend=0)
+
+    def lowered(self) -> np.ndarray:
+        """Hashes of all words, A-Z in lower case."""
+        coded, n = self.coded.lower(), len(self.starts)  # of bytes: A-Z only
+        parts = [self._hashed(coded, self.starts[a : a + self.CHUNK], self.sizes[a : a + self.CHUNK]) for a in range(0, n, self.CHUNK)]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+    def written(self, some: np.ndarray) -> np.ndarray:
+        """Hashes of some words as they are written."""
+        return self._hashed(self.coded, self.starts[some], self.sizes[some])
+
+    def _hashed(self, coded: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """XXH64 of words of one length at a time."""
+        data, short = np.frombuffer(coded, np.uint8), np.minimum(sizes, self.LONG).astype(np.uint8)
+        four, eight = (np.ndarray(len(data) - 7, t, coded, strides=(1,)) for t in ("<u4", "<u8"))  # from any byte on
+        order, ends = np.argsort(short, kind="stable"), np.cumsum(np.bincount(short, minlength=self.LONG + 1)).tolist()
+        out = np.empty(len(starts), np.uint64)
+        for size in range(1, self.LONG):
+            some = order[ends[size - 1] : ends[size]]
+            at, left = starts[some], size
+            h = np.full(len(some), _P5 + np.uint64(size))
+            if left >= 8:
+                h ^= _turned(eight[at] * _P2, 31) * _P1
+                h = _turned(h, 27) * _P1 + _P4
+                at, left = at + 8, left - 8
+            if left >= 4:
+                h ^= four[at].astype(np.uint64) * _P1
+                h = _turned(h, 23) * _P2 + _P3
+                at, left = at + 4, left - 4
+            for k in range(left):
+                h ^= data[at + k].astype(np.uint64) * _P5
+                h = _turned(h, 11) * _P1
+            h ^= h >> np.uint64(33)
+            h *= _P2
+            h ^= h >> np.uint64(29)
+            h *= _P3
+            out[some] = h ^ h >> np.uint64(32)
+        some = order[ends[self.LONG - 1] :]
+        out[some] = word_hashes([coded[a : a + n] for a, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)])
+        return out
+
+
 def text_counts(text: str) -> tuple[int, int, int]:
     """word_chars, n_symbols, n_dup_lines."""
     lines = Counter(text.split("\n"))
@@ -73,20 +136,40 @@ def text_counts(text: str) -> tuple[int, int, int]:
     return len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again
 
 
-def repeated_words(hashes: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Of each document the words in windows of three that occur twice or more in it; hashes: of all words, one document after the other."""
+def _twice(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of the words at these places whose windows of three occur twice or more in their document."""
+    windows = mixed((hashes[at] * _STEP + hashes[at + 1]) * _STEP + hashes[at + 2]) ^ mixed(doc[at] + np.uint64(1))
+    order = np.sort(windows)
+    again = distinct(order[1:][order[1:] == order[:-1]])
+    if not len(again):
+        return at[:0]
+    few = np.zeros(1 << 22, bool)  # by the upper bits: most windows are not among them
+    few[again >> np.uint64(42)] = True
+    maybe = np.flatnonzero(few[windows >> np.uint64(42)])
+    return at[maybe[again[np.searchsorted(again, windows[maybe]).clip(max=len(again) - 1)] == windows[maybe]]]
+
+
+def repeated_words(hashes: np.ndarray, n_words: np.ndarray, written: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Of each document the words in windows of three that occur twice or more in it; hashes: of all words, one document after the other.
+
+    With ``written``, which gives the hashes of some words as they are written, hashes may be those in lower case: what is repeated is so in lower case, too.
+    """
     doc = np.repeat(np.arange(len(n_words), dtype=np.uint64), n_words)
-    out = np.zeros(len(hashes), bool)
-    if len(hashes) > 3:
-        windows = window_hashes(hashes, 3) ^ mixed(doc[:-2] + np.uint64(1))
-        inside = np.flatnonzero(doc[2:] == doc[:-2])
-        windows = windows[inside]
-        order = np.sort(windows)
-        again = distinct(order[1:][order[1:] == order[:-1]])
-        twice = inside[np.isin(windows, again)]
-        for k in range(3):
-            out[twice + k] = True
-    return np.bincount(doc[out].astype(np.int64), minlength=len(n_words))
+    at = _twice(hashes, doc, np.flatnonzero(doc[2:] == doc[:-2]))
+    if written is not None and len(at):
+        some = np.flatnonzero(_covered(at, len(hashes)))
+        hashes = hashes.copy()
+        hashes[some] = written(some)
+        at = _twice(hashes, doc, at)
+    return np.bincount(doc[_covered(at, len(hashes))].astype(np.int64), minlength=len(n_words))
+
+
+def _covered(at: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in the windows of three that begin at these."""
+    out = np.zeros(n, bool)
+    for k in range(3):
+        out[at + k] = True
+    return out
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -104,9 +187,9 @@ def unpacked(data: bytes, *dtypes) -> list[np.ndarray]:
 
 
 def by_frequency(known: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same words with the frequent ones first, by powers of two and then by hash, and their new numbers: small numbers compress better."""
-    rarity = np.uint64(64) - np.frexp(np.bincount(tokens, minlength=len(known)))[1].astype(np.uint64)
-    order = np.argsort(rarity << np.uint64(WORD_BITS) | known)
+    """The same words (sorted) with the frequent ones first, by powers of two and then by hash, and their new numbers: small numbers compress better."""
+    rarity = 64 - np.frexp(np.bincount(tokens, minlength=len(known)))[1]
+    order = np.argsort(rarity.astype(np.uint8), kind="stable")
     number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order), dtype=np.int32)
     return known[order], number[tokens]
@@ -117,12 +200,13 @@ def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, 0
+        ids, text_keys, langs, counts, texts, held, seq = [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            n_words = np.array([len(w) for w in words], np.int64)
-            table = np.column_stack([n_words, np.array(counts, np.int64).reshape(-1, 3), repeated_words(np.concatenate(seen), n_words)])
-            known, _, tokens = grouped(np.concatenate(words), WORD_BITS)
+            words = Words(texts)
+            low = words.lowered()
+            table = np.column_stack([words.n, np.array(counts, np.int64).reshape(-1, 3), repeated_words(low, words.n, words.written)])
+            known, _, tokens = grouped(low >> np.uint64(64 - WORD_BITS), WORD_BITS)
             known, tokens = by_frequency(known, tokens)
             blobs = (squeezed(np.array([ids, text_keys], np.int64).reshape(-1)), PART.join(langs), squeezed(table.reshape(-1)), squeezed_sorted(known), squeezed(tokens))
             return pa.RecordBatch.from_pydict({"batch": [batch_number(seq)]} | dict(zip(("ids", "langs", "counts", "words", "tokens"), ([b] for b in blobs), strict=True)))
@@ -131,18 +215,14 @@ def _encoded(rows: DataFrame, batch_chars: int) -> DataFrame:
             for doc, lang, value, key in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), record.column(3).to_pylist(), strict=True):
                 text = value.as_py()
                 text_keys.append(key)
-                coded = text.encode("utf-8", "surrogatepass")
-                lowered = coded.lower()  # of bytes: A-Z only
-                low = word_hashes(lowered.split())
+                texts.append(text.encode("utf-8", "surrogatepass"))
                 ids.append(doc)
                 langs.append(lang.encode("utf-8", "surrogatepass"))
                 counts.append(text_counts(text))
-                words.append(low >> np.uint64(64 - WORD_BITS))
-                seen.append(low if lowered == coded else word_hashes(coded.split()))
                 held += len(text)
                 if held >= batch_chars:
                     yield row()
-                    ids, text_keys, langs, counts, words, seen, held, seq = [], [], [], [], [], [], 0, seq + 1
+                    ids, text_keys, langs, counts, texts, held, seq = [], [], [], [], [], 0, seq + 1
         if ids:
             yield row()
 
@@ -388,8 +468,8 @@ def _model(answers: DataFrame) -> Model:
 CHUNK = 150_000
 
 
-def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np.ndarray]:
-    """Mean negative log probability of each document's words under the orders from 1 on, without what the model has from the document alone."""
+def losses(g: Grams, told: dict[int, np.ndarray], model: Model) -> list[np.ndarray]:
+    """Mean negative log probability of each document's words under the orders from 1 on, without what the model has from the document alone; told: by order, a row of sums for each n-gram."""
     orders, n = range(ORDER, 0, -1), len(g.words)
     sketch = g.sketch().astype(np.uint16)
     contexts = {order: (g.contexts(order), len(g.distinct(order - 1)[0])) for order in orders if order > 1}
@@ -405,7 +485,7 @@ def losses(g: Grams, told: dict[int, list[np.ndarray]], model: Model) -> list[np
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarray, told: dict[int, list[np.ndarray]], model: Model) -> list[np.ndarray]:
+def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarray, told: dict[int, np.ndarray], model: Model) -> list[np.ndarray]:
     """losses of some documents; numbers and contexts: of each word by order, and how many there are."""
     doc = np.repeat(np.arange(len(n_words), dtype=np.uint64), n_words)
 
@@ -423,7 +503,7 @@ def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarr
             own = np.bincount((distinct(pair.astype(np.uint64) << np.uint64(SKETCH) | sketch) >> np.uint64(SKETCH)).astype(np.int64), minlength=len(word))
         else:
             own = np.bincount(pair[alone], minlength=len(word))
-        count = told[order][0][number[word]]
+        count = told[order][number[word], 0]
         rest = np.maximum(count - own, 0)
         alone = word[rest == 0]
         seen[order] = np.maximum(rest - model.discounts[order][np.minimum(rest, 3)], 0)[pair]
@@ -432,7 +512,7 @@ def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarr
         at, most = contexts[order]
         some, context = of_doc(at, most)
         of = context[word]
-        _, total, *kinds = (x[at[some]] for x in told[order - 1][:SUMS])
+        _, total, *kinds = told[order - 1].take(at[some], axis=0).T
         total = total - np.bincount(of, count - rest, len(some))
         left = np.zeros(len(some))
         for k, many in zip((1, 2, 3), kinds, strict=True):
@@ -451,6 +531,11 @@ def _losses(n_words: np.ndarray, numbers: dict, contexts: dict, sketch: np.ndarr
     return out
 
 
+def _by_row(sums: list[np.ndarray]) -> np.ndarray:
+    """A row for each n-gram, so that to look one up touches one place; in half the room if the sums fit."""
+    return np.column_stack([x.astype(np.int32) for x in sums] if all(x.max(initial=0) < 1 << 31 for x in sums) else sums)
+
+
 def _scored(held: DataFrame, answers: DataFrame, model: Model, bits: int) -> DataFrame:
     """A row for each document: base counts and mean negative log probability of its words (null without words)."""
 
@@ -459,7 +544,7 @@ def _scored(held: DataFrame, answers: DataFrame, model: Model, bits: int) -> Dat
         out = []
         for r in rows.to_dict("records"):
             g = Grams(r, bits)
-            told = {order: _told(answered[answered["order"] == order], 1 if order == ORDER else SUMS) for order in range(1, ORDER + 1)}
+            told = {order: _by_row(_told(answered[answered["order"] == order], 1 if order == ORDER else SUMS)[:-1]) for order in range(1, ORDER + 1)}
             counts = unsqueezed(r["counts"], np.int64).reshape(-1, len(COUNTS))
             langs = [x.decode("utf-8", "surrogatepass") for x in r["langs"].split(PART)]
             ids, text_keys = unsqueezed(r["ids"], np.int64).reshape(2, -1)

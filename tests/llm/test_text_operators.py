@@ -519,3 +519,51 @@ def test_perplexity_numbers_frequent_words_first():
     words, numbers = perplexity.by_frequency(known, tokens)
     assert words[numbers].tolist() == known[tokens].tolist() and words.tolist() == [9, 11, 5, 7]
     assert [len(x) for x in perplexity.by_frequency(known[:0], tokens[:0])] == [0, 0]
+
+
+def test_perplexity_hashes_each_word_once(monkeypatch):
+    """Words are found and hashed by array operations, alike to XXH64 of each; as written only those that a window repeated in lower case holds."""
+    import pyarrow as pa
+    import xxhash
+
+    from missive.llm import perplexity
+
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("aBcé漢#", k=rng.randint(1, 24)))
+    texts = ["", " \t\n", "One two three one TWO three One two three", *("".join(w + rng.choice([" ", "\n\n", "\v\f\r", "\t"]) for w in (word() for _ in range(n))) for n in (1, 2, 3, 700)), "\x1cb\xa0c \x85", "end"]
+    coded, alone = [t.encode() for t in texts], []
+    monkeypatch.setattr(perplexity.Words, "CHUNK", 100)
+    monkeypatch.setattr(perplexity, "word_hashes", lambda words: alone.extend(words) or np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+    words = perplexity.Words(coded)
+    plain = [w for t in coded for w in t.split()]
+    assert words.n.tolist() == [len(t.split()) for t in coded]
+    assert words.lowered().tolist() == [xxhash.xxh64_intdigest(w.lower()) for w in plain]
+    assert words.written(np.arange(len(plain))).tolist() == [xxhash.xxh64_intdigest(w) for w in plain]
+    alone.clear()
+    monkeypatch.setattr(perplexity, "batch_number", lambda seq: seq)
+    record = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "lang": ["en"] * len(texts), "text": texts, "key": list(range(len(texts)))})
+    (batch,) = [r for b in perplexity._encoded(Rows(), 10**9)(iter([record])) for r in b.to_pylist()]
+    assert alone and all(len(w) >= perplexity.Words.LONG for w in alone)
+    table = perplexity.unsqueezed(batch["counts"], np.int64).reshape(-1, len(perplexity.COUNTS))
+    assert table[:, 0].tolist() == words.n.tolist() and table[2].tolist() == [9, 33, 0, 0, 6]
+    again = perplexity.repeated_words(perplexity.word_hashes(plain), words.n)
+    assert table[:, 4].tolist() == again.tolist()
+    texts = [b"a b c d A B C", b"a B c d a B c", b"a b c A b c a b c"]
+    low = perplexity.Words(texts)
+    assert perplexity.repeated_words(low.lowered(), low.n, low.written).tolist() == [0, 6, 6]
+
+
+def test_many_wide_keys_are_grouped_by_halves(monkeypatch):
+    """Keys and places that do not fit 64 bits together: a batch of more than a million words of 44 bits."""
+    from missive.llm import common
+
+    rng = np.random.default_rng(19)
+    cases = [(rng.integers(0, 1 << 62, 3000, np.uint64)[rng.integers(0, 3000, 5000)], 62), (np.full(300, (1 << 60) + 5, np.uint64), 61), (np.array([7], np.uint64), 64), (np.array([2**64 - 1, 0, 2**63, 0], np.uint64), 64)]
+    want = [np.unique(k, return_index=True, return_inverse=True) for k, _ in cases]
+    monkeypatch.setattr(np, "unique", lambda *a, **k: (_ for _ in ()).throw(AssertionError("by argsort")) if len(a[0]) else (a[0], np.empty(0, np.int64), np.empty(0, np.int64)))
+    for (keys, bits), w in zip(cases, want, strict=True):
+        assert [x.tolist() for x in common.grouped(keys, bits)] == [x.tolist() for x in w]
