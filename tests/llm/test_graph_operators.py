@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from missive.llm import lines as line_dedup
+from missive.llm.common import folders, stored
 from missive.llm.jaccard import near_duplicates, one_of_each, signatures
 from missive.llm.lines import cleaned, marked, within
 from missive.llm.linking import components, linked
@@ -331,6 +333,32 @@ def test_line_dedup_as_by_brute_force(spark):
     assert cleaned(docs(spark, [])).count() == 0
 
 
+def test_lines_of_many_batches(spark, monkeypatch):
+    rng = random.Random(21)
+    plain = [words(rng, 14) for _ in range(12)]
+    near = {x[:20] + "é" + x[20:]: x for x in plain[:4]}
+    texts = [(i, "\n".join([*rng.sample(plain, 8), words(rng, 14), *rng.sample(list(near), i % 2)])) for i in range(40)]
+    written, before = Counter(), folders()
+
+    def spied(df, name):
+        out = stored(df, name)
+        written.update(r.text for r in (out.collect() if name == "lines" else []) if r.text)
+        return out
+
+    monkeypatch.setattr(line_dedup, "BATCH_CHARS", 300)  # a batch for each document
+    monkeypatch.setattr(line_dedup, "stored", spied)
+    got, seen = {r.doc_id: r.cleaned for r in marked(docs(spark, texts)).collect()}, set()
+    for i, t in texts:
+        left = []
+        for x in t.split("\n"):
+            left += [x] * (near.get(x, x) not in seen)
+            seen.add(near.get(x, x))
+        assert got[i] == "\n".join(left)
+    there = {x for _, t in texts for x in t.split("\n")}
+    assert written == Counter({x for pair in near.items() if there.issuperset(pair) for x in pair})  # once, not in each batch that has a copy
+    assert {p.split("/")[-1].rpartition("-")[0] for p in folders() - before} - {"links"} == {"repeated-lines"}  # what other steps wrote is deleted
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
     clean = [(i, "\n".join(words(rng, 30) for _ in range(3))) for i in range(70)]
