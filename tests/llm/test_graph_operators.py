@@ -378,6 +378,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(seen[3])
 
 
+def test_line_dedup_stage_deletes_what_it_wrote(spark, monkeypatch):
+    rng = random.Random(22)
+    monkeypatch.setattr(line_dedup, "OUT_ROWS", 2, raising=False)  # several parts of a record batch
+    before = folders()
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs(spark, [(i, f"{words(rng, 12)}\none line that all documents have") for i in range(9)]).coalesce(1), "").collect()}
+    assert sorted(got) == list(range(9)) and all(("one line" in r.text) == (i == 0) and r.n_chars == len(r.text) for i, r in got.items())
+    assert {p.split("/")[-1].rpartition("-")[0] for p in folders() - before} - {"links", "families"} == {"repeated-lines"}
+
+
 def test_rows_without_ids_keep_their_own_lines(spark):
     rows = docs(spark, [(None, "one line of words\nshared by two"), (None, "other words here\nshared by two"), (3, "shared by two"), (3, "shared by two\nlast")])
     got = Counter(r.cleaned for r in marked(rows).collect())
